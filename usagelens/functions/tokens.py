@@ -16,16 +16,17 @@ _NUMBER = r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
 _TEXT_INTEGER = r'^"\s*[+-]?[0-9]+(_[0-9]+)*\s*"$'
 
 
-def parse_document(text) -> Column:
-    """One whole JSON document as VARIANT, NULL if the text is anything else.
+def attach_document(rows: DataFrame, text: str, target: str = "doc") -> DataFrame:
+    """Add ``target``: one whole JSON document as VARIANT, NULL if the text is anything else.
 
     The parser stops after the first document.  Parsing the text as the only
-    element of an array also rejects whatever follows it.
+    element of an array also rejects whatever follows it.  The array is a column
+    of its own, so the text is parsed once per row.
     """
-    column = F.col(text) if isinstance(text, str) else text
-    wrapped = F.try_parse_json(F.concat(F.lit("["), column, F.lit("]")))
-    alone = F.try_variant_get(wrapped, "$[1]", "variant").isNull()
-    return F.when(alone, F.try_variant_get(wrapped, "$[0]", "variant"))
+    wrapped = F.try_parse_json(F.concat(F.lit("["), F.col(text), F.lit("]")))
+    alone = F.try_variant_get("_wrapped", "$[1]", "variant").isNull()
+    return rows.withColumn("_wrapped", wrapped).withColumn(
+        target, F.when(alone, F.try_variant_get("_wrapped", "$[0]", "variant"))).drop("_wrapped")
 
 
 def member(value: Column, path: str) -> Column:

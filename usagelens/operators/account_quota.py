@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from usagelens.functions.clock import local_timestamp
-from usagelens.functions.tokens import is_falsy, member, parse_document
+from usagelens.functions.tokens import attach_document, is_falsy, member
 
 # Texts of window labels and reset times.
 LABEL_FIVE_HOURS, LABEL_WEEK, LABEL_OTHER = "5小时", "本周", "周期窗口"
@@ -60,12 +60,12 @@ def _either(value: Column, first: str, second: str) -> Column:
 
 
 def quota_windows(snapshots: DataFrame, tz: str) -> DataFrame:
-    """Windows of every snapshot in payload order, free of account data.
+    """Windows of every snapshot, free of account data.
 
-    Columns: snapshot_id, position, label, used_percent, remaining_percent,
+    Columns: snapshot_id, position (payload order), label, used_percent, remaining_percent,
     severity, reset.  Windows without a usable percentage are left out.
     """
-    parsed = snapshots.select("snapshot_id", "fetched_at", parse_document("payload").alias("doc"))
+    parsed = attach_document(snapshots.select("snapshot_id", "fetched_at", "payload"), "payload")
     doc = F.col("doc")
     extra = _either(doc, "additional_rate_limits", "additionalRateLimits").alias("extra")
     limits = parsed.select("snapshot_id", "fetched_at",
@@ -99,4 +99,4 @@ def quota_windows(snapshots: DataFrame, tz: str) -> DataFrame:
         "snapshot_id", F.col("_order").alias("position"), label.alias("label"), "used_percent",
         (100.0 - used_percent).alias("remaining_percent"),
         F.when(used_percent >= 80, "high").when(used_percent >= 50, "medium").otherwise("low").alias("severity"),
-        "reset").orderBy("snapshot_id", "position")
+        "reset")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from usagelens.functions.tokens import is_falsy, json_text, parse_document
+from usagelens.functions.tokens import attach_document, is_falsy, json_text
 from usagelens.runtime import small_side
 
 # Endpoints by mode and the largest accepted body.
@@ -55,7 +55,7 @@ def request_outcome(requests: DataFrame, login_mode: bool = False,
     upstream call failed) and client_gone.  The checks apply in the order below.
     """
     endpoints = LOGIN_ENDPOINTS if login_mode else OPEN_ENDPOINTS
-    rows = requests.withColumn("_doc", parse_document("payload"))
+    rows = attach_document(requests, "payload", "_doc")
     has_body = (F.coalesce("content_length", F.lit(0)) > 0) & (F.col("method") == "POST")
     valid = F.col("_doc").isNotNull()
     object_body = F.coalesce(F.ltrim("payload", F.lit(" \t\r\n")).startswith("{"), F.lit(False))

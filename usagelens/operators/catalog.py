@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from usagelens.functions.tokens import member, parse_document
+from usagelens.functions.tokens import attach_document, member
 
 # Keys that may hold an id, in order, and the accepted form.
 ID_KEYS = ("id", "slug", "model", "model_id", "model_slug")
@@ -16,13 +16,13 @@ def _text(value: Column, path: str) -> Column:
     return F.when(F.schema_of_variant(inner) == "STRING", F.try_variant_get(value, path, "string"))
 
 
-def catalog_ids(payload) -> Column:
-    """Array of the accepted ids of one payload, in order, each once.
+def _attach_ids(snapshots: DataFrame) -> DataFrame:
+    """Add ``ids``: the accepted ids of each payload, in order, each once; NULL without a list.
 
     An item gives its first valid id that no earlier item gave, so the fold over
     the items carries the ids taken so far.
     """
-    doc = parse_document(payload)
+    doc = F.col("doc")
     models = F.coalesce(F.try_variant_get(doc, "$.models", "array<variant>"),
                         F.try_variant_get(doc, "$.data", "array<variant>"))
     candidates = F.transform(models, lambda item: F.when(
@@ -34,13 +34,13 @@ def catalog_ids(payload) -> Column:
             name.rlike(ID_PATTERN) & ~F.array_contains(taken, name), F.lit(False)))
         return F.concat(taken, F.slice(fresh, 1, 1))
 
-    return F.aggregate(candidates, F.array().cast(_NO_IDS), take)
+    parsed = attach_document(snapshots.select("snapshot_id", "payload"), "payload")
+    return parsed.select("snapshot_id", F.aggregate(candidates, F.array().cast(_NO_IDS), take).alias("ids"))
 
 
 def model_catalog(snapshots: DataFrame) -> DataFrame:
     """(snapshot_id, position, model_id) of every snapshot."""
-    ids = snapshots.select("snapshot_id", catalog_ids("payload").alias("ids"))
-    return ids.select("snapshot_id", F.posexplode("ids").alias("position", "model_id"))
+    return _attach_ids(snapshots).select("snapshot_id", F.posexplode("ids").alias("position", "model_id"))
 
 
 def model_catalog_merged(snapshots: DataFrame, configured) -> DataFrame:
@@ -48,7 +48,7 @@ def model_catalog_merged(snapshots: DataFrame, configured) -> DataFrame:
 
     A snapshot without any usable id shows the configured list alone.
     """
-    own = F.coalesce(catalog_ids("payload"), F.array().cast(_NO_IDS))
+    own = F.coalesce("ids", F.array().cast(_NO_IDS))
     fixed = F.array(*[F.lit(name) for name in configured]).cast(_NO_IDS)
-    merged = snapshots.select("snapshot_id", F.array_distinct(F.concat(own, fixed)).alias("ids"))
+    merged = _attach_ids(snapshots).select("snapshot_id", F.array_distinct(F.concat(own, fixed)).alias("ids"))
     return merged.select("snapshot_id", F.posexplode("ids").alias("position", "model_id"))

@@ -5,8 +5,9 @@ from pyspark.sql import DataFrame, functions as F
 from usagelens.functions.clock import local_day
 from usagelens.functions.labels import caller_key, client_class
 from usagelens.functions.pricing import PriceBook, attach_cost
-from usagelens.functions.tokens import LINE_BREAK, attach_usage_counts, is_falsy, json_text, member, parse_document
+from usagelens.functions.tokens import LINE_BREAK, attach_document, attach_usage_counts, is_falsy, json_text, member
 from usagelens.operators.ordered import last_before
+from usagelens.runtime import materialize
 from usagelens.schema import TOKEN_COLUMNS, USAGE
 from usagelens.sources.ledger import conform
 
@@ -24,7 +25,7 @@ def extract_json_usage(raw: DataFrame) -> DataFrame:
     A body that is not a JSON object, or has one bad count, gives all zeros and
     sets the flag.  A missing usage gives zeros without the flag.
     """
-    parsed = raw.select("request_id", "body", parse_document("body").alias("doc"))
+    parsed = attach_document(raw.select("request_id", "body"), "body")
     usage = parsed.select("request_id", "body", F.col("doc").isNull().alias("_broken"),
                           member(F.col("doc"), "$.usage").alias("usage"))
     # The document parsed as a whole, so its first mark tells an object from the rest.
@@ -34,24 +35,45 @@ def extract_json_usage(raw: DataFrame) -> DataFrame:
                           (F.col("_broken") | ~object_body | F.col("bad_usage")).alias("parse_error"))
 
 
-def stream_lines(chunks: DataFrame, chunks_per_slice: int = CHUNKS_PER_SLICE) -> DataFrame:
-    """Lines of each request's stream: (request_id, seq, idx, line).
+def _payload(line):
+    """Payload of a data line, NULL for any other line."""
+    text = F.btrim(line, F.lit(_BLANKS))
+    return F.when(text.startswith("data:"), F.btrim(F.substring(text, 6, _TAIL), F.lit(_BLANKS)))
 
-    A line inside one chunk never leaves its task.  Only the first and last
-    piece of a chunk are shuffled, grouped by the chunk in which their line
-    opened, so a request of any length is spread over its lines.
+
+def _matters(payload):
+    """Payloads that can hold a usage or an error; a key may be written with escapes."""
+    return (payload != "") & (payload != "[DONE]") & (
+        ~payload.startswith("{") | payload.contains("usage") | payload.contains("\\u"))
+
+
+def compact_chunks(chunks: DataFrame) -> DataFrame:
+    """What is left of each chunk: its first and last piece, and the payloads that matter.
+
+    Columns: request_id, seq, head, tail (NULL without a line break), opens (seq
+    if a line opens in the chunk) and inner, an array of (idx, payload).
     """
     pieces = chunks.select("request_id", F.col("seq").cast("long").alias("seq"),
                            F.split(F.coalesce("chunk", F.lit("")), LINE_BREAK, -1).alias("pieces"))
-    inner = pieces.where(F.size("pieces") > 2).select(
-        "request_id", "seq",
-        F.posexplode(F.slice("pieces", 2, F.size("pieces") - 2)).alias("idx", "line"))
-
     breaks = F.size("pieces") > 1
-    edges = pieces.select("request_id", "seq", F.element_at("pieces", 1).alias("head"),
-                          F.when(breaks, F.element_at("pieces", -1)).alias("tail"),
-                          F.when(breaks, F.col("seq")).alias("opens"))
-    edges = last_before(edges, ["request_id"], "seq", "opens", "opened", chunks_per_slice)
+    whole_lines = F.slice("pieces", 2, F.greatest(F.size("pieces") - 2, F.lit(0)))
+    payloads = F.transform(whole_lines, lambda line, i: F.struct(i.alias("idx"), _payload(line).alias("payload")))
+    inner = F.filter(payloads, lambda x: F.coalesce(_matters(x["payload"]), F.lit(False)))
+    return pieces.select("request_id", "seq", F.element_at("pieces", 1).alias("head"),
+                         F.when(breaks, F.element_at("pieces", -1)).alias("tail"),
+                         F.when(breaks, F.col("seq")).alias("opens"), inner.alias("inner"))
+
+
+def stream_payloads(compact: DataFrame, chunks_per_slice: int = CHUNKS_PER_SLICE) -> DataFrame:
+    """Payloads that matter, in stream order: (request_id, seq, idx, payload).
+
+    Lines inside one chunk need no shuffle.  The outer pieces are grouped by the
+    chunk in which their line opened, so a request of any length is spread over
+    its lines.  Every request has at least one row; its payload may be NULL.
+    """
+    inner = compact.select("request_id", "seq", F.inline("inner"))
+    edges = last_before(compact.select("request_id", "seq", "head", "tail", "opens"),
+                        ["request_id"], "seq", "opens", "opened", chunks_per_slice)
     parts = edges.select("request_id", F.inline(F.array(
         F.struct(F.coalesce("opened", F.lit(-1).cast("long")).alias("line_seq"), F.col("seq").alias("at"),
                  F.col("head").alias("text")),
@@ -59,30 +81,26 @@ def stream_lines(chunks: DataFrame, chunks_per_slice: int = CHUNKS_PER_SLICE) ->
     ))).where(F.col("line_seq").isNotNull())
     # One group is one line: what a JSON parser needs whole.
     ordered = F.array_sort(F.collect_list(F.struct("at", "text")))
-    stitched = parts.groupBy("request_id", F.col("line_seq").alias("seq")).agg(
+    lines = parts.groupBy("request_id", F.col("line_seq").alias("seq")).agg(
         F.array_join(F.transform(ordered, lambda part: part["text"]), "").alias("line"))
-    return inner.unionByName(stitched.withColumn("idx", F.lit(_TAIL)))
+    stitched = lines.withColumn("payload", _payload(F.col("line"))).select(
+        "request_id", "seq", F.lit(_TAIL).alias("idx"),
+        F.when(_matters(F.col("payload")), F.col("payload")).alias("payload"))
+    return inner.unionByName(stitched)
 
 
-def extract_sse_usage(chunks: DataFrame, chunks_per_slice: int = CHUNKS_PER_SLICE) -> DataFrame:
+def extract_sse_usage(chunks: DataFrame, chunks_per_slice: int = CHUNKS_PER_SLICE,
+                      stage: bool = True) -> DataFrame:
     """Last usage of each event stream: (request_id, four counts, parse_error).
 
     An event that is JSON but not an object, or a usage with a bad count, voids
-    the whole stream.
+    the whole stream.  The text is read once: what matters of it is a small part
+    and is staged in the shared folder for the passes that follow.
     """
-    lines = stream_lines(chunks, chunks_per_slice)
-    stripped = lines.withColumn("line", F.btrim("line", F.lit(_BLANKS)))
-    payloads = stripped.withColumn("payload", F.when(
-        F.col("line").startswith("data:"), F.btrim(F.substring("line", 6, _TAIL), F.lit(_BLANKS))))
-    payload = F.col("payload")
-    # Only these can hold a usage or an error; a key may be written with escapes.
-    relevant = (payload != "") & (payload != "[DONE]") & (
-        ~payload.startswith("{") | payload.contains("usage") | payload.contains("\\u"))
-    # Every request keeps its edge lines, so one without usage still has a row.
-    kept = payloads.withColumn("payload", F.when(relevant, payload)).where(
-        F.col("payload").isNotNull() | (F.col("idx") == _TAIL))
-    events = kept.select("request_id", "seq", "idx", payload.startswith("{").alias("_object"),
-                         parse_document("payload").alias("event"))
+    compact = compact_chunks(chunks)
+    payloads = stream_payloads(materialize(compact) if stage else compact, chunks_per_slice)
+    events = attach_document(payloads, "payload", "event").withColumn(
+        "_object", F.col("payload").startswith("{"))
     own = member(F.col("event"), "$.usage")
     nested = member(F.col("event"), "$.response.usage")
     usages = events.select(
@@ -108,7 +126,7 @@ def request_facts(requests: DataFrame) -> DataFrame:
     Needs ``payload``, ``user_agent``, ``x_api_key`` and ``authorization``.  A
     payload that is not a JSON object has an empty model and no stream.
     """
-    parsed = requests.withColumn("_doc", parse_document("payload"))
+    parsed = attach_document(requests, "payload", "_doc")
     doc = F.col("_doc")
     text = json_text(doc, "$.model")
     model = (

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from usagelens.functions.tokens import member, parse_document
+from usagelens.functions.tokens import attach_document, member
 
 # Fixed values of the short form.
 ID_PREFIX = "rs_"
@@ -15,8 +15,9 @@ def request_items(requests: DataFrame) -> DataFrame:
 
     ``item_id`` is NULL unless the item is an object with a text id.
     """
-    items = F.try_variant_get(parse_document("payload"), "$.input", "array<variant>")
-    rows = requests.select("request_id", F.posexplode(items).alias("pos", "item"))
+    items = F.try_variant_get("doc", "$.input", "array<variant>")
+    parsed = attach_document(requests.select("request_id", "payload"), "payload")
+    rows = parsed.select("request_id", F.posexplode(items).alias("pos", "item"))
     item_id = member(F.col("item"), "$.id")
     return rows.select(
         "request_id", "pos",
@@ -32,15 +33,17 @@ def short_id(item_id) -> Column:
 def surrogate_ids(items: DataFrame) -> DataFrame:
     """Add ``new_id``: the short form of a long id that some plain item of the request has.
 
-    A plain item with a long id decides for itself.  Only an encrypted item with
-    a long id has to look for a plain twin, so only those ids meet in a join,
-    each of them once.
+    A plain item with a long id decides for itself and is not shuffled.  Only an
+    encrypted item with a long id has to look for a plain twin; ids that occur
+    both ways come from one aggregate, each of them once.
     """
     long_id = F.length("item_id") > MAX_ID_CHARS
     plain = ~F.coalesce(F.col("encrypted"), F.lit(False))
-    candidates = items.where(long_id & plain).select("request_id", "item_id").distinct()
-    asked = items.where(long_id & ~plain).select("request_id", "item_id").distinct()
-    twins = asked.join(candidates, ["request_id", "item_id"]).withColumn("_twin", F.lit(True))
+    twins = (
+        items.where(long_id).groupBy("request_id", "item_id")
+        .agg(F.bool_and(plain).alias("_all"), F.bool_or(plain).alias("_twin"))
+        .where("_twin AND NOT _all").drop("_all")
+    )
     settled = items.where(F.coalesce(~long_id | plain, F.lit(True))).withColumn(
         "new_id", F.when(long_id, short_id(F.col("item_id"))).otherwise(F.col("item_id")))
     open_items = items.where(long_id & ~plain).join(twins, ["request_id", "item_id"], "left")

@@ -2,7 +2,7 @@
 
 from datetime import date
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from usagelens.functions.labels import CLIENTS, FAMILIES, FAMILY_COLUMNS, UNKNOWN_MODEL, client_bucket, model_family
 from usagelens.functions.pricing import round_micros
@@ -65,13 +65,14 @@ def _newest_days(source: DataFrame, newest: int = 30):
 def day_user_matrix(source: DataFrame, newest: int = 30) -> DataFrame:
     """Day by user tokens, long form: newest days, users by their cost over the whole range."""
     cells = aggregate(source, ["day", "username"], ["io", "cost_micros"])
-    users = cells.groupBy("username").agg(_zero(F.sum("cost_micros")).alias("user_cost_micros"))
+    # A user has one cell per day, so this window stays small.
+    user_cost = _zero(F.sum("cost_micros").over(Window.partitionBy("username")))
     days = cells.groupBy("day").agg(_zero(F.sum("io")).alias("day_tok"),
                                     _zero(F.sum("cost_micros")).alias("day_cost_micros"))
     days = days.orderBy(F.desc("day")).limit(newest)
     return (
-        cells.join(F.broadcast(days), "day")  # at most ``newest`` rows
-        .join(users, "username")
+        cells.withColumn("user_cost_micros", user_cost)
+        .join(F.broadcast(days), "day")  # at most ``newest`` rows
         .select("day", "username", _zero(F.col("io")).alias("tok"), "day_tok", "day_cost_micros",
                 "user_cost_micros")
         .orderBy(F.desc("day"), F.desc("user_cost_micros"), "username")
@@ -97,21 +98,31 @@ def series_user_day(source: DataFrame, scoped: bool = False, newest: int = 30) -
     days off the axis keep a row of zeros.
     """
     days = _newest_days(source, newest)
-    cells = aggregate(source, ["day", "username"], ["io", "cost_micros"])
+    cells = _rounded_cells(source, ["day", "username"])
     if scoped:
         cells = cells.where(F.lit(False))
-    return _series(cells, ["username"], days, "user_cost_micros")
-
-
-def _series(cells: DataFrame, keys, days, total: str | None = None) -> DataFrame:
-    rounded = round_micros(_zero(F.col("cost_micros")), 4)
-    kept = F.when(F.array_contains(days, F.col("day")), F.struct(
-        F.col("day"), F.struct(_zero(F.col("io")).alias("tok"), rounded.alias("cost_micros")).alias("cell")))
-    sums = [F.map_from_entries(F.collect_list(kept)).alias("_cells")]  # one entry per axis day
-    if total:
-        sums.append(F.sum(rounded).alias(total))
-    series = cells.groupBy(*keys).agg(*sums)
-    extra = [total] if total else []
+    return _series(cells, ["username"], days, user_cost_micros=F.sum("cost_micros"))
+
+
+def _rounded_cells(source: DataFrame, keys) -> DataFrame:
+    cells = aggregate(source, keys, ["io", "cost_micros"])
+    return cells.select(*keys, _zero(F.col("io")).alias("tok"),
+                        round_micros(_zero(F.col("cost_micros")), 4).alias("cost_micros"))
+
+
+def _series(cells: DataFrame, keys, days, **sums) -> DataFrame:
+    """Zero-filled series over the day axis, with further aggregates of each series.
+
+    ``cells`` has a row per key and day, so a map holds at most one entry per
+    axis day, and every key is written out once per axis day.
+    """
+    on_axis = F.array_contains(days, F.col("day"))
+    cell = F.struct(F.col("tok"), F.col("cost_micros"))
+    flagged = cells.withColumn("_kept", F.when(on_axis, F.struct("day", cell.alias("cell"))))
+    series = flagged.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list("_kept")).alias("_cells"),
+        *[value.alias(name) for name, value in sums.items()])
+    extra = list(sums)
     axis = series.select(*keys, *extra, "_cells", F.explode(days).alias("day"))
     cell = F.try_element_at(F.col("_cells"), F.col("day"))
     return axis.select(*keys, "day",
@@ -121,11 +132,12 @@ def _series(cells: DataFrame, keys, days, total: str | None = None) -> DataFrame
 
 def _nested_series(source: DataFrame, keys, label, newest: int) -> DataFrame:
     days = _newest_days(source, newest)
-    cells = aggregate(source.withColumn("model", label), ["day", "username", "model"], ["io", "cost_micros"])
-    series = _series(cells, keys, days)
-    by_series = series.groupBy(*keys).agg(
-        (F.max("tok") > 0).alias("any_tok"), (F.max("cost_micros") > 0).alias("any_cost"))
-    return series.join(by_series, keys)
+    cells = _rounded_cells(source.withColumn("model", label), ["day", "username", "model"])
+
+    def drawn(value):
+        return F.coalesce(F.max(F.when(F.col("_kept").isNotNull(), F.col(value))) > 0, F.lit(False))
+
+    return _series(cells, keys, days, any_tok=drawn("tok"), any_cost=drawn("cost_micros"))
 
 
 def series_user_model_day(source: DataFrame, newest: int = 30) -> DataFrame:

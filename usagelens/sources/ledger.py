@@ -23,13 +23,13 @@ def read_usage(spark: SparkSession, path: str) -> DataFrame:
 def append_usage(rows: DataFrame, path: str) -> None:
     """Append to the ledger, one folder per day, files sorted by user and time.
 
-    Range partitioning on (day, username, ts_ms, id) splits a day or a user of
-    any size over several tasks and keeps the files' value ranges narrow.
+    Rebalancing gathers each day into files of a useful size: adaptive execution
+    splits a large day over several tasks and merges small ones.
     """
     (
         conform(rows)
-        .repartitionByRange("day", "username", "ts_ms", "id")
-        .sortWithinPartitions("day", "username", "ts_ms", "id")
+        .hint("rebalance", "day")
+        .sortWithinPartitions("day", "username", "ts_ms")
         .write.mode("append").partitionBy("day").parquet(path)
     )
 

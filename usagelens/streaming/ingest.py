@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from usagelens.functions.clock import local_day
 from usagelens.functions.pricing import PriceBook, attach_cost
-from usagelens.functions.tokens import attach_usage_counts, member, parse_document
+from usagelens.functions.tokens import attach_document, attach_usage_counts, member
 from usagelens.operators.extract import ERROR_CHARS
 from usagelens.schema import TOKEN_COLUMNS, USAGE
 from usagelens.sources.ledger import conform
@@ -21,7 +21,7 @@ def ingest(responses: DataFrame, book: PriceBook, tz: str, lateness: str = "1 ho
     timed = responses.withColumn("finished_at", F.timestamp_millis("ts_ms")).withWatermark("finished_at", lateness)
     once = timed.dropDuplicatesWithinWatermark(["request_id"])
     success = F.col("status").between(200, 299)
-    parsed = once.withColumn("_doc", parse_document("body")).withColumn(
+    parsed = attach_document(once, "body", "_doc").withColumn(
         "usage", F.when(success, member(F.col("_doc"), "$.usage")))
     rows = attach_usage_counts(parsed).withColumns({
         "id": F.col("request_id"),

@@ -526,3 +526,9 @@ ORACLE = {
       FROM usage, range(6) g(k) GROUP BY ALL"""),
     "stream_admission": replayed(SLOW),
 }
+
+# The same reports through the stored cube.
+ORACLE["dashboard_summary"] = ORACLE["summary"]
+ORACLE["dashboard_by_day_user"] = ORACLE["by_day_user"]
+ORACLE["dashboard_grid"] = ORACLE["grid_day_hour_user"]
+ORACLE["command_by_user"] = ORACLE["by_user_rolling"]

@@ -8,6 +8,7 @@ from usagelens.functions.pricing import attach_cost, attach_prices, default_pric
 from usagelens.operators import account_quota, admission, auth, catalog, extract, quota, reprice, surrogate
 from usagelens.operators import users as user_ops
 from usagelens.plans import filters, ranking, reports, reshape
+from usagelens.plans.dashboard import command_report, dashboard
 from usagelens.plans.cube import usage_cube
 from usagelens.runtime import work_folder
 from usagelens.schema import TOKEN_COLUMNS, USAGE
@@ -171,6 +172,14 @@ def day_user_wide(spark, sf_dir):
     return reshape.day_user_wide(_month(spark, sf_dir), ["legacy", "u2", "u3"])
 
 
+def _dashboard(name):
+    return lambda spark, sf_dir: dashboard(t.ledger(spark, sf_dir), AS_OF, TZ, "30")[name]
+
+
+def _command(name):
+    return lambda spark, sf_dir: command_report(t.ledger(spark, sf_dir), NOW_MS, TZ, 2.5)[name]
+
+
 # --- re-pricing ------------------------------------------------------------
 
 def _stale(spark, sf_dir):
@@ -401,6 +410,10 @@ QUERIES = {
     "model_share_tokens": model_share("tok"),
     "rank_users": rank_users("cost_micros"),
     "rank_users_tokens": rank_users("tok"),
+    "dashboard_summary": _dashboard("summary"),
+    "dashboard_by_day_user": _dashboard("by_day_user"),
+    "dashboard_grid": _dashboard("grid_day_hour_user"),
+    "command_by_user": _command("by_user"),
     "rpm_trailing": rpm_trailing,
     "rpm_trailing_dense": rpm_trailing_dense,
     "reprice_preview": lambda s, d: reprice.reprice_preview(_stale(s, d), BOOK),
