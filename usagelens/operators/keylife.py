@@ -1,25 +1,23 @@
 """Lives of keys that were added more than once, used inside tasks on sorted rows."""
 
 
-def live_adds(batches):
-    """The add each key lives from at the end; rows sorted by (api_key, seq).
+def lives(batches):
+    """Adds that brought their key to life; rows sorted by (api_key, seq).
 
-    ``ends`` is the next deletion of the add's username, missing if there is
-    none.  An add while the key is alive has no effect.
+    ``ends`` is the next deletion that hits the add, missing if there is none.
+    An add while the key is alive has no effect.
     """
     import pandas as pd
 
-    key, start, end = None, None, None
+    key = end = None
     for batch in batches:
         out = []
-        for api_key, seq, ends in zip(batch["api_key"].tolist(), batch["seq"].tolist(), batch["ends"].tolist()):
-            ends = float("inf") if ends is None or ends != ends else ends
-            if api_key != key:
-                if key is not None and end == float("inf"):
-                    out.append((key, start))
-                key, start, end = api_key, seq, ends
-            elif seq > end:
-                start, end = seq, ends
-        yield pd.DataFrame(out, columns=["api_key", "seq"])
-    if key is not None and end == float("inf"):
-        yield pd.DataFrame([(key, start)], columns=["api_key", "seq"])
+        columns = [batch[name].tolist() for name in ("api_key", "username", "seq", "ends")]
+        for api_key, username, seq, ends in zip(*columns):
+            if api_key == key and seq <= end:
+                continue
+            open_ended = ends is None or ends != ends
+            key, end = api_key, float("inf") if open_ended else ends
+            out.append((api_key, username, seq, None if open_ended else int(ends)))
+        frame = pd.DataFrame(out, columns=["api_key", "username", "seq", "ends"])
+        yield frame.astype({"ends": "Int64"})

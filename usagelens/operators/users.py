@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from usagelens.operators import keylife
 from usagelens.operators.auth import auto_username
-from usagelens.operators.ordered import last_before
+from usagelens.operators.ordered import last_before, running_before
+from usagelens.runtime import materialize
 from usagelens.schema import USERS
 from usagelens.sources.ledger import conform
 
@@ -81,30 +82,80 @@ def _effective_adds(adds: DataFrame, changes: DataFrame) -> DataFrame:
         .where(F.col("seq") > F.coalesce("_name_end", before))
         .groupBy("api_key").agg(F.min("seq").alias("seq"))
     )
-    several = _survivors(fresh.where("_several").select("api_key", "username", "seq"),
-                         deletes.where(~_has_key()).select("username", "seq"))
+    several = key_lives(fresh.where("_several"), deletes).where("ends IS NULL").select("api_key", "seq")
     alive = single.unionByName(several)
     return fresh.drop("_several").join(alive, ["api_key", "seq"])
 
 
-def _survivors(adds: DataFrame, deletes: DataFrame) -> DataFrame:
-    """(api_key, seq) of the live add of keys that were added under several names.
-
-    Each add gets the next deletion of its name; then one ordered pass per key
-    holds nothing but the end of the current life.
-    """
-    events = adds.withColumn("_end", F.lit(None).cast("long")).unionByName(
-        deletes.withColumn("_end", F.col("seq")).withColumn("api_key", F.lit(None).cast("string")))
+def _next_delete(adds: DataFrame, deletes: DataFrame, key: str) -> DataFrame:
+    """(api_key, seq, ends): the first deletion after each add that names the same ``key``."""
+    marked = adds.select("api_key", "username", "seq").withColumn("_delete", F.lit(None).cast("long"))
+    other = ({"api_key", "username"} - {key}).pop()
+    events = marked.unionByName(deletes.select(
+        key, F.lit(None).cast("string").alias(other), "seq", F.col("seq").alias("_delete")))
     # The next deletion is the nearest one before in descending order.
     reverse = events.withColumn("_back", -F.col("seq"))
-    ended = last_before(reverse, ["username"], "_back", "_end", "ends", LOG_SLICE)
-    lives = ended.where(F.col("api_key").isNotNull()).select("api_key", "seq", "ends")
+    found = last_before(reverse, [key], "_back", "_delete", "ends", LOG_SLICE)
+    return found.where(F.col("_delete").isNull()).select("api_key", "username", "seq", "ends")
+
+
+def key_lives(adds: DataFrame, deletes: DataFrame) -> DataFrame:
+    """(api_key, username, seq, ends): every add that had an effect and the deletion that ended it.
+
+    The ordered pass per key holds nothing but the end of the current life.
+    """
+    by_name = _next_delete(adds, deletes.where(~_has_key()), "username")
+    by_key = _next_delete(adds, deletes.where(_has_key()), "api_key").withColumnRenamed("ends", "_key_ends")
+    ended = by_name.join(by_key.drop("username"), ["api_key", "seq"]).withColumn(
+        "ends", F.least("ends", "_key_ends")).select("api_key", "username", "seq", "ends")
     return (
-        lives.repartition("api_key").sortWithinPartitions("api_key", "seq")
-        .mapInPandas(keylife.live_adds, "api_key string, seq long")
+        ended.repartition("api_key").sortWithinPartitions("api_key", "seq")
+        .mapInPandas(keylife.lives, "api_key string, username string, seq long, ends long")
     )
 
 
+def change_counts(users: DataFrame, changes: DataFrame) -> DataFrame:
+    """(seq, op, affected): how many keys each change of the log touched.
+
+    A change of a key looks at the key's latest life before it.  A change of a
+    name counts the lives of that name that have begun less those that ended.
+    """
+    deletes, adds = changes.where(F.col("op") == "delete"), changes.where(F.col("op") == "add")
+    lives = materialize(key_lives(_adds(users, changes), deletes))
+    one, zero, none = F.lit(1).cast("long"), F.lit(0).cast("long"), F.lit(None).cast("long")
+
+    added = adds.select("seq", "op", "api_key").join(
+        lives.select("api_key", "seq", one.alias("_born")), ["api_key", "seq"], "left")
+    added = added.select("seq", "op", F.coalesce("_born", zero).alias("affected"))
+
+    writable = F.lit(False)
+    for name in UPDATABLE:
+        writable = writable | F.coalesce(F.map_contains_key("fields", name), F.lit(False))
+    effect = F.when((F.col("op") == "update") & ~writable, zero).otherwise(one)
+    others = changes.where(F.col("op") != "add").withColumn("_effect", effect)
+
+    keyed = others.where(_has_key()).select("api_key", "seq", "op", "_effect", none.alias("_ends"))
+    begun = lives.select("api_key", "seq", F.lit(None).cast("string").alias("op"), zero.alias("_effect"),
+                         F.coalesce("ends", F.lit(2**62)).alias("_ends"))
+    seen = last_before(keyed.unionByName(begun), ["api_key"], "seq", "_ends", "_until", LOG_SLICE)
+    keyed = seen.where(F.col("op").isNotNull()).select(
+        "seq", "op", F.when(F.col("_until") >= F.col("seq"), F.col("_effect")).otherwise(zero).alias("affected"))
+
+    named = others.where(~_has_key()).select(
+        "username", "seq", F.lit(0).alias("_after"), zero.alias("_step"), "op", "_effect")
+    steps = lives.select("username", F.inline(F.array(
+        F.struct("seq", F.lit(0).alias("_after"), one.alias("_step")),
+        # A deletion still sees the keys it ends.
+        F.struct(F.col("ends").alias("seq"), F.lit(1).alias("_after"), (-one).alias("_step")))))
+    steps = steps.where(F.col("seq").isNotNull()).withColumns(
+        {"op": F.lit(None).cast("string"), "_effect": zero})
+    counted = running_before(named.unionByName(steps), ["username"], ["seq", "_after"],
+                             {"_step": "_alive"}, LOG_SLICE)
+    named = counted.where(F.col("op").isNotNull()).select(
+        "seq", "op", (F.col("_alive") * F.col("_effect")).alias("affected"))
+    return added.unionByName(keyed).unionByName(named)
+
+
 def _latest(changes: DataFrame, key: str, prefix: str) -> DataFrame:
     """Last write per column for one way of addressing: {prefix}_{column} = (seq, value)."""
     written = []

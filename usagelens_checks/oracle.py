@@ -269,7 +269,8 @@ state AS (
   SELECT CAST(0 AS BIGINT) AS n, 'k' || x.user_id AS api_key, u.username, CAST(u.enabled AS INTEGER) AS enabled,
     CAST(u.created_at AS BIGINT) AS created_at, CAST(u.expires_at AS BIGINT) AS expires_at,
     CAST(u.daily_token_limit AS BIGINT) AS daily_token_limit,
-    CAST(u.daily_request_limit AS BIGINT) AS daily_request_limit, CAST(u.rpm_limit AS BIGINT) AS rpm_limit, u.note
+    CAST(u.daily_request_limit AS BIGINT) AS daily_request_limit, CAST(u.rpm_limit AS BIGINT) AS rpm_limit, u.note,
+    CAST(-1 AS BIGINT) AS seq, CAST('' AS VARCHAR) AS op, false AS touched
   FROM (SELECT DISTINCT user_id FROM events) x LEFT JOIN users u ON u.api_key = 'k' || x.user_id
   UNION ALL
   SELECT n, api_key,
@@ -280,12 +281,13 @@ state AS (
     CASE WHEN born OR gone THEN NULL WHEN written AND f = 0 THEN v WHEN written AND f = 1 THEN NULL ELSE daily_token_limit END,
     CASE WHEN born OR gone THEN NULL WHEN written AND f = 2 THEN v ELSE daily_request_limit END,
     CASE WHEN born OR gone THEN NULL WHEN written AND f = 0 THEN NULL WHEN written AND f = 3 THEN v ELSE rpm_limit END,
-    CASE WHEN born THEN event_type WHEN gone THEN NULL WHEN written AND f = 2 THEN props ELSE note END
+    CASE WHEN born THEN event_type WHEN gone THEN NULL WHEN written AND f = 2 THEN props ELSE note END,
+    seq, op, born OR hit
   FROM (
     SELECT *, op = 'add' AND username IS NULL AND api_key = k AS born, hit AND op = 'delete' AS gone,
       hit AND op = 'update' AS written
     FROM (
-      SELECT s.* EXCLUDE (n), c.n, c.seq, c.op, c.k, c.name, c.f, c.v, c.event_type, c.props,
+      SELECT s.* EXCLUDE (n, seq, op, touched), c.n, c.seq, c.op, c.k, c.name, c.f, c.v, c.event_type, c.props,
         c.op <> 'add' AND s.username IS NOT NULL
           AND CASE WHEN c.by_key THEN s.api_key = c.k ELSE s.username = c.name END AS hit
       FROM state s JOIN mine c ON c.own = s.api_key AND c.n = s.n + 1)))"""
@@ -486,8 +488,11 @@ ORACLE = {
       CAST(NULL AS BIGINT) AS daily_request_limit, CAST(NULL AS BIGINT) AS rpm_limit, 'auto (transition)' AS note
       FROM usage WHERE api_key NOT IN (SELECT api_key FROM users)""", USERS),
     "users_after_changes": f"""WITH RECURSIVE {USERS}, {CHANGES}
-      SELECT * EXCLUDE (n, top) FROM (SELECT *, max(n) OVER (PARTITION BY api_key) AS top FROM state)
+      SELECT * EXCLUDE (n, top, seq, op, touched) FROM (SELECT *, max(n) OVER (PARTITION BY api_key) AS top FROM state)
       WHERE n = top AND username IS NOT NULL""",
+    "user_change_counts": f"""WITH RECURSIVE {USERS}, {CHANGES}
+      SELECT c.seq, c.op, count(s.seq) AS affected FROM changes c
+      LEFT JOIN (SELECT seq FROM state WHERE touched) s ON s.seq = c.seq GROUP BY c.seq, c.op""",
     "auth_decision": auth(strict=False),
     "auth_decision_strict": auth(strict=True),
     "request_outcome": outcome(login=False),

@@ -261,6 +261,10 @@ def users_after_changes(spark, sf_dir):
     return user_ops.apply_user_changes(t.users(spark, sf_dir), t.changes_of(t.table(spark, sf_dir, "events")))
 
 
+def user_change_counts(spark, sf_dir):
+    return user_ops.change_counts(t.users(spark, sf_dir), t.changes_of(t.table(spark, sf_dir, "events")))
+
+
 def auth_decision(strict):
     def query(spark, sf_dir):
         rows = auth.auth_decision(t.requests(spark, sf_dir), t.users(spark, sf_dir), strict)
@@ -429,6 +433,7 @@ QUERIES = {
     "model_catalog_merged": model_catalog_merged,
     "auto_register": auto_register,
     "users_after_changes": users_after_changes,
+    "user_change_counts": user_change_counts,
     "auth_decision": auth_decision(strict=False),
     "auth_decision_strict": auth_decision(strict=True),
     "request_outcome": request_outcome(login_mode=False),
