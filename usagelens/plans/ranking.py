@@ -43,7 +43,7 @@ def global_rank(rows: DataFrame, value: str, target: str = "rank") -> DataFrame:
     """
     amount = F.coalesce(F.col(value), F.lit(0)).cast("long")
     banded = rows.withColumn("_v", amount).withColumn(
-        "_band", F.floor(F.log2(F.greatest(F.col("_v"), F.lit(0)) + 1) * 16).cast("int"))
+        "_band", F.floor(F.log2(F.greatest(F.col("_v"), F.lit(0)).cast("double") + 1) * 16).cast("int"))
     values = banded.groupBy("_band", "_v").agg(F.count(F.lit(1)).alias("_n"))
     higher = Window.orderBy(F.desc("_band")).rowsBetween(Window.unboundedPreceding, -1)
     bands = (
