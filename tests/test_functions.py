@@ -115,6 +115,11 @@ def test_epoch_of_wall_clock(spark):
     rows = spark.sql("SELECT timestamp_ntz'2024-01-01 08:00:00.1239' AS ts")
     row = rows.select(clock.epoch_ms("ts").alias("utc"), clock.epoch_ms("ts", "Asia/Shanghai").alias("cn")).first()
     assert (row.utc, row.cn) == (1704096000123, 1704067200123)
+    # This wall-clock time does not exist in the session zone, New York.
+    gap = spark.sql("SELECT timestamp_ntz'2024-03-10 02:30:00.5' AS ts").withColumn("ms", clock.epoch_ms("ts"))
+    found = gap.select("ms", clock.ntz_text(clock.local_timestamp("ms", "UTC")).alias("text"),
+                       clock.wall_clock_text(clock.wall_clock("ms", "UTC")).alias("wall")).first()
+    assert tuple(found) == (1710037800500, "2024-03-10 02:30:00", "2024-03-10 02:30:00")
 
 
 def test_expiry(spark):

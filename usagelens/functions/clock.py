@@ -1,4 +1,8 @@
-"""Local calendar parts of epoch milliseconds, independent of the session zone."""
+"""Local calendar parts of epoch milliseconds, independent of the session zone.
+
+Only functions that keep TIMESTAMP_NTZ as it is are used: ``date_format`` and
+``timestampdiff`` read it in the session zone and go wrong where its clock jumps.
+"""
 
 from datetime import date, datetime, timedelta
 from zoneinfo import ZoneInfo
@@ -18,11 +22,22 @@ def local_timestamp(ts_ms, tz: str) -> Column:
     return F.convert_timezone(F.lit("UTC"), F.lit(tz), utc)
 
 
+def _ntz_ms(value: Column) -> Column:
+    """Milliseconds of a TIMESTAMP_NTZ since 1970 on its own clock, cut to the millisecond."""
+    days = F.unix_date(value.cast("date")).cast("long")
+    seconds = days * 86_400 + F.hour(value) * 3_600 + F.minute(value) * 60
+    return seconds * 1_000 + F.floor(F.date_part(F.lit("SECOND"), value) * 1_000).cast("long")
+
+
 def epoch_ms(ts_ntz, tz: str = "UTC") -> Column:
     """Epoch milliseconds of a wall-clock TIMESTAMP_NTZ column read in ``tz``."""
-    utc = F.convert_timezone(F.lit(tz), F.lit("UTC"), ts_ntz)
-    micros = F.timestamp_diff("MICROSECOND", _epoch(), utc)
-    return F.call_function("div", micros, F.lit(1000))
+    value = F.col(ts_ntz) if isinstance(ts_ntz, str) else ts_ntz
+    return _ntz_ms(value if tz == "UTC" else F.convert_timezone(F.lit(tz), F.lit("UTC"), value))
+
+
+def ntz_text(value: Column) -> Column:
+    """``yyyy-MM-dd HH:mm:ss`` of a TIMESTAMP_NTZ."""
+    return F.substring(value.cast("string"), 1, 19)
 
 
 def wall_clock(ts_ms, tz: str) -> Column:
@@ -31,13 +46,12 @@ def wall_clock(ts_ms, tz: str) -> Column:
     Watermarks need TIMESTAMP, and time windows are aligned to UTC, so windows
     over this column are local days and hours.
     """
-    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", _epoch(), local_timestamp(ts_ms, tz)))
+    return F.timestamp_millis(_ntz_ms(local_timestamp(ts_ms, tz)))
 
 
-def wall_clock_text(instant, pattern: str) -> Column:
-    """Text of a ``wall_clock`` value, whatever the session zone is."""
-    shown = F.timestamp_add("MICROSECOND", F.unix_micros(instant), _epoch())
-    return F.date_format(shown, pattern)
+def wall_clock_text(instant) -> Column:
+    """``yyyy-MM-dd HH:mm:ss`` of a ``wall_clock`` value, whatever the session zone is."""
+    return ntz_text(F.timestamp_add("MICROSECOND", F.unix_micros(instant), _epoch()))
 
 
 def local_day(ts_ms, tz: str) -> Column:

@@ -91,18 +91,19 @@ def default_prices() -> PriceBook:
     return PriceBook.from_dollars(DEFAULT_PRICES)
 
 
-def _price_struct(values) -> Column:
-    return F.struct(*[F.lit(value).cast("long").alias(name) for name, value in zip(_PARTS, values)])
+def _price_struct(row) -> Column:
+    parts = [F.lit(value).cast("long").alias(name) for name, value in zip(_PARTS, row[1:])]
+    return F.struct(F.lit(row[0]).alias("prefix"), *parts)
 
 
 def price_expression(model, book: PriceBook) -> Column:
-    """Struct of the four prices of the longest matching prefix, NULL if none matches."""
+    """Struct of the longest matching prefix and its four prices, NULL if none matches."""
     name = F.col(model) if isinstance(model, str) else model
     chain = F
     for row in sorted(book.rows, key=lambda r: (-len(r[0]), r[0])):
-        chain = chain.when(name.startswith(row[0]), _price_struct(row[1:]))
+        chain = chain.when(name.startswith(row[0]), _price_struct(row))
     if chain is F:
-        return F.lit(None).cast("struct<in_milli:long,out_milli:long,cw_milli:long,cr_milli:long>")
+        return F.lit(None).cast("struct<prefix:string,in_milli:long,out_milli:long,cw_milli:long,cr_milli:long>")
     return chain
 
 
@@ -128,7 +129,7 @@ def attach_prices(rows: DataFrame, book: PriceBook, model: str = "model",
             .select("_model", cuts.alias("prefix"))
             .join(prices, "prefix")
             .groupBy("_model")
-            .agg(F.max_by(F.struct(*_PARTS), F.length("prefix")).alias("price"))
+            .agg(F.max_by(F.struct("prefix", *_PARTS), F.length("prefix")).alias("price"))
         )
         priced = rows.join(best, F.col(model) == F.col("_model"), "left").drop("_model")
     return priced.withColumn("priced", F.col("price").isNotNull())

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from usagelens.functions.clock import local_timestamp
+from usagelens.functions.clock import local_timestamp, ntz_text
 from usagelens.functions.tokens import attach_document, is_falsy, member
 
 # Texts of window labels and reset times.
@@ -50,7 +50,8 @@ def reset_text(value: Column, fallback_seconds: Column, tz: str) -> Column:
     seconds = F.when(absent, fallback_seconds).when(~is_text, number(value))
     from_number = local_timestamp(F.floor(seconds * 1000).cast("long"), tz)
     shown = F.when(~absent & is_text, local).otherwise(from_number)
-    return F.coalesce(F.concat(F.lit(RESET_AT), F.date_format(shown, "MM-dd HH:mm")), F.lit(RESET_UNKNOWN))
+    month_to_minute = F.substring(ntz_text(shown), 6, 11)
+    return F.coalesce(F.concat(F.lit(RESET_AT), month_to_minute), F.lit(RESET_UNKNOWN))
 
 
 def _either(value: Column, first: str, second: str) -> Column:

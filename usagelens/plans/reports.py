@@ -56,11 +56,14 @@ def by_day_user_model(source: DataFrame) -> DataFrame:
     return _cost_first(rows, "day", "username", ties=["model"])
 
 
-def today_hour_user(usage: DataFrame, as_of: date, tz: str, username: str | None = None) -> DataFrame:
-    """Hours of the report date; takes no other date range."""
+def today_cells(usage: DataFrame, as_of: date, tz: str, username: str | None = None) -> DataFrame:
+    """Hours of the report date by user, in no order; takes no other date range."""
     rows = in_scope(usage, username).where(F.col("day") == as_of.isoformat())
-    rows = aggregate(with_hour(rows, tz), ["hour", "username"], ["reqs", "io", "cost_micros"])
-    return _cost_first(rows, "hour", ties=["username"])
+    return aggregate(with_hour(rows, tz), ["hour", "username"], ["reqs", "io", "cost_micros"])
+
+
+def today_hour_user(usage: DataFrame, as_of: date, tz: str, username: str | None = None) -> DataFrame:
+    return _cost_first(today_cells(usage, as_of, tz, username), "hour", ties=["username"])
 
 
 def by_day_hour_user(source: DataFrame, tz: str) -> DataFrame:

@@ -202,7 +202,7 @@ def today_hour_cube(usage: DataFrame, as_of: date, tz: str) -> DataFrame:
     ``level`` is 0 for cells, 1 for hour totals, 2 for user totals, 3 for the
     grand total.  The cube expands the aggregated cells, not the ledger.
     """
-    cells = reports.today_hour_user(usage, as_of, tz)
+    cells = reports.today_cells(usage, as_of, tz)
     return (
         cells.cube("hour", "username")
         .agg(F.grouping_id().alias("level"), _zero(F.sum("reqs")).alias("reqs"),
@@ -213,7 +213,7 @@ def today_hour_cube(usage: DataFrame, as_of: date, tz: str) -> DataFrame:
 
 def today_hour_scoped(usage: DataFrame, as_of: date, tz: str, username: str) -> DataFrame:
     """Today's hours of one user."""
-    cells = reports.today_hour_user(usage, as_of, tz, username)
+    cells = reports.today_cells(usage, as_of, tz, username)
     return (
         cells.groupBy("hour")
         .agg(F.sum("reqs").alias("reqs"), _zero(F.sum("io")).alias("tok"),

@@ -23,7 +23,7 @@ def day_counters(usage: DataFrame, tz: str, lateness: str = LATENESS) -> DataFra
     grouped = rows.groupBy(F.window("local_ts", "1 day"), "username").agg(
         F.count(F.lit(1)).alias("requests"),
         F.coalesce(F.sum(_all_tokens()), F.lit(0)).alias("tokens"))
-    return grouped.select(wall_clock_text(F.col("window.start"), "yyyy-MM-dd").alias("day"),
+    return grouped.select(F.substring(wall_clock_text(F.col("window.start")), 1, 10).alias("day"),
                           "username", "requests", "tokens")
 
 
@@ -34,7 +34,7 @@ def window_totals(usage: DataFrame, tz: str, width: str = "1 hour", lateness: st
         F.count(F.lit(1)).alias("reqs"),
         F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("io"),
         F.sum("cost_micros").alias("cost_micros"))
-    start = wall_clock_text(F.col("window.start"), "yyyy-MM-dd HH:mm:ss").alias("window_start")
+    start = wall_clock_text(F.col("window.start")).alias("window_start")
     return grouped.select(start, "reqs", "io", "cost_micros")
 
 
@@ -43,5 +43,5 @@ def request_rate(requests: DataFrame, tz: str, width: str = "60 seconds", step:
     """Requests per user in sliding windows over start times: monitoring, not admission."""
     rows = _timed(requests, "start_ms", tz, lateness)
     grouped = rows.groupBy(F.window("local_ts", width, step), "username").agg(F.count(F.lit(1)).alias("reqs"))
-    start = wall_clock_text(F.col("window.start"), "yyyy-MM-dd HH:mm:ss").alias("window_start")
+    start = wall_clock_text(F.col("window.start")).alias("window_start")
     return grouped.select(start, "username", "reqs")

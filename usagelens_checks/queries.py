@@ -2,14 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from usagelens.functions.clock import expiry_day, expiry_ms, local_day, local_hour, local_timestamp
+from usagelens.functions.clock import expiry_day, expiry_ms, local_day, local_hour, local_timestamp, ntz_text
 from usagelens.functions.labels import client_class, model_family, user_tag
 from usagelens.functions.pricing import attach_cost, attach_prices, default_prices
 from usagelens.operators import account_quota, admission, auth, catalog, extract, quota, reprice, surrogate
 from usagelens.operators import users as user_ops
 from usagelens.plans import filters, ranking, reports, reshape
 from usagelens.plans.dashboard import command_report, dashboard
-from usagelens.plans.cube import usage_cube
+from usagelens.plans.cube import stored_cube, usage_cube
 from usagelens.runtime import work_folder
 from usagelens.schema import TOKEN_COLUMNS, USAGE
 from usagelens.sources.ledger import append_usage, conform, list_users, read_usage
@@ -28,6 +28,11 @@ def _month(spark, sf_dir):
     return filters.select_usage(t.ledger(spark, sf_dir), AS_OF, "30")
 
 
+def _month_cube(spark, sf_dir):
+    """The month's cube, stored: for shapes that read their input more than once."""
+    return stored_cube(_month(spark, sf_dir), TZ)
+
+
 def _report(function, *args, **kwargs):
     return lambda spark, sf_dir: function(_month(spark, sf_dir), *args, **kwargs)
 
@@ -55,11 +60,8 @@ def schema_evolve(spark, sf_dir):
 def price_table(spark, sf_dir):
     """The price book with the number of ledger rows each prefix prices."""
     rows = attach_prices(t.ledger(spark, sf_dir), BOOK).where("priced")
-    book = BOOK.dataframe(spark)
-    models = rows.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
-    hits = models.join(F.broadcast(book), F.col("model").startswith(F.col("prefix")))
-    counts = hits.groupBy("prefix").agg(F.sum("n").alias("priced_rows"))
-    return book.join(counts, "prefix", "left").withColumn("priced_rows", F.coalesce("priced_rows", F.lit(0)))
+    counts = rows.groupBy(F.col("price.prefix").alias("prefix")).agg(F.count(F.lit(1)).alias("priced_rows"))
+    return BOOK.dataframe(spark).join(counts, "prefix", "left").withColumn("priced_rows", F.coalesce("priced_rows", F.lit(0)))
 
 
 # --- enrichment ------------------------------------------------------------
@@ -101,7 +103,7 @@ def user_tags(spark, sf_dir):
 
 def local_time_parts(spark, sf_dir):
     rows = t.ledger(spark, sf_dir)
-    stamp = F.date_format(local_timestamp("ts_ms", TZ), "yyyy-MM-dd HH:mm:ss")
+    stamp = ntz_text(local_timestamp("ts_ms", TZ))
     return rows.select("id", local_day("ts_ms", TZ).alias("local_day"),
                        local_hour("ts_ms", TZ).alias("local_hour"), stamp.alias("local_time"))
 
@@ -137,17 +139,17 @@ def active_families(spark, sf_dir):
 
 
 def chart_users(spark, sf_dir):
-    return ranking.chart_totals(reports.by_user(_month(spark, sf_dir)), "username")
+    return ranking.chart_totals(reports.by_user(_month_cube(spark, sf_dir)), "username")
 
 
 def share_of_max(spark, sf_dir):
     return ranking.share_of_max(
-        reports.by_user(_month(spark, sf_dir)).select("username", "cost_micros"), "cost_micros")
+        reports.by_user(_month_cube(spark, sf_dir)).select("username", "cost_micros"), "cost_micros")
 
 
 def model_share(metric):
     def query(spark, sf_dir):
-        rows = ranking.chart_totals(reports.by_model(_month(spark, sf_dir)), "model")
+        rows = ranking.chart_totals(reports.by_model(_month_cube(spark, sf_dir)), "model")
         return ranking.share_of_total(rows, metric).select("model", metric, "share")
     return query
 
