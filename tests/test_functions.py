@@ -108,7 +108,20 @@ def test_local_time_over_a_clock_change(spark):
     by_ts = {row.ts_ms: (row.h, row.d) for row in found}
     assert [by_ts[value][0] for value in instants[:2]] == [1, 3]
     assert [by_ts[value][1] for value in instants[2:]] == ["2023-12-31", "2024-01-01"]
-    assert clock.local_day_start_ms(date(2024, 1, 1), "Asia/Shanghai") == 1704038400000
+    for zone in ("Asia/Shanghai", "+08:00"):
+        assert clock.local_day_start_ms(date(2024, 1, 1), zone) == 1704038400000
+
+
+def test_fixed_offsets_equal_named_zones(spark):
+    instants = [-1, 0, 1, -86400001, 1704038399999, 1704038400000, 1710053999000, 1710054000000, 1719835199999]
+    rows = spark.createDataFrame([(value,) for value in instants], "ts_ms long")
+    for named, fixed in (("Asia/Kolkata", "+05:30"), ("Etc/GMT+7", "-07:00"), ("Etc/UTC", "UTC")):
+        found = rows.select(*[
+            function("ts_ms", zone).alias(f"{function.__name__}_{i}")
+            for i, zone in enumerate((named, fixed))
+            for function in (clock.local_timestamp, clock.local_day, clock.local_hour)]).collect()
+        for row in found:
+            assert tuple(row)[:3] == tuple(row)[3:]
 
 
 def test_epoch_of_wall_clock(spark):

@@ -9,6 +9,10 @@ FAMILY_COLUMNS = {"GPT": "gpt", "Codex": "codex", "其他": "other"}
 TAG_TRANSITION, TAG_TEST = "过渡", "测试"
 UNKNOWN_MODEL = "未知模型"
 
+# Marks in a lower-cased User-Agent.
+DESKTOP_MARKS = r"desktop|codex\.app"
+CLI_MARKS = "codex|openai-python|openai-node"
+
 
 def _column(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
@@ -16,23 +20,16 @@ def _column(value) -> Column:
 
 def client_class(user_agent) -> Column:
     """Client class of a User-Agent; the desktop test comes first."""
-    agent = F.lower(F.coalesce(_column(user_agent), F.lit("")))
-
-    def has(*needles):
-        test = F.lit(False)
-        for needle in needles:
-            test = test | agent.contains(needle)
-        return test
-
+    agent = F.lower(_column(user_agent))
     return (
-        F.when(has("desktop", "codex.app"), "desktop")
-        .when(has("codex", "openai-python", "openai-node"), "cli")
+        F.when(agent.rlike(DESKTOP_MARKS), "desktop")
+        .when(agent.rlike(CLI_MARKS), "cli")
         .otherwise("other")
     )
 
 
 def model_family(model) -> Column:
-    name = F.lower(F.coalesce(_column(model), F.lit("")))
+    name = F.lower(_column(model))
     gpt, codex, other = FAMILIES
     return F.when(name.contains("codex"), codex).when(name.contains("gpt"), gpt).otherwise(other)
 

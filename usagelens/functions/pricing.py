@@ -135,39 +135,36 @@ def attach_prices(rows: DataFrame, book: PriceBook, model: str = "model",
     return priced.withColumn("priced", F.col("price").isNotNull())
 
 
-def cost_micros(input_tokens, output_tokens, cache_write, cache_read, price="price") -> Column:
-    """Cost in micro-dollars, half a micro-dollar rounded up.
+def _count(name: str) -> Column:
+    """A count is zero where it is NULL."""
+    return F.coalesce(F.col(name).cast("long"), F.lit(0).cast("long"))
 
-    Cached input is part of the input and priced apart.  Negative output or
-    cache-write counts are data errors and give NULL.
-    """
-    zero = F.lit(0).cast("long")
-
-    def count(column):
-        column = F.col(column) if isinstance(column, str) else column
-        return F.coalesce(column.cast("long"), zero)
 
-    def unit(part):
-        return F.coalesce(F.col(f"{price}.{part}"), zero)
+def attach_cost(rows: DataFrame, book: PriceBook, target: str = "cost_micros") -> DataFrame:
+    """Price usage rows: adds ``target`` and ``priced``.
 
-    whole = F.greatest(count(input_tokens), zero)
-    cached = F.least(F.greatest(count(cache_read), zero), whole)
-    out, write = count(output_tokens), count(cache_write)
+    The cost is in micro-dollars, half a micro-dollar rounded up.  Cached input
+    is part of the input and priced apart.  Negative output or cache-write counts
+    are data errors and give a NULL cost.  A row without a price costs nothing.
+    """
+    zero = F.lit(0).cast("long")
+    whole = F.greatest(_count("input_tokens"), zero)
+    priced = attach_prices(rows, book).withColumns({
+        "_whole": whole,
+        "_cached": F.least(F.greatest(_count("cache_read_tokens"), zero), whole),
+        "_out": _count("output_tokens"),
+        "_write": _count("cache_creation_tokens"),
+    })
+    price = F.col("price")
     nanos = (
-        (whole - cached) * unit("in_milli")
-        + out * unit("out_milli")
-        + write * unit("cw_milli")
-        + cached * unit("cr_milli")
+        (F.col("_whole") - F.col("_cached")) * price["in_milli"]
+        + F.col("_out") * price["out_milli"]
+        + F.col("_write") * price["cw_milli"]
+        + F.col("_cached") * price["cr_milli"]
     )
-    micros = F.call_function("div", nanos + 500, F.lit(1000).cast("long"))
-    return F.when((out >= 0) & (write >= 0), micros)
-
-
-def attach_cost(rows: DataFrame, book: PriceBook, target: str = "cost_micros") -> DataFrame:
-    """Price usage rows: adds ``target`` and ``priced``."""
-    priced = attach_prices(rows, book)
-    cost = cost_micros("input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens")
-    return priced.withColumn(target, cost).drop("price")
+    micros = F.call_function("div", F.coalesce(nanos, zero) + 500, F.lit(1000).cast("long"))
+    sound = (F.col("_out") >= 0) & (F.col("_write") >= 0)
+    return priced.withColumn(target, F.when(sound, micros)).drop("price", "_whole", "_cached", "_out", "_write")
 
 
 def round_micros(micros, digits: int) -> Column:

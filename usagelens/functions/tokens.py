@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 # Line breaks of a text stream: CR, LF, VT, FF, FS, GS, RS, NEL, LS and PS.
 LINE_BREAK = "[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 
-_EMPTY = ["null", "false", "0", '""', "[]", "{}"]
-_ZERO = r"^-?0(\.0+)?([eE][+-]?[0-9]+)?$"
+_FALSY = r'^(null|false|""|\[\]|\{\}|-?0(\.0+)?([eE][+-]?[0-9]+)?)$'
 _NUMBER = r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
 _TEXT_INTEGER = r'^"\s*[+-]?[0-9]+(_[0-9]+)*\s*"$'
 
@@ -41,7 +40,7 @@ def json_text(value: Column, path: str) -> Column:
 
 def is_falsy(text: Column) -> Column:
     """Absent, null, false, zero or empty, told from the JSON text."""
-    return F.coalesce(text.isin(_EMPTY) | text.rlike(_ZERO), F.lit(True))
+    return F.coalesce(text.rlike(_FALSY), F.lit(True))
 
 
 def is_object(text: Column) -> Column:
@@ -51,9 +50,9 @@ def is_object(text: Column) -> Column:
 def token_count(text: Column) -> Column:
     """Count of one JSON text: zero when falsy, cut towards zero, NULL when not a count."""
     return (
-        F.when(is_falsy(text), F.lit(0).cast("long"))
+        F.when(text.rlike("^-?[0-9]+$"), text.try_cast("long"))
+        .when(is_falsy(text), F.lit(0).cast("long"))
         .when(text == "true", F.lit(1).cast("long"))
-        .when(text.rlike("^-?[0-9]+$"), text.try_cast("long"))
         .when(text.rlike(_NUMBER), text.try_cast("double").try_cast("long"))
         .when(text.rlike(_TEXT_INTEGER), F.regexp_replace(text, r'["_\s]', "").try_cast("long"))
     )
@@ -79,11 +78,12 @@ def attach_usage_counts(rows: DataFrame, usage: str = "usage") -> DataFrame:
         "_cached_top": json_text(value, "$.cached_tokens"),
     })
     use_first = ~is_falsy(F.col("_first"))
-    inner = F.when(use_first, F.col("_cached_first")).otherwise(F.col("_cached_second"))
     chosen = texts.withColumns({
         "_details": F.when(use_first, F.col("_first")).otherwise(F.col("_second")),
-        "_cached": F.when(~is_falsy(inner), inner).otherwise(F.col("_cached_top")),
+        "_inner": F.when(use_first, F.col("_cached_first")).otherwise(F.col("_cached_second")),
     })
+    inner = F.col("_inner")
+    chosen = chosen.withColumn("_cached", F.when(~is_falsy(inner), inner).otherwise(F.col("_cached_top")))
     counted = chosen.withColumns({
         "_n_in": token_count(F.col("_in")),
         "_n_out": token_count(F.col("_out")),
@@ -95,11 +95,11 @@ def attach_usage_counts(rows: DataFrame, usage: str = "usage") -> DataFrame:
         | (~is_falsy(details) & ~is_object(details))
         | F.col("_n_in").isNull() | F.col("_n_out").isNull() | F.col("_n_cached").isNull()
     )
-    flagged = counted.withColumn("bad_usage", bad)
-    nothing = F.col("bad_usage") | is_falsy(F.col("_usage"))
+    flagged = counted.withColumn("bad_usage", bad).withColumn(
+        "_void", F.col("bad_usage") | is_falsy(F.col("_usage")))
 
     def clean(name):
-        return F.when(nothing, F.lit(0).cast("long")).otherwise(F.col(name))
+        return F.when(F.col("_void"), F.lit(0).cast("long")).otherwise(F.col(name))
 
     return flagged.withColumns({
         "input_tokens": clean("_n_in"),
@@ -107,4 +107,4 @@ def attach_usage_counts(rows: DataFrame, usage: str = "usage") -> DataFrame:
         "cache_creation_tokens": F.lit(0).cast("long"),
         "cache_read_tokens": clean("_n_cached"),
     }).drop("_usage", "_in", "_out", "_first", "_second", "_cached_first", "_cached_second",
-            "_cached_top", "_details", "_cached", "_n_in", "_n_out", "_n_cached")
+            "_cached_top", "_details", "_inner", "_cached", "_void", "_n_in", "_n_out", "_n_cached")

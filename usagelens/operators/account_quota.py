@@ -18,11 +18,9 @@ _OFFSET = r"[T ].*(Z|[+-][0-9]{2}:[0-9]{2})$"
 
 def number(value: Column) -> Column:
     """Number of a VARIANT (a number, a boolean or numeric text), else NULL."""
-    kind = F.schema_of_variant(value)
-    scalar = (kind != "VOID") & ~kind.startswith("ARRAY") & ~kind.startswith("OBJECT")
-    text = F.try_variant_get(value, "$", "string")
-    return F.when(kind == "BOOLEAN", F.when(text == "true", 1.0).otherwise(0.0)).when(
-        scalar, text.try_cast("double"))
+    text = F.to_json(value)
+    return F.when(text == "true", 1.0).when(text == "false", 0.0).otherwise(
+        F.btrim(text, F.lit('"')).try_cast("double"))
 
 
 def window_label(seconds: Column) -> Column:
@@ -85,19 +83,22 @@ def quota_windows(snapshots: DataFrame, tz: str) -> DataFrame:
         member(F.col("entry.limit"), "$.secondary_window"))).alias("half", "window"))
     window = F.col("window")
     percent = member(window, "$.used_percent")
-    used = F.when(percent.isNull(), F.lit(0.0)).otherwise(number(percent))
-    after = number(member(window, "$.reset_after_seconds"))
-    named_rows = windows.where(F.schema_of_variant(window).startswith("OBJECT<")).select(
-        "snapshot_id", (F.col("group") * 2 + F.col("half")).alias("_order"), "name",
-        F.least(F.greatest(used, F.lit(0.0)), F.lit(100.0)).alias("used_percent"),
-        window_label(number(member(window, "$.limit_window_seconds"))).alias("window_label"),
-        reset_text(member(window, "$.reset_at"), F.col("fetched_at") / 1000 + after, tz).alias("reset"),
-        used.isNotNull().alias("_usable")).where("_usable")
+    fields = windows.where(F.schema_of_variant(window).startswith("OBJECT<")).select(
+        "snapshot_id", (F.col("group") * 2 + F.col("half")).alias("position"), "name",
+        F.when(percent.isNull(), F.lit(0.0)).otherwise(number(percent)).alias("used"),
+        number(member(window, "$.limit_window_seconds")).alias("seconds"),
+        member(window, "$.reset_at").alias("reset_at"),
+        (F.col("fetched_at") / 1000 + number(member(window, "$.reset_after_seconds"))).alias("fallback"))
+    shown = fields.where("used IS NOT NULL").select(
+        "snapshot_id", "position", "name",
+        F.least(F.greatest("used", F.lit(0.0)), F.lit(100.0)).alias("used_percent"),
+        window_label(F.col("seconds")).alias("window_label"),
+        reset_text(F.col("reset_at"), F.col("fallback"), tz).alias("reset"))
+    used_percent = F.col("used_percent")
     label = F.when(F.col("name") == "", F.col("window_label")).otherwise(
         F.concat("name", F.lit(NAME_SEPARATOR), "window_label"))
-    used_percent = F.col("used_percent")
-    return named_rows.select(
-        "snapshot_id", F.col("_order").alias("position"), label.alias("label"), "used_percent",
+    return shown.select(
+        "snapshot_id", "position", label.alias("label"), "used_percent",
         (100.0 - used_percent).alias("remaining_percent"),
         F.when(used_percent >= 80, "high").when(used_percent >= 50, "medium").otherwise("low").alias("severity"),
         "reset")

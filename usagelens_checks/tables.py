@@ -14,7 +14,7 @@ from usagelens.functions.pricing import attach_cost, default_prices
 from usagelens.schema import USAGE
 from usagelens.sources.ledger import conform
 
-TZ = "Asia/Shanghai"
+TZ = "+08:00"
 AS_OF = date(2024, 1, 31)
 NOW_MS = 1_706_673_600_000
 DENSE_BASE = 1_704_038_400_000
@@ -34,16 +34,14 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _pick(values, index):
-    chain = F.when(index == 0, F.lit(values[0]))
-    for i, value in enumerate(values[1:], 1):
-        chain = chain.when(index == i, F.lit(value))
-    return chain
+    return F.get(F.array(*[F.lit(value).cast("string") for value in values]), index.cast("int"))
 
 
 def ledger_of(events: DataFrame) -> DataFrame:
     """Usage rows of the event table; see FIXTURES for the rules."""
     event = F.col("event_id")
     value = F.expr("cast(round(value * 100) as bigint)")
+    agent = F.col("_agent")
     failed = F.col("event_type") == "error"
     zero = F.lit(0).cast("long")
 
@@ -51,7 +49,7 @@ def ledger_of(events: DataFrame) -> DataFrame:
         return F.when(failed, zero).otherwise(column)
 
     name = F.col("user_id") % 37
-    rows = events.withColumn("_v", value).select(
+    rows = events.withColumns({"_v": value, "_agent": _pick(AGENTS, event % 6)}).select(
         event.alias("id"),
         epoch_ms("ts").alias("ts_ms"),
         F.when(name == 0, "legacy").when(name == 1, "auto-000001")
@@ -66,7 +64,7 @@ def ledger_of(events: DataFrame) -> DataFrame:
         tokens(F.expr("_v * (event_id % 6) div 4")).alias("cache_read_tokens"),
         (50 + (event * 37) % 4000).alias("latency_ms"),
         F.lit("/v1/responses").alias("path"),
-        F.when(event % 11 == 0, F.lit(None)).otherwise(client_class(_pick(AGENTS, event % 6))).alias("client"),
+        F.when(event % 11 == 0, F.lit(None)).otherwise(client_class(agent)).alias("client"),
     ).withColumn("day", local_day("ts_ms", TZ))
     return conform(attach_cost(rows, default_prices()), USAGE)
 
