@@ -96,7 +96,7 @@ def test_random_cuts_and_slices(spark):
         cuts = sorted(rng.randint(0, len(text)) for _ in range(rng.randint(0, 15)))
         streams.append([text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])])
         expected.append(last_usage(text))
-    for options in ({"chunks_per_slice": 1}, {"chunks_per_slice": 3}, {"stage": False}):
+    for options in ({"chunks_per_slice": 1}, {"chunks_per_slice": 3}, {}):
         assert [row[0] for row in sse_usage(spark, streams, **options)] == expected
 
 

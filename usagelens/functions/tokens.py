@@ -8,7 +8,7 @@ null, zero or empty.
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Line breaks of a text stream: CR, LF, VT, FF, FS, GS, RS, NEL, LS and PS.
-LINE_BREAK = "[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
+LINE_BREAK = r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 _FALSY = r'^(null|false|""|\[\]|\{\}|-?0(\.0+)?([eE][+-]?[0-9]+)?)$'
 _NUMBER = r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"

@@ -14,7 +14,14 @@ from usagelens.sources.ledger import conform
 # Characters stripped around a stream payload besides the line breaks.
 _BLANKS = " \t\x1f\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
-CHUNKS_PER_SLICE = 1024
+# Data lines that can hold a usage or an error: an object that names a usage,
+# maybe with escapes, or anything that is no object, but not the end mark.
+RELEVANT = (rf"(?s)^[{_BLANKS}]*data:[{_BLANKS}]*(?:(?!\[DONE\])[^{{{_BLANKS}]"
+            rf"|\{{.*(?:usage|\\u))")
+
+# Chunks that are joined in one group, and slices in one window.
+CHUNKS_PER_SLICE = 2048
+SLICES_PER_RUN = 1024
 _TAIL = 2**31 - 1
 ERROR_CHARS = 200
 
@@ -36,80 +43,98 @@ def extract_json_usage(raw: DataFrame) -> DataFrame:
 
 
 def _payload(line):
-    """Payload of a data line, NULL for any other line."""
-    text = F.btrim(line, F.lit(_BLANKS))
-    return F.when(text.startswith("data:"), F.btrim(F.substring(text, 6, _TAIL), F.lit(_BLANKS)))
+    """Payload of a data line."""
+    return F.btrim(F.substring(F.btrim(line, F.lit(_BLANKS)), 6, _TAIL), F.lit(_BLANKS))
 
 
-def _matters(payload):
-    """Payloads that can hold a usage or an error; a key may be written with escapes."""
-    return (payload != "") & (payload != "[DONE]") & (
-        ~payload.startswith("{") | payload.contains("usage") | payload.contains("\\u"))
+def _attach_pieces(rows: DataFrame, line_break: str) -> DataFrame:
+    """Cut ``text`` to ``pieces``: the first piece, the relevant whole lines and the last piece.
+
+    There is only one piece if the text has no line break.
+    """
+    split = rows.withColumn("_all", F.split("text", line_break, -1)).drop("text")
+    inner = F.slice("_all", 2, F.greatest(F.size("_all") - 2, F.lit(0)))
+    kept = F.filter(inner, lambda line: line.rlike(RELEVANT))
+    last = F.slice("_all", -1, F.when(F.size("_all") > 1, 1).otherwise(0))
+    return split.withColumn("pieces", F.concat(F.slice("_all", 1, 1), kept, last)).drop("_all")
 
 
-def compact_chunks(chunks: DataFrame) -> DataFrame:
-    """What is left of each chunk: its first and last piece, and the payloads that matter.
+def squeezed_slices(chunks: DataFrame, chunks_per_slice: int = CHUNKS_PER_SLICE) -> DataFrame:
+    """(request_id, slice, pieces): what matters of each run of ``chunks_per_slice`` chunks.
 
-    Columns: request_id, seq, head, tail (NULL without a line break), opens (seq
-    if a line opens in the chunk) and inner, an array of (idx, payload).
+    Chunks are squeezed before the shuffle, slices after it.  A group is one
+    slice, so its size is bounded however long the request is.
     """
-    pieces = chunks.select("request_id", F.col("seq").cast("long").alias("seq"),
-                           F.split(F.coalesce("chunk", F.lit("")), LINE_BREAK, -1).alias("pieces"))
-    breaks = F.size("pieces") > 1
-    whole_lines = F.slice("pieces", 2, F.greatest(F.size("pieces") - 2, F.lit(0)))
-    payloads = F.transform(whole_lines, lambda line, i: F.struct(i.alias("idx"), _payload(line).alias("payload")))
-    inner = F.filter(payloads, lambda x: F.coalesce(_matters(x["payload"]), F.lit(False)))
-    return pieces.select("request_id", "seq", F.element_at("pieces", 1).alias("head"),
-                         F.when(breaks, F.element_at("pieces", -1)).alias("tail"),
-                         F.when(breaks, F.col("seq")).alias("opens"), inner.alias("inner"))
+    seq = F.col("seq").cast("long")
+    rows = chunks.select(
+        "request_id", seq.alias("seq"), F.floor(seq / F.lit(chunks_per_slice)).cast("long").alias("slice"),
+        F.coalesce("chunk", F.lit("")).alias("text"))
+    squeezed = _attach_pieces(rows, LINE_BREAK).withColumn("text", F.array_join("pieces", "\n"))
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "text")))
+    slices = squeezed.groupBy("request_id", "slice").agg(
+        F.array_join(F.transform(ordered, lambda part: part["text"]), "").alias("text"))
+    return _attach_pieces(slices, "\n")
 
 
-def stream_payloads(compact: DataFrame, chunks_per_slice: int = CHUNKS_PER_SLICE) -> DataFrame:
-    """Payloads that matter, in stream order: (request_id, seq, idx, payload).
+def _lines(slices: DataFrame) -> DataFrame:
+    """Lines of requests that fit in one slice: all its pieces are lines."""
+    return slices.select("request_id", "slice", F.posexplode("pieces").alias("idx", "line"))
 
-    Lines inside one chunk need no shuffle.  The outer pieces are grouped by the
-    chunk in which their line opened, so a request of any length is spread over
-    its lines.  Every request has at least one row; its payload may be NULL.
+
+def _lines_over_slices(slices: DataFrame) -> DataFrame:
+    """Lines of longer requests: the outer pieces of the slices are stitched.
+
+    A piece belongs to the line that opened in the nearest earlier slice with a
+    line break.  One group is one line, which a JSON parser needs whole.
     """
-    inner = compact.select("request_id", "seq", F.inline("inner"))
-    edges = last_before(compact.select("request_id", "seq", "head", "tail", "opens"),
-                        ["request_id"], "seq", "opens", "opened", chunks_per_slice)
+    last = F.size("pieces") - 1
+    inner = slices.select("request_id", "slice", last.alias("_last"), F.posexplode("pieces").alias("idx", "line"))
+    inner = inner.where((F.col("idx") > 0) & (F.col("idx") < F.col("_last"))).drop("_last")
+    breaks = F.size("pieces") > 1
+    edges = slices.select("request_id", "slice", F.element_at("pieces", 1).alias("head"),
+                          F.when(breaks, F.element_at("pieces", -1)).alias("tail"),
+                          F.when(breaks, F.col("slice")).alias("opens"))
+    edges = last_before(edges, ["request_id"], "slice", "opens", "opened", SLICES_PER_RUN)
     parts = edges.select("request_id", F.inline(F.array(
-        F.struct(F.coalesce("opened", F.lit(-1).cast("long")).alias("line_seq"), F.col("seq").alias("at"),
+        F.struct(F.coalesce("opened", F.lit(-1).cast("long")).alias("line_slice"), F.col("slice").alias("at"),
                  F.col("head").alias("text")),
-        F.struct(F.col("opens").alias("line_seq"), F.col("seq").alias("at"), F.col("tail").alias("text")),
-    ))).where(F.col("line_seq").isNotNull())
-    # One group is one line: what a JSON parser needs whole.
+        F.struct(F.col("opens").alias("line_slice"), F.col("slice").alias("at"), F.col("tail").alias("text")),
+    ))).where(F.col("line_slice").isNotNull())
     ordered = F.array_sort(F.collect_list(F.struct("at", "text")))
-    lines = parts.groupBy("request_id", F.col("line_seq").alias("seq")).agg(
+    stitched = parts.groupBy("request_id", F.col("line_slice").alias("slice")).agg(
         F.array_join(F.transform(ordered, lambda part: part["text"]), "").alias("line"))
-    stitched = lines.withColumn("payload", _payload(F.col("line"))).select(
-        "request_id", "seq", F.lit(_TAIL).alias("idx"),
-        F.when(_matters(F.col("payload")), F.col("payload")).alias("payload"))
-    return inner.unionByName(stitched)
+    return inner.unionByName(stitched.withColumn("idx", F.lit(_TAIL)))
 
 
-def extract_sse_usage(chunks: DataFrame, chunks_per_slice: int = CHUNKS_PER_SLICE,
-                      stage: bool = True) -> DataFrame:
+def extract_sse_usage(chunks: DataFrame, chunks_per_slice: int = CHUNKS_PER_SLICE) -> DataFrame:
     """Last usage of each event stream: (request_id, four counts, parse_error).
 
     An event that is JSON but not an object, or a usage with a bad count, voids
-    the whole stream.  The text is read once: what matters of it is a small part
-    and is staged in the shared folder for the passes that follow.
+    the whole stream.  The text is read once; what matters of it is small and is
+    staged in the shared folder.
     """
-    compact = compact_chunks(chunks)
-    payloads = stream_payloads(materialize(compact) if stage else compact, chunks_per_slice)
-    events = attach_document(payloads, "payload", "event").withColumn(
-        "_object", F.col("payload").startswith("{"))
+    slices = materialize(squeezed_slices(chunks, chunks_per_slice))
+    long_requests = slices.where(F.col("slice") > 0).select("request_id").distinct()
+    if long_requests.isEmpty():
+        lines = _lines(slices)
+    else:
+        lines = _lines(slices.join(long_requests, "request_id", "left_anti")).unionByName(
+            _lines_over_slices(slices.join(long_requests, "request_id", "left_semi")))
+    payload = F.col("payload")
+    shown = lines.select("request_id", "slice", "idx",
+                         F.when(F.col("line").rlike(RELEVANT), _payload(F.col("line"))).alias("payload"))
+    # The first piece stays in any case: a request without usage has a row too.
+    shown = shown.where(payload.isNotNull() | F.col("idx").isin(0, _TAIL))
+    events = attach_document(shown, "payload", "event").withColumn("_object", payload.startswith("{"))
     own = member(F.col("event"), "$.usage")
     nested = member(F.col("event"), "$.response.usage")
     usages = events.select(
-        "request_id", "seq", "idx",
+        "request_id", "slice", "idx",
         (F.col("event").isNotNull() & ~F.col("_object")).alias("_not_object"),
         F.when(own.isNull() | F.is_variant_null(own), nested).otherwise(own).alias("usage"))
     texts = usages.withColumn("_truthy", ~is_falsy(F.to_json("usage")))
     counted = attach_usage_counts(texts)
-    at = F.when(F.col("_truthy"), F.struct("seq", "idx"))
+    at = F.when(F.col("_truthy"), F.struct("slice", "idx"))
     result = counted.groupBy("request_id").agg(
         F.max_by(F.struct(*TOKEN_COLUMNS), at).alias("last"),
         F.max(F.coalesce(F.col("_not_object"), F.lit(False)) | F.col("bad_usage")).alias("parse_error"))
