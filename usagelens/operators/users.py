@@ -75,15 +75,17 @@ def _effective_adds(adds: DataFrame, changes: DataFrame) -> DataFrame:
         F.col("seq") > F.coalesce("_key_end", before)).drop("_key_end")
     names = fresh.groupBy("api_key").agg(
         (F.min("username") != F.max("username")).alias("_several"))
-    fresh = fresh.join(names, "api_key")
-
-    single = (
+    # Read three times below, and no larger than the user table and the adds of the log.
+    fresh = materialize(fresh.join(names, "api_key"))
+    alive = (
         fresh.where(~F.col("_several")).join(by_name, "username", "left")
         .where(F.col("seq") > F.coalesce("_name_end", before))
         .groupBy("api_key").agg(F.min("seq").alias("seq"))
     )
-    several = key_lives(fresh.where("_several"), deletes).where("ends IS NULL").select("api_key", "seq")
-    alive = single.unionByName(several)
+    several = fresh.where("_several")
+    if not several.isEmpty():
+        lives = key_lives(several, deletes).where("ends IS NULL")
+        alive = alive.unionByName(lives.select("api_key", "seq"))
     return fresh.drop("_several").join(alive, ["api_key", "seq"])
 
 

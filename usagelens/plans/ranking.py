@@ -38,16 +38,16 @@ def share_of_total(rows: DataFrame, value: str) -> DataFrame:
 def global_rank(rows: DataFrame, value: str, target: str = "rank") -> DataFrame:
     """SQL ``rank()`` of a non-negative integer value, largest first, without one big sort task.
 
-    Values fall into at most 1025 fixed bands by magnitude.  A rank is one, plus
+    Values fall into at most 16129 fixed bands by magnitude.  A rank is one, plus
     the rows in higher bands, plus the rows above it inside the band.
     """
     amount = F.coalesce(F.col(value), F.lit(0)).cast("long")
     banded = rows.withColumn("_v", amount).withColumn(
-        "_band", F.floor(F.log2(F.greatest(F.col("_v"), F.lit(0)).cast("double") + 1) * 16).cast("int"))
+        "_band", F.floor(F.log2(F.greatest(F.col("_v"), F.lit(0)).cast("double") + 1) * 256).cast("int"))
     values = banded.groupBy("_band", "_v").agg(F.count(F.lit(1)).alias("_n"))
     higher = Window.orderBy(F.desc("_band")).rowsBetween(Window.unboundedPreceding, -1)
     bands = (
-        values.groupBy("_band").agg(F.sum("_n").alias("_in_band"))  # at most 1025 rows
+        values.groupBy("_band").agg(F.sum("_n").alias("_in_band"))  # at most 16129 rows
         .select("_band", F.coalesce(F.sum("_in_band").over(higher), F.lit(0)).alias("_above"))
     )
     inside = Window.partitionBy("_band").orderBy(F.desc("_v")).rowsBetween(Window.unboundedPreceding, -1)

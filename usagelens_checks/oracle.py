@@ -62,9 +62,9 @@ USERS = """users AS (
     CASE n % 37 WHEN 0 THEN 'legacy' WHEN 1 THEN 'auto-000001' ELSE 'u' || (n % 37) END AS username,
     CAST(CASE WHEN n % 7 = 3 THEN 0 ELSE 1 END AS INTEGER) AS enabled, 1704038400000 AS created_at,
     CASE WHEN n % 5 = 0 THEN 1705334400000 END AS expires_at,
-    CASE WHEN n % 4 = 1 THEN 60000 END AS daily_token_limit,
-    CASE WHEN n % 3 = 0 THEN 8 END AS daily_request_limit,
-    CASE WHEN n % 2 = 0 THEN 2 END AS rpm_limit, CAST(NULL AS VARCHAR) AS note
+    CAST(CASE WHEN n % 4 = 1 THEN 60000 END AS BIGINT) AS daily_token_limit,
+    CAST(CASE WHEN n % 3 = 0 THEN 8 END AS BIGINT) AS daily_request_limit,
+    CAST(CASE WHEN n % 2 = 0 THEN 2 END AS BIGINT) AS rpm_limit, CAST(NULL AS VARCHAR) AS note
   FROM (SELECT DISTINCT user_id AS n FROM events WHERE user_id NOT BETWEEN 140 AND 149))"""
 
 _SUMS = {
