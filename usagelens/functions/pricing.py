@@ -13,6 +13,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from usagelens.runtime import materialize, small_side
 from usagelens.schema import PRICES
 
 # USD per million tokens (prefix, input, output, cache write, cache read).
@@ -113,9 +114,10 @@ def attach_prices(rows: DataFrame, book: PriceBook, model: str = "model",
 
     A short book becomes a CASE expression: no join, no shuffle.  A longer book
     is matched against the distinct models, cut to every prefix length that
-    occurs, by an equi-join; the result is joined back by model.
+    occurs, by an equi-join; the result is staged, counted and joined back by
+    model.  On a stream every book is an expression.
     """
-    if len(book.rows) <= inline_prefixes:
+    if rows.isStreaming or len(book.rows) <= inline_prefixes:
         priced = rows.withColumn("price", price_expression(model, book))
     else:
         spark = rows.sparkSession
@@ -131,6 +133,7 @@ def attach_prices(rows: DataFrame, book: PriceBook, model: str = "model",
             .groupBy("_model")
             .agg(F.max_by(F.struct("prefix", *_PARTS), F.length("prefix")).alias("price"))
         )
+        best = small_side(materialize(best))
         priced = rows.join(best, F.col(model) == F.col("_model"), "left").drop("_model")
     return priced.withColumn("priced", F.col("price").isNotNull())
 

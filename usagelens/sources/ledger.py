@@ -3,6 +3,7 @@
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from usagelens.functions.pricing import micros_of_dollars
 from usagelens.schema import USAGE, USERS
 
 
@@ -20,6 +21,11 @@ def read_usage(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(USAGE).parquet(path).select(*USAGE.names)
 
 
+def from_dollar_rows(rows: DataFrame) -> DataFrame:
+    """Rows of a ledger that keeps ``ts`` and the cost in dollars as ``cost_usd``."""
+    return conform(rows.withColumns({"ts_ms": F.col("ts"), "cost_micros": micros_of_dollars("cost_usd")}))
+
+
 def append_usage(rows: DataFrame, path: str) -> None:
     """Append to the ledger, one folder per day, files sorted by user and time.
 

@@ -3,25 +3,31 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+ONCE_THROUGH = {"availableNow": True}
 
-def append_by_day(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append finished rows to a ledger folder; the file sink commits each batch once."""
-    return (
-        rows.writeStream.format("parquet").outputMode("append").partitionBy("day")
-        .option("path", path).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+
+def append_by_day(rows: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Append finished rows to a ledger folder; the file sink commits each batch once.
+
+    ``trigger`` is passed on, e.g. ``processingTime="1 minute"``; the default
+    takes what is there and stops.
+    """
+    return _appending(rows, path, checkpoint, trigger).partitionBy("day").start()
+
+
+def append_rows(rows: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    return _appending(rows, path, checkpoint, trigger).start()
 
 
-def append_rows(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def _appending(rows, path, checkpoint, trigger):
     return (
         rows.writeStream.format("parquet").outputMode("append")
         .option("path", path).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        .trigger(**(trigger or ONCE_THROUGH))
     )
 
 
-def write_updates(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def write_updates(rows: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Write the groups each batch changed to a folder of that batch.
 
     A batch that is run again after a failure overwrites its own folder.
@@ -31,7 +37,7 @@ def write_updates(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery
 
     return (
         rows.writeStream.outputMode("update").foreachBatch(save)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        .option("checkpointLocation", checkpoint).trigger(**(trigger or ONCE_THROUGH)).start()
     )
 
 

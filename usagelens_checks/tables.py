@@ -8,7 +8,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from usagelens.functions.clock import epoch_ms, local_day, local_hour
+from usagelens.functions.clock import epoch_ms, local_day
 from usagelens.functions.labels import client_class
 from usagelens.functions.pricing import attach_cost, default_prices
 from usagelens.schema import USAGE
@@ -73,10 +73,6 @@ def ledger(spark, sf_dir) -> DataFrame:
     return ledger_of(table(spark, sf_dir, "events"))
 
 
-def hourly_ledger(spark, sf_dir) -> DataFrame:
-    return ledger(spark, sf_dir).withColumn("hour", local_hour("ts_ms", TZ))
-
-
 def users_of(events: DataFrame) -> DataFrame:
     """One user row per key; the keys of ids 140 to 149 stay unknown."""
     n = F.col("user_id")
