@@ -11,9 +11,10 @@ ID_PATTERN = r"\A[A-Za-z0-9][A-Za-z0-9._-]{1,79}\z"
 _NO_IDS = "array<string>"
 
 
-def _text(value: Column, path: str) -> Column:
-    inner = member(value, path)
-    return F.when(F.schema_of_variant(inner) == "STRING", F.try_variant_get(value, path, "string"))
+def _valid_id(value: Column, path: str) -> Column:
+    """Text at ``path`` if it is an accepted id; its type is only looked up when the form fits."""
+    text = F.try_variant_get(value, path, "string")
+    return F.when(text.rlike(ID_PATTERN), F.when(F.schema_of_variant(member(value, path)) == "STRING", text))
 
 
 def _attach_ids(snapshots: DataFrame) -> DataFrame:
@@ -25,13 +26,11 @@ def _attach_ids(snapshots: DataFrame) -> DataFrame:
     doc = F.col("doc")
     models = F.coalesce(F.try_variant_get(doc, "$.models", "array<variant>"),
                         F.try_variant_get(doc, "$.data", "array<variant>"))
-    candidates = F.transform(models, lambda item: F.when(
-        F.schema_of_variant(item) == "STRING", F.array(F.try_variant_get(item, "$", "string"))
-    ).otherwise(F.array(*[_text(item, f"$.{key}") for key in ID_KEYS])))
+    candidates = F.transform(models, lambda item: F.array_compact(F.array(
+        _valid_id(item, "$"), *[_valid_id(item, f"$.{key}") for key in ID_KEYS])))
 
     def take(taken, names):
-        fresh = F.filter(names, lambda name: F.coalesce(
-            name.rlike(ID_PATTERN) & ~F.array_contains(taken, name), F.lit(False)))
+        fresh = F.filter(names, lambda name: ~F.array_contains(taken, name))
         return F.concat(taken, F.slice(fresh, 1, 1))
 
     parsed = attach_document(snapshots.select("snapshot_id", "payload"), "payload")
