@@ -214,3 +214,21 @@ def test_outcomes(spark):
         found = {row.id: (row.http_status, row.outcome, row.recorded) for row in auth.request_outcome(frame, login).collect()}
         for i, (change, plain, in_login) in enumerate(cases):
             assert found[i] == ((in_login or plain) if login else plain), change
+
+
+def test_unsorted_rows_are_refused():
+    import pandas as pd
+
+    from usagelens.operators import keylife, replay as steps
+
+    ticks = pd.DataFrame({"username": ["b", "a"], "day": ["d", "d"], "start_ms": [1, 2], "starts": [1, 1],
+                          "request_limit": [0, 0], "rpm_limit": [1, 1]})
+    with pytest.raises(ValueError):
+        list(steps.replay_ticks(iter([ticks])))
+    rows = pd.DataFrame({"username": ["a", "a"], "day": ["d", "d"], "at": [2, 1], "phase": [1, 1], "id": [1, 2], "end_ms": [2, 2],
+                         "total": [0, 0], "request_limit": [0, 0], "token_limit": [0, 0], "rpm_limit": [1, 1]})
+    with pytest.raises(ValueError):
+        list(steps.replay_days(iter([rows])))
+    lives = pd.DataFrame({"api_key": ["k", "k"], "username": ["a", "b"], "seq": [2, 1], "ends": [None, None]})
+    with pytest.raises(ValueError):
+        list(keylife.lives(iter([lives])))

@@ -106,10 +106,10 @@ def test_random_logs(spark, seed):
 
 def test_auto_register_and_seed(spark):
     users = spark.createDataFrame([user("known", "a")], USERS)
-    traffic = spark.createDataFrame([("known",), ("sk-relay-123456",), ("abc",), ("abc",), ("",), (None,)], "api_key string")
+    traffic = spark.createDataFrame([("known",), ("sk-test-123456",), ("abc",), ("abc",), ("",), (None,)], "api_key string")
     found = {row.api_key: (row.username, row.enabled, row.created_at, row.note)
              for row in ops.auto_register(users, traffic, 77).collect()}
-    assert found == {"sk-relay-123456": ("auto-123456", 1, 77, "auto (transition)"), "abc": ("auto-abc", 1, 77, "auto (transition)")}
+    assert found == {"sk-test-123456": ("auto-123456", 1, 77, "auto (transition)"), "abc": ("auto-abc", 1, 77, "auto (transition)")}
     assert ops.seed_user(users, "", 1).count() == 1 and ops.seed_user(users, "known", 1).count() == 1
     seeded = ops.seed_user(users, "shared", 1).where("api_key = 'shared'").first()
     assert (seeded.username, seeded.note) == ("legacy", "transition key")

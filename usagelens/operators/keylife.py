@@ -9,11 +9,14 @@ def lives(batches):
     """
     import pandas as pd
 
-    key = end = None
+    key = end = last = None
     for batch in batches:
         out = []
         columns = [batch[name].tolist() for name in ("api_key", "username", "seq", "ends")]
         for api_key, username, seq, ends in zip(*columns):
+            if last is not None and (api_key, seq) < last:
+                raise ValueError(f"rows are out of order at {(api_key, seq)}")
+            last = (api_key, seq)
             if api_key == key and seq <= end:
                 continue
             open_ended = ends is None or ends != ends
