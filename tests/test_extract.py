@@ -100,6 +100,17 @@ def test_random_cuts_and_slices(spark):
         assert [row[0] for row in sse_usage(spark, streams, **options)] == expected
 
 
+def test_one_long_request(spark):
+    """Thousands of chunks of one request, events cut anywhere, beside short requests."""
+    rng = random.Random(9)
+    text = "".join('data: {"delta":"%s"}\n\n' % ("x" * rng.randrange(60)) for _ in range(2500))
+    text += 'data: {"usage":{"input_tokens":41}}\n\n' + text + 'data: {"usage":{"input_tokens":42}}\n\n' + text[:70_000]
+    chunks = [text[at:at + 40] for at in range(0, len(text), 40)]
+    assert len(chunks) > 2 * extract.CHUNKS_PER_SLICE
+    streams = [chunks, ['data: {"usage":{"input_tokens":1}}\n'], chunks[:100]]
+    assert [row[0] for row in sse_usage(spark, streams)] == [42, 1, 0]
+
+
 def test_request_facts(spark):
     rows = [(0, '{"model":"m","stream":true}', "Codex Desktop", "k", None), (1, '{"stream":0,"model":null}', None, "", "Bearer b"),
             (2, "[]", "curl", None, None), (3, "x", "codex", None, "Basic z"), (4, '{"model":5,"stream":"no"}', "", "", ""),

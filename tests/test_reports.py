@@ -9,7 +9,7 @@ from usagelens.plans import filters, ranking, reports, reshape
 from usagelens.plans.cube import usage_cube
 from usagelens.plans.dashboard import command_report, dashboard
 from usagelens.schema import USAGE
-from usagelens.sources.ledger import append_usage, conform, from_dollar_rows, read_usage, read_users
+from usagelens.sources.ledger import append_usage, conform, from_dollar_rows, list_users, read_usage, read_users
 
 TZ = "Asia/Shanghai"
 MIDNIGHT = 1704038400000  # 2024-01-01 00:00 in TZ
@@ -218,6 +218,8 @@ def test_ledger_round_trip(spark, sample, tmp_path):
     assert back.count() == 10
     assert conform(sample.select("id", "day")).schema.names == USAGE.names
     assert read_users(spark, str(tmp_path / "missing")).count() == 0
+    people = spark.createDataFrame([("sk-0123456789", "b"), ("short", "a")], "api_key string, username string")
+    assert rows(list_users(people, mask_keys=True), "api_key", "username") == [("***", "a"), ("***6789", "b")]
     old = sample.withColumnsRenamed({"ts_ms": "ts"}).withColumn("cost_usd", F.col("cost_micros") / 1e6).drop("cost_micros", "client")
     assert sorted(map(repr, rows(from_dollar_rows(old).drop("client")))) == sorted(map(repr, rows(sample.drop("client"))))
 

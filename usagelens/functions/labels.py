@@ -45,6 +45,12 @@ def user_tag(username) -> Column:
     return F.when(name == "legacy", TAG_TRANSITION).when(name.startswith("auto-"), TAG_TEST)
 
 
+def masked_key(api_key) -> Column:
+    """A key as it may be shown: its last four characters, none of a short key."""
+    key = _column(api_key)
+    return F.concat(F.lit("***"), F.when(F.length(key) > 8, F.right(key, F.lit(4))).otherwise(""))
+
+
 def caller_key(x_api_key, authorization) -> Column:
     """API key of a request: the key header if not empty, else the bearer token."""
     direct, auth = _column(x_api_key), _column(authorization)

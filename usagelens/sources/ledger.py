@@ -3,6 +3,7 @@
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from usagelens.functions.labels import masked_key
 from usagelens.functions.pricing import micros_of_dollars
 from usagelens.schema import USAGE, USERS
 
@@ -51,5 +52,7 @@ def read_users(spark: SparkSession, path: str) -> DataFrame:
     return list_users(users)
 
 
-def list_users(users: DataFrame) -> DataFrame:
-    return conform(users, USERS).orderBy("username", "api_key")
+def list_users(users: DataFrame, mask_keys: bool = False) -> DataFrame:
+    """Users by name; ``mask_keys`` shows only the end of each key."""
+    rows = conform(users, USERS).orderBy("username", "api_key")
+    return rows.withColumn("api_key", masked_key("api_key")) if mask_keys else rows
