@@ -129,12 +129,15 @@ def _close_by_tokens(judged: DataFrame, carry: DataFrame) -> DataFrame:
         F.lit(0).alias("phase"), F.lit(1).alias("step"), zero.alias("n"), F.col("total").alias("tok"))
     summed = running_before(own.unionByName(carried), ["username", "day"], ["at", "phase", "id", "step"],
                             {"n": "_requests", "tok": "_tokens"}, MINUTE_MS)
-    starts = summed.where(is_start).withColumn("_closed", F.col("_tokens") >= F.col("token_limit"))
+    # Read twice: for the closing points and for the decisions.
+    starts = materialize(summed.where(is_start).select(
+        "id", "username", "day", "at", "decision", "request_limit", "_requests",
+        (F.col("_tokens") >= F.col("token_limit")).alias("_closed")))
     # The request counter stands still after closing, so the first closed start tells the reason.
     full = (F.col("request_limit") != 0) & (F.col("_requests") >= F.col("request_limit"))
     closing = starts.where("_closed").groupBy("username", "day").agg(
         F.min_by(F.when(full, "request_limit").otherwise("token_limit"), F.struct("at", "id")).alias("_reason"))
-    return starts.join(closing, ["username", "day"], "left").select(
+    return starts.join(small_side(closing), ["username", "day"], "left").select(
         "id", "username", "day",
         F.when(F.col("_closed"), F.col("_reason")).otherwise(F.col("decision")).alias("decision"))
 
