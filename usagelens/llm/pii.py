@@ -7,6 +7,7 @@ match can begin only where a longer one could not have begun before it.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from usagelens.llm.common import carried
+from usagelens.llm.matches import collect_matches
 
 _LOCAL = "A-Za-z0-9._%+-"
 # A local part is tried at its first character, or where the match before it ended.
@@ -23,7 +24,6 @@ SMALL_PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "id_number", "short_card")
-CONTEXT = 40  # characters before a span in which context words count
 # Words in front of a span that raise its score. Fixed values.
 CONTEXT_WORDS = {
     "email": "e-?mail|mail|contact|write",
@@ -40,8 +40,7 @@ PATTERN_SCORE = {"email": 0.8, "ip": 0.6, "card": 0.3, "phone": 0.6, "iban": 0.3
 CHECKED_SCORE = {"card": 0.8, "iban": 0.8}
 CONTEXT_SCORE = 0.3
 THRESHOLD = 0.5  # 0.3 + 0.3 passes
-PIECES = 100  # matches taken together when places are summed up
-SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
+SPAN = "struct<start:int,end:int,kind:string,score:double>"
 OUTPUTS = ("pii_spans",)
 
 
@@ -97,45 +96,16 @@ def _score(kind: str, value: Column, before: Column) -> Column:
 
 
 def _spans(text: Column, kind: str, pattern: str, probe: Column) -> Column:
-    """Confirmed spans of one kind in order: what lies between the matches gives their places."""
-    # Both calls find the same matches, left to right without overlap; gap k is in front of match k.
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pieces = F.arrays_zip(matches.alias("match"), gaps.alias("gap"))
-    nothing = F.array().cast(SPAN)
-
-    def step(state, piece):
-        start = state["at"] + F.length(piece["gap"])
-        end = start + F.length(piece["match"])
-        before = F.right(piece["gap"], F.lit(CONTEXT))
-        score = _score(kind, piece["match"], before)
-        span = F.array(F.struct(F.lit(kind).alias("kind"), start.cast("int").alias("start"),
-                                end.cast("int").alias("end"), F.round(score, 3).alias("score"))).cast(SPAN)
-        # The gap after the last match stands without one.
-        found = F.when(piece["match"].isNotNull() & (score >= THRESHOLD), F.concat(state["found"], span)).otherwise(
-            state["found"])
-        return F.struct(F.coalesce(end, start).cast("int").alias("at"), found.alias("found"))
-
-    begin = F.struct(F.lit(0).alias("at"), nothing.alias("found"))
-
-    def join(state, found):
-        moved = F.transform(found["found"], lambda span: F.struct(
-            span["kind"].alias("kind"), (span["start"] + state["at"]).alias("start"),
-            (span["end"] + state["at"]).alias("end"), span["score"].alias("score")))
-        return F.struct((state["at"] + found["at"]).alias("at"), F.concat(state["found"], moved).alias("found"))
-
-    def whole(given):
-        # Growing an array copies it, so places are taken within short parts first and then moved to the whole text.
-        parts = F.transform(F.sequence(F.lit(0), F.size(given) - 1, F.lit(PIECES)), lambda first: F.aggregate(
-            F.slice(given, first + 1, F.lit(PIECES)), begin, step))
-        return F.aggregate(parts, begin, join, lambda state: state["found"])
-
-    # Through a lambda's argument, so that the searches run once.
-    return F.when(probe, F.get(F.transform(F.array(pieces), whole), F.lit(0))).otherwise(nothing)
+    """Confirmed spans of one kind in order."""
+    def make(value, before, start, end):
+        score = F.round(_score(kind, value, before), 3)
+        return score >= THRESHOLD, [F.lit(kind).alias("kind"), score.alias("score")]
+
+    return collect_matches(text, pattern, probe, SPAN, make)
 
 
 def pii_spans(text: Column) -> Column:
-    """Array of (kind, start, end, score): kinds in the order of KINDS, each from left to right.
+    """Array of (start, end, kind, score): kinds in the order of KINDS, each from left to right.
 
     Places are code points, the end is exclusive. E-mail addresses, addresses of four parts up to 255, cards of 16 to
     19 digits with a right Luhn sum and telephone numbers of 8 to 15 digits always count. Cards of 13 to 15 digits

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
-from usagelens.llm import bpe, decontaminate, langid, pii, simhash
+from usagelens.llm import bpe, decontaminate, langid, pii, quality, secrets, sharding, simhash, vectors, warc
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -27,6 +27,11 @@ def op2_simhash(spark, sf_dir):
     return simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
 
+def op3_vectors(spark, sf_dir):
+    """Links and groups of near-equal vectors."""
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op4_decontaminate(spark, sf_dir):
     """Words and items that each document shares with the benchmark."""
     found = decontaminate.find_contamination(
@@ -38,6 +43,21 @@ def op4_decontaminate(spark, sf_dir):
                         F.sha2(names.cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
+def op5_warc(spark, sf_dir):
+    """What each page became in the archives."""
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
+def op6_quality(spark, sf_dir):
+    """Quality of each document, learned from four fifths of the labelled ones."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.coalesce(_text_crc("doc_id") % 5 == 0, F.lit(False)).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    network = quality.train(docs.filter("not held_out").join(labels, "doc_id"))
+    return quality.score(docs, network, keep=["doc_id", "held_out"]).select(
+        "doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_pii(spark, sf_dir):
     """Counts and places of personal data."""
     found = pii.find_pii(table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -55,6 +75,23 @@ def op7_pii(spark, sf_dir):
                         listed(F.col("pii_spans")).alias("spans"))
 
 
+def op8_sharding(spark, sf_dir):
+    """Shard and slot of each document under the law of equal row counts."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    sized = docs.select("doc_id", (F.octet_length("text") + 1).cast("long").alias("size"),
+                        F.crc32("text").alias("text_crc32"))
+    return sharding.shuffle_to_shards(sized, 16).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_secrets(spark, sf_dir):
+    """Every candidate of every document with the forest's score; values only as digests."""
+    return secrets.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", "start", "end", F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), "score", "secret")
+
+
 def op10_langid(spark, sf_dir):
     """Language of each document, learned from three quarters of them."""
     docs = table(spark, sf_dir, "documents")
@@ -64,4 +101,6 @@ def op10_langid(spark, sf_dir):
     return langid.identify(marked, model, keep=["doc_id", "held_out"], spans=False)
 
 
-QUERIES = {query.__name__: query for query in (op1_bpe, op2_simhash, op4_decontaminate, op7_pii, op10_langid)}
+QUERIES = {query.__name__: query for query in (
+    op1_bpe, op2_simhash, op3_vectors, op4_decontaminate, op5_warc, op6_quality, op7_pii, op8_sharding, op9_secrets,
+    op10_langid)}
