@@ -63,6 +63,8 @@ def _count_batches(batches):
 
     def flush():
         for lang, counts in pending.items():
+            if not counts:
+                continue
             words = list(counts)
             times = np.fromiter(counts.values(), np.float64, len(words))
             owners, buckets, scripts = letter_groups(words)
@@ -119,7 +121,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     """Letter-group counts of all labelled texts, summed by Spark.
 
     The driver receives one number for each language and bucket, whatever the size of the corpus. Rows whose text or
-    language is null are left out; no row gives a model without languages.
+    language is null are left out, and so is a language without a word; no row gives a model without languages.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
     counted = rows.mapInArrow(_count_batches, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(

@@ -14,7 +14,7 @@ CHUNK = 512  # first bytes of the windows of a chunk; its windows reach WIDTH -
 SLICE = 1 << 17  # bytes convolved at a time
 TRAIN_ROWS = 800  # labelled rows of each class that a network is fitted on
 TRAIN_BYTES = 4_096  # bytes of each of them; scores always take whole texts
-EPOCHS = 8
+STEPS = 400  # batches that a network is fitted with
 OUTPUTS = ("score",)
 
 
@@ -104,7 +104,7 @@ class Network:
         return grads
 
 
-def fit(texts: list[bytes], labels: list[int], seed: int = 5, epochs: int = EPOCHS, batch: int = 32,
+def fit(texts: list[bytes], labels: list[int], seed: int = 5, steps: int = STEPS, batch: int = 32,
         rate: float = 0.01) -> Network:
     """Adam over shuffled batches. Without both classes the network stays as it began, but for its last bias."""
     network = Network.fresh(seed)
@@ -116,19 +116,18 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 5, epochs: int = EPOC
     random = np.random.default_rng(seed)
     mean = {name: np.zeros_like(w) for name, w in network.w.items()}
     square = {name: np.zeros_like(w) for name, w in network.w.items()}
-    step, total = 0, epochs * -(-len(texts) // batch)
-    for _ in range(epochs):
-        order = random.permutation(len(texts))
-        for begin in range(0, len(order), batch):
-            chosen = order[begin:begin + batch]
-            grads = network.gradients([texts[k] for k in chosen], labels[chosen])
-            step += 1
-            now = rate * (1 - 0.9 * step / total)
-            for name, grad in grads.items():
-                mean[name] += 0.1 * (grad - mean[name])
-                square[name] += 0.01 * (grad ** 2 - square[name])
-                network.w[name] -= (now * (mean[name] / (1 - 0.9 ** step)) / (
-                    np.sqrt(square[name] / (1 - 0.99 ** step)) + 1e-7)).astype(np.float32)
+    order = np.zeros(0, np.int64)
+    for step in range(1, steps + 1):
+        if len(order) < batch:
+            order = np.concatenate([order, random.permutation(len(texts))])
+        chosen, order = order[:batch], order[batch:]
+        grads = network.gradients([texts[k] for k in chosen], labels[chosen])
+        now = rate * (1 - 0.9 * step / steps)
+        for name, grad in grads.items():
+            mean[name] += 0.1 * (grad - mean[name])
+            square[name] += 0.01 * (grad ** 2 - square[name])
+            network.w[name] -= (now * (mean[name] / (1 - 0.9 ** step)) / (
+                np.sqrt(square[name] / (1 - 0.99 ** step)) + 1e-7)).astype(np.float32)
     return network
 
 
