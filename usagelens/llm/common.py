@@ -30,6 +30,21 @@ def carried(rows: DataFrame, outputs, keep=None) -> DataFrame:
     return rows.select(*[F.col(f"`{name}`") for name in wanted if name.lower() not in taken])
 
 
+def with_text(docs: DataFrame, rest: DataFrame, text_col: str):
+    """Rows for a batch function, the place of the text in them and the places of the carried columns.
+
+    A text that is carried along travels once. Batches are kept small, as texts pass through Python's memory.
+    """
+    conf = docs.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    names = rest.columns
+    if text_col in names:
+        return rest, names.index(text_col), range(len(names))
+    rows = docs.select(F.col(f"`{text_col}`").alias("__text"), *[F.col(f"`{name}`") for name in names])
+    return rows, 0, range(1, len(names) + 1)
+
+
 def free_name(rows: DataFrame, name: str) -> str:
     """``name``, with underscores in front until no column is called so."""
     used = {column.lower() for column in rows.columns}

@@ -6,7 +6,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from usagelens.llm.common import carried, utf8
+from usagelens.llm.common import carried, utf8, with_text
 
 WINDOW = 10
 # One automaton holds the windows of at most this many bytes of benchmark text (about 200 bytes of memory for each).
@@ -154,9 +154,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
         dealt[int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "big") % count].append((row.id, text))
     shared = spark.sparkContext.broadcast([{"items": part} for part in dealt])
     rest = carried(docs, OUTPUTS, keep)
-    rows = docs.select(F.col(f"`{text_col}`").cast("binary").alias("__scanned"), *[F.col(f"`{c}`") for c in rest.columns])
+    rows, text_index, kept = with_text(docs, rest, text_col)
     schema = T.StructType(rest.schema.fields + FOUND.fields)
-    return rows.mapInArrow(_scan_batches(shared, 0, window, range(1, len(rows.columns))), schema)
+    return rows.mapInArrow(_scan_batches(shared, text_index, window, kept), schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

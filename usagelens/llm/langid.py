@@ -6,13 +6,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from usagelens.llm.common import carried, slices_by_bytes
+from usagelens.llm.common import carried, slices_by_bytes, with_text
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 15  # hashed letter groups of one to three letters
 GROUP = 3
 PENALTY = 6.0  # cost in log units of going over to another language between two words
-PART = 16 << 20  # characters scored at a time
+PART = 8 << 20  # characters labelled at a time
+WORDS = 1 << 14  # distinct words whose letter groups are held at a time
 MIN_SHARE = 0.002  # a language is a candidate for a script that holds at least this share of its letters
 # First code points of script ranges and the script that begins there. Fixed values.
 SCRIPTS = (
@@ -65,13 +66,14 @@ def _count_batches(batches):
         for lang, counts in pending.items():
             if not counts:
                 continue
-            words = list(counts)
-            times = np.fromiter(counts.values(), np.float64, len(words))
-            owners, buckets, scripts = letter_groups(words)
-            found = np.bincount(buckets, times[owners], BUCKETS)
-            letters = np.bincount(scripts, times * np.fromiter(map(len, words), np.float64, len(words)),
-                                  len(SCRIPT_NAMES))
-            every = np.concatenate([found, letters]).astype(np.int64)
+            words, every = list(counts), np.zeros(BUCKETS + len(SCRIPT_NAMES))
+            for begin in range(0, len(words), WORDS):
+                part = words[begin:begin + WORDS]
+                times = np.array([counts[word] for word in part], np.float64)
+                owners, buckets, scripts = letter_groups(part)
+                every[:BUCKETS] += np.bincount(buckets, times[owners], BUCKETS)
+                every[BUCKETS:] += np.bincount(scripts, times * [len(word) for word in part], len(SCRIPT_NAMES))
+            every = every.astype(np.int64)
             at = np.flatnonzero(every)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(every[at])],
@@ -106,6 +108,9 @@ class Model:
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Log chance of each word in each language, less the best; per letter group, times the root of their number."""
+        return np.concatenate([self._scores(words[k:k + WORDS]) for k in range(0, len(words), WORDS)])
+
+    def _scores(self, words: list[str]) -> np.ndarray:
         owners, buckets, scripts = letter_groups(words)
         number = np.bincount(owners, minlength=len(words))
         scores = np.stack([np.bincount(owners, self.chances[buckets, k], len(words))
@@ -222,11 +227,11 @@ def label_texts(texts: list[str | None], model: Model, spans: bool = True):
     return results
 
 
-def _label_batches(shared, spans, keep):
+def _label_batches(shared, spans, text_index, keep):
     def run(batches):
         model = Model(*shared.value)
         for whole in batches:
-            texts = whole.column(0).to_pylist()
+            texts = whole.column(text_index).to_pylist()
             for start, number in slices_by_bytes(whole, [len(t or "") for t in texts], PART):
                 results = label_texts(texts[start:start + number], model, spans)
                 batch = whole.slice(start, number)
@@ -249,13 +254,13 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep=None, s
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.counts))
     outputs = OUTPUTS if spans else OUTPUTS[:2]
     rest = carried(docs, outputs, keep)
-    rows = docs.select(F.col(f"`{text_col}`").alias("__scored"), *[F.col(f"`{c}`") for c in rest.columns])
+    rows, text_index, kept = with_text(docs, rest, text_col)
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     if spans:
         fields.append(T.StructField("spans", T.ArrayType(T.StructType([
             T.StructField("lang", T.StringType()), T.StructField("start", T.LongType()),
             T.StructField("end", T.LongType())]))))
-    return rows.mapInArrow(_label_batches(shared, spans, range(1, len(rows.columns))),
+    return rows.mapInArrow(_label_batches(shared, spans, text_index, kept),
                            T.StructType(rest.schema.fields + fields))
 
 

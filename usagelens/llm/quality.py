@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from usagelens.llm.common import carried, utf8
+from usagelens.llm.common import carried, utf8, with_text
 
 WIDTH = 8  # bytes that a filter sees
 EMBEDDING = 8
@@ -146,11 +146,11 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "quality
     return fit([bytes(row.text) for row in sample], [row.label for row in sample], seed)
 
 
-def _score_batches(shared, keep):
+def _score_batches(shared, text_index, keep):
     def run(batches):
         network = Network(shared.value)
         for batch in batches:
-            scores = network.scores(utf8(batch.column(0)))
+            scores = network.scores(utf8(batch.column(text_index)))
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + [pa.array(scores, pa.float64())],
                                              [batch.schema.names[i] for i in keep] + ["score"])
     return run
@@ -164,6 +164,6 @@ def score(docs: DataFrame, network: Network, text_col: str = "text", keep=None)
     """
     shared = docs.sparkSession.sparkContext.broadcast(network.w)
     rest = carried(docs, OUTPUTS, keep)
-    rows = docs.select(F.col(f"`{text_col}`").cast("binary").alias("__scored"), *[F.col(f"`{c}`") for c in rest.columns])
+    rows, text_index, kept = with_text(docs, rest, text_col)
     schema = T.StructType([*rest.schema.fields, T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(_score_batches(shared, range(1, len(rows.columns))), schema)
+    return rows.mapInArrow(_score_batches(shared, text_index, kept), schema)
