@@ -54,7 +54,10 @@ def list_decode(vector: np.ndarray, books, threshold: float) -> np.ndarray:
 
 
 def _filter_batches(seed, tables, parts, codewords, cap, dtype):
-    """Vectors and the numbers of their filters as bytes: both travel with every filter."""
+    """Vectors and the numbers of their filters as bytes, and the heads: all but the last codeword of their filters.
+
+    Filters of one head go to the same task, so a vector travels once for each head, not for each filter.
+    """
     def run(batches):
         made = {}
         for batch in batches:
@@ -70,12 +73,12 @@ def _filter_batches(seed, tables, parts, codewords, cap, dtype):
                     for number, (rotation, books) in enumerate(made[dim])]))
                 vectors.append(values.tobytes())
                 filters.append(found.astype("<i4").tobytes())
-                every.append(found)
+                every.append(np.unique(found // codewords))
             kept = [batch.column(name) for name in ("cid", "label", "copies")]
             yield pa.RecordBatch.from_arrays(
                 [*kept, pa.array([len(v) // np.dtype(dtype).itemsize for v in vectors], pa.int32()),
                  pa.array(vectors, pa.binary()), pa.array(filters, pa.binary()), pa.array(every, pa.list_(pa.int32()))],
-                ["cid", "label", "copies", "dim", "vector", "filters", "every"])
+                ["cid", "label", "copies", "dim", "vector", "filters", "heads"])
     return run
 
 
@@ -91,13 +94,12 @@ def _exact_cosine(a, b) -> float:
     return product / (math.sqrt(math.fsum(x * x for x in a)) * math.sqrt(math.fsum(y * y for y in b)))
 
 
-def compare(vectors, filters, own, at: int, cosine: float, cross: bool):
-    """Pairs (a, b) with a cosine of at least ``cosine`` that no earlier filter holds together.
+def compare(vectors, units, filters, own, at: int, cosine: float, cross: bool):
+    """Pairs (a, b) of rows with a cosine of at least ``cosine`` that no earlier filter holds together.
 
-    ``filters`` are the rows' sorted arrays of filter numbers and ``at`` the one that brings them together. With ``cross`` only
+    ``units`` are the vectors brought to length one, ``filters`` the rows' sorted arrays of filter numbers and ``at`` the one that brings them together. With ``cross`` only
     pairs of different ``own`` count.
     """
-    units = unit_rows(vectors)
     pairs = []
     for begin in range(0, len(units), 512):
         products = units[begin:begin + 512] @ units.T
@@ -127,28 +129,46 @@ def compare(vectors, filters, own, at: int, cosine: float, cross: bool):
     return np.concatenate([a for a, _ in pairs]), np.concatenate([b for _, b in pairs])
 
 
-def _link_batches(cosine, dtype):
+def _link_batches(cosine, dtype, codewords):
+    def pairs_of(rows, vectors, own):
+        """Pairs of one task, filter by filter."""
+        filters = [np.frombuffer(f, "<i4") for f in rows["filters"]]
+        head, cross = rows["head"][0], rows["i"][0] != rows["j"][0]
+        units = unit_rows(vectors)
+        inside = [f[np.searchsorted(f, head * codewords):np.searchsorted(f, (head + 1) * codewords)] for f in filters]
+        number = np.concatenate(inside)
+        row = np.repeat(np.arange(len(inside)), [len(part) for part in inside])
+        order = np.argsort(number, kind="stable")
+        number, row = number[order], row[order]
+        cuts = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+        for begin, end in zip(cuts, np.append(cuts[1:], len(number))):
+            if end - begin > 1:
+                met = row[begin:end]
+                a, b = compare(vectors[met], units[met], [filters[k] for k in met], own[met], number[begin], cosine, cross)
+                if len(a):
+                    yield met[a], met[b]
+
     def solve(rows):
         """Links of each row and spanning links of one task: (class, links, root)."""
         cids, weights = np.array(rows["cid"]), np.array(rows["copies"], np.int64)
         own = np.array(rows["own"])
         vectors = np.stack([np.frombuffer(v, dtype) for v in rows["vector"]])
-        filters = [np.frombuffer(f, "<i4") for f in rows["filters"]]
-        a, b = compare(vectors, filters, own, rows["filter"][0], cosine, rows["i"][0] != rows["j"][0])
-        if not len(a):
-            return None
-        links = np.bincount(a, weights[b], len(cids)) + np.bincount(b, weights[a], len(cids))
-        roots = merge_labels(np.arange(len(cids)), a, b)
+        links, roots = np.zeros(len(cids)), np.arange(len(cids))
+        for a, b in pairs_of(rows, vectors, own):
+            links += np.bincount(a, weights[b], len(cids)) + np.bincount(b, weights[a], len(cids))
+            roots = merge_labels(roots, a, b)
         linked = np.flatnonzero(links)
+        if not len(linked):
+            return None
         return pa.RecordBatch.from_arrays(
             [pa.array(cids[linked], pa.int64()), pa.array(links[linked].astype(np.int64)),
              pa.array(cids[roots[linked]], pa.int64())], ["cid", "links", "root"])
 
     def run(batches):
-        names = ("cid", "copies", "vector", "filters", "own", "filter", "i", "j")
+        names = ("cid", "copies", "vector", "filters", "own", "head", "i", "j")
         held, key = None, None
         for batch in batches:
-            columns = [batch.column(name).to_pylist() for name in ("label", "dim", "filter", "i", "j")]
+            columns = [batch.column(name).to_pylist() for name in ("label", "dim", "head", "i", "j")]
             keys = list(zip(*columns))
             cuts = [k for k in range(len(keys)) if k == 0 or keys[k] != keys[k - 1]]
             for begin, end in zip(cuts, [*cuts[1:], len(keys)]):
@@ -176,7 +196,7 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     reachable, ``kept`` marks the row that has it. Without ``label_col`` all rows are of one label.
 
     Equal vectors of a label are one class from the start. Every class is decoded to all filter directions it exceeds,
-    and only classes with a common filter are compared; a pair counts in its first common filter. A filter of more than
+    and only classes with a common filter are compared; a pair counts in its first common filter. A head of more than
     ``block`` classes is dealt into blocks whose pairs are tasks of their own. Tasks return sums and spanning links, not
     pairs. More ``tables`` or a lower ``cap`` find pairs that have no common filter; with the defaults and 64 dimensions
     that is less than one in ten thousand at the threshold, and fewer above it.
@@ -199,19 +219,20 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     dtype = "<f4" if rows.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
     listed = classes.select("cid", "vector", "label", "copies").mapInArrow(
         _filter_batches(seed, tables, parts, codewords, cap, dtype),
-        "cid long, label string, copies long, dim int, vector binary, filters binary, every array<int>")
+        "cid long, label string, copies long, dim int, vector binary, filters binary, heads array<int>")
     listed, _ = stage(listed, "vector-filters")
-    keys = listed.select("label", "dim", F.explode("every").alias("filter"))
-    crowded = (keys.groupBy("label", "dim", "filter").agg(F.count("*").alias("n")).filter("n > 1")
-               .select("label", "dim", "filter", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
-    spread = listed.select("cid", "label", "dim", "vector", "copies", "filters", F.explode("every").alias("filter"))
-    dealt = spread.join(crowded, ["label", "dim", "filter"]).withColumn(
-        "own", F.pmod(F.hash("cid", "filter"), F.col("blocks")))
+    # Tasks are made of ids; the vectors join them at the end, so they are shuffled once.
+    keys = listed.select("cid", "label", "dim", F.explode("heads").alias("head"))
+    crowded = (keys.groupBy("label", "dim", "head").agg(F.count("*").alias("n")).filter("n > 1")
+               .select("label", "dim", "head", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    dealt = keys.join(crowded, ["label", "dim", "head"]).withColumn(
+        "own", F.pmod(F.hash("cid", "head"), F.col("blocks")))
     tasks = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns(
         {"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("blocks", "other")
-    order = ["label", "dim", "filter", "i", "j"]
+    tasks = tasks.join(listed.select("cid", "vector", "copies", "filters"), "cid")
+    order = ["label", "dim", "head", "i", "j"]
     met = tasks.repartition(*order).sortWithinPartitions(*order, "cid").mapInArrow(
-        _link_batches(cosine, dtype), "cid long, links long, root long")
+        _link_batches(cosine, dtype, codewords), "cid long, links long, root long")
     met, _ = stage(met, "vector-links")
 
     linked = met.groupBy("cid").agg(F.sum("links").alias("links"))

@@ -22,7 +22,7 @@ SCHEMA = ("record_id string, record_type string, target_uri string, date string,
           "refers_to string, payload_bytes long, payload binary")
 MANIFEST = "_files.json"
 FILE_BYTES = 1 << 30  # a task goes on to a new file beyond this size
-PARTITION_BYTES = 128 << 20  # small files read together
+PARTITION_BYTES = 32 << 20  # small files read together
 BATCH_BYTES = 8 << 20
 HEAD = 4096  # bytes unpacked at a time while a header is looked for
 # Field names of the format. Fixed values.
