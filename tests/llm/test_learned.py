@@ -54,10 +54,10 @@ def test_whole_text_counts():
 def test_quality_of_odd_tables(spark):
     rows = [(1, None, 1.0), (2, "", 2.0), (2, "x" * 300000, 3.0), (None, "é", 4.0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, SCORE double")
-    network = quality.train(docs.selectExpr("text", "1 as quality"))
+    network = quality.train(docs, docs.selectExpr("doc_id", "1 as quality"))
     got = quality.score(docs, network).collect()
     assert len(got) == 4 and len({r.score for r in got}) == 1 and got[0].score > 0.9
-    empty = quality.train(docs.limit(0).selectExpr("text", "1 as quality"))
+    empty = quality.train(docs, docs.limit(0).selectExpr("doc_id", "1 as quality"))
     assert {r.score for r in quality.score(docs, empty).collect()} == {0.5}
     assert quality.score(docs.limit(0), empty).collect() == []
 

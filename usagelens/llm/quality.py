@@ -131,19 +131,29 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 5, steps: int = STEPS
     return network
 
 
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS,
-          text_bytes: int = TRAIN_BYTES, seed: int = 5) -> Network:
-    """Fit on at most ``rows`` labelled rows of each class, the first in the order of a hash of the text.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+          label_col: str = "quality", rows: int = TRAIN_ROWS, text_bytes: int = TRAIN_BYTES, seed: int = 5) -> Network:
+    """Fit on at most ``rows`` labelled documents of each class, the first in the order of a hash of their ids.
 
-    The sample, of at most twice ``rows`` times ``text_bytes`` bytes, is fitted on the driver. Null labels are left out.
+    Only ids and labels are joined and ordered; the texts of the chosen ids, at most twice ``rows`` times ``text_bytes``
+    bytes, are fetched after that and fitted on the driver. Labels other than 0 and 1 and null ids are left out; of
+    several labels of an id the largest counts, of several texts the smallest.
     """
-    text = F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b""))
-    given = labelled.select(F.substring(text, 1, text_bytes).alias("text"), F.col(f"`{label_col}`").alias("label"),
-                            F.xxhash64(text).alias("place")).filter("label in (0, 1)")
-    sample = []
+    marks = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label")).filter(
+        "label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
+    known = docs.select(F.col(f"`{id_col}`").alias("id")).distinct().join(marks, "id").withColumn(
+        "place", F.xxhash64("id"))
+    chosen = None
     for label in (0, 1):
-        sample += given.filter(F.col("label") == label).orderBy("place").limit(rows).collect()
-    return fit([bytes(row.text) for row in sample], [row.label for row in sample], seed)
+        part = known.filter(F.col("label") == label).orderBy("place", "id").limit(rows)
+        chosen = part if chosen is None else chosen.union(part)
+    sample = chosen.collect()
+    picked = docs.sparkSession.createDataFrame([(row.id, row.label) for row in sample], "id long, label int")
+    text = F.substring(F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")), 1, text_bytes)
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")).join(
+        F.broadcast(picked), "id").groupBy("id", "label").agg(F.min("text").alias("text"))  # 2 * rows ids at most
+    found = sorted(texts.collect(), key=lambda row: row.id)
+    return fit([bytes(row.text) for row in found], [row.label for row in found], seed)
 
 
 def _score_batches(shared, text_index, keep):

@@ -52,8 +52,7 @@ def op6_quality(spark, sf_dir):
     """Quality of each document, learned from four fifths of the labelled ones."""
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "text", F.coalesce(_text_crc("doc_id") % 5 == 0, F.lit(False)).alias("held_out"))
-    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    network = quality.train(docs.filter("not held_out").join(labels, "doc_id"))
+    network = quality.train(docs.filter("not held_out"), table(spark, sf_dir, "labels"))
     return quality.score(docs, network, keep=["doc_id", "held_out"]).select(
         "doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
