@@ -1,33 +1,28 @@
-"""Session helpers: the shared folder and size-checked joins."""
+"""Session helpers: the shared folder and the tables staged in it."""
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-# A lookup side of at most this many rows is sent to every executor; a larger
-# one is shuffled, and adaptive execution splits the hot keys of the fact side.
-BROADCAST_ROWS = 200_000
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder that every executor can reach, as the session names it.
 
-    Only a local session without the setting falls back to a temporary folder.
+    It is the setting ``spark.checkpoint.dir`` or the folder given to ``setCheckpointDir``; without either, jobs that
+    stage data are refused.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
-    return tempfile.mkdtemp(prefix="usagelens-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder.rstrip("/")
+
+
+def _session_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/usagelens-{spark.sparkContext.applicationId}"
 
 
 def work_folder(spark: SparkSession, purpose: str) -> str:
-    return f"{shared_folder(spark)}/usagelens-{purpose}-{uuid.uuid4().hex}"
+    return f"{_session_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
 def materialize(rows: DataFrame, *partition_by: str) -> DataFrame:
@@ -38,11 +33,11 @@ def materialize(rows: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
 
 
-def is_small(rows: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """True if the table has at most ``limit`` rows; reads no more than needed."""
-    return rows.limit(limit + 1).count() <= limit
+def remove_folder(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def small_side(rows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a lookup table for broadcast only after its size has been checked."""
-    return F.broadcast(rows) if is_small(rows, limit) else rows
+def remove_staged(spark: SparkSession) -> None:
+    """Remove everything that this application has staged; DataFrames that read it are void from then on."""
+    remove_folder(spark, _session_folder(spark))

@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 
 from usagelens_checks.oracle import ORACLE
 from usagelens_checks.queries import QUERIES
+from usagelens_checks.session import ensure_folder
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
@@ -54,6 +55,7 @@ def main(names):
         .config("spark.sql.session.timeZone", os.environ.get("CHECK_ZONE", "UTC")).getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ensure_folder(spark)
     connection = duck(sf_dir)
     bad = 0
     for name in names or QUERIES:
