@@ -130,11 +130,23 @@ def test_random_logs(spark, seed, mixed):
     assert replay(spark, rows) == brute(plain)
 
 
-def test_negative_totals_take_the_row_replay(spark):
+def test_negative_totals_open_a_day_again(spark):
     rows = [(i, "u", MIDNIGHT + i, MIDNIGHT + i, (-10 if i % 3 == 2 else 10), None, 10, None) for i in range(9)]
     assert replay(spark, rows) == brute(rows)
 
 
+def test_hot_user_with_mixed_limits(spark):
+    """A third of all rows is one user's, whose keys differ in every limit; the day falls into many stretches."""
+    rng = random.Random(11)
+    sets = [(None, None, 2), (200, None, 1), (None, 900, None), (300, 1500, 3), (None, None, None)]
+    rows, at = [], 0
+    for i in range(900):
+        at += rng.choice([0, 1, 500, 20_000, 61_000])
+        rows.append((i, "hot", MIDNIGHT + at, MIDNIGHT + at + rng.choice([0, 3_000, 400_000]), 5, *rng.choice(sets)))
+    rows += [(1000 + i, f"u{i % 30}", MIDNIGHT + i * 1000, None, 0, 20, None, 2) for i in range(1800)]
+    assert replay(spark, rows) == brute(rows)
+
+
 def test_one_user_with_most_rows(spark):
     """A hot user: many requests in the same milliseconds of one minute."""
     rng = random.Random(5)
@@ -219,16 +231,12 @@ def test_outcomes(spark):
 def test_unsorted_rows_are_refused():
     import pandas as pd
 
-    from usagelens.operators import keylife, replay as steps
+    from usagelens.operators import keylife, minute
 
-    ticks = pd.DataFrame({"username": ["b", "a"], "day": ["d", "d"], "start_ms": [1, 2], "starts": [1, 1],
-                          "request_limit": [0, 0], "rpm_limit": [1, 1]})
-    with pytest.raises(ValueError):
-        list(steps.replay_ticks(iter([ticks])))
-    rows = pd.DataFrame({"username": ["a", "a"], "day": ["d", "d"], "at": [2, 1], "phase": [1, 1], "id": [1, 2], "end_ms": [2, 2],
-                         "total": [0, 0], "request_limit": [0, 0], "token_limit": [0, 0], "rpm_limit": [1, 1]})
+    ticks = pd.DataFrame({"username": ["b", "a"], "day": ["d", "d"], "stretch": [1, 1], "at": [1, 2], "place": [0, 0],
+                          "starts": [1, 1], "rpm_limit": [1, 1], "fixed": [False, False]})
     with pytest.raises(ValueError):
-        list(steps.replay_days(iter([rows])))
+        list(minute.admitted_starts(iter([ticks])))
     lives = pd.DataFrame({"api_key": ["k", "k"], "username": ["a", "b"], "seq": [2, 1], "ends": [None, None]})
     with pytest.raises(ValueError):
         list(keylife.lives(iter([lives])))

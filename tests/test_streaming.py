@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from test_admission import DAY, MIDNIGHT, SCHEMA, TZ, brute
 from usagelens.functions.pricing import default_prices
+from usagelens.operators import extract
 from usagelens.plans import reports
 from usagelens.schema import USAGE
 from usagelens.sources.ledger import read_usage
@@ -28,28 +29,46 @@ def read_files(spark, folder, schema):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
-def response(i, ts, body, status=200):
-    return (i, ts, ts - 7, "a", "k", "gpt-5.5", 1, "cli", status, "/p", "x" * 300, body)
+def response(i, ts, body, status=200, stream=0):
+    return (i, ts, ts - 7, "a", "k", "gpt-5.5", stream, "cli", status, "/p", "x" * 300, body)
 
 
-def test_ingest_drops_repeats_and_restarts(spark, tmp_path):
-    good = '{"usage":{"input_tokens":10,"output_tokens":1,"input_tokens_details":{"cached_tokens":4}}}'
-    first = [response(1, MIDNIGHT, good), response(2, MIDNIGHT - 1, "oops"), response(3, MIDNIGHT + 5, good, status=500)]
-    second = [response(1, MIDNIGHT, good), response(4, MIDNIGHT + DAY, good)]
+GOOD = '{"usage":{"input_tokens":10,"output_tokens":1,"input_tokens_details":{"cached_tokens":4}}}'
+
+
+def run_ingest(spark, source, out, state):
+    rows = read_files(spark, source, RESPONSES)
+    ingest.ingest(rows, default_prices(), TZ, out, state).awaitTermination()
+    return {row.id: row for row in read_usage(spark, out).collect()}
+
+
+def test_ingest_takes_repeats_once_and_late_rows_all(spark, tmp_path):
+    first = [response(1, MIDNIGHT + 9 * DAY, GOOD), response(2, MIDNIGHT - 1, "oops"), response(3, MIDNIGHT + 5, GOOD, status=500)]
+    second = [response(1, MIDNIGHT + 9 * DAY, GOOD), response(4, MIDNIGHT + DAY, GOOD), response(4, MIDNIGHT + DAY, GOOD),
+              response(5, MIDNIGHT + 9 * DAY - 4 * 3_600_000, GOOD)]
     source, out, state = (str(tmp_path / name) for name in ("in", "out", "state"))
     write_files(spark, source, [spark.createDataFrame(rows, RESPONSES) for rows in (first, second)])
+    found = run_ingest(spark, source, out, state)
+    assert sorted(found) == [1, 2, 3, 4, 5] and read_usage(spark, out).count() == 5
+    assert (found[1].cost_micros, found[1].latency_ms, len(found[1].error)) == (30 + 2 + 30, 7, 300)
+    assert (found[2].day, found[2].input_tokens, found[3].input_tokens) == ("2023-12-31", 0, 0)
+    run_ingest(spark, source, out, state)
+    assert read_usage(spark, out).count() == 5
+    # A batch that is run again without its state adds nothing twice.
+    run_ingest(spark, source, out, str(tmp_path / "other"))
+    assert read_usage(spark, out).count() == 5
 
-    def run():
-        rows = ingest.ingest(read_files(spark, source, RESPONSES), default_prices(), TZ)
-        sinks.append_by_day(rows, out, state).awaitTermination()
-        return {row.id: row for row in read_usage(spark, out).collect()}
 
-    found = run()
-    assert sorted(found) == [1, 2, 3, 4] and read_usage(spark, out).count() == 4
-    assert (found[1].cost_micros, found[1].latency_ms, len(found[1].error)) == (30 + 2 + 30, 7, 200)
-    assert (found[2].day, found[2].input_tokens, found[3].input_tokens) == ("2023-12-31", 0, 0)
-    run()
-    assert read_usage(spark, out).count() == 4
+def test_ingest_reads_event_streams(spark, tmp_path):
+    text = f'data: {{"type":"x"}}\n\ndata: {{"response":{GOOD}}}\n\ndata: [DONE]\n\n'
+    rows = [response(1, MIDNIGHT, text, stream=1), response(2, MIDNIGHT, text), response(3, MIDNIGHT, GOOD, stream=1),
+            response(4, MIDNIGHT, text + "data: 12\n", stream=1), response(5, MIDNIGHT, text, status=404, stream=1)]
+    source, out, state = (str(tmp_path / name) for name in ("in", "out", "state"))
+    write_files(spark, source, [spark.createDataFrame(rows, RESPONSES)])
+    found = run_ingest(spark, source, out, state)
+    assert {i: (row.input_tokens, row.cache_read_tokens, row.status) for i, row in found.items()} == {
+        1: (10, 4, 200), 2: (0, 0, 200), 3: (0, 0, 200), 4: (0, 0, 502), 5: (0, 0, 404)}
+    assert found[4].error == extract.VOID_STREAM[1] and found[4].cost_micros == 0
 
 
 @pytest.fixture(scope="module")
@@ -65,15 +84,20 @@ def ledger_files(spark, tmp_path_factory):
     return folder, spark.createDataFrame(rows, USAGE)
 
 
-def run_updates(spark, rows, path, keys):
-    sinks.write_updates(rows, f"{path}/rows", f"{path}/state").awaitTermination()
-    return sinks.read_updates(spark, f"{path}/rows", keys)
+def run_live(spark, rows, aggregate, path, keys):
+    sinks.write_partials(rows, aggregate, f"{path}/rows", f"{path}/state").awaitTermination()
+    return sinks.read_partials(spark, f"{path}/rows", keys)
 
 
 def test_day_counters_equal_the_batch(spark, ledger_files, tmp_path):
     folder, ledger = ledger_files
-    rows = counters.day_counters(read_files(spark, folder, USAGE), TZ)
-    found = run_updates(spark, rows, str(tmp_path), ["day", "username"])
+    keys = ["day", "username"]
+    found = run_live(spark, read_files(spark, folder, USAGE), lambda batch: counters.day_counters(batch, TZ), str(tmp_path), keys)
+    before = sorted(tuple(row) for row in found.collect())
+    for _ in range(2):
+        sinks.compact_partials(spark, f"{tmp_path}/rows", keys)
+        assert sorted(tuple(row) for row in sinks.read_partials(spark, f"{tmp_path}/rows", keys).collect()) == before
+    assert os.listdir(f"{tmp_path}/rows/base") == ["upto=3"]
     expected = ledger.groupBy("day", "username").agg(
         F.count(F.lit(1)), F.coalesce(F.sum(F.expr("input_tokens + output_tokens + cache_creation_tokens + cache_read_tokens")), F.lit(0)))
     assert sorted(tuple(row) for row in found.select("day", "username", "requests", "tokens").collect()) == sorted(
@@ -83,8 +107,8 @@ def test_day_counters_equal_the_batch(spark, ledger_files, tmp_path):
 def test_minute_and_hour_totals(spark, ledger_files, tmp_path):
     folder, ledger = ledger_files
     for width, size in (("1 hour", 3_600_000), ("1 minute", 60_000)):
-        rows = counters.window_totals(read_files(spark, folder, USAGE), TZ, width)
-        found = run_updates(spark, rows, str(tmp_path / width.replace(" ", "")), ["window_start"])
+        found = run_live(spark, read_files(spark, folder, USAGE), lambda batch: counters.window_totals(batch, TZ, width),
+                         str(tmp_path / width.replace(" ", "")), ["window_start"])
         expected = ledger.groupBy((F.col("ts_ms") / size).cast("long")).agg(F.count(F.lit(1)).alias("n"), F.sum("cost_micros").alias("c"))
         assert sorted((row.reqs, row.cost_micros) for row in found.collect()) == sorted((row.n, row.c) for row in expected.collect())
     assert found.orderBy("window_start").first().window_start == "2024-01-01 00:00:00"
@@ -102,8 +126,7 @@ def log(seed, count=300):
 
 
 def decisions(spark, source, out, state, initial=None):
-    stream = admission.admission_stream(read_files(spark, source, SCHEMA), TZ, initial)
-    sinks.append_rows(stream, out, state).awaitTermination()
+    admission.admission_stream(read_files(spark, source, SCHEMA), TZ, out, state, initial).awaitTermination()
     return {row.id: row.decision for row in spark.read.parquet(out).collect()}
 
 
@@ -134,7 +157,7 @@ def test_admission_stream_starts_from_stored_counters(spark, tmp_path):
 def test_request_rate(spark, ledger_files, tmp_path):
     folder, ledger = ledger_files
     requests = read_files(spark, folder, USAGE).withColumn("start_ms", F.col("ts_ms"))
-    found = run_updates(spark, counters.request_rate(requests, TZ), str(tmp_path), ["window_start", "username"])
+    found = run_live(spark, requests, lambda batch: counters.request_rate(batch, TZ), str(tmp_path), ["window_start", "username"])
     assert found.agg(F.sum("reqs")).first()[0] == 6 * 400
 
 

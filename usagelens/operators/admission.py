@@ -1,42 +1,37 @@
 """Admission replay: which requests the daily and per-minute limits let in.
 
-A user's rule depends on earlier decisions, so it looks sequential.  It splits
-as follows for a user whose requests all carry the same limits.
-
-* No limit: every request is admitted; no shuffle.
-* Request limit: the position in the day decides; positions are counted in two
-  levels, so a day is spread over its minutes.
-* Per-minute limit: only the number of starts per millisecond matters.  The
-  sequential part reads these counts, at most one row per millisecond of a day.
-* Token limit: until the tokens run out it changes nothing, and after that
-  nothing is admitted that day.  So the decisions without it, with running token
-  sums over them, give the closing point.
-
-Users whose keys carry different limits are replayed row by row, one sorted
-stream per user and day in constant memory.
-
-Days are independent but for requests that finish on a later day: their tokens
-count there if they were admitted.  These are first all taken as admitted; days
-whose assumption proves wrong are decided again, until none is.  Every round
-settles at least one more day of each user, and only token limits need this.
+A decision depends on the decisions before it, of the same user and day, and on
+requests of earlier days that finish in it. It is found by rounds.
+
+* A round takes the decisions of the last one (at first: all are let in) and
+  sums up admitted requests and finished tokens before every start. The sums
+  tell which starts a daily limit refuses.
+* The per-minute rule then decides the others. A minute without starts empties
+  its window, so a day falls into stretches that are decided apart, on one row
+  for each time at which something starts.
+* Whatever is right before a start gives the right decision there, so every
+  round is right further than the last one, up to the next closing of a daily
+  limit. When nothing changes, all decisions are right.
+
+Only days with a changed decision, and days in which a changed request
+finishes, take part in the next round, and a round writes nothing but them.
 """
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
 from usagelens.functions.clock import local_day
-from usagelens.operators import replay
-from usagelens.operators.ordered import running_before
-from usagelens.runtime import materialize, small_side
+from usagelens.operators import minute
+from usagelens.operators.ordered import last_before, running_before
+from usagelens.runtime import materialize
 
-# Tasks get the replay code with the job, so executors need no installation.
-cloudpickle.register_pickle_by_value(replay)
+# Tasks get the rule with the job, so executors need no installation.
+cloudpickle.register_pickle_by_value(minute)
 
-MINUTE_MS = 60_000
+MINUTE_MS = minute.MINUTE_MS
+GROUP = ("username", "day")
 DECISION = ("id", "username", "day", "decision")
-_LIMITS = ("request_limit", "token_limit", "rpm_limit")
-_DECISION_SCHEMA = "id long, username string, day string, decision string"
-_TICK_SCHEMA = "username string, day string, start_ms long, admitted long, reason string"
+_TICKS = "username string, day string, at long, place long, let_in long"
 
 
 def _prepared(requests: DataFrame, tz: str) -> DataFrame:
@@ -45,152 +40,114 @@ def _prepared(requests: DataFrame, tz: str) -> DataFrame:
     def whole(name):
         return F.coalesce(F.col(name).cast("long"), zero)
 
-    # A request without a completion counts, but never adds tokens.
-    done = requests.withColumns({
-        "total_tokens": F.when(F.col("end_ms").isNotNull(), F.col("total_tokens")),
-        "end_ms": F.coalesce("end_ms", "start_ms"),
-    })
-    return done.select(
-        "id", "username", "start_ms", "end_ms", whole("total_tokens").alias("total"),
+    # A request without a completion counts, but never adds tokens; none completes before its start.
+    end = F.greatest(F.coalesce("end_ms", "start_ms"), "start_ms")
+    settled = F.col("settled") if "settled" in requests.columns else F.lit(None).cast("string")
+    weight = F.coalesce("weight", F.lit(1)) if "weight" in requests.columns else F.lit(1)
+    return requests.select(
+        "id", "username", weight.cast("long").alias("weight"), "start_ms", end.alias("end_ms"),
+        F.when(F.col("end_ms").isNotNull(), whole("total_tokens")).otherwise(zero).alias("total"),
         whole("daily_request_limit").alias("request_limit"),
         whole("daily_token_limit").alias("token_limit"),
         whole("rpm_limit").alias("rpm_limit"),
-        local_day("start_ms", tz).alias("day"), local_day("end_ms", tz).alias("end_day"))
-
-
-def _routes(rows: DataFrame) -> DataFrame:
-    """(username, route, tokens): how each user's requests are decided."""
-    bounds = [f(name).alias(f"{label}_{name}") for name in _LIMITS for label, f in (("lo", F.min), ("hi", F.max))]
-    profile = rows.groupBy("username").agg(*bounds, F.min("total").alias("least_total"))
-    uniform = F.lit(True)
-    for name in _LIMITS:
-        uniform = uniform & (F.col(f"lo_{name}") == F.col(f"hi_{name}"))
-    tokens = (F.col("lo_token_limit") != 0) | (F.col("hi_token_limit") != 0)
-    # Running sums only tell the closing point if no total is negative.
-    uniform = uniform & (~tokens | (F.col("least_total") >= 0))
-    route = (
-        F.when(~uniform, "stream")
-        .when(F.col("hi_rpm_limit") != 0, "ticks")
-        .when(F.col("hi_request_limit") != 0, "count")
-        .otherwise("free")
-    )
-    return profile.select("username", route.alias("route"), tokens.alias("tokens"))
-
-
-def _by_count(rows: DataFrame) -> DataFrame:
-    one = rows.withColumn("_one", F.lit(1).cast("long"))
-    placed = running_before(one, ["username", "day"], ["start_ms", "id"], {"_one": "_earlier"}, MINUTE_MS)
-    late = F.col("_earlier") >= F.col("request_limit")
-    return placed.withColumn("decision", F.when(late, "request_limit").otherwise("ok")).drop("_one", "_earlier")
-
-
-def _by_ticks(rows: DataFrame) -> DataFrame:
-    keys = ["username", "day", "start_ms"]
-    ticks = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("starts"),
-        F.first("request_limit").alias("request_limit"), F.first("rpm_limit").alias("rpm_limit"))
-    played = (
-        ticks.repartition("username", "day").sortWithinPartitions(*keys)
-        .mapInPandas(replay.replay_ticks, _TICK_SCHEMA)
-    )
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("id"))
-    placed = rows.withColumn("_place", place).join(played, keys)
-    inside = F.col("_place") <= F.col("admitted")
-    return placed.withColumn("decision", F.when(inside, "ok").otherwise(F.col("reason"))).drop(
-        "_place", "admitted", "reason")
-
+        local_day("start_ms", tz).alias("day"), local_day(end, tz).alias("end_day"), settled.alias("settled"))
 
-def _without_tokens(rows: DataFrame) -> DataFrame:
-    """Decisions of the uniform routes as if there were no token limit."""
-    free = rows.where(F.col("route") == "free").withColumn("decision", F.lit("ok"))
-    count = _by_count(rows.where(F.col("route") == "count"))
-    ticks = _by_ticks(rows.where(F.col("route") == "ticks"))
-    return free.unionByName(count).unionByName(ticks)
 
-
-def _close_by_tokens(judged: DataFrame, carry: DataFrame) -> DataFrame:
-    """Apply token limits to decisions made without them."""
+def _with_sums(rows: DataFrame, carry: DataFrame) -> DataFrame:
+    """Add admitted requests and finished tokens before each start, as far as ``admitted`` is right."""
     zero = F.lit(0).cast("long")
-    admitted = F.col("decision") == "ok"
     at_once = F.col("end_ms") == F.col("start_ms")
-    own = judged.select(
-        "username", "day", "id", "decision", "request_limit", "token_limit", "end_day",
-        F.inline(F.array(
-            F.struct(F.col("start_ms").alias("at"), F.lit(1).alias("phase"), F.lit(0).alias("step"),
-                     F.when(admitted, 1).otherwise(0).cast("long").alias("n"), zero.alias("tok")),
-            # A completion comes before starts of the same time, but after its own start.
-            F.struct(F.col("end_ms").alias("at"), F.when(at_once, 1).otherwise(0).alias("phase"),
-                     F.lit(1).alias("step"), zero.alias("n"), F.col("total").alias("tok")))))
-    is_start = F.col("step") == 0
-    own = own.where(is_start | (admitted & (F.col("end_day") == F.col("day")))).drop("end_day")
-    carried = carry.where("counted").select(
-        "username", F.col("end_day").alias("day"), "id", F.lit("ok").alias("decision"),
-        zero.alias("request_limit"), zero.alias("token_limit"), F.col("end_ms").alias("at"),
-        F.lit(0).alias("phase"), F.lit(1).alias("step"), zero.alias("n"), F.col("total").alias("tok"))
-    summed = running_before(own.unionByName(carried), ["username", "day"], ["at", "phase", "id", "step"],
-                            {"n": "_requests", "tok": "_tokens"}, MINUTE_MS)
-    # Read twice: for the closing points and for the decisions.
-    starts = materialize(summed.where(is_start).select(
-        "id", "username", "day", "at", "decision", "request_limit", "_requests",
-        (F.col("_tokens") >= F.col("token_limit")).alias("_closed")))
-    # The request counter stands still after closing, so the first closed start tells the reason.
-    full = (F.col("request_limit") != 0) & (F.col("_requests") >= F.col("request_limit"))
-    closing = starts.where("_closed").groupBy("username", "day").agg(
-        F.min_by(F.when(full, "request_limit").otherwise("token_limit"), F.struct("at", "id")).alias("_reason"))
-    return starts.join(small_side(closing), ["username", "day"], "left").select(
-        "id", "username", "day",
-        F.when(F.col("_closed"), F.col("_reason")).otherwise(F.col("decision")).alias("decision"))
-
-
-def _by_stream(rows: DataFrame, carry: DataFrame | None) -> DataFrame:
-    """Row-by-row replay of users with mixed limits, one sorted stream per user and day."""
-    same_day = F.col("end_day") == F.col("day")
-    starts = rows.select(
-        "username", "day", F.col("start_ms").alias("at"), F.lit(1).alias("phase"), "id", "end_ms",
-        F.when(same_day, F.col("total")).otherwise(F.lit(0).cast("long")).alias("total"), *_LIMITS)
-    if carry is not None:
-        zero = F.lit(0).cast("long")
-        starts = starts.unionByName(carry.where("counted").select(
-            "username", F.col("end_day").alias("day"), F.col("end_ms").alias("at"), F.lit(0).alias("phase"),
-            "id", "end_ms", "total", *[zero.alias(name) for name in _LIMITS]))
-    return (
-        starts.repartition("username", "day")
-        .sortWithinPartitions("username", "day", "at", "phase", "id")
-        .mapInPandas(replay.replay_days, _DECISION_SCHEMA)
+    own = rows.select(*rows.columns, F.inline(F.array(
+        F.struct(F.col("start_ms").alias("at"), F.lit(1).alias("phase"), F.lit(0).alias("step"),
+                 F.when(F.col("admitted"), F.col("weight")).otherwise(0).cast("long").alias("n"), zero.alias("tok")),
+        # A completion comes before starts of the same time, but after its own start.
+        F.struct(F.col("end_ms").alias("at"), F.when(at_once, 1).otherwise(0).alias("phase"), F.lit(1).alias("step"),
+                 zero.alias("n"), F.col("total").alias("tok")))))
+    own = own.where((F.col("step") == 0) | (F.col("admitted") & (F.col("end_day") == F.col("day")) & (F.col("tok") != 0)))
+    carried = carry.where("admitted").select(
+        "id", "username", F.col("end_day").alias("day"), F.col("end_ms").alias("at"), F.lit(0).alias("phase"),
+        F.lit(1).alias("step"), zero.alias("n"), F.col("total").alias("tok"))
+    events = own.unionByName(carried, allowMissingColumns=True)
+    summed = running_before(events, GROUP, ["at", "phase", "id", "step"], {"n": "_requests", "tok": "_tokens"}, MINUTE_MS)
+    return summed.where("step = 0").select(*rows.columns, "_requests", "_tokens")
+
+
+def _by_minute(rows: DataFrame) -> DataFrame:
+    """(id, username, day, in_minute) of rows with a per-minute limit."""
+    fixed = F.col("settled").isNotNull()
+    # Starts of one time count together where the day has one limit and nothing is decided yet, else each for itself.
+    limits = rows.groupBy(*GROUP).agg(
+        ((F.min("rpm_limit") == F.max("rpm_limit")) & ~F.bool_or(fixed)).alias("_one"))
+    placed = rows.join(limits, list(GROUP)).select(
+        "id", *GROUP, F.col("start_ms").alias("at"), "rpm_limit", fixed.alias("fixed"),
+        F.when(F.col("_one"), F.lit(-1).cast("long")).otherwise(F.col("id")).alias("place"))
+    ticks = placed.groupBy(*GROUP, "at", "place", "rpm_limit", "fixed").agg(F.count(F.lit(1)).alias("starts"))
+    times = ticks.select(*GROUP, "at").distinct().withColumn("_at", F.col("at"))
+    near = last_before(times, GROUP, "at", "_at", "_before", MINUTE_MS)
+    opens = F.coalesce(F.col("at") - F.col("_before") >= MINUTE_MS, F.lit(True)).cast("long")
+    counted = running_before(near.select(*GROUP, "at", opens.alias("_opens")), GROUP, ["at"], {"_opens": "_earlier"}, MINUTE_MS)
+    stretches = counted.select(*GROUP, "at", (F.col("_earlier") + F.col("_opens")).alias("stretch"))
+    order = [*GROUP, "stretch", "at", "place"]
+    let_in = (
+        ticks.join(stretches, [*GROUP, "at"]).repartition(*GROUP, "stretch").sortWithinPartitions(*order)
+        .mapInPandas(minute.admitted_starts, _TICKS)
     )
-
-
-def _with_tokens(judged: DataFrame, mixed: DataFrame) -> DataFrame:
-    """Decisions of the users with token limits, settled over day borders."""
-    group = ["username", "day"]
-
-    def spans(rows, guess):
-        return rows.where(F.col("end_day") != F.col("day")).select(
-            "id", "username", "day", "end_day", "end_ms", "total", "route", guess.alias("counted"))
-
-    def decide(uniform, streamed, carry):
-        closed = _close_by_tokens(uniform, carry.where(F.col("route") != "stream"))
-        played = _by_stream(streamed, carry.where(F.col("route") == "stream"))
-        return closed.unionByName(played)
-
-    carry = materialize(spans(judged, F.col("decision") == "ok").unionByName(spans(mixed, F.lit(True))))
-    decisions = decide(judged, mixed, carry)
-    if carry.isEmpty():
-        return decisions
-    decisions = materialize(decisions)
+    rank = F.row_number().over(Window.partitionBy(*GROUP, "at", "place").orderBy("id"))
+    return placed.withColumn("_rank", rank).join(let_in, [*GROUP, "at", "place"]).select(
+        "id", *GROUP, (F.col("_rank") <= F.col("let_in")).alias("in_minute"))
+
+
+def _decide(rows: DataFrame, carry: DataFrame) -> DataFrame:
+    """``rows`` with the decisions that follow from ``admitted``."""
+    limited = (F.col("request_limit") != 0) & (F.col("_requests") >= F.col("request_limit"))
+    empty = (F.col("token_limit") != 0) & (F.col("_tokens") >= F.col("token_limit"))
+    tested = materialize(_with_sums(rows, carry).select(*rows.columns, F.when(
+        F.col("settled").isNotNull(), F.col("settled")).when(limited, "request_limit").when(empty, "token_limit").alias(
+        "_daily")))
+    # Refused starts leave no trace in the minute, and starts without a limit neither.
+    open_ = tested.where((F.col("rpm_limit") != 0) & (F.col("_daily").isNull() | (F.col("settled") == "ok")))
+    return tested.join(_by_minute(open_), ["id", *GROUP], "left").select(
+        *rows.columns, F.coalesce("_daily", F.when(F.col("in_minute") == F.lit(False), "rpm"), F.lit("ok")).alias("decision"))
+
+
+def _rounds(rows: DataFrame) -> DataFrame:
+    """Decisions of users with limits."""
+    spark = rows.sparkSession
+    daily = materialize(rows.where("(request_limit != 0 OR token_limit != 0) AND settled IS NULL").select(*GROUP).distinct())
+
+    def crossing(decided):
+        return decided.where((F.col("end_day") != F.col("day")) & (F.col("total") != 0)).select(
+            "id", "username", "day", "end_day", "end_ms", "total", "admitted")
+
+    first = F.coalesce(F.col("settled") == "ok", F.lit(True))
+    now = rows.withColumn("admitted", first)
+    carry = materialize(crossing(now))
+    parts: list[DataFrame] = []  # what each round has decided
+    latest = None  # (username, day, round)
+    groups = None
     while True:
-        found = decisions.select("id", (F.col("decision") == "ok").alias("_admitted"))
-        checked = materialize(carry.join(found, "id"))
-        wrong = checked.where(F.col("counted") != F.col("_admitted"))
-        days = wrong.select("username", F.col("end_day").alias("day")).distinct()
-        if days.isEmpty():
-            return decisions
-        carry = checked.withColumn("counted", F.col("_admitted")).drop("_admitted")
-        ends = days.withColumnRenamed("day", "end_day")
-        again = decide(judged.join(days, group, "left_semi"), mixed.join(days, group, "left_semi"),
-                       carry.join(ends, ["username", "end_day"], "left_semi"))
-        # A day may get completions without having starts of its own.
-        decisions = materialize(decisions.join(days, group, "left_anti").unionByName(again))
+        number = len(parts)
+        decided = materialize(_decide(now, carry).withColumns(
+            {"was": F.col("admitted"), "admitted": F.col("decision") == "ok", "round": F.lit(number)}))
+        parts.append(decided)
+        own = decided.select(*GROUP).distinct().withColumn("round", F.lit(number))
+        newest = own if latest is None else latest.unionByName(own).groupBy(*GROUP).agg(F.max("round").alias("round"))
+        latest = materialize(newest)
+        changed = decided.where("admitted != was")
+        days = changed.select(*GROUP).union(
+            changed.where("total != 0").select("username", F.col("end_day").alias("day"))).distinct()
+        groups = materialize(days.join(daily, list(GROUP), "left_semi"))
+        every = parts[0]
+        for part in parts[1:]:
+            every = every.unionByName(part)
+        current = every.join(latest, [*GROUP, "round"], "left_semi")
+        if groups.isEmpty():
+            return current
+        if not carry.isEmpty():
+            moved = crossing(changed).select("id", *GROUP, F.col("admitted").alias("_now"))
+            carry = materialize(carry.join(moved, ["id", *GROUP], "left").withColumn(
+                "admitted", F.coalesce("_now", "admitted")).drop("_now"))
+        now = current.join(groups, list(GROUP), "left_semi").select(*rows.columns, "admitted")
 
 
 def admission_replay(requests: DataFrame, tz: str) -> DataFrame:
@@ -200,18 +157,16 @@ def admission_replay(requests: DataFrame, tz: str) -> DataFrame:
     of its own key: daily_request_limit, daily_token_limit, rpm_limit (NULL or 0
     never binds).  Decisions are ok, request_limit, token_limit and rpm.  Starts
     are taken in the order (start_ms, id); a completion comes before a start of
-    the same time.
+    the same time.  A row with a decision in ``settled`` keeps it and counts
+    with it, as many times as its ``weight`` says; only the others are decided
+    and returned.
 
-    The rows are staged once in the shared folder, split by route, so each route
-    reads only its own rows.
+    Users without any limit need no shuffle.  Rows are staged once in the shared
+    folder.
     """
-    rows = _prepared(requests, tz)
-    routes = materialize(_routes(rows))
-    staged = materialize(rows.join(small_side(routes), "username"), "route", "tokens")
-    judged, mixed = _without_tokens(staged), staged.where(F.col("route") == "stream")
-    settled = judged.where(~F.col("tokens")).select(*DECISION).unionByName(
-        _by_stream(mixed.where(~F.col("tokens")), None))
-    if routes.where("tokens").isEmpty():
-        return settled
-    limited = materialize(judged.where("tokens"))
-    return settled.unionByName(_with_tokens(limited, mixed.where("tokens")))
+    rows = materialize(_prepared(requests, tz))
+    limits = F.greatest("request_limit", "token_limit", "rpm_limit") != 0
+    bound = materialize(rows.where(limits & F.col("settled").isNull()).select("username").distinct())
+    free = rows.join(bound, "username", "left_anti").where("settled IS NULL").withColumn("decision", F.lit("ok"))
+    limited = _rounds(rows.join(bound, "username", "left_semi")).where("settled IS NULL")
+    return free.select(*DECISION).unionByName(limited.select(*DECISION))

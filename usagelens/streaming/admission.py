@@ -1,109 +1,66 @@
-"""Admission as a stateful stream, one state per user."""
+"""Admission over a stream: each micro-batch is decided after what has been decided before."""
 
-import sys
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor
+from usagelens.functions.clock import epoch_ms, local_day
+from usagelens.operators.admission import admission_replay
+from usagelens.streaming.sinks import ONCE_THROUGH
 
-from usagelens.functions.clock import local_day
-from usagelens.operators import replay
+REQUEST = ("id", "username", "start_ms", "end_ms", "total_tokens", "daily_request_limit", "daily_token_limit", "rpm_limit")
+_HISTORY = ("id long, username string, start_ms long, end_ms long, total_tokens long, daily_request_limit long, "
+            "daily_token_limit long, rpm_limit long, day string, end_day string, decision string, batch_id long")
 
-cloudpickle.register_pickle_by_value(replay)
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_OUTPUT = "id long, username string, day string, decision string"
+def _history(spark, path: str, batch_id: int) -> DataFrame:
+    """What earlier batches have decided; a batch that is run again does not see itself."""
+    try:
+        rows = spark.read.schema(_HISTORY).option("basePath", path).parquet(path)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        rows = spark.createDataFrame([], _HISTORY)
+    return rows.where(F.col("batch_id") < batch_id)
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """The stateful operator needs a state store with column families."""
-    if ROCKSDB not in spark.conf.get(PROVIDER, ""):
-        spark.conf.set(PROVIDER, ROCKSDB)
+def admission_stream(requests: DataFrame, tz: str, path: str, checkpoint: str, opening: DataFrame | None = None,
+                     **trigger) -> StreamingQuery:
+    """Append the decisions of finished requests to ``path``, columns as for the batch replay.
 
-
-class AdmissionProcessor(StatefulProcessor):
-    """Counters, the trailing minute and the open requests of one user.
-
-    The rows of one user in one micro-batch are sorted by start time; the batch
-    size bounds them.  A start that arrives after a later one is judged at the
-    later time, as a live service would.
-    """
-
-    def init(self, handle):
-        self.counters = handle.getValueState("counters", "day string, requests long, tokens long, last long")
-        self.recent = handle.getListState("recent", "at long")
-        self.pending = handle.getListState("pending", "end_ms long, end_day string, total long")
-
-    def handleInitialState(self, key, initialState, timerValues):
-        row = initialState.iloc[0]
-        self.counters.update((str(row["day"]), int(row["requests"]), int(row["tokens"]), 0))
-
-    def handleInputRows(self, key, rows, timerValues):
-        import heapq
-
-        import pandas as pd
-
-        from_state = self.counters.get() if self.counters.exists() else (None, 0, 0, 0)
-        day, requests, tokens, last = from_state
-        counters = replay.Counters(requests, tokens, sorted(row[0] for row in self.recent.get()))
-        waiting = [tuple(row) for row in self.pending.get()]
-        heapq.heapify(waiting)
-
-        def enter(new_day):
-            nonlocal day, counters
-            if new_day != day:
-                day, counters = new_day, replay.Counters()
-
-        out = []
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["start_ms", "id"])
-        columns = [batch[name].tolist() for name in (
-            "id", "start_ms", "day", "end_ms", "end_day", "total",
-            "request_limit", "token_limit", "rpm_limit")]
-        for row, start, start_day, end, end_day, total, request_limit, token_limit, rpm_limit in zip(*columns):
-            if start < last:
-                start, start_day = last, day or start_day
-            last = start
-            while waiting and waiting[0][0] <= start:
-                _, finished_day, finished = heapq.heappop(waiting)
-                enter(finished_day)
-                counters.tokens += finished
-            enter(start_day)
-            decision = counters.start(start, request_limit, token_limit, rpm_limit)
-            if decision == "ok" and total:
-                heapq.heappush(waiting, (end, end_day, total))
-            out.append((row, key[0], start_day, decision))
-        self.counters.update((day, counters.requests, counters.tokens, last))
-        self.recent.put([(at,) for at in counters.recent]) if counters.recent else self.recent.clear()
-        self.pending.put(waiting) if waiting else self.pending.clear()
-        yield pd.DataFrame(out, columns=["id", "username", "day", "decision"])
-
-    def close(self):
-        pass
-
-
-def admission_stream(requests: DataFrame, tz: str, counters: DataFrame | None = None) -> DataFrame:
-    """Decisions on a stream of finished requests, columns as for the batch replay.
-
-    ``counters`` (username, day, requests, tokens) restores today's counters
-    after a restart without a checkpoint.
+    The rows of a batch meet the settled requests of their own users and days, and those that finish in them. Decisions
+    stay as they are once written: a start that comes late is judged at its own time, with everything counted that has
+    been let in by then. ``opening`` (username, day, requests, tokens) are counters from before the stream. The
+    source's options bound the size of a batch.
     """
-    use_rocksdb(requests.sparkSession)
-    zero = F.lit(0).cast("long")
-
-    def whole(name):
-        return F.coalesce(F.col(name).cast("long"), zero)
-
-    rows = requests.select(
-        "id", "username", "start_ms", local_day("start_ms", tz).alias("day"),
-        F.coalesce("end_ms", "start_ms").alias("end_ms"),
-        local_day(F.coalesce("end_ms", "start_ms"), tz).alias("end_day"),
-        F.when(F.col("end_ms").isNotNull(), whole("total_tokens")).otherwise(zero).alias("total"),
-        whole("daily_request_limit").alias("request_limit"),
-        whole("daily_token_limit").alias("token_limit"), whole("rpm_limit").alias("rpm_limit"))
-    initial = None if counters is None else counters.select(
-        "username", "day", "requests", "tokens").groupBy("username")
-    return rows.groupBy("username").transformWithStateInPandas(
-        statefulProcessor=AdmissionProcessor(), outputStructType=_OUTPUT, outputMode="Append",
-        timeMode="None", initialState=initial)
+    def save(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.select(*REQUEST).withColumns({
+            "day": local_day("start_ms", tz), "end_day": local_day(F.coalesce("end_ms", "start_ms"), tz)})
+        days = fresh.select("username", "day").distinct()
+        past = _history(spark, path, batch_id).withColumnRenamed("decision", "settled")
+        same = past.join(days, ["username", "day"], "left_semi")
+        ending = past.where("day != end_day AND settled = 'ok'").join(
+            days.withColumnRenamed("day", "end_day"), ["username", "end_day"], "left_semi").join(
+            days, ["username", "day"], "left_anti")
+        known = same.unionByName(ending).select(*REQUEST, "settled")
+        if opening is not None:
+            known = known.unionByName(_opening_rows(opening, days, tz), allowMissingColumns=True)
+        every = fresh.select(*REQUEST, F.lit(None).cast("string").alias("settled")).unionByName(known, allowMissingColumns=True)
+        found = admission_replay(every, tz).select("id", "decision")
+        fresh.join(found, "id").select(*REQUEST, "day", "end_day", "decision").write.mode("overwrite").parquet(
+            f"{path}/batch_id={batch_id}")
+
+    return (
+        requests.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or ONCE_THROUGH)).start()
+    )
+
+
+def _opening_rows(opening: DataFrame, days: DataFrame, tz: str) -> DataFrame:
+    """Stored counters as one settled request of their weight at the beginning of the day."""
+    begin = epoch_ms(F.to_timestamp_ntz("day", F.lit("yyyy-MM-dd")), tz)
+    limits = [F.lit(None).cast("long").alias(name) for name in REQUEST[5:]]
+    return opening.join(days, ["username", "day"], "left_semi").select(
+        F.lit(-1).cast("long").alias("id"), "username", begin.alias("start_ms"), begin.alias("end_ms"),
+        F.col("tokens").alias("total_tokens"), *limits, F.lit("ok").alias("settled"), F.col("requests").alias("weight"))

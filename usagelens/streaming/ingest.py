@@ -1,33 +1,29 @@
 """Continuous ledger ingest from finished responses."""
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from usagelens.functions.clock import local_day
-from usagelens.functions.pricing import PriceBook, attach_cost
-from usagelens.functions.tokens import attach_document, attach_usage_counts, member
-from usagelens.operators.extract import ERROR_CHARS
-from usagelens.schema import TOKEN_COLUMNS, USAGE
-from usagelens.sources.ledger import conform
+from usagelens.functions.pricing import PriceBook
+from usagelens.operators.extract import ledger_rows
+from usagelens.runtime import materialize
+from usagelens.sources.ledger import append_new
+from usagelens.streaming.sinks import ONCE_THROUGH
 
 
-def ingest(responses: DataFrame, book: PriceBook, tz: str, lateness: str = "1 hour") -> DataFrame:
-    """Finished responses to ledger rows, each request once.
+def ingest(responses: DataFrame, book: PriceBook, tz: str, path: str, checkpoint: str,
+           error_chars: int | None = None, **trigger) -> StreamingQuery:
+    """Append finished responses to the ledger at ``path``, each request once, however late it comes.
 
-    ``responses`` has request_id, ts_ms, start_ms, username, api_key, model,
-    stream, client, status, path, error and body.  A request that is delivered
-    again within ``lateness`` of event time is dropped.  The price lookup is an
-    expression, so the stream has no join.
+    ``responses`` has request_id, ts_ms, start_ms, username, api_key, model, stream, client, status, path, error and
+    body. A batch goes through the same assembly as a batch job, JSON bodies and event streams alike. Rows whose id the
+    ledger already has on their day are left out, so a batch that is run again after a failure adds nothing twice; no
+    row is dropped by its time. The source's options bound the size of a batch.
     """
-    timed = responses.withColumn("finished_at", F.timestamp_millis("ts_ms")).withWatermark("finished_at", lateness)
-    once = timed.dropDuplicatesWithinWatermark(["request_id"])
-    success = F.col("status").between(200, 299)
-    parsed = attach_document(once, "body", "_doc").withColumn(
-        "usage", F.when(success, member(F.col("_doc"), "$.usage")))
-    rows = attach_usage_counts(parsed).withColumns({
-        "id": F.col("request_id"),
-        "day": local_day("ts_ms", tz),
-        "latency_ms": F.col("ts_ms") - F.col("start_ms"),
-        "error": F.substring("error", 1, ERROR_CHARS),
-        **{name: F.coalesce(F.col(name), F.lit(0).cast("long")) for name in TOKEN_COLUMNS},
-    })
-    return conform(attach_cost(rows, book), USAGE)
+    def save(batch: DataFrame, batch_id: int) -> None:
+        rows = materialize(batch.dropDuplicates(["request_id"]))
+        append_new(ledger_rows(rows, book, tz, error_chars), path)
+
+    return (
+        responses.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or ONCE_THROUGH)).start()
+    )

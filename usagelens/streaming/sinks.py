@@ -1,49 +1,72 @@
-"""Restartable sinks in the shared folder."""
+"""Live aggregates in the shared folder: one partial result per micro-batch, merged on reading."""
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from usagelens.runtime import remove_folder
+
 ONCE_THROUGH = {"availableNow": True}
 
 
-def append_by_day(rows: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Append finished rows to a ledger folder; the file sink commits each batch once.
+def write_partials(rows: DataFrame, aggregate: Callable[[DataFrame], DataFrame], path: str, checkpoint: str,
+                   **trigger) -> StreamingQuery:
+    """Write the ``aggregate`` of each micro-batch to a folder of that batch.
 
-    ``trigger`` is passed on, e.g. ``processingTime="1 minute"``; the default
-    takes what is there and stops.
+    Counts and sums of batches add up, so no state is kept and a row counts however late it comes. A batch that is run
+    again after a failure overwrites its own folder. The default trigger takes what is there and stops; the source's
+    options bound the size of a batch.
     """
-    return _appending(rows, path, checkpoint, trigger).partitionBy("day").start()
+    def save(batch: DataFrame, batch_id: int) -> None:
+        aggregate(batch).write.mode("overwrite").parquet(f"{path}/partial/batch_id={batch_id}")
 
+    return (
+        rows.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or ONCE_THROUGH)).start()
+    )
 
-def append_rows(rows: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    return _appending(rows, path, checkpoint, trigger).start()
 
+def _stored(spark: SparkSession, path: str, kind: str) -> DataFrame | None:
+    try:
+        return spark.read.option("basePath", f"{path}/{kind}").parquet(f"{path}/{kind}")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return None
 
-def _appending(rows, path, checkpoint, trigger):
-    return (
-        rows.writeStream.format("parquet").outputMode("append")
-        .option("path", path).option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or ONCE_THROUGH))
-    )
 
+def _parts(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """Rows of the last compaction and of all batches after it, and the last batch that the compaction holds."""
+    base, partial = _stored(spark, path, "base"), _stored(spark, path, "partial")
+    upto = -1 if base is None else base.agg(F.max("upto")).first()[0]
+    if upto is None:
+        upto = -1
+    rows = partial.where(F.col("batch_id") > upto).drop("batch_id")
+    if base is not None:
+        rows = rows.unionByName(base.where(F.col("upto") == upto).drop("upto"))
+    return rows, upto
 
-def write_updates(rows: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Write the groups each batch changed to a folder of that batch.
 
-    A batch that is run again after a failure overwrites its own folder.
-    """
-    def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def _merged(rows: DataFrame, keys) -> DataFrame:
+    return rows.groupBy(*keys).agg(*[F.sum(name).alias(name) for name in rows.columns if name not in keys])
 
-    return (
-        rows.writeStream.outputMode("update").foreachBatch(save)
-        .option("checkpointLocation", checkpoint).trigger(**(trigger or ONCE_THROUGH)).start()
-    )
 
+def read_partials(spark: SparkSession, path: str, keys) -> DataFrame:
+    """Current value of every group."""
+    return _merged(_parts(spark, path)[0], keys)
 
-def read_updates(spark: SparkSession, path: str, keys) -> DataFrame:
-    """Current value of every group written by ``write_updates``."""
-    rows = spark.read.option("basePath", path).parquet(path)
-    values = [name for name in rows.columns if name not in (*keys, "batch_id")]
-    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_latest"))
-    return latest.select(*keys, "_latest.*")
+
+def compact_partials(spark: SparkSession, path: str, keys) -> None:
+    """Merge all batches so far into one folder, so that reading does not grow with their number.
+
+    Readers take a compaction only when it is whole. Folders it replaces are removed after that.
+    """
+    last = _stored(spark, path, "partial").agg(F.max("batch_id")).first()[0]
+    rows, upto = _parts(spark, path)
+    if last is None or last <= upto:
+        return
+    _merged(rows, keys).write.mode("overwrite").parquet(f"{path}/base/upto={last}")
+    if upto >= 0:
+        remove_folder(spark, f"{path}/base/upto={upto}")
