@@ -123,14 +123,46 @@ def test_request_facts(spark):
 
 def test_assembly(spark):
     rows = [(1, "a", "k", "gpt-5.5", 1, "cli", 200, 1704038400000 - 10, 1704038400000, "/p", None),
-            (2, "a", "k", "gpt-5.5", 0, "cli", 500, 1704038400000 - 10, 1704038399999, "/p", "e" * 300)]
+            (2, "a", "k", "gpt-5.5", 0, "cli", 500, 1704038400000 - 10, 1704038399999, "/p", "e" * 300),
+            (3, "a", "k", "gpt-5.5", 1, "cli", 200, 1704038400000, 1704038400001, "/p", None),
+            (4, "a", "k", "gpt-5.5", 0, "cli", 200, 1704038400000, 1704038400001, "/p", None),
+            (5, "a", "k", "gpt-5.5", 1, "cli", None, 1704038400000, 1704038400001, "/p", None)]
     requests = spark.createDataFrame(rows, "request_id long, username string, api_key string, model string, stream int, "
                                            "client string, status int, start_ms long, ts_ms long, path string, error string")
-    counts = spark.createDataFrame([(1, 10, 20, 0, 0), (2, 10, 20, 0, 0)],
-                                   "request_id long, input_tokens long, output_tokens long, cache_creation_tokens long, cache_read_tokens long")
+    counts = spark.createDataFrame(
+        [(1, 10, 20, 0, 0, False), (2, 10, 20, 0, 0, False), (3, 0, 0, 0, 0, True), (4, 0, 0, 0, 0, True), (5, 9, 9, 9, 9, True)],
+        "request_id long, input_tokens long, output_tokens long, cache_creation_tokens long, cache_read_tokens long, "
+        "parse_error boolean")
     found = {row.id: row for row in extract.assemble_usage(requests, counts, default_prices(), "Asia/Shanghai").collect()}
     assert (found[1].day, found[1].cost_micros, found[1].latency_ms) == ("2024-01-01", 650, 10)
-    assert (found[2].day, found[2].input_tokens, found[2].cost_micros, len(found[2].error)) == ("2023-12-31", 0, 0, 200)
+    assert (found[2].day, found[2].input_tokens, found[2].cost_micros, len(found[2].error)) == ("2023-12-31", 0, 0, 300)
+    # A stream without a readable usage failed; a body without one did not.
+    assert [(found[i].status, found[i].error) for i in (3, 4, 5)] == [extract.VOID_STREAM, (200, None), (None, None)]
+    cut = extract.assemble_usage(requests, counts, default_prices(), "Asia/Shanghai", error_chars=200)
+    assert max(len(row.error or "") for row in cut.collect()) == 200
+
+
+def test_long_values_and_equal_keys(spark):
+    """Text values beyond the parser's limit of twenty million characters; of equal keys the last one counts."""
+    long = "x\\\"é" * 5_500_000
+    usage = '"usage":{"input_tokens":1,"input_tokens":7,"output_tokens":3}'
+    bodies = [(1, f'{{"t":"{long}",{usage}}}'), (2, f'{{"a":1,"a":2,{usage}}}'), (3, f'{{"t":"{long}",{usage}')]
+    found = extract.extract_json_usage(spark.createDataFrame(bodies, "request_id long, body string")).collect()
+    assert [(row.input_tokens, row.output_tokens, row.parse_error) for row in sorted(found)] == [
+        (7, 3, False), (7, 3, False), (0, 0, True)]
+    chunks = [(row, 0, f"data: {body}\n\n") for row, body in bodies]
+    streams = extract.extract_sse_usage(spark.createDataFrame(chunks, "request_id long, seq long, chunk string")).collect()
+    assert [(row.input_tokens, row.output_tokens, row.parse_error) for row in sorted(streams)] == [
+        (7, 3, False), (7, 3, False), (0, 0, True)]
+
+
+def test_chunk_numbers_from_any_start(spark):
+    line = 'data: {"usage":{"input_tokens":7,"output_tokens":3}}\n'
+    for start, per_slice in ((-1, 2048), (-30, 4), (2047, 2048), (10 ** 12, 3)):
+        chunks = [(1, start + i, line[i:i + 1]) for i in range(len(line))]
+        found = extract.extract_sse_usage(
+            spark.createDataFrame(chunks, "request_id long, seq long, chunk string"), per_slice).first()
+        assert (found.input_tokens, found.output_tokens, found.parse_error) == (7, 3, False)
 
 
 def payload_ids(spark, payloads):

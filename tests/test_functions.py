@@ -37,9 +37,9 @@ def test_cost_edges(spark):
         ("gpt-5.5", 10, 0, 0, -5),       # negative cached counts as none
         ("gpt-6-luna", 0, 1, 0, 0),      # half a micro-dollar rounds up
         ("gpt-5.5", None, None, None, None),
-        ("gpt-5.5", 1, -1, 0, 0),        # data error
+        ("gpt-5.5", 1, -1, 0, 0),        # negative counts are priced too
     ]
-    assert costs(spark, rows) == [12 * M, 0, 4, 0, 0, 0, 0, 5, 50, 1, 0, None]
+    assert costs(spark, rows) == [12 * M, 0, 4, 0, 0, 0, 0, 5, 50, 1, 0, -25]
 
 
 def test_longest_prefix_wins_both_ways(spark):

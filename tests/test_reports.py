@@ -199,8 +199,37 @@ def test_reprice(spark, tmp_path):
     assert sorted(rows(again, "id", "cost_micros")) == [(1, 24_000_000), (2, 0), (3, 0)]
     assert rows(reprice.reprice_preview(again, book)) == [(1, 0, 24_000_000, 24_000_000)]
     assert rows(reprice.reprice_days(frame, book)) == [("2024-01-01",)]
-    reprice.write_repriced(frame, book, str(tmp_path / "v2"))
-    assert sorted(rows(read_usage(spark, str(tmp_path / "v2")), "id", "cost_micros")) == [(1, 24_000_000), (2, 0), (3, 0)]
+    source, copy = str(tmp_path / "v1"), str(tmp_path / "v2")
+    append_usage(frame, source)
+    for _ in range(2):
+        reprice.write_repriced(spark, source, book, copy)
+        assert sorted(rows(read_usage(spark, copy), "id", "cost_micros")) == [(1, 24_000_000), (2, 0), (3, 0)]
+    with pytest.raises(ValueError):
+        reprice.write_repriced(spark, source, book, source + "/")
+
+
+def test_reprice_in_place_touches_changed_days_only(spark, tmp_path):
+    import os
+
+    book, path = default_prices(), str(tmp_path / "ledger")
+    right = {**REPRICE[0], "id": 9, "day": "2024-01-02", "cost_micros": 24_000_000}
+    append_usage(usage(spark, [*REPRICE, right]), path)
+    kept = os.listdir(f"{path}/day=2024-01-02")
+    for _ in range(2):
+        reprice.reprice_ledger(spark, path, book)
+        assert sorted(rows(read_usage(spark, path), "id", "cost_micros")) == [
+            (1, 24_000_000), (2, 0), (3, 0), (9, 24_000_000)]
+    assert os.listdir(f"{path}/day=2024-01-02") == kept
+
+
+def test_rounding_of_imported_rows_is_no_change(spark):
+    """Costs kept as floating-point dollars may be a micro-dollar off; with that tolerance nothing changes."""
+    book = default_prices()
+    frame = usage(spark, [{"id": 1, "model": "gpt-5.6-sol", "input_tokens": 10**6, "output_tokens": 10**6, "cost_micros": 23_999_999}])
+    assert rows(reprice.reprice_preview(frame, book)) == [(1, 1, 23_999_999, 24_000_000)]
+    assert rows(reprice.reprice_preview(frame, book, reprice.ROUNDING_MICROS)) == [(1, 0, 23_999_999, 23_999_999)]
+    assert rows(reprice.reprice_apply(frame, book, reprice.ROUNDING_MICROS), "cost_micros") == [(23_999_999,)]
+    assert rows(reprice.reprice_days(frame, book, reprice.ROUNDING_MICROS)) == []
 
 
 def test_reprice_with_a_missing_cost(spark):

@@ -13,7 +13,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from usagelens.runtime import materialize, small_side
+from usagelens.runtime import materialize
 from usagelens.schema import PRICES
 
 # USD per million tokens (prefix, input, output, cache write, cache read).
@@ -36,9 +36,6 @@ DEFAULT_PRICES = (
 # stage; a longer book is joined to the distinct models instead.
 INLINE_PREFIXES = 48
 
-# A price book is a driver-side value, so its size is bounded on loading.
-MAX_PREFIXES = 5_000
-
 _PARTS = ("in_milli", "out_milli", "cw_milli", "cr_milli")
 
 
@@ -59,8 +56,6 @@ class PriceBook:
 
     def __post_init__(self):
         prefixes = [row[0] for row in self.rows]
-        if len(prefixes) > MAX_PREFIXES:
-            raise ValueError(f"more than {MAX_PREFIXES} prefixes")
         if len(set(prefixes)) != len(prefixes):
             raise ValueError("duplicate prefix")
         if any(not prefix for prefix in prefixes):
@@ -80,9 +75,8 @@ class PriceBook:
 
     @classmethod
     def from_dataframe(cls, prices: DataFrame) -> "PriceBook":
-        """Fetch a price table; the fetch itself is bounded."""
-        rows = prices.select("prefix", *_PARTS).limit(MAX_PREFIXES + 1).collect()
-        return cls(tuple(tuple(row) for row in rows))
+        """Fetch a price table, a hand-kept list of model prefixes."""
+        return cls(tuple(tuple(row) for row in prices.select("prefix", *_PARTS).collect()))
 
     def dataframe(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(list(self.rows), PRICES)
@@ -114,14 +108,16 @@ def attach_prices(rows: DataFrame, book: PriceBook, model: str = "model",
 
     A short book becomes a CASE expression: no join, no shuffle.  A longer book
     is matched against the distinct models, cut to every prefix length that
-    occurs, by an equi-join; the result is staged, counted and joined back by
-    model.  On a stream every book is an expression.
+    occurs, by an equi-join; the result is staged and joined back by model.  A
+    stream joins each row with the prefixes of its model, as a static table.
     """
-    if rows.isStreaming or len(book.rows) <= inline_prefixes:
+    if len(book.rows) <= inline_prefixes:
         priced = rows.withColumn("price", price_expression(model, book))
+    elif rows.isStreaming:
+        priced = _prices_of_stream(rows, book, model)
     else:
         spark = rows.sparkSession
-        prices = F.broadcast(book.dataframe(spark))  # at most MAX_PREFIXES rows
+        prices = book.dataframe(spark)
         lengths = sorted({len(row[0]) for row in book.rows})
         cuts = F.explode(F.array(*[
             F.when(F.length("_model") >= n, F.substring("_model", 1, n)) for n in lengths
@@ -133,11 +129,24 @@ def attach_prices(rows: DataFrame, book: PriceBook, model: str = "model",
             .groupBy("_model")
             .agg(F.max_by(F.struct("prefix", *_PARTS), F.length("prefix")).alias("price"))
         )
-        best = small_side(materialize(best))
+        best = materialize(best)
         priced = rows.join(best, F.col(model) == F.col("_model"), "left").drop("_model")
     return priced.withColumn("priced", F.col("price").isNotNull())
 
 
+def _prices_of_stream(rows: DataFrame, book: PriceBook, model: str) -> DataFrame:
+    """One left join with a map of the book for each prefix length, the longest first."""
+    prices = book.dataframe(rows.sparkSession)
+    found = rows
+    lengths = sorted({len(row[0]) for row in book.rows}, reverse=True)
+    for n in lengths:
+        part = prices.where(F.length("prefix") == n).select(
+            F.col("prefix").alias(f"_cut_{n}"), F.struct("prefix", *_PARTS).alias(f"_price_{n}"))
+        found = found.join(part, F.substring(model, 1, n) == F.col(f"_cut_{n}"), "left").drop(f"_cut_{n}")
+    return found.withColumn("price", F.coalesce(*[f"_price_{n}" for n in lengths])).drop(
+        *[f"_price_{n}" for n in lengths])
+
+
 def _count(name: str) -> Column:
     """A count is zero where it is NULL."""
     return F.coalesce(F.col(name).cast("long"), F.lit(0).cast("long"))
@@ -147,8 +156,9 @@ def attach_cost(rows: DataFrame, book: PriceBook, target: str = "cost_micros") -
     """Price usage rows: adds ``target`` and ``priced``.
 
     The cost is in micro-dollars, half a micro-dollar rounded up.  Cached input
-    is part of the input and priced apart.  Negative output or cache-write counts
-    are data errors and give a NULL cost.  A row without a price costs nothing.
+    is part of the input and priced apart.  Negative output and cache-write counts
+    are priced like others, so the cost can be negative; it is never NULL.  A row
+    without a price costs nothing.
     """
     zero = F.lit(0).cast("long")
     whole = F.greatest(_count("input_tokens"), zero)
@@ -165,9 +175,9 @@ def attach_cost(rows: DataFrame, book: PriceBook, target: str = "cost_micros") -
         + F.col("_write") * price["cw_milli"]
         + F.col("_cached") * price["cr_milli"]
     )
-    micros = F.call_function("div", F.coalesce(nanos, zero) + 500, F.lit(1000).cast("long"))
-    sound = (F.col("_out") >= 0) & (F.col("_write") >= 0)
-    return priced.withColumn(target, F.when(sound, micros)).drop("price", "_whole", "_cached", "_out", "_write")
+    half_up = F.coalesce(nanos, zero) + 500
+    micros = F.call_function("div", half_up - F.pmod(half_up, F.lit(1000).cast("long")), F.lit(1000).cast("long"))
+    return priced.withColumn(target, micros).drop("price", "_whole", "_cached", "_out", "_write")
 
 
 def round_micros(micros, digits: int) -> Column:

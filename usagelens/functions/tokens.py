@@ -10,19 +10,31 @@ from pyspark.sql import Column, DataFrame, functions as F
 # Line breaks of a text stream: CR, LF, VT, FF, FS, GS, RS, NEL, LS and PS.
 LINE_BREAK = r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
+# Text values are cut to this many characters before a long document is parsed; counts never stand in longer ones.
+KEPT_TEXT = 1000
+LONG_DOCUMENT = 1_000_000
+_TEXT_VALUE = (r'(?s)("(?:[^"\\]|\\u[0-9a-fA-F]{4}|\\.){0,%d}+)(?:[^"\\]|\\.)*+(")' % KEPT_TEXT)
+
 _FALSY = r'^(null|false|""|\[\]|\{\}|-?0(\.0+)?([eE][+-]?[0-9]+)?)$'
 _NUMBER = r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
 _TEXT_INTEGER = r'^"\s*[+-]?[0-9]+(_[0-9]+)*\s*"$'
 
 
+def shortened(text: Column) -> Column:
+    """JSON with its long text values cut: the parser refuses values of some 20 million characters."""
+    return F.when(F.length(text) > LONG_DOCUMENT, F.regexp_replace(text, _TEXT_VALUE, "$1$2")).otherwise(text)
+
+
 def attach_document(rows: DataFrame, text: str, target: str = "doc") -> DataFrame:
     """Add ``target``: one whole JSON document as VARIANT, NULL if the text is anything else.
 
     The parser stops after the first document.  Parsing the text as the only
     element of an array also rejects whatever follows it.  The array is a column
-    of its own, so the text is parsed once per row.
+    of its own, so the text is parsed once per row.  Of equal keys the last one
+    counts; in documents of over a million characters long text values are cut.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit("["), F.col(text), F.lit("]")))
+    rows.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    wrapped = F.try_parse_json(F.concat(F.lit("["), shortened(F.col(text)), F.lit("]")))
     alone = F.try_variant_get("_wrapped", "$[1]", "variant").isNull()
     return rows.withColumn("_wrapped", wrapped).withColumn(
         target, F.when(alone, F.try_variant_get("_wrapped", "$[0]", "variant"))).drop("_wrapped")

@@ -12,6 +12,10 @@ RESET_AT, RESET_UNKNOWN = "重置于 ", "重置时间未知"
 NAME_SEPARATOR = " · "
 
 _HOUR, _DAY = 3_600, 86_400
+# Lengths that count as five hours or a week, in seconds, and the used percent of each severity.
+FIVE_HOURS = (4 * _HOUR, 6 * _HOUR)
+WEEK = (6 * _DAY, 8 * _DAY)
+HIGH, MEDIUM = 80, 50
 _ISO = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,6})?)?)?(Z|[+-][0-9]{2}:[0-9]{2})?$"
 _OFFSET = r"[T ].*(Z|[+-][0-9]{2}:[0-9]{2})$"
 
@@ -23,13 +27,17 @@ def number(value: Column) -> Column:
         F.btrim(text, F.lit('"')).try_cast("double"))
 
 
+def _is_text(value: Column) -> Column:
+    return F.to_json(value).startswith('"')
+
+
 def window_label(seconds: Column) -> Column:
     def rounded(unit):
         return F.bround(seconds / unit).cast("long").cast("string")
 
     return (
-        F.when(seconds.between(4 * _HOUR, 6 * _HOUR), LABEL_FIVE_HOURS)
-        .when(seconds.between(6 * _DAY, 8 * _DAY), LABEL_WEEK)
+        F.when(seconds.between(*FIVE_HOURS), LABEL_FIVE_HOURS)
+        .when(seconds.between(*WEEK), LABEL_WEEK)
         .when(seconds >= _DAY, F.concat(rounded(_DAY), F.lit(LABEL_DAYS)))
         .when(seconds >= _HOUR, F.concat(rounded(_HOUR), F.lit(LABEL_HOURS)))
         .otherwise(LABEL_OTHER)
@@ -39,7 +47,7 @@ def window_label(seconds: Column) -> Column:
 def reset_text(value: Column, fallback_seconds: Column, tz: str) -> Column:
     """Display time of a reset: epoch seconds or ISO text, else the fallback instant."""
     text = F.try_variant_get(value, "$", "string")
-    is_text = F.schema_of_variant(value) == "STRING"
+    is_text = _is_text(value)
     absent = value.isNull() | F.is_variant_null(value)
     iso = F.when(text.rlike(_ISO), text)
     with_offset = F.unix_micros(iso.try_cast("timestamp"))
@@ -72,7 +80,7 @@ def quota_windows(snapshots: DataFrame, tz: str) -> DataFrame:
     more = F.coalesce(F.try_variant_get("extra", "$", "array<variant>"),
                       F.array().cast("array<variant>"))
     named = F.transform(
-        F.filter(more, lambda item: F.schema_of_variant(member(item, "$.limit_name")) == "STRING"),
+        F.filter(more, lambda item: _is_text(member(item, "$.limit_name"))),
         lambda item: F.struct(F.try_variant_get(item, "$.limit_name", "string").alias("name"),
                               _either(item, "rate_limit", "rateLimit").alias("limit")))
     first = F.array(F.struct(F.lit("").alias("name"), F.col("main").alias("limit")))
@@ -83,7 +91,7 @@ def quota_windows(snapshots: DataFrame, tz: str) -> DataFrame:
         member(F.col("entry.limit"), "$.secondary_window"))).alias("half", "window"))
     window = F.col("window")
     percent = member(window, "$.used_percent")
-    fields = windows.where(F.schema_of_variant(window).startswith("OBJECT<")).select(
+    fields = windows.where(F.to_json(window).startswith("{")).select(
         "snapshot_id", (F.col("group") * 2 + F.col("half")).alias("position"), "name",
         F.when(percent.isNull(), F.lit(0.0)).otherwise(number(percent)).alias("used"),
         number(member(window, "$.limit_window_seconds")).alias("seconds"),
@@ -100,5 +108,5 @@ def quota_windows(snapshots: DataFrame, tz: str) -> DataFrame:
     return shown.select(
         "snapshot_id", "position", label.alias("label"), "used_percent",
         (100.0 - used_percent).alias("remaining_percent"),
-        F.when(used_percent >= 80, "high").when(used_percent >= 50, "medium").otherwise("low").alias("severity"),
+        F.when(used_percent >= HIGH, "high").when(used_percent >= MEDIUM, "medium").otherwise("low").alias("severity"),
         "reset")

@@ -3,7 +3,6 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from usagelens.functions.tokens import attach_document, is_falsy, json_text
-from usagelens.runtime import small_side
 
 # Endpoints by mode and the largest accepted body.
 OPEN_ENDPOINTS = ("/v1/responses", "/v1/chat/completions", "/responses", "/chat/completions",
@@ -28,7 +27,7 @@ def auth_decision(requests: DataFrame, users: DataFrame, strict: bool) -> DataFr
     start.  Unless ``strict``, an unknown non-empty key counts as registered.
     """
     keys = users.select("api_key", F.col("username").alias("_name"), "enabled", "expires_at", *LIMIT_COLUMNS)
-    joined = requests.drop("username", *LIMIT_COLUMNS).join(small_side(keys), "api_key", "left")
+    joined = requests.drop("username", *LIMIT_COLUMNS).join(keys, "api_key", "left")
     known = F.col("_name").isNotNull()
     registered = F.lit(False) if strict else (~known & (F.coalesce("api_key", F.lit("")) != ""))
     expiry = F.coalesce("expires_at", F.lit(0))

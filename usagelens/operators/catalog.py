@@ -12,9 +12,9 @@ _NO_IDS = "array<string>"
 
 
 def _valid_id(value: Column, path: str) -> Column:
-    """Text at ``path`` if it is an accepted id; its type is only looked up when the form fits."""
+    """Text at ``path`` if it is an accepted id; its kind is only looked up when the form fits."""
     text = F.try_variant_get(value, path, "string")
-    return F.when(text.rlike(ID_PATTERN), F.when(F.schema_of_variant(member(value, path)) == "STRING", text))
+    return F.when(text.rlike(ID_PATTERN), F.when(F.to_json(member(value, path)).startswith('"'), text))
 
 
 def _attach_ids(snapshots: DataFrame) -> DataFrame:
@@ -39,7 +39,14 @@ def _attach_ids(snapshots: DataFrame) -> DataFrame:
 
 def model_catalog(snapshots: DataFrame) -> DataFrame:
     """(snapshot_id, position, model_id) of every snapshot."""
-    return _attach_ids(snapshots).select("snapshot_id", F.posexplode("ids").alias("position", "model_id"))
+    return _listed(_attach_ids(snapshots))
+
+
+def _listed(snapshots: DataFrame) -> DataFrame:
+    """One row per id. An inner generator would make the optimizer test the size of ``ids`` below the projection, and
+    so fold and parse every payload once more."""
+    rows = snapshots.select("snapshot_id", F.posexplode_outer("ids").alias("position", "model_id"))
+    return rows.where(F.col("position").isNotNull())
 
 
 def model_catalog_merged(snapshots: DataFrame, configured) -> DataFrame:
@@ -50,4 +57,4 @@ def model_catalog_merged(snapshots: DataFrame, configured) -> DataFrame:
     own = F.coalesce("ids", F.array().cast(_NO_IDS))
     fixed = F.array(*[F.lit(name) for name in configured]).cast(_NO_IDS)
     merged = _attach_ids(snapshots).select("snapshot_id", F.array_distinct(F.concat(own, fixed)).alias("ids"))
-    return merged.select("snapshot_id", F.posexplode("ids").alias("position", "model_id"))
+    return _listed(merged)

@@ -5,7 +5,8 @@ from pyspark.sql import DataFrame, functions as F
 from usagelens.functions.clock import local_day
 from usagelens.functions.labels import caller_key, client_class
 from usagelens.functions.pricing import PriceBook, attach_cost
-from usagelens.functions.tokens import LINE_BREAK, attach_document, attach_usage_counts, is_falsy, json_text, member
+from usagelens.functions.tokens import (
+    LINE_BREAK, LONG_DOCUMENT, attach_document, attach_usage_counts, is_falsy, json_text, member)
 from usagelens.operators.ordered import last_before
 from usagelens.runtime import materialize
 from usagelens.schema import TOKEN_COLUMNS, USAGE
@@ -23,7 +24,8 @@ RELEVANT = (rf"(?s)^[{_BLANKS}]*data:[{_BLANKS}]*(?:(?!\[DONE\])[^{{{_BLANKS}]"
 CHUNKS_PER_SLICE = 2048
 SLICES_PER_RUN = 1024
 _TAIL = 2**31 - 1
-ERROR_CHARS = 200
+_BEFORE_ALL = -(2**62)  # slice of a line that no earlier slice has opened
+VOID_STREAM = (502, "no usage can be read from the event stream")
 
 
 def extract_json_usage(raw: DataFrame) -> DataFrame:
@@ -96,7 +98,7 @@ def _lines_over_slices(slices: DataFrame) -> DataFrame:
                           F.when(breaks, F.col("slice")).alias("opens"))
     edges = last_before(edges, ["request_id"], "slice", "opens", "opened", SLICES_PER_RUN)
     parts = edges.select("request_id", F.inline(F.array(
-        F.struct(F.coalesce("opened", F.lit(-1).cast("long")).alias("line_slice"), F.col("slice").alias("at"),
+        F.struct(F.coalesce("opened", F.lit(_BEFORE_ALL).cast("long")).alias("line_slice"), F.col("slice").alias("at"),
                  F.col("head").alias("text")),
         F.struct(F.col("opens").alias("line_slice"), F.col("slice").alias("at"), F.col("tail").alias("text")),
     ))).where(F.col("line_slice").isNotNull())
@@ -110,11 +112,12 @@ def extract_sse_usage(chunks: DataFrame, chunks_per_slice: int = CHUNKS_PER_SLIC
     """Last usage of each event stream: (request_id, four counts, parse_error).
 
     An event that is JSON but not an object, or a usage with a bad count, voids
-    the whole stream.  The text is read once; what matters of it is small and is
-    staged in the shared folder.
+    the whole stream; so does a long relevant event that cannot be parsed, unless
+    another one has a usage.  The text is read once; what matters of it is small
+    and is staged in the shared folder.
     """
     slices = materialize(squeezed_slices(chunks, chunks_per_slice))
-    long_requests = slices.where(F.col("slice") > 0).select("request_id").distinct()
+    long_requests = slices.groupBy("request_id").agg(F.count("*").alias("n")).where("n > 1").select("request_id")
     if long_requests.isEmpty():
         lines = _lines(slices)
     else:
@@ -131,13 +134,16 @@ def extract_sse_usage(chunks: DataFrame, chunks_per_slice: int = CHUNKS_PER_SLIC
     usages = events.select(
         "request_id", "slice", "idx",
         (F.col("event").isNotNull() & ~F.col("_object")).alias("_not_object"),
+        (F.col("event").isNull() & (F.length("payload") > LONG_DOCUMENT)).alias("_unread"),
         F.when(own.isNull() | F.is_variant_null(own), nested).otherwise(own).alias("usage"))
     texts = usages.withColumn("_truthy", ~is_falsy(F.to_json("usage")))
     counted = attach_usage_counts(texts)
     at = F.when(F.col("_truthy"), F.struct("slice", "idx"))
     result = counted.groupBy("request_id").agg(
         F.max_by(F.struct(*TOKEN_COLUMNS), at).alias("last"),
-        F.max(F.coalesce(F.col("_not_object"), F.lit(False)) | F.col("bad_usage")).alias("parse_error"))
+        F.max(F.coalesce(F.col("_not_object"), F.lit(False)) | F.col("bad_usage")).alias("parse_error"),
+        F.max(F.coalesce(F.col("_unread"), F.lit(False))).alias("_unread"))
+    result = result.withColumn("parse_error", F.col("parse_error") | (F.col("_unread") & F.col("last").isNull()))
     zero = F.lit(0).cast("long")
     return result.select("request_id", *[
         F.when(F.col("parse_error"), zero).otherwise(F.coalesce(F.col(f"last.{name}"), zero)).alias(name)
@@ -167,22 +173,45 @@ def request_facts(requests: DataFrame) -> DataFrame:
     }).drop("_doc")
 
 
-def assemble_usage(requests: DataFrame, counts: DataFrame, book: PriceBook, tz: str) -> DataFrame:
+def _success():
+    return F.coalesce(F.col("status").between(200, 299), F.lit(False))
+
+
+def _is_stream():
+    return F.coalesce(F.col("stream") == 1, F.lit(False))
+
+
+def assemble_usage(requests: DataFrame, counts: DataFrame, book: PriceBook, tz: str,
+                   error_chars: int | None = None) -> DataFrame:
     """Ledger rows of finished requests.
 
     ``requests`` has request_id, username, api_key, model, stream, client,
-    status, start_ms, ts_ms, path and error; ``counts`` comes from an extractor.
-    Only answers with a 2xx status count tokens.
+    status, start_ms, ts_ms, path and error; ``counts`` comes from the extractors,
+    which read the body of a request that asked for a stream as one and any other
+    as JSON.  Only answers with a 2xx status count tokens.  A stream whose usage
+    is void failed: it gets the status and error of VOID_STREAM.  The error text
+    is kept whole unless ``error_chars`` says how much of it stays.
     """
-    joined = requests.join(counts.select("request_id", *TOKEN_COLUMNS), "request_id", "left")
-    success = F.col("status").between(200, 299)
-    rows = joined.withColumns({
-        name: F.when(success, F.coalesce(F.col(name), F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
+    joined = requests.join(counts.select("request_id", *TOKEN_COLUMNS, "parse_error"), "request_id", "left")
+    status, message = VOID_STREAM
+    void = _success() & _is_stream() & F.coalesce("parse_error", F.lit(False))
+    error = F.when(F.col("_void"), F.lit(message)).otherwise(F.col("error"))
+    rows = joined.withColumn("_void", void).withColumns({
+        name: F.when(_success(), F.coalesce(F.col(name), F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
         for name in TOKEN_COLUMNS
     }).withColumns({
         "id": F.col("request_id"),
         "day": local_day("ts_ms", tz),
         "latency_ms": F.col("ts_ms") - F.col("start_ms"),
-        "error": F.substring("error", 1, ERROR_CHARS),
+        "error": error if error_chars is None else F.substring(error, 1, error_chars),
+        "status": F.when(F.col("_void"), status).otherwise(F.col("status")),
     })
     return conform(attach_cost(rows, book), USAGE)
+
+
+def ledger_rows(responses: DataFrame, book: PriceBook, tz: str, error_chars: int | None = None) -> DataFrame:
+    """Ledger rows of finished responses with their whole ``body``, JSON or event stream by request."""
+    streamed = _success() & _is_stream()
+    chunks = responses.where(streamed).select("request_id", F.lit(0).cast("long").alias("seq"), F.col("body").alias("chunk"))
+    counts = extract_json_usage(responses.where(_success() & ~_is_stream())).unionByName(extract_sse_usage(chunks))
+    return assemble_usage(responses, counts, book, tz, error_chars)

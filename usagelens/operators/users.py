@@ -104,16 +104,23 @@ def _next_delete(adds: DataFrame, deletes: DataFrame, key: str) -> DataFrame:
 def key_lives(adds: DataFrame, deletes: DataFrame) -> DataFrame:
     """(api_key, username, seq, ends): every add that had an effect and the deletion that ended it.
 
-    The ordered pass per key holds nothing but the end of the current life.
+    While a key lives under one name, its adds share the deletion that ends it, so the first of them is the one with
+    an effect. Only keys that were added under several names take the ordered pass, which holds nothing but the end of
+    the current life.
     """
     by_name = _next_delete(adds, deletes.where(~_has_key()), "username")
     by_key = _next_delete(adds, deletes.where(_has_key()), "api_key").withColumnRenamed("ends", "_key_ends")
     ended = by_name.join(by_key.drop("username"), ["api_key", "seq"]).withColumn(
         "ends", F.least("ends", "_key_ends")).select("api_key", "username", "seq", "ends")
-    return (
-        ended.repartition("api_key").sortWithinPartitions("api_key", "seq")
+    ended = materialize(ended)
+    several = ended.groupBy("api_key").agg(F.min("username").alias("_a"), F.max("username").alias("_b")).where(
+        "NOT (_a <=> _b)").select("api_key")
+    alone = ended.join(several, "api_key", "left_anti").groupBy("api_key", "username", "ends").agg(F.min("seq").alias("seq"))
+    mixed = (
+        ended.join(several, "api_key", "left_semi").repartition("api_key").sortWithinPartitions("api_key", "seq")
         .mapInPandas(keylife.lives, "api_key string, username string, seq long, ends long")
     )
+    return alone.select("api_key", "username", "seq", "ends").unionByName(mixed)
 
 
 def change_counts(users: DataFrame, changes: DataFrame) -> DataFrame:
@@ -216,7 +223,8 @@ def seed_user(users: DataFrame, api_key: str, now_ms: int) -> DataFrame:
     """Users with the shared transition account added if its key is absent."""
     if not api_key:
         return conform(users, USERS)
-    seed = users.sparkSession.range(1).select(
+    known = users.agg(F.coalesce(F.bool_or(F.col("api_key") == api_key), F.lit(False)).alias("_known"))
+    seed = known.where("NOT _known").select(
         F.lit(api_key).alias("api_key"), F.lit(NAME_LEGACY).alias("username"),
         F.lit(1).alias("enabled"), F.lit(now_ms).alias("created_at"), F.lit(NOTE_LEGACY).alias("note"))
-    return add_users(users, seed)
+    return conform(users, USERS).unionByName(conform(seed, USERS))

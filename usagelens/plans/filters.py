@@ -17,7 +17,9 @@ def in_scope(usage: DataFrame, username: str | None = None) -> DataFrame:
 
 
 def in_range(usage: DataFrame, as_of: date, name: str = "period") -> DataFrame:
-    """Named range on the stored day; an unknown name is the current period."""
+    """Named range on the stored day; ``all`` has no bound, an unknown name is the current period."""
+    if name == "all":
+        return usage
     if name == "today":
         return usage.where(F.col("day") == as_of.isoformat())
     reach = _REACH.get(name, _REACH["period"])

@@ -17,10 +17,16 @@ def by_user(source: DataFrame) -> DataFrame:
     return _cost_first(rows, ties=["username"])
 
 
-def by_day(source: DataFrame, newest: int = 30) -> DataFrame:
+def newest_first(days: DataFrame, newest: int | None) -> DataFrame:
+    """Days from the newest on, at most ``newest`` of them; None means all."""
+    ordered = days.orderBy(F.desc("day"))
+    return ordered if newest is None else ordered.limit(newest)
+
+
+def by_day(source: DataFrame, newest: int | None = 30) -> DataFrame:
     """Newest days with data: a top-k report."""
     rows = aggregate(source, ["day"], ["reqs", "it", "ot", "io", "cost_micros"])
-    return rows.orderBy(F.desc("day")).limit(newest)
+    return newest_first(rows, newest)
 
 
 def by_model(source: DataFrame) -> DataFrame:

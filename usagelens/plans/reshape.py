@@ -56,42 +56,39 @@ def family_names():
     return [FAMILY_COLUMNS[name] for name in FAMILIES]
 
 
-def _newest_days(source: DataFrame, newest: int = 30):
+def _newest_days(source: DataFrame, newest: int | None = 30):
     """Days with data, newest ``newest`` only, ascending: a bounded scalar array."""
-    days = source.select("day").distinct().orderBy(F.desc("day")).limit(newest)
+    days = reports.newest_first(source.select("day").distinct(), newest)
     return days.agg(F.array_sort(F.collect_list("day"))).scalar()
 
 
-def day_user_matrix(source: DataFrame, newest: int = 30) -> DataFrame:
+def day_user_matrix(source: DataFrame, newest: int | None = 30) -> DataFrame:
     """Day by user tokens, long form: newest days, users by their cost over the whole range."""
     cells = aggregate(source, ["day", "username"], ["io", "cost_micros"])
     # A user has one cell per day, so this window stays small.
     user_cost = _zero(F.sum("cost_micros").over(Window.partitionBy("username")))
     days = cells.groupBy("day").agg(_zero(F.sum("io")).alias("day_tok"),
                                     _zero(F.sum("cost_micros")).alias("day_cost_micros"))
-    days = days.orderBy(F.desc("day")).limit(newest)
+    days = reports.newest_first(days, newest)
     return (
         cells.withColumn("user_cost_micros", user_cost)
-        .join(F.broadcast(days), "day")  # at most ``newest`` rows
+        .join(days, "day")
         .select("day", "username", _zero(F.col("io")).alias("tok"), "day_tok", "day_cost_micros",
                 "user_cost_micros")
         .orderBy(F.desc("day"), F.desc("user_cost_micros"), "username")
     )
 
 
-def day_user_wide(source: DataFrame, usernames, newest: int = 30) -> DataFrame:
+def day_user_wide(source: DataFrame, usernames, newest: int | None = 30) -> DataFrame:
     """Wide form for users the caller names; totals still cover all users."""
     cells = aggregate(source, ["day", "username"], ["io", "cost_micros"])
     columns = [_zero(F.sum(F.when(F.col("username") == name, F.col("io")))).alias(name) for name in usernames]
-    return (
-        cells.groupBy("day")
-        .agg(*columns, _zero(F.sum("io")).alias("total_tok"),
-             _zero(F.sum("cost_micros")).alias("total_cost_micros"))
-        .orderBy(F.desc("day")).limit(newest)
-    )
+    wide = cells.groupBy("day").agg(*columns, _zero(F.sum("io")).alias("total_tok"),
+                                    _zero(F.sum("cost_micros")).alias("total_cost_micros"))
+    return reports.newest_first(wide, newest)
 
 
-def series_user_day(source: DataFrame, scoped: bool = False, newest: int = 30) -> DataFrame:
+def series_user_day(source: DataFrame, scoped: bool = False, newest: int | None = 30) -> DataFrame:
     """Dense day series per user, cost to 4 digits, users by their rounded total.
 
     A report scoped to one user has no such series.  Users that only occur on
@@ -130,7 +127,7 @@ def _series(cells: DataFrame, keys, days, **sums) -> DataFrame:
                        _zero(cell.getField("cost_micros")).alias("cost_micros"), *extra)
 
 
-def _nested_series(source: DataFrame, keys, label, newest: int) -> DataFrame:
+def _nested_series(source: DataFrame, keys, label, newest: int | None) -> DataFrame:
     days = _newest_days(source, newest)
     cells = _rounded_cells(source.withColumn("model", label), ["day", "username", "model"])
 
@@ -140,7 +137,7 @@ def _nested_series(source: DataFrame, keys, label, newest: int) -> DataFrame:
     return _series(cells, keys, days, any_tok=drawn("tok"), any_cost=drawn("cost_micros"))
 
 
-def series_user_model_day(source: DataFrame, newest: int = 30) -> DataFrame:
+def series_user_model_day(source: DataFrame, newest: int | None = 30) -> DataFrame:
     """Dense day series per user and model; an empty model has a label, a NULL one a dash.
 
     ``any_tok`` and ``any_cost`` tell which series a chart of that metric draws.
@@ -150,7 +147,7 @@ def series_user_model_day(source: DataFrame, newest: int = 30) -> DataFrame:
     return _nested_series(source, ["username", "model"], label, newest)
 
 
-def series_model_user_day(source: DataFrame, newest: int = 30) -> DataFrame:
+def series_model_user_day(source: DataFrame, newest: int | None = 30) -> DataFrame:
     """Dense day series per model and user; an empty model stays empty."""
     return _nested_series(source, ["model", "username"], F.coalesce("model", F.lit("-")), newest)
 
@@ -187,7 +184,7 @@ def hours_dense(source: DataFrame, tz: str) -> DataFrame:
     )
 
 
-def series_total(source: DataFrame, newest: int = 30) -> DataFrame:
+def series_total(source: DataFrame, newest: int | None = 30) -> DataFrame:
     """Totals per day, oldest first, cost to 4 digits."""
     return reports.by_day(source, newest).select(
         "day", _zero(F.col("io")).alias("tok"), _zero(F.col("it")).alias("inp"),

@@ -27,20 +27,41 @@ def from_dollar_rows(rows: DataFrame) -> DataFrame:
     return conform(rows.withColumns({"ts_ms": F.col("ts"), "cost_micros": micros_of_dollars("cost_usd")}))
 
 
-def append_usage(rows: DataFrame, path: str) -> None:
-    """Append to the ledger, one folder per day, files sorted by user and time.
+def _by_day(rows: DataFrame):
+    """Writer of ledger rows, one folder per day, files sorted by user and time.
 
     Rebalancing gathers each day into files of a useful size: adaptive execution
     splits a large day over several tasks and merges small ones.
     """
-    (
-        conform(rows)
-        .hint("rebalance", "day")
-        .sortWithinPartitions("day", "username", "ts_ms")
-        .write.mode("append").partitionBy("day").parquet(path)
+    return (
+        conform(rows).hint("rebalance", "day")
+        .sortWithinPartitions("day", "username", "ts_ms").write.partitionBy("day")
     )
 
 
+def overwrite_days(rows: DataFrame, path: str) -> None:
+    """Replace the folders of the days that occur in ``rows``; other days stay."""
+    _by_day(rows).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def append_new(rows: DataFrame, path: str) -> None:
+    """Append the rows whose id the ledger does not have on their day yet; only those days are read."""
+    try:
+        known = read_usage(rows.sparkSession, path).select("id", "day")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+    else:
+        days = rows.select("day").distinct()
+        rows = rows.join(known.join(days, "day", "left_semi"), ["id", "day"], "left_anti")
+    append_usage(rows, path)
+
+
+def append_usage(rows: DataFrame, path: str) -> None:
+    """Append to the ledger."""
+    _by_day(rows).mode("append").parquet(path)
+
+
 def read_users(spark: SparkSession, path: str) -> DataFrame:
     """Users by name; a missing table is an empty one."""
     try:
@@ -49,10 +70,10 @@ def read_users(spark: SparkSession, path: str) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(error):
             raise
         users = spark.createDataFrame([], USERS)
-    return list_users(users)
+    return list_users(users, mask_keys=False)
 
 
-def list_users(users: DataFrame, mask_keys: bool = False) -> DataFrame:
-    """Users by name; ``mask_keys`` shows only the end of each key."""
+def list_users(users: DataFrame, mask_keys: bool = True) -> DataFrame:
+    """Users by name; unless told otherwise only the end of each key shows."""
     rows = conform(users, USERS).orderBy("username", "api_key")
     return rows.withColumn("api_key", masked_key("api_key")) if mask_keys else rows

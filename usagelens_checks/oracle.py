@@ -1,5 +1,6 @@
 """SQL twins of the registered queries, written from the rules and not from the Spark code."""
 
+# The price table in thousandths of a dollar per million tokens (prefix, input, output, write, read).
 PRICES = """prices(prefix, i, o, w, r) AS (VALUES
   ('gpt-6-astra', 10000, 50000, 0, 1000), ('gpt-6.1-sol', 2000, 10000, 0, 100),
   ('gpt-6-sol', 2000, 10000, 0, 200), ('gpt-6-luna', 100, 500, 0, 10),
@@ -51,9 +52,21 @@ usage AS (
     user_id, event_type, event_id, ts, v, props,
     coalesce(input_tokens, 0) + output_tokens + cache_creation_tokens + cache_read_tokens AS total_tokens
   FROM filled f LEFT JOIN best ON f.model = best.model),
-month AS (SELECT * FROM usage WHERE day >= '2024-01-02'),
 today AS (SELECT * FROM usage WHERE day = '2024-01-31')"""
 
+VOID = "no usage can be read from the event stream"
+ASKED = "(u.id % 12 = 11 OR (u.id % 14 <> 5 AND u.id % 2 = 1))"
+INGESTED = f"""SELECT id, ts_ms, day, username, api_key, model, stream,
+      CAST(CASE WHEN void THEN 502 ELSE status END AS INTEGER) AS status,
+      CASE WHEN void THEN 0 ELSE coalesce(input_tokens, 0) END AS input_tokens,
+      CASE WHEN void THEN 0 ELSE output_tokens END AS output_tokens, CAST(0 AS BIGINT) AS cache_creation_tokens,
+      CASE WHEN void THEN 0 ELSE cache_read_tokens END AS cache_read_tokens,
+      CAST(CASE WHEN void THEN 0 ELSE
+        ((coalesce(input_tokens, 0) - least(cache_read_tokens, coalesce(input_tokens, 0))) * i
+        + output_tokens * o + least(cache_read_tokens, coalesce(input_tokens, 0)) * r + 500) // 1000 END AS BIGINT) AS cost_micros,
+      latency_ms, path, CASE WHEN void THEN '{VOID}' END AS error, client
+    FROM (SELECT *, stream = 1 AND status = 200 AND id % 13 = 1 AS void FROM usage)"""
+
 USAGE_COLUMNS = """id, ts_ms, day, username, api_key, model, stream, status, input_tokens, output_tokens,
   cache_creation_tokens, cache_read_tokens, cost_micros, latency_ms, path, error, client"""
 
@@ -88,7 +101,7 @@ def sql(select, *more, recursive=False):
     return f"WITH {'RECURSIVE ' if recursive else ''}{tables} {select}"
 
 
-def grouped(keys, measures, source="month", names=None):
+def grouped(keys, measures, source="usage", names=None):
     names = names or keys
     return sql(f"SELECT {names}, {sums(*measures)} FROM {source} GROUP BY {keys}")
 
@@ -111,7 +124,7 @@ def matrix(bucket, buckets):
         cells.append(f"CAST(coalesce(sum(CASE WHEN b = '{value}' THEN c END), 0) AS BIGINT) AS {name}_cost_micros")
     return f"""SELECT username, {', '.join(cells)}, CAST(coalesce(sum(io), 0) AS BIGINT) AS total_tok,
       CAST(coalesce(sum(c), 0) AS BIGINT) AS total_cost_micros
-    FROM (SELECT username, {bucket} AS b, input_tokens + output_tokens AS io, cost_micros AS c FROM month)
+    FROM (SELECT username, {bucket} AS b, input_tokens + output_tokens AS io, cost_micros AS c FROM usage)
     GROUP BY username"""
 
 
@@ -127,10 +140,10 @@ def nested_series(keys, label):
       FROM (
         SELECT p.username, p.model, d.day, CAST(coalesce(c.io, 0) AS BIGINT) AS tok,
           CAST({r4('coalesce(c.cost_micros, 0)')} AS BIGINT) AS cost_micros
-        FROM (SELECT DISTINCT username, {label} AS model FROM month) p
-        CROSS JOIN (SELECT DISTINCT day FROM month ORDER BY day DESC LIMIT 30) d
+        FROM (SELECT DISTINCT username, {label} AS model FROM usage) p
+        CROSS JOIN (SELECT DISTINCT day FROM usage ORDER BY day DESC LIMIT 30) d
         LEFT JOIN (SELECT day, username, {label} AS model, sum(input_tokens + output_tokens) AS io,
-          sum(cost_micros) AS cost_micros FROM month GROUP BY ALL) c
+          sum(cost_micros) AS cost_micros FROM usage GROUP BY ALL) c
         ON c.username = p.username AND c.model = p.model AND c.day = d.day)""")
 
 
@@ -138,14 +151,14 @@ def share(metric):
     value = {"tok": "coalesce(sum(input_tokens), 0) + coalesce(sum(output_tokens), 0)",
              "cost_micros": r4("coalesce(sum(cost_micros), 0)")}[metric]
     return sql(f"""SELECT model, {metric}, CAST({metric} AS DOUBLE) / sum({metric}) OVER () AS share
-      FROM (SELECT model, CAST({value} AS BIGINT) AS {metric} FROM month GROUP BY model) WHERE {metric} > 0""")
+      FROM (SELECT model, CAST({value} AS BIGINT) AS {metric} FROM usage GROUP BY model) WHERE {metric} > 0""")
 
 
 def ranked(metric):
     value = {"tok": "coalesce(sum(input_tokens), 0) + coalesce(sum(output_tokens), 0)",
              "cost_micros": r4("coalesce(sum(cost_micros), 0)")}[metric]
     return sql(f"""SELECT username, {metric}, rank() OVER (ORDER BY {metric} DESC) AS rank
-      FROM (SELECT username, CAST({value} AS BIGINT) AS {metric} FROM month GROUP BY username)""")
+      FROM (SELECT username, CAST({value} AS BIGINT) AS {metric} FROM usage GROUP BY username)""")
 
 
 STALE = """stale AS (SELECT * REPLACE (CASE id % 3 WHEN 0 THEN cost_micros WHEN 1 THEN cost_micros + 7 END AS cost_micros),
@@ -377,8 +390,8 @@ ORACLE = {
     "today_counters": sql("""SELECT username, count(*) AS requests, CAST(coalesce(sum(input_tokens + output_tokens
       + cache_creation_tokens + cache_read_tokens), 0) AS BIGINT) AS tokens FROM today GROUP BY username"""),
     "summary": sql("""SELECT count(*) AS total_reqs, CAST(sum(total_tokens) AS BIGINT) AS total_tokens,
-      CAST(sum(cost_micros) AS BIGINT) AS total_cost_micros, CAST(sum(CASE WHEN day = (SELECT max(day) FROM month)
-      THEN cost_micros END) AS BIGINT) AS latest_day_cost_micros FROM month"""),
+      CAST(sum(cost_micros) AS BIGINT) AS total_cost_micros, CAST(sum(CASE WHEN day = (SELECT max(day) FROM usage)
+      THEN cost_micros END) AS BIGINT) AS latest_day_cost_micros FROM usage"""),
     "users_summary": sql("SELECT count(*) AS total, count(*) FILTER (enabled <> 0) AS enabled FROM users", USERS),
     "pivot_user_family": sql(FAMILY_MATRIX),
     "pivot_user_client": sql(matrix("CASE WHEN client IN ('cli', 'desktop') THEN client ELSE 'other' END",
@@ -390,39 +403,40 @@ ORACLE = {
     "day_user_matrix": sql("""SELECT day, username, tok, CAST(sum(tok) OVER (PARTITION BY day) AS BIGINT) AS day_tok,
         CAST(sum(c) OVER (PARTITION BY day) AS BIGINT) AS day_cost_micros, user_cost_micros
       FROM (SELECT day, username, CAST(coalesce(sum(input_tokens + output_tokens), 0) AS BIGINT) AS tok,
-        sum(cost_micros) AS c FROM month WHERE day IN (SELECT DISTINCT day FROM month ORDER BY day DESC LIMIT 30)
+        sum(cost_micros) AS c FROM usage WHERE day IN (SELECT DISTINCT day FROM usage ORDER BY day DESC LIMIT 30)
         GROUP BY day, username)
-      JOIN (SELECT username, CAST(sum(cost_micros) AS BIGINT) AS user_cost_micros FROM month GROUP BY username)
+      JOIN (SELECT username, CAST(sum(cost_micros) AS BIGINT) AS user_cost_micros FROM usage GROUP BY username)
       USING (username)"""),
     "day_user_wide": sql("""SELECT day, CAST(coalesce(sum(io) FILTER (username = 'legacy'), 0) AS BIGINT) AS legacy,
         CAST(coalesce(sum(io) FILTER (username = 'u2'), 0) AS BIGINT) AS u2,
         CAST(coalesce(sum(io) FILTER (username = 'u3'), 0) AS BIGINT) AS u3,
         CAST(sum(io) AS BIGINT) AS total_tok, CAST(sum(cost_micros) AS BIGINT) AS total_cost_micros
-      FROM (SELECT *, input_tokens + output_tokens AS io FROM month) GROUP BY day ORDER BY day DESC LIMIT 30"""),
+      FROM (SELECT *, input_tokens + output_tokens AS io FROM usage) GROUP BY day ORDER BY day DESC LIMIT 30"""),
     "series_user_day": sql(f"""SELECT u.username, d.day, CAST(coalesce(c.io, 0) AS BIGINT) AS tok,
         CAST(coalesce(c.cost, 0) AS BIGINT) AS cost_micros,
-        CAST(sum(coalesce(c.cost, 0)) OVER (PARTITION BY u.username) AS BIGINT) AS user_cost_micros
-      FROM (SELECT DISTINCT username FROM month) u
-      CROSS JOIN (SELECT DISTINCT day FROM month ORDER BY day DESC LIMIT 30) d
+        u.total AS user_cost_micros
+      FROM (SELECT username, CAST(sum(cost) AS BIGINT) AS total FROM (
+        SELECT day, username, {r4('coalesce(sum(cost_micros), 0)')} AS cost FROM usage GROUP BY day, username) GROUP BY username) u
+      CROSS JOIN (SELECT DISTINCT day FROM usage ORDER BY day DESC LIMIT 30) d
       LEFT JOIN (SELECT day, username, sum(input_tokens + output_tokens) AS io, {r4('sum(cost_micros)')} AS cost
-        FROM month GROUP BY day, username) c ON c.username = u.username AND c.day = d.day"""),
+        FROM usage GROUP BY day, username) c ON c.username = u.username AND c.day = d.day"""),
     "series_user_model_day": nested_series(
         "username, model", "CASE coalesce(model, '-') WHEN '' THEN '未知模型' ELSE coalesce(model, '-') END"),
     "series_model_user_day": nested_series("model, username", "coalesce(model, '-')"),
     "grid_day_hour_user": sql("""SELECT u.day, h.hour, u.username, CAST(coalesce(c.io, 0) AS BIGINT) AS tok,
         CAST(coalesce(c.cost, 0) AS BIGINT) AS cost_micros, u.user_day_cost_micros
-      FROM (SELECT day, username, CAST(sum(cost_micros) AS BIGINT) AS user_day_cost_micros FROM month GROUP BY ALL) u
-      JOIN (SELECT DISTINCT day, hour FROM month) h ON h.day = u.day
+      FROM (SELECT day, username, CAST(sum(cost_micros) AS BIGINT) AS user_day_cost_micros FROM usage GROUP BY ALL) u
+      JOIN (SELECT DISTINCT day, hour FROM usage) h ON h.day = u.day
       LEFT JOIN (SELECT day, hour, username, sum(input_tokens + output_tokens) AS io, sum(cost_micros) AS cost
-        FROM month GROUP BY day, hour, username) c
+        FROM usage GROUP BY day, hour, username) c
       ON c.day = u.day AND c.hour = h.hour AND c.username = u.username"""),
     "hours_dense": sql(f"""SELECT CAST(h AS INTEGER) AS hour, CAST(coalesce(sum(input_tokens + output_tokens), 0) AS BIGINT) AS tok,
       CAST({r4('coalesce(sum(cost_micros), 0)')} AS BIGINT) AS cost_micros
-      FROM range(24) g(h) LEFT JOIN month ON hour = h GROUP BY h"""),
+      FROM range(24) g(h) LEFT JOIN usage ON hour = h GROUP BY h"""),
     "series_total": sql(f"""SELECT day, CAST(coalesce(sum(input_tokens + output_tokens), 0) AS BIGINT) AS tok,
       CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS inp, CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS "out",
       CAST({r4('coalesce(sum(cost_micros), 0)')} AS BIGINT) AS cost_micros
-      FROM month GROUP BY day ORDER BY day DESC LIMIT 30"""),
+      FROM usage GROUP BY day ORDER BY day DESC LIMIT 30"""),
     "today_hour_cube": sql("""SELECT hour, username, CAST(grouping(hour, username) AS BIGINT) AS level,
       count(*) AS reqs, CAST(coalesce(sum(input_tokens + output_tokens), 0) AS BIGINT) AS tok,
       CAST(sum(cost_micros) AS BIGINT) AS cost_micros FROM today GROUP BY CUBE (hour, username)"""),
@@ -431,7 +445,7 @@ ORACLE = {
     "share_of_max": sql("""SELECT username, cost_micros,
       least(CAST(cost_micros AS DOUBLE) / CASE WHEN max(cost_micros) OVER () = 0 THEN 1 ELSE max(cost_micros) OVER () END
         * 100.0::DOUBLE, 100.0::DOUBLE) AS pct_of_max
-      FROM (SELECT username, CAST(sum(cost_micros) AS BIGINT) AS cost_micros FROM month GROUP BY username)"""),
+      FROM (SELECT username, CAST(sum(cost_micros) AS BIGINT) AS cost_micros FROM usage GROUP BY username)"""),
     "model_share": share("cost_micros"),
     "model_share_tokens": share("tok"),
     "rank_users": ranked("cost_micros"),
@@ -443,6 +457,15 @@ ORACLE = {
       CAST(coalesce(sum(fresh), 0) AS BIGINT) AS after_micros FROM stale WHERE eligible""", STALE),
     "reprice_apply": sql("SELECT id, day, CASE WHEN eligible THEN fresh ELSE cost_micros END AS cost_micros FROM stale",
                          STALE),
+    "reprice_written": sql("SELECT id, day, CASE WHEN eligible THEN fresh ELSE cost_micros END AS cost_micros FROM stale",
+                           STALE),
+    "usage_cost_signed": sql("""SELECT id, CAST((x - ((x % 1000) + 1000) % 1000) // 1000 AS BIGINT) AS cost_micros FROM (
+      SELECT id, (coalesce(input_tokens, 0) - least(cache_read_tokens, coalesce(input_tokens, 0))) * i
+        + least(cache_read_tokens, coalesce(input_tokens, 0)) * r
+        + CASE WHEN id % 4 = 1 THEN -1 ELSE 1 END * (output_tokens * o + cache_creation_tokens * w) + 500 AS x FROM usage)"""),
+    "extract_sse_usage_long": """SELECT doc_id AS request_id, CAST(length(text) AS BIGINT) AS input_tokens,
+      doc_id % 97 AS output_tokens, CAST(0 AS BIGINT) AS cache_creation_tokens, CAST(0 AS BIGINT) AS cache_read_tokens,
+      false AS parse_error FROM documents WHERE text IS NOT NULL""",
     "extract_json_usage": sql(EXTRACTED.format(
         input="CASE WHEN id % 13 IN (1, 2, 3, 4, 5) THEN 0 ELSE coalesce(input_tokens, 0) END",
         output="CASE WHEN id % 13 IN (1, 2, 3, 4, 5) THEN 0 ELSE output_tokens END",
@@ -456,7 +479,8 @@ ORACLE = {
       CAST(CASE WHEN id % 12 = 11 THEN 1 WHEN id % 14 = 5 THEN 0 ELSE id % 2 END AS INTEGER) AS stream,
       {CLIENT} AS client, CASE WHEN id % 3 = 2 THEN '' ELSE api_key END AS api_key FROM usage"""),
     "usage_assemble": sql(f"""SELECT u.id, ts_ms, day, username, api_key, f.model,
-      CAST(CASE WHEN u.id % 12 = 11 THEN 1 WHEN u.id % 14 = 5 THEN 0 ELSE u.id % 2 END AS INTEGER) AS stream, status,
+      CAST(CASE WHEN u.id % 12 = 11 THEN 1 WHEN u.id % 14 = 5 THEN 0 ELSE u.id % 2 END AS INTEGER) AS stream,
+      CAST(CASE WHEN status = 200 AND u.id % 13 = 1 AND {ASKED} THEN 502 ELSE status END AS INTEGER) AS status,
       CASE WHEN u.id % 13 = 1 THEN 0 ELSE coalesce(input_tokens, 0) END AS input_tokens,
       CASE WHEN u.id % 13 = 1 THEN 0 ELSE output_tokens END AS output_tokens, CAST(0 AS BIGINT) AS cache_creation_tokens,
       CASE WHEN u.id % 13 = 1 THEN 0 ELSE cache_read_tokens END AS cache_read_tokens,
@@ -464,7 +488,8 @@ ORACLE = {
         ((coalesce(input_tokens, 0) - least(cache_read_tokens, coalesce(input_tokens, 0))) * coalesce(b.i, 0)
         + output_tokens * coalesce(b.o, 0)
         + least(cache_read_tokens, coalesce(input_tokens, 0)) * coalesce(b.r, 0) + 500) // 1000 END AS BIGINT) AS cost_micros,
-      latency_ms, path, CASE WHEN status <> 200 THEN substr(repeat('upstream ', 40), 1, 200) END AS error,
+      latency_ms, path, CASE WHEN status <> 200 THEN repeat('upstream ', 40)
+        WHEN u.id % 13 = 1 AND {ASKED} THEN '{VOID}' END AS error,
       {CLIENT.replace('event_id', 'u.event_id')} AS client
       FROM usage u JOIN (SELECT id, CASE WHEN id % 12 = 11 OR id % 14 = 5 THEN '' ELSE model END AS model FROM usage) f
         ON f.id = u.id LEFT JOIN best b ON b.model = f.model"""),
@@ -493,6 +518,16 @@ ORACLE = {
     "user_change_counts": f"""WITH RECURSIVE {USERS}, {CHANGES}
       SELECT c.seq, c.op, count(s.seq) AS affected FROM changes c
       LEFT JOIN (SELECT seq FROM state WHERE touched) s ON s.seq = c.seq GROUP BY c.seq, c.op""",
+    "duplicate_adds": f"""WITH {USERS}, fresh AS (
+        SELECT 'k' || n AS api_key, CAST(c AS VARCHAR) AS note FROM (SELECT DISTINCT user_id AS n FROM events), range(1, 3) g(c)
+        WHERE c = 1 OR n % 3 = 0)
+      SELECT api_key, note FROM fresh WHERE api_key IN (SELECT api_key FROM users)
+        OR api_key IN (SELECT api_key FROM fresh WHERE note = '2')""",
+    "seed_user": f"""WITH {USERS} SELECT * FROM users UNION ALL SELECT 'shared-key', 'legacy', CAST(1 AS INTEGER), 1706673600000,
+      CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), 'transition key'""",
+    "limit_fields": """SELECT event_id, event_id % 3 <> 0 AS cli_written,
+      CASE WHEN event_id % 3 <> 0 AND event_id % 5 <> 0 THEN CAST(event_id % 5 AS VARCHAR) END AS cli_limit,
+      CASE WHEN event_id % 7 <> 0 THEN CAST(event_id AS VARCHAR) END AS form_limit FROM events""",
     "auth_decision": auth(strict=False),
     "auth_decision_strict": auth(strict=True),
     "request_outcome": outcome(login=False),
@@ -515,12 +550,10 @@ ORACLE = {
     "counter_events": sql(f"""SELECT username, day, CAST(sum(r) AS BIGINT) AS requests, CAST(sum(t) AS BIGINT) AS tokens
       FROM (SELECT username, {day_of('s')} AS day, 1 AS r, 0 AS t FROM reqs UNION ALL
         SELECT username, {day_of('e')}, 0, total FROM reqs WHERE total <> 0) GROUP BY username, day""", SLOW),
-    "stream_ingest": sql("""SELECT id, ts_ms, day, username, api_key, model, stream, status,
-      coalesce(input_tokens, 0) AS input_tokens, output_tokens, CAST(0 AS BIGINT) AS cache_creation_tokens,
-      cache_read_tokens,
-      CAST(((coalesce(input_tokens, 0) - least(cache_read_tokens, coalesce(input_tokens, 0))) * i
-        + output_tokens * o + least(cache_read_tokens, coalesce(input_tokens, 0)) * r + 500) // 1000 AS BIGINT) AS cost_micros,
-      latency_ms, path, CAST(NULL AS VARCHAR) AS error, client FROM usage"""),
+    "stream_ingest": sql(INGESTED),
+    "stream_ingest_late": sql(INGESTED),
+    "stream_day_counters_late": sql(f"""SELECT day, username, count(*) AS requests, CAST(coalesce(sum(input_tokens + output_tokens
+      + cache_creation_tokens + cache_read_tokens), 0) AS BIGINT) AS tokens FROM ({INGESTED}) GROUP BY day, username"""),
     "stream_day_counters": sql("""SELECT day, username, count(*) AS requests, CAST(coalesce(sum(input_tokens + output_tokens
       + cache_creation_tokens + cache_read_tokens), 0) AS BIGINT) AS tokens FROM usage GROUP BY day, username"""),
     "stream_hour_totals": sql("""SELECT strftime(date_trunc('hour', ts + INTERVAL 8 HOUR), '%Y-%m-%d %H:%M:%S') AS window_start,
@@ -536,4 +569,5 @@ ORACLE = {
 ORACLE["dashboard_summary"] = ORACLE["summary"]
 ORACLE["dashboard_by_day_user"] = ORACLE["by_day_user"]
 ORACLE["dashboard_grid"] = ORACLE["grid_day_hour_user"]
+ORACLE["command_all_days"] = ORACLE["by_day"].replace(" ORDER BY day DESC LIMIT 30", "")
 ORACLE["command_by_user"] = ORACLE["by_user_rolling"]

@@ -11,7 +11,7 @@ from usagelens.plans import filters, ranking, reports, reshape
 from usagelens.plans.dashboard import command_report, dashboard
 from usagelens.plans.cube import stored_cube, usage_cube
 from usagelens.runtime import work_folder
-from usagelens.schema import TOKEN_COLUMNS, USAGE
+from usagelens.schema import USAGE
 from usagelens.sources.ledger import append_usage, conform, list_users, read_usage
 from usagelens.streaming import admission as stream_admission
 from usagelens.streaming import counters as stream_counters
@@ -24,17 +24,13 @@ BOOK = default_prices()
 LIMITS = ("daily_token_limit", "daily_request_limit", "rpm_limit")
 
 
-def _month(spark, sf_dir):
-    return filters.select_usage(t.ledger(spark, sf_dir), AS_OF, "30")
-
-
-def _month_cube(spark, sf_dir):
-    """The month's cube, stored: for shapes that read their input more than once."""
-    return stored_cube(_month(spark, sf_dir), TZ)
+def _cube(spark, sf_dir):
+    """The cube of all days, stored: for shapes that read their input more than once."""
+    return stored_cube(t.ledger(spark, sf_dir), TZ)
 
 
 def _report(function, *args, **kwargs):
-    return lambda spark, sf_dir: function(_month(spark, sf_dir), *args, **kwargs)
+    return lambda spark, sf_dir: function(t.ledger(spark, sf_dir), *args, **kwargs)
 
 
 def _today(function, *args, **kwargs):
@@ -135,21 +131,21 @@ def priced_with_tokens(spark, sf_dir):
 # --- reshaping and ranking -------------------------------------------------
 
 def active_families(spark, sf_dir):
-    return reshape.active_buckets(reshape.pivot_user_family(_month(spark, sf_dir)), reshape.family_names())
+    return reshape.active_buckets(reshape.pivot_user_family(t.ledger(spark, sf_dir)), reshape.family_names())
 
 
 def chart_users(spark, sf_dir):
-    return ranking.chart_totals(reports.by_user(_month_cube(spark, sf_dir)), "username")
+    return ranking.chart_totals(reports.by_user(_cube(spark, sf_dir)), "username")
 
 
 def share_of_max(spark, sf_dir):
     return ranking.share_of_max(
-        reports.by_user(_month_cube(spark, sf_dir)).select("username", "cost_micros"), "cost_micros")
+        reports.by_user(_cube(spark, sf_dir)).select("username", "cost_micros"), "cost_micros")
 
 
 def model_share(metric):
     def query(spark, sf_dir):
-        rows = ranking.chart_totals(reports.by_model(_month_cube(spark, sf_dir)), "model")
+        rows = ranking.chart_totals(reports.by_model(_cube(spark, sf_dir)), "model")
         return ranking.share_of_total(rows, metric).select("model", metric, "share")
     return query
 
@@ -171,15 +167,15 @@ def rpm_trailing_dense(spark, sf_dir):
 
 
 def day_user_wide(spark, sf_dir):
-    return reshape.day_user_wide(_month(spark, sf_dir), ["legacy", "u2", "u3"])
+    return reshape.day_user_wide(t.ledger(spark, sf_dir), ["legacy", "u2", "u3"])
 
 
 def _dashboard(name):
-    return lambda spark, sf_dir: dashboard(t.ledger(spark, sf_dir), AS_OF, TZ, "30")[name]
+    return lambda spark, sf_dir: dashboard(t.ledger(spark, sf_dir), AS_OF, TZ, "all")[name]
 
 
-def _command(name):
-    return lambda spark, sf_dir: command_report(t.ledger(spark, sf_dir), NOW_MS, TZ, 2.5)[name]
+def _command(name, days=2.5, **options):
+    return lambda spark, sf_dir: command_report(t.ledger(spark, sf_dir), NOW_MS, TZ, days, **options)[name]
 
 
 # --- re-pricing ------------------------------------------------------------
@@ -191,6 +187,23 @@ def _stale(spark, sf_dir):
     return rows.withColumn("cost_micros", old)
 
 
+def reprice_written(spark, sf_dir):
+    """A stale ledger re-priced where it is, twice."""
+    path = work_folder(spark, "stale-ledger")
+    append_usage(_stale(spark, sf_dir), path)
+    for _ in range(2):
+        reprice.reprice_ledger(spark, path, BOOK)
+    return read_usage(spark, path).select("id", "day", "cost_micros")
+
+
+def usage_cost_signed(spark, sf_dir):
+    """Costs of a ledger with negative output and cache-write counts."""
+    rows = t.ledger(spark, sf_dir).drop("cost_micros")
+    sign = F.when(F.col("id") % 4 == 1, -1).otherwise(1)
+    signed = rows.withColumns({name: F.col(name) * sign for name in ("output_tokens", "cache_creation_tokens")})
+    return attach_cost(signed, BOOK).select("id", "cost_micros")
+
+
 def reprice_apply(spark, sf_dir):
     return reprice.reprice_apply(_stale(spark, sf_dir), BOOK).select("id", "day", "cost_micros")
 
@@ -205,6 +218,10 @@ def extract_sse_usage(spark, sf_dir):
     return extract.extract_sse_usage(t.raw_chunks_of(t.ledger(spark, sf_dir)))
 
 
+def extract_sse_usage_long(spark, sf_dir):
+    return extract.extract_sse_usage(t.long_chunks_of(t.table(spark, sf_dir, "documents")))
+
+
 def request_facts(spark, sf_dir):
     rows = extract.request_facts(t.request_log_of(t.ledger(spark, sf_dir)))
     return rows.select("request_id", "model", "stream", "client", "api_key")
@@ -248,7 +265,7 @@ def model_catalog_merged(spark, sf_dir):
 # --- users, authentication, quotas ----------------------------------------
 
 def users_list(spark, sf_dir):
-    return list_users(t.users(spark, sf_dir)).withColumn("expires_on", expiry_day("expires_at", TZ))
+    return list_users(t.users(spark, sf_dir), mask_keys=False).withColumn("expires_on", expiry_day("expires_at", TZ))
 
 
 def users_summary(spark, sf_dir):
@@ -267,6 +284,38 @@ def user_change_counts(spark, sf_dir):
     return user_ops.change_counts(t.users(spark, sf_dir), t.changes_of(t.table(spark, sf_dir, "events")))
 
 
+def _new_users(spark, sf_dir):
+    """One user for each given id, every third of them twice; the keys of most ids exist."""
+    ids = t.table(spark, sf_dir, "events").select("user_id").distinct()
+    copies = F.explode(F.sequence(F.lit(1), F.when(F.col("user_id") % 3 == 0, 2).otherwise(1)))
+    return ids.select(F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("api_key"), copies.alias("_copy")).select(
+        "api_key", F.col("_copy").cast("string").alias("note"))
+
+
+def duplicate_adds(spark, sf_dir):
+    return user_ops.duplicate_adds(t.users(spark, sf_dir), _new_users(spark, sf_dir))
+
+
+def seed_user(spark, sf_dir):
+    """Users with the shared account, which is new, and with one whose key exists."""
+    seeded = user_ops.seed_user(t.users(spark, sf_dir), "shared-key", NOW_MS)
+    return user_ops.seed_user(seeded, "k1", NOW_MS)
+
+
+def limit_fields(spark, sf_dir):
+    """Limits as the command and the form write them."""
+    n = F.col("event_id")
+    given = F.when(n % 3 != 0, n % 5).cast("long")
+    box = F.concat(F.when(n % 2 == 0, " ").otherwise(""), F.when(n % 7 == 0, "x").otherwise(""), n.cast("string"))
+    events = t.table(spark, sf_dir, "events")
+    fields = events.select("event_id", user_ops.cli_limit_fields(rpm_limit=given).alias("cli"),
+                           user_ops.form_limit_fields(rpm_limit=box).alias("form"))
+    return fields.select(
+        "event_id", F.map_contains_key("cli", "rpm_limit").alias("cli_written"),
+        F.try_element_at("cli", F.lit("rpm_limit")).alias("cli_limit"),
+        F.try_element_at("form", F.lit("rpm_limit")).alias("form_limit"))
+
+
 def auth_decision(strict):
     def query(spark, sf_dir):
         rows = auth.auth_decision(t.requests(spark, sf_dir), t.users(spark, sf_dir), strict)
@@ -323,43 +372,60 @@ def _stream(spark, sf_dir):
     return t.table_stream(spark, sf_dir, "events")
 
 
-def stream_ingest(spark, sf_dir):
-    usage = t.ledger_of(_stream(spark, sf_dir))
-    body = F.concat(F.lit('{"usage":'), t._usage_json(), F.lit("}"))
-    responses = usage.withColumns({
-        "request_id": F.col("id"), "body": body, "start_ms": F.col("ts_ms") - F.col("latency_ms"),
-        "error": F.lit(None).cast("string")}).drop(*TOKEN_COLUMNS, "cost_micros", "day", "id")
+def _ingested(spark, responses):
     path = work_folder(spark, "stream-ledger")
-    sinks.append_by_day(ingest(responses, BOOK, TZ), f"{path}/rows", f"{path}/state").awaitTermination()
+    ingest(responses, BOOK, TZ, f"{path}/rows", f"{path}/state").awaitTermination()
     return read_usage(spark, f"{path}/rows")
 
 
-def _updates(spark, rows, keys):
+def stream_ingest(spark, sf_dir):
+    """JSON bodies and event streams of all requests in one batch."""
+    return _ingested(spark, t.finished_responses_of(t.ledger_of(_stream(spark, sf_dir))))
+
+
+def stream_ingest_late(spark, sf_dir):
+    """The same in three batches that each go over all days, with repeated deliveries."""
+    rows = t.finished_responses_of(t.ledger(spark, sf_dir))
+    return _ingested(spark, t.stream_of_parts(rows, work_folder(spark, "responses")))
+
+
+def _live(spark, rows, aggregate, keys, compact=False):
     path = work_folder(spark, "stream-counters")
-    sinks.write_updates(rows, f"{path}/rows", f"{path}/state").awaitTermination()
-    return sinks.read_updates(spark, f"{path}/rows", keys)
+    sinks.write_partials(rows, aggregate, f"{path}/rows", f"{path}/state").awaitTermination()
+    if compact:
+        sinks.compact_partials(spark, f"{path}/rows", keys)
+    return sinks.read_partials(spark, f"{path}/rows", keys)
 
 
 def stream_day_counters(spark, sf_dir):
-    rows = stream_counters.day_counters(t.ledger_of(_stream(spark, sf_dir)), TZ)
-    return _updates(spark, rows, ["day", "username"])
+    rows = t.ledger_of(_stream(spark, sf_dir))
+    return _live(spark, rows, lambda batch: stream_counters.day_counters(batch, TZ), ["day", "username"])
+
+
+def stream_day_counters_late(spark, sf_dir):
+    """Counters over batches that each go over all days; repeated deliveries are removed by the ledger before."""
+    ledger = stream_ingest_late(spark, sf_dir)
+    path = work_folder(spark, "ledger-parts")
+    ledger.repartition(3, "ts_ms").write.parquet(path)
+    rows = spark.readStream.schema(USAGE).option("maxFilesPerTrigger", 1).parquet(path)
+    return _live(spark, rows, lambda batch: stream_counters.day_counters(batch, TZ), ["day", "username"], compact=True)
 
 
 def stream_hour_totals(spark, sf_dir):
-    rows = stream_counters.window_totals(t.ledger_of(_stream(spark, sf_dir)), TZ)
-    return _updates(spark, rows, ["window_start"])
+    rows = t.ledger_of(_stream(spark, sf_dir))
+    return _live(spark, rows, lambda batch: stream_counters.window_totals(batch, TZ), ["window_start"])
 
 
 def stream_request_rate(spark, sf_dir):
-    rows = stream_counters.request_rate(t.requests_of(t.ledger_of(_stream(spark, sf_dir))), TZ)
-    return _updates(spark, rows, ["window_start", "username"])
+    rows = t.requests_of(t.ledger_of(_stream(spark, sf_dir)))
+    return _live(spark, rows, lambda batch: stream_counters.request_rate(batch, TZ), ["window_start", "username"])
 
 
 def stream_admission_decisions(spark, sf_dir):
-    rows = stream_admission.admission_stream(t.slow_requests_of(_stream(spark, sf_dir)), TZ)
     path = work_folder(spark, "stream-admission")
-    sinks.append_rows(rows, f"{path}/rows", f"{path}/state").awaitTermination()
-    return spark.read.parquet(f"{path}/rows")
+    stream_admission.admission_stream(
+        t.slow_requests_of(_stream(spark, sf_dir)), TZ, f"{path}/rows", f"{path}/state").awaitTermination()
+    return spark.read.parquet(f"{path}/rows").select("id", "username", "day", "decision")
 
 
 QUERIES = {
@@ -420,12 +486,16 @@ QUERIES = {
     "dashboard_by_day_user": _dashboard("by_day_user"),
     "dashboard_grid": _dashboard("grid_day_hour_user"),
     "command_by_user": _command("by_user"),
+    "command_all_days": _command("by_day", days=None, newest=None),
     "rpm_trailing": rpm_trailing,
     "rpm_trailing_dense": rpm_trailing_dense,
     "reprice_preview": lambda s, d: reprice.reprice_preview(_stale(s, d), BOOK),
     "reprice_apply": reprice_apply,
+    "reprice_written": reprice_written,
+    "usage_cost_signed": usage_cost_signed,
     "extract_json_usage": extract_json_usage,
     "extract_sse_usage": extract_sse_usage,
+    "extract_sse_usage_long": extract_sse_usage_long,
     "request_facts": request_facts,
     "usage_assemble": usage_assemble,
     "surrogate_ids": surrogate_ids,
@@ -436,6 +506,9 @@ QUERIES = {
     "auto_register": auto_register,
     "users_after_changes": users_after_changes,
     "user_change_counts": user_change_counts,
+    "duplicate_adds": duplicate_adds,
+    "seed_user": seed_user,
+    "limit_fields": limit_fields,
     "auth_decision": auth_decision(strict=False),
     "auth_decision_strict": auth_decision(strict=True),
     "request_outcome": request_outcome(login_mode=False),
@@ -447,7 +520,9 @@ QUERIES = {
     "quota_status": quota_status,
     "counter_events": counter_events,
     "stream_ingest": stream_ingest,
+    "stream_ingest_late": stream_ingest_late,
     "stream_day_counters": stream_day_counters,
+    "stream_day_counters_late": stream_day_counters_late,
     "stream_hour_totals": stream_hour_totals,
     "stream_request_rate": stream_request_rate,
     "stream_admission": stream_admission_decisions,

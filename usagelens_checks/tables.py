@@ -27,6 +27,7 @@ AGENTS = ("codex-cli/0.131", "Codex Desktop", "openai-python/1.2", "openai-node/
 # Given schemas spare a footer-reading job per query.
 SCHEMAS = {
     "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
     "conversations": "conv_id long, turn long, role string, text string",
 }
 
@@ -171,25 +172,60 @@ def raw_responses_of(usage: DataFrame) -> DataFrame:
     return usage.select(F.col("id").alias("request_id"), broken.alias("body"))
 
 
-def raw_chunks_of(usage: DataFrame) -> DataFrame:
-    """Event streams cut into three chunks at places that ignore lines."""
+def _stream_text():
+    """Whole event stream of a row; every thirteenth has an event that is no object."""
     request = F.col("id").cast("string")
     done = F.when(F.col("id") % 2 == 0, F.concat(
         F.lit('{"type":"response.completed","response":{"id":"r'), request, F.lit('","usage":'), _usage_json(), F.lit("}}"))
     ).otherwise(F.concat(F.lit('{"id":"c'), request, F.lit('","usage":'), _usage_json(), F.lit("}")))
-    text = F.concat(
+    return F.concat(
         F.lit('event: response.created\ndata: {"type":"response.created","usage":{"input_tokens":1}}\n\n'),
         F.lit("data: not json\r\n  data:"), done, F.lit('\n\ndata: {"usage":{}}\n'),
         F.when(F.col("id") % 13 == 1, "data: 12\n").otherwise(""), F.lit("data: [DONE]\n\n"))
+
+
+def raw_chunks_of(usage: DataFrame) -> DataFrame:
+    """Event streams cut into three chunks at places that ignore lines."""
     first = 10 + F.col("id") % 90
     second = first + 30 + F.col("id") % 50
-    rows = usage.withColumn("_text", text).withColumns({"_first": first.cast("int"), "_second": second.cast("int")})
+    rows = usage.withColumn("_text", _stream_text()).withColumns({"_first": first.cast("int"), "_second": second.cast("int")})
     pieces = F.array(
         F.expr("substring(_text, 1, _first)"), F.expr("substring(_text, _first + 1, _second - _first)"),
         F.expr("substring(_text, _second + 1)"))
     return rows.select(F.col("id").alias("request_id"), F.posexplode(pieces).alias("seq", "chunk"))
 
 
+def long_chunks_of(documents: DataFrame) -> DataFrame:
+    """Event streams whose last event repeats a whole document, one chunk for every eight characters, from -5 on."""
+    answer = F.concat(
+        F.lit('data: {"type":"response.delta"}\n\ndata: {"response":{"output":'), F.to_json(F.struct("text")),
+        F.lit(',"usage":{"input_tokens":'), F.length("text").cast("string"), F.lit(',"output_tokens":'),
+        (F.col("doc_id") % 97).cast("string"), F.lit("}}}\n\ndata: [DONE]\n\n"))
+    rows = documents.where("text IS NOT NULL").select(F.col("doc_id").alias("request_id"), answer.alias("_text"))
+    place = F.explode(F.sequence(F.lit(0), (F.length("_text") - 1).cast("int"), F.lit(8)))
+    return rows.select("request_id", "_text", place.alias("_at")).select(
+        "request_id", F.expr("_at div 8 - 5").alias("seq"), F.expr("substring(_text, _at + 1, 8)").alias("chunk"))
+
+
+def finished_responses_of(usage: DataFrame) -> DataFrame:
+    """Finished responses with their whole bodies: event streams where one was asked for, else JSON."""
+    body = F.concat(F.lit('{"usage":'), _usage_json(), F.lit("}"))
+    return usage.withColumns({
+        "request_id": F.col("id"), "body": F.when(F.col("stream") == 1, _stream_text()).otherwise(body),
+        "start_ms": F.col("ts_ms") - F.col("latency_ms"), "error": F.lit(None).cast("string")}).select(
+        "request_id", "ts_ms", "start_ms", "username", "api_key", "model", "stream", "client", "status", "path", "error",
+        "body")
+
+
+def stream_of_parts(rows: DataFrame, path: str, parts: int = 3) -> DataFrame:
+    """The rows as a stream of several batches that ignore time; each batch repeats some rows of the one before."""
+    number = F.pmod(F.hash("ts_ms"), F.lit(parts))
+    again = rows.where(F.pmod(F.xxhash64("ts_ms"), F.lit(5)) == 0).withColumn("part", F.least(number + 1, F.lit(parts - 1)))
+    both = rows.withColumn("part", number).unionByName(again)
+    both.repartition("part").write.partitionBy("part").parquet(path)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def request_log_of(usage: DataFrame) -> DataFrame:
     """Request headers and payloads for the facts job."""
     n = F.col("id")
