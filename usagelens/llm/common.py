@@ -37,7 +37,7 @@ def with_text(docs: DataFrame, rest: DataFrame, text_col: str):
     """
     conf = docs.sparkSession.conf
     if conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
-        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     names = rest.columns
     if text_col in names:
         return rest, names.index(text_col), range(len(names))
