@@ -1,3 +1,64 @@
-"""SQL twins of the registered queries, where SQL can express them."""
+"""SQL twins of the registered queries, where SQL can express them.
 
-ORACLE: dict[str, str] = {}
+XXH64, BPE merges, Viterbi paths, learned models, a seeded shuffle and patterns that look behind have no such form;
+their queries are held against plain loops in the tests.
+"""
+
+VECTORS = """WITH RECURSIVE sound AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+  links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+  reached AS (
+    SELECT vec_id AS a, vec_id AS b FROM embeddings
+    UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+  least AS (SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY a)
+  SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, component_id,
+    e.vec_id = component_id AS kept
+  FROM embeddings e JOIN least USING (vec_id)"""
+
+_WORDS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+
+CONTAMINATION = rf"""WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+  docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+  item_windows AS (
+    SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[p:p + least(10, len(w)) - 1], ' ') AS s
+    FROM (SELECT *, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS p FROM items WHERE len(w) > 0)),
+  doc_windows AS (
+    SELECT doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') AS s
+    FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p
+      FROM docs, (SELECT DISTINCT n FROM item_windows) WHERE len(w) >= n)),
+  hits AS (SELECT doc_id, p, n, item_id FROM doc_windows JOIN item_windows USING (n, s)),
+  hit_words AS (SELECT doc_id, count(*) AS n_hit FROM (
+    SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS word FROM hits) GROUP BY doc_id),
+  hit_items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS listed FROM (
+    SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hits) GROUP BY doc_id)
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(listed, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+  FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)"""
+
+ARCHIVED = """WITH payloads AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+  firsts AS (SELECT h, min(page_id) AS first FROM payloads GROUP BY h),
+  bits AS (
+    SELECT page_id, strlen(h) AS payload_bytes, first, array_to_string(list_transform(string_split(sha1(h), ''),
+      lambda c: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100',
+        '1101', '1110', '1111'][instr('0123456789abcdef', c)]), '') AS b
+    FROM payloads JOIN firsts USING (h))
+  SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda k: substr(
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * substr(b, 5 * k + 1, 1)::INT + 8 * substr(b, 5 * k + 2, 1)::INT
+      + 4 * substr(b, 5 * k + 3, 1)::INT + 2 * substr(b, 5 * k + 4, 1)::INT + substr(b, 5 * k + 5, 1)::INT, 1)), '')
+      AS payload_digest,
+    CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> first THEN first END AS refers_to
+  FROM bits"""
+
+ORACLE: dict[str, str] = {
+    "op3_vectors": VECTORS,
+    "op4_decontaminate": CONTAMINATION,
+    "op5_warc": ARCHIVED,
+}
