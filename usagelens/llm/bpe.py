@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from usagelens.llm.common import carried
 
 BLOCK = 12 << 20  # characters of text whose words share one dictionary
+LEVEL = 9  # of zstandard, for what is shuffled
 SHORT = 96  # bytes up to which a word is merged by plain search
 ANSWERS = {
     "ids": "ids array<int>",
@@ -90,7 +91,7 @@ def _encode_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 def _pack(numbers: np.ndarray) -> bytes:
     """Whole numbers below 2^32, their low bytes together, then the next ones: such planes compress well."""
     planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+    return zstandard.ZstdCompressor(level=LEVEL).compress(planes.tobytes())
 
 
 def _unpack(data: bytes) -> np.ndarray:
@@ -136,7 +137,7 @@ def _split_batches(pattern, buckets, block_chars):
                     own = [words[k] for k in by_home[a:b]]
                     yield _row(1, block, bucket, None, None,
                                [_pack(np.fromiter(map(len, own), np.int64, len(own))),
-                                zstandard.ZstdCompressor(level=3).compress(b"".join(own))])
+                                zstandard.ZstdCompressor(level=LEVEL).compress(b"".join(own))])
 
         for batch in batches:
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
