@@ -102,6 +102,19 @@ def test_base_spans_equal_plain_search(spark):
         assert spans == plain_spans(text), text
 
 
+def test_address_parts_of_zeros(spark):
+    texts = ["10.0.0.1", "0.0.0.0", "127.0.0.1", "1.2.3.00", "x 192.168.0.12, 000.0.00.0255", "256.0.0.1", "0.0.0.0256",
+             "0.0.0", "00.1.2560.0", "100.200.010.001 0.0.0.0.0"]
+    chance = random.Random(5)
+    parts = ["0", "00", "000", "1", "01", "10", "100", "255", "0255", "256", "0256", "1000"]
+    texts += [".".join(chance.choice(parts) for _ in range(chance.randint(3, 6))) for _ in range(400)]
+    got = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for row in got:
+        spans = [(s.kind, s.start, s.end) for s in row.pii_spans if s.kind == "ip"]
+        assert spans == [span for span in plain_spans(row.text) if span[0] == "ip"], row.text
+    assert sum(len(row.pii_spans) for row in got if row.doc_id < 4) == 4
+
+
 def test_very_long_texts(spark):
     texts = ["1" * 200000, "a" * 200000 + "@", "a@" + "b." * 100000 + "c", "1.2.3.4 " * 20000, "a@b.co " * 20000, "1 " * 90000]
     found = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
