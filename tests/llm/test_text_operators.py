@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from usagelens.llm import decontaminate, langid, pii
+from usagelens.llm.matches import CONTEXT, PIECES
 from usagelens.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -133,6 +134,27 @@ def test_added_kinds_need_checksum_or_context(spark):
     assert found == {1: ["iban"], 2: [], 3: ["iban"], 4: ["id_number"], 5: [], 6: ["short_card"], 7: [], 8: []}
 
 
+def test_context_reaches_over_other_matches(spark):
+    amex, far = "378282246310005", "é" * (CONTEXT + 1)
+    texts = {
+        1: "ssn 123-45-6789, 987-65-4321", 2: f"card: {amex}, {amex}", 3: "ssn 123-45-6789 " + far + " 987-65-4321",
+        4: "123-45-6789 ssn 987-65-4321", 5: "ssn " + ",".join(["123-45-6789"] * 6), 6: f"no {amex}, {amex}",
+        7: "".join(f"{far} ssn 123-45-6789, 987-65-4321;" for _ in range(PIECES + 7)),
+        8: "".join(f"{far}123-45-6789, 987-65-4321;" for _ in range(PIECES + 7))}
+    found = {row.doc_id: [s.start for s in row.pii_spans]
+             for row in pii.find_pii(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    for k, text in texts.items():
+        places = [m.start() for m in re.finditer(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])|3782[0-9]{11}", text)]
+        assert found[k] == [p for p in places if re.search(r"\b(ssn|card)\b", text[max(0, p - CONTEXT):p])], k
+    assert [len(found[k]) for k in texts] == [2, 2, 1, 1, 4, 0, 2 * (PIECES + 7), 0]
+
+
+def test_context_over_a_part_of_the_matches(spark):
+    text = "123-45-6789 " * (PIECES - 1) + "ssn 123-45-6789 987-65-4321 " + "123-45-6789 " * (2 * PIECES)
+    row, = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [s.start for s in row.pii_spans] == [12 * (PIECES - 1) + k for k in (4, 16, 28, 40)]
+
+
 def test_masking(spark):
     texts = [(1, "write a@b.co or +49 30 1234567!", 31), (2, "é 1.2.3.4, 1.2.3.4", 18), (3, None, None), (4, "clean", 5)]
     rows = pii.mask_pii(spark.createDataFrame(texts, "doc_id long, text string, n_chars long"), length_col="n_chars")
