@@ -89,6 +89,42 @@ def test_features(spark):
     assert abs(got["thethethethething"].pair_chance - mean) < 1e-9
 
 
+NAMES = ["db_password=", "client_secret: ", "AWS_SECRET_ACCESS_KEY=", "GITHUB_TOKEN=", "clientSecret = '", "AWSSecretKey: \"",
+         "my-api-key=", "userAccessToken=", "some_very_long_prefix_password="]
+
+
+def test_secret_words_inside_names(spark):
+    plain = ["tokenizer=", "dbpasswords=", "author: ", "bypwdx="]
+    docs = spark.createDataFrame([(k, name + KEYS[0]) for k, name in enumerate(NAMES + plain)], "doc_id long, text string")
+    found = secrets.candidates(docs)
+    words = spark.createDataFrame([], "word string, n long")
+    shapes = secrets.features(found, words, {})
+    got = {r.doc_id: r for r in shapes.collect() if r.value == KEYS[0]}
+    assert {k: got[k].before for k in got} == {k: name[-40:] for k, name in enumerate(NAMES + plain)}
+    assert [got[k].secret_word for k in range(len(got))] == [1] * len(NAMES) + [0] * len(plain)
+    labels = {r.doc_id: r.label for r in secrets.labelled_findings(shapes).collect() if r.value == KEYS[0]}
+    assert labels == {k: 1 for k in range(len(NAMES))}
+
+
+def test_plain_words_inside_names_and_earlier_assignments(spark):
+    texts = [f"file_md5={KEYS[0]}", f"commitHash: {KEYS[0]}", f"password={KEYS[3]}, sha256: {KEYS[0]}", f"token={KEYS[3]}, id={KEYS[0]}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    shapes = secrets.features(secrets.candidates(docs), spark.createDataFrame([], "word string, n long"), {})
+    assert {r.doc_id: r.plain_word for r in shapes.collect() if r.value == KEYS[0]} == {0: 1, 1: 1, 2: 1, 3: 0}
+    assert {(r.doc_id, r.value): r.label for r in secrets.labelled_findings(shapes).collect()} == {
+        (0, KEYS[0]): 0, (1, KEYS[0]): 0, (2, KEYS[3]): 1, (2, KEYS[0]): 0, (3, KEYS[3]): 1}
+
+
+def test_short_values_of_named_secrets(spark):
+    texts = {1: "db_password=hunter2x9", 2: 'client_secret: "s3"', 3: "PASSWORD = 'abc12345'", 4: "name=hunter2x9", 5: "token hunter2x9",
+             6: "password=" + "a" * 16, 7: "accessToken:x9", 8: "secret = a", 9: "password=" + "a" * 15 + "!"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.candidates(docs).collect()}
+    assert {k: r.value for k, r in got.items()} == {
+        1: "hunter2x9", 2: "s3", 3: "abc12345", 6: "a" * 16, 7: "x9", 9: "a" * 15}
+    assert all(texts[k][r.start:r.end] == r.value for k, r in got.items())
+
+
 def test_forest_removes_false_findings(spark):
     good = [f'password={key}{k}x' for k in range(12) for key in KEYS]
     bad = [f"see thewordisverylong{chr(97 + k)} or commit {key}{k}" for k in range(12) for key in KEYS]

@@ -11,17 +11,25 @@ from pyspark.sql import Column, DataFrame, functions as F
 from usagelens.llm.common import stage
 from usagelens.llm.matches import collect_matches
 
-# A run of at least 16 characters that keys are made of.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+"
 FOUND = "struct<start:int,end:int,value:string,before:string>"
 # Formats that providers give their keys. Fixed values.
 PROVIDER = (r"^(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,}|xox[abp]-[A-Za-z0-9-]{10,}|"
             r"AIza[A-Za-z0-9_-]{35})$")
+# Words of a name end at underscores, hyphens and capitals too, as in db_password, client-secret, accessToken, AWSSecret.
+_CAMEL = r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
+_WORD = rf"(?:(?<![\p{{L}}\p{{N}}])|{_CAMEL})(?i:%s)(?:(?![\p{{L}}\p{{N}}])|{_CAMEL})"
 # Words in front of a candidate that speak for or against a secret. Fixed values.
-SECRET_WORDS = r"\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|bearer)\b"
-PLAIN_WORDS = r"\b(?:sha1|sha256|md5|checksum|digest|hash|commit|revision|uuid|guid|etag|version|example|sample|license)\b"
+SECRET_WORDS = _WORD % "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|bearer"
+PLAIN_WORDS = _WORD % "sha1|sha256|md5|checksum|digest|hash|commit|revision|uuid|guid|etag|version|example|sample|license"
 ASSIGNED = r"[=:]\s*[\"']?$"
+# The same with a secret's word in what is assigned to, not in an assignment before it.
+SECRET_ASSIGNED = rf"{SECRET_WORDS}[^=:,;\n]*[=:]+\s*[\"']?$"
+# A run of at least 16 characters that keys are made of; a shorter one straight after the name of a secret.
+_KEY = "A-Za-z0-9+/_-"
+_NAMED = rf"(?<=[=:][\x20\t]{{0,2}}[\"']?)(?<={SECRET_WORDS}[A-Za-z0-9_-]{{0,20}}[\"']?[\x20\t]{{0,2}}[=:]{{1,2}}[\x20\t]{{0,2}}[\"']?)"
+CANDIDATE = rf"(?<![{_KEY}])(?:[{_KEY}]{{16,}}+|{_NAMED}[{_KEY}]{{2,15}}+(?![{_KEY}]))"
 MIN_WORD_ROWS = 3  # a letter run counts as a word of the dictionary if it occurs this often
+MIN_LABELLED = 8  # characters from which an assigned value with digits is labelled a secret; shorter ones are only scored
 TRAIN_ROWS = 20_000  # labelled findings that a forest is fitted on
 UNSEEN = -9.0  # log chance of a pair of characters that the corpus lacks
 FEATURES = ("length", "transitions", "pair_chance", "coverage", "digits", "capitals", "variety", "hex", "slashes",
@@ -78,7 +86,7 @@ def features(found: DataFrame, words: DataFrame, chances: dict[str, float]) -> D
     Coverage is the share of characters in letter runs of at least three that the dictionary holds. The runs meet the
     dictionary in a join, as neither has a bound.
     """
-    value, before = F.col("value"), F.lower(F.col("before"))
+    value, before = F.col("value"), F.col("before")
     length = F.length(value)
     runs = found.select("value").distinct().select(
         "value", F.explode(F.regexp_extract_all(F.lower("value"), F.lit("[a-z]{3,}+"), F.lit(0))).alias("word"))
@@ -95,8 +103,8 @@ def features(found: DataFrame, words: DataFrame, chances: dict[str, float]) -> D
         "variety": F.size(F.array_distinct(F.split(value, ""))) / length,
         "hex": value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$").cast("double"),
         "slashes": F.regexp_count(value, F.lit("/")),
-        "path_before": before.rlike(r"(?:[a-z]+://\S*|[/\\.])$").cast("double"),
-        "assigned": F.col("before").rlike(ASSIGNED).cast("double"),
+        "path_before": before.rlike(r"(?:[A-Za-z]+://\S*|[/\\.])$").cast("double"),
+        "assigned": before.rlike(ASSIGNED).cast("double"),
         "secret_word": before.rlike(SECRET_WORDS).cast("double"),
         "plain_word": before.rlike(PLAIN_WORDS).cast("double"),
     }
@@ -108,7 +116,7 @@ def labelled_findings(measured: DataFrame) -> DataFrame:
     """Findings that evidence outside their score settles: a provider's format or an assignment to a secret's name is
     one; words of letters only, parts of paths and hashes named as such are none. All others stay unlabelled."""
     label = (F.when(F.col("value").rlike(PROVIDER), 1)
-             .when((F.col("secret_word") == 1) & (F.col("assigned") == 1) & (F.col("digits") > 0), 1)
+             .when(F.col("before").rlike(SECRET_ASSIGNED) & (F.col("digits") > 0) & (F.col("length") >= MIN_LABELLED), 1)
              .when(F.col("value").rlike("^[A-Za-z][a-z]+$|^[A-Z]+$") | (F.col("path_before") == 1)
                    | (F.col("plain_word") == 1), 0))
     return measured.withColumn("label", label.cast("double")).filter("label is not null")
