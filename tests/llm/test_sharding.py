@@ -1,6 +1,8 @@
+import zlib
 from collections import Counter
 
 from usagelens.llm import sharding
+from usagelens.llm.queries import QUERIES
 
 
 def rows(spark, number=5000):
@@ -52,6 +54,35 @@ def test_written_shards(spark, tmp_path):
     assert Counter((r.doc_id, r.text) for r in back) == Counter((d, t) for d, t, _ in data)
 
 
+def test_bytes_bound_holds_by_default(spark, tmp_path, monkeypatch):
+    written = {}
+    monkeypatch.setattr(sharding, "stage", lambda rows, purpose, **options: written.update(rows=rows) or (rows, ""))
+    table = spark.createDataFrame([(k, "é" * 500, [f"{k}" * 50]) for k in range(200)], "doc_id long, text string, tags array<string>")
+    sharding.write_shards(table, f"{tmp_path}/s", 4, bucket_bytes=20_000)
+    sizes = [sum(len(r.text.encode()) for r in row.rows) for row in written["rows"].collect()]
+    assert sum(sizes) == 200_000 and len(sizes) >= 9 and max(sizes) < 50_000
+    back = spark.read.parquet(f"{tmp_path}/s").collect()
+    assert Counter(r.doc_id for r in back) == Counter(range(200))
+
+
+def test_query_moves_whole_documents(spark, monkeypatch):
+    moved = {}
+    whole = sharding.shuffle_to_shards
+
+    def seen(rows, *args, **options):
+        moved.update(columns=set(rows.columns), bytes_col=options.get("bytes_col"))
+        return whole(rows, *args, **options)
+
+    monkeypatch.setattr(sharding, "shuffle_to_shards", seen)
+    sf = "/root/testdata/sf0.001"
+    got = QUERIES["op8_sharding"](spark, sf).collect()
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert moved["columns"] >= set(docs.columns) and moved["bytes_col"] == "size"
+    texts = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == Counter((i, len(t) + 1, zlib.crc32(t)) for i, t in texts)
+    assert sorted(r.slot * 16 + r.shard for r in got) == list(range(len(texts)))
+
+
 def test_no_python_in_the_plan(spark):
     plan = sharding.shuffle_to_shards(spark.range(10), 2)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

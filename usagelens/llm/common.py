@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, functions as F
 from usagelens.runtime import work_folder
 
 
-def stage(rows: DataFrame, purpose: str, *partition_by: str) -> tuple[DataFrame, str]:
+def stage(rows: DataFrame, purpose: str, *partition_by: str, compression: str | None = None) -> tuple[DataFrame, str]:
     """Write rows to the shared folder and read them back: a lost executor costs a re-read, not a re-run."""
     spark = rows.sparkSession
     path = work_folder(spark, purpose)
-    rows.write.partitionBy(*partition_by).parquet(path)
+    rows.write.partitionBy(*partition_by).parquet(path, compression=compression)
     return spark.read.schema(rows.schema).parquet(path).select(*rows.columns), path
 
 

@@ -76,13 +76,12 @@ def op7_pii(spark, sf_dir):
 
 def op8_sharding(spark, sf_dir):
     """Shard and slot of each document under the law of equal row counts."""
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    sized = docs.select("doc_id", (F.octet_length("text") + 1).cast("long").alias("size"),
-                        F.crc32("text").alias("text_crc32"))
-    return sharding.shuffle_to_shards(sized, 16).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"))
+    docs = table(spark, sf_dir, "documents")
+    sized = docs.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    return sharding.shuffle_to_shards(sized, 16, bytes_col="size").select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op9_secrets(spark, sf_dir):

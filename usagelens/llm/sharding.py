@@ -1,6 +1,6 @@
 """Random order at any size in two passes: scatter to buckets by seeded hash, shuffle each bucket, deal to shards."""
 
-from pyspark.sql import DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, functions as F, types as T, Window as W
 
 from usagelens.llm.common import stage
 
@@ -9,6 +9,19 @@ BUCKET_BYTES = 32 << 20
 GROUP = 1_000  # buckets whose sizes are summed up in one window
 
 
+def _row_bytes(rows: DataFrame, columns: list[str]) -> Column:
+    """Bytes of a row's strings and nested values, eight for each other one."""
+    def own(field):
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            return F.octet_length(column)
+        if isinstance(field.dataType, (T.ArrayType, T.StructType)):
+            return F.octet_length(column.cast("string"))
+        return F.lit(8)
+
+    return sum((F.coalesce(own(rows.schema[c]), F.lit(0)).cast("long") for c in columns), F.lit(0).cast("long"))
+
+
 def _starts(buckets: DataFrame) -> DataFrame:
     """(bucket, start): rows in all buckets before it, by sums within groups of buckets and over the groups."""
     sized = buckets.select("bucket", F.size("rows").cast("long").alias("n"),
@@ -25,20 +38,20 @@ def shuffle_to_shards(rows: DataFrame, shards: int = 16, seed: int = 7, bytes_co
                       bucket_rows: int = BUCKET_ROWS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``rows`` with shard and slot: a random order dealt out in turn, so shard sizes differ by at most one.
 
-    Pass one scatters rows by a seeded hash of all their columns into buckets of about ``bucket_rows`` rows and, if
-    ``bytes_col`` names their sizes, ``bucket_bytes`` bytes, whose number follows the table. Rows that are alike are
-    counted first and numbered, so that copies scatter like any others. Pass two puts each bucket, which fits in
-    memory, in random order with Spark's seeded Fisher-Yates ``shuffle`` and writes it; order is fixed from then on.
-    Bucket sizes give each bucket its start, and the row at place p goes to shard p mod ``shards``, slot p div
-    ``shards``. The same rows, seed and shuffle partitions give the same order.
+    Pass one scatters rows by a seeded hash of all their columns into buckets of about ``bucket_rows`` rows and
+    ``bucket_bytes`` bytes at most, whose number follows the table; ``bytes_col`` may name the rows' sizes, which are
+    measured otherwise. Rows that are alike are counted first and numbered, so that copies scatter like any others. Pass
+    two puts each bucket, which fits in memory, in random order with Spark's seeded Fisher-Yates ``shuffle`` and writes
+    it; order is fixed from then on. Bucket sizes give each bucket its start, and the row at place p goes to shard p mod
+    ``shards``, slot p div ``shards``. The same rows, seed and shuffle partitions give the same order.
 
     Nulls are values like others, ties do not occur, an empty table gives none. Columns must be of types that can be
     sorted; input columns called shard or slot give way.
     """
     columns = [c for c in rows.columns if c.lower() not in ("shard", "slot")]
     spark = rows.sparkSession
-    size = F.sum(bytes_col) if bytes_col else F.lit(0)
-    total, weight = rows.agg(F.count("*"), F.coalesce(size, F.lit(0)).cast("long")).first()
+    size = F.col(f"`{bytes_col}`") if bytes_col else _row_bytes(rows, columns)
+    total, weight = rows.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0)).cast("long")).first()
     buckets = max(1, -(-total // bucket_rows), -(-weight // bucket_bytes))
     partitions = max(1, min(buckets, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     quoted = [F.col(f"`{c}`") for c in columns]
@@ -48,7 +61,7 @@ def shuffle_to_shards(rows: DataFrame, shards: int = 16, seed: int = 7, bytes_co
     filled = (scattered.repartition(partitions, "bucket").groupBy("bucket")
               .agg(F.sort_array(F.collect_list("row")).alias("rows")).sortWithinPartitions("bucket")
               .select("bucket", F.shuffle("rows", F.lit(seed)).alias("rows")))
-    written, _ = stage(filled, "shuffled")
+    written, _ = stage(filled, "shuffled", compression="zstd")
     placed = written.join(_starts(written), "bucket").select("start", F.posexplode("rows").alias("at", "row"))
     place = F.col("start") + F.col("at")
     return placed.select("row.*", (place % shards).cast("int").alias("shard"),
