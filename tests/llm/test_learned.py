@@ -51,6 +51,26 @@ def test_whole_text_counts():
     assert np.allclose(top.max(0), np.tanh(whole.max(0) + network.w["bias"]), atol=1e-5)
 
 
+def test_quality_marks_behind_the_first_bytes_are_learned(spark):
+    start = "the same beginning of all texts " * 160
+    rows = [(k, start + ("calm words " if k % 2 else "BUY!! $$$ ") * 200, k % 2) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    network = quality.train(docs.filter("doc_id < 80").drop("quality"), docs.select("doc_id", "quality"))
+    held = quality.score(docs.filter("doc_id >= 80"), network).collect()
+    assert [r.score > 0.5 for r in held] == [r.quality == 1 for r in held]
+
+
+def test_texts_are_whole_or_drawn_from_all_over(spark):
+    assert quality.even_share([5, 9000, 70], 10_000) == 9000
+    assert quality.even_share([9000, 100, 9000], 10_100) == 5000
+    assert quality.even_share([], 10) == quality.even_share([4000] * 10, 100) == 2 * quality.CHUNK
+    text = b"".join(k.to_bytes(4, "big") for k in range(50_000))
+    frame = spark.createDataFrame([(bytearray(text),)], "text binary")
+    assert [bytes(p) for p in frame.select(quality.drawn(frame.text, len(text))).first()[0]] == [text]
+    parts = [bytes(p) for p in frame.select(quality.drawn(frame.text, 5200)).first()[0]]
+    assert parts == [text[s:s + 512] for s in [int((len(text) - 512) * k / 9) for k in range(10)]]
+
+
 def test_quality_of_odd_tables(spark):
     rows = [(1, None, 1.0), (2, "", 2.0), (2, "x" * 300000, 3.0), (None, "é", 4.0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, SCORE double")
