@@ -226,3 +226,9 @@ def test_model_catalog(spark):
     merged = catalog.model_catalog_merged(frame, ["b1", "own"]).where("snapshot_id IN (0, 3)").collect()
     assert sorted((row.snapshot_id, row.position, row.model_id) for row in merged) == [
         (0, 0, "a1"), (0, 1, "b1"), (0, 2, "c1"), (0, 3, "d1"), (0, 4, "own"), (3, 0, "b1"), (3, 1, "own")]
+
+
+def test_unread_long_event_behind_the_last_usage(spark):
+    early, unread = completed(input_tokens=1), 'data: {"usage":{"input_tokens":9},"pad":[' + "1," * 600_000 + "\n\n"
+    assert sse_usage(spark, [[early, unread], [unread, early], [early], [early, unread, early], [unread]]) == [
+        (0, 0, 0, 0, True), (1, 0, 0, 0, False), (1, 0, 0, 0, False), (1, 0, 0, 0, False), (0, 0, 0, 0, True)]

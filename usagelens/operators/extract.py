@@ -113,7 +113,7 @@ def extract_sse_usage(chunks: DataFrame, chunks_per_slice: int = CHUNKS_PER_SLIC
 
     An event that is JSON but not an object, or a usage with a bad count, voids
     the whole stream; so does a long relevant event that cannot be parsed, unless
-    another one has a usage.  The text is read once; what matters of it is small
+    a later one has a usage.  The text is read once; what matters of it is small
     and is staged in the shared folder.
     """
     slices = materialize(squeezed_slices(chunks, chunks_per_slice))
@@ -142,8 +142,9 @@ def extract_sse_usage(chunks: DataFrame, chunks_per_slice: int = CHUNKS_PER_SLIC
     result = counted.groupBy("request_id").agg(
         F.max_by(F.struct(*TOKEN_COLUMNS), at).alias("last"),
         F.max(F.coalesce(F.col("_not_object"), F.lit(False)) | F.col("bad_usage")).alias("parse_error"),
-        F.max(F.coalesce(F.col("_unread"), F.lit(False))).alias("_unread"))
-    result = result.withColumn("parse_error", F.col("parse_error") | (F.col("_unread") & F.col("last").isNull()))
+        F.max(at).alias("_last_at"), F.max(F.when(F.col("_unread"), F.struct("slice", "idx"))).alias("_unread_at"))
+    unread = F.col("_unread_at").isNotNull() & (F.col("_last_at").isNull() | (F.col("_unread_at") > F.col("_last_at")))
+    result = result.withColumn("parse_error", F.col("parse_error") | F.coalesce(unread, F.lit(False)))
     zero = F.lit(0).cast("long")
     return result.select("request_id", *[
         F.when(F.col("parse_error"), zero).otherwise(F.coalesce(F.col(f"last.{name}"), zero)).alias(name)
