@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from usagelens.llm.common import carried
 
@@ -248,11 +248,6 @@ def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: s
     return encoded.groupBy("block").applyInArrow(_assemble(shared, answer), f"doc_id long, {ANSWERS[answer]}")
 
 
-def token_table(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
-    """(id, token) for each entry of the vocabulary."""
-    return spark.createDataFrame([(rank, bytearray(token)) for token, rank in ranks.items()], "id int, token binary")
-
-
 def _decode_batches(shared, ids_index, keep):
     def run(batches):
         tokens = {rank: token for token, rank in shared.value.items()}
@@ -265,7 +260,7 @@ def _decode_batches(shared, ids_index, keep):
 
 
 def bpe_decode(rows: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> DataFrame:
-    """``rows`` with ``decoded``, the bytes of their ids in order, joined from the vocabulary's token bytes.
+    """``rows`` with ``decoded``, the bytes of their ids in order, looked up in the broadcast vocabulary.
 
     The vocabulary has a fixed size, so each task holds it. Null ids give null, an unknown id is an error.
     """
