@@ -3,7 +3,8 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
-from usagelens.llm import bpe, decontaminate, langid, pii, quality, secrets, sharding, simhash, vectors, warc
+from usagelens.llm import (
+    bpe, decontaminate, langid, merkle, pii, quality, secrets, sharding, simhash, vectors, warc)
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -99,6 +100,18 @@ def op10_langid(spark, sf_dir):
     return langid.identify(marked, model, keep=["doc_id", "held_out"], spans=False)
 
 
+def op13_merkle(spark, sf_dir):
+    """Digests and proofs of all documents, and whether texts without their line feeds still fold to the root."""
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.coalesce(_text_crc("doc_id") % 2 == 0, F.lit(False))
+    changed = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    leaves = docs.select("doc_id", "source", merkle.leaf_digest(fields).alias("leaf"), "lang", "n_chars", changed.alias("text"))
+    shown = leaves.select("doc_id", "source", "leaf", merkle.leaf_digest(fields).alias("shown"))
+    return merkle.verify(merkle.build(shown, "source", ["doc_id"], ["doc_id", "shown"]), "shown").select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES = {query.__name__: query for query in (
     op1_bpe, op2_simhash, op3_vectors, op4_decontaminate, op5_warc, op6_quality, op7_pii, op8_sharding, op9_secrets,
-    op10_langid)}
+    op10_langid, op13_merkle)}
