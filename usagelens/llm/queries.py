@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
 from usagelens.llm import (
-    bpe, decontaminate, langid, merkle, pii, quality, secrets, sharding, simhash, vectors, warc)
+    bpe, decontaminate, langid, merkle, pii, quality, rules, secrets, sharding, simhash, vectors, warc)
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -100,6 +100,14 @@ def op10_langid(spark, sf_dir):
     return langid.identify(marked, model, keep=["doc_id", "held_out"], spans=False)
 
 
+def op12_rules(spark, sf_dir):
+    """Measurements of each document, and what the base rules and the current policy say."""
+    kept = rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+    base = F.col("failed").bitwiseAND(F.lit(rules.BASE)) != 0
+    return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                       base.alias("base_failed"), (F.col("kept") & ~base).alias("kept"), "failed")
+
+
 def op13_merkle(spark, sf_dir):
     """Digests and proofs of all documents, and whether texts without their line feeds still fold to the root."""
     docs = table(spark, sf_dir, "documents")
@@ -114,4 +122,4 @@ def op13_merkle(spark, sf_dir):
 
 QUERIES = {query.__name__: query for query in (
     op1_bpe, op2_simhash, op3_vectors, op4_decontaminate, op5_warc, op6_quality, op7_pii, op8_sharding, op9_secrets,
-    op10_langid, op13_merkle)}
+    op10_langid, op12_rules, op13_merkle)}
