@@ -4,7 +4,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
 from usagelens.llm import (
-    bpe, decontaminate, langid, merkle, pii, quality, rules, secrets, sharding, simhash, vectors, warc)
+    bpe, decontaminate, langid, merkle, pii, quality, rules, secrets, sharding, simhash, trie, vectors, warc)
+from usagelens.llm.common import stage
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -100,6 +101,13 @@ def op10_langid(spark, sf_dir):
     return langid.identify(marked, model, keep=["doc_id", "held_out"], spans=False)
 
 
+def op11_trie(spark, sf_dir):
+    """Prefix trie of all conversations, rebuilt to start with turns of every twentieth one."""
+    turns, _ = stage(trie.turn_rows(table(spark, sf_dir, "conversations")), "turns")
+    base = F.col("conv_id") - F.col("conv_id") % 20
+    return trie.trie(trie.rebranched(turns, base, _text_crc("conv_id") % 4, 3))
+
+
 def op12_rules(spark, sf_dir):
     """Measurements of each document, and what the base rules and the current policy say."""
     kept = rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents"), keep=["doc_id"]))
@@ -122,4 +130,4 @@ def op13_merkle(spark, sf_dir):
 
 QUERIES = {query.__name__: query for query in (
     op1_bpe, op2_simhash, op3_vectors, op4_decontaminate, op5_warc, op6_quality, op7_pii, op8_sharding, op9_secrets,
-    op10_langid, op12_rules, op13_merkle)}
+    op10_langid, op11_trie, op12_rules, op13_merkle)}
