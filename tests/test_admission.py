@@ -240,3 +240,70 @@ def test_unsorted_rows_are_refused():
     lives = pd.DataFrame({"api_key": ["k", "k"], "username": ["a", "b"], "seq": [2, 1], "ends": [None, None]})
     with pytest.raises(ValueError):
         list(keylife.lives(iter([lives])))
+
+
+def contested(spark, rows):
+    from usagelens.operators.per_minute import contested_starts
+
+    frame = admission._prepared(spark.createDataFrame(rows, SCHEMA), TZ)
+    return contested_starts(frame.where("rpm_limit != 0"))
+
+
+def test_steady_traffic_within_the_limit_is_not_contested(spark):
+    rows = [(i, "hot", MIDNIGHT + i * 10_000, None, 0, None, None, 6) for i in range(3000)]
+    assert contested(spark, rows) is None
+    burst = rows + [(5000, "hot", MIDNIGHT + 15_000_001, None, 0, None, None, 6)]
+    near = contested(spark, burst).agg(F.min("at"), F.max("at"), F.countDistinct("stretch")).first()
+    assert near[0] > MIDNIGHT + 14_900_000 and near[1] < MIDNIGHT + 15_100_000 and near[2] == 1
+    assert replay(spark, burst) == brute(burst)
+
+
+def test_a_saturated_user_is_cut_into_slices(spark):
+    """A limit of one and starts all day long: slices of time are decided apart, none holds 2 % of the user's rows."""
+    from usagelens.operators import minute
+
+    rng = random.Random(3)
+    rows, at = [], 0
+    while at < 2 * DAY:
+        rows.append((len(rows), "hot", MIDNIGHT + at, None, 0, None, None, 1))
+        at += rng.choice([1, 500, 9_000, 20_000, 30_000])
+    rows += [(10**6 + i, "b", MIDNIGHT + i * 59_999, None, 0, 30, None, 1) for i in range(400)]
+    starts = contested(spark, rows)
+    sizes = starts.where("sliced").groupBy("username", "day", "stretch", F.expr(f"at div {minute.SLICE_MS}")).count()
+    largest, total = sizes.agg(F.max("count"), F.sum("count")).first()
+    assert total > 0.9 * len(rows) and largest < 0.02 * total
+    assert replay(spark, rows) == brute(rows)
+
+
+def test_slices_in_small_batches():
+    import pandas as pd
+
+    from usagelens.operators import minute
+
+    times = sorted(random.Random(1).sample(range(10 * minute.SLICE_MS), 3000))
+    table = pd.DataFrame({"username": "u", "day": "d", "stretch": 1, "part": [t // minute.SLICE_MS for t in times], "at": times})
+    cut = [table.iloc[k:k + 7].reset_index(drop=True) for k in range(0, len(table), 7)]
+    ways = pd.concat(minute.slice_ways(iter(cut))).sort_values(["part", "entry"])
+    entries = pd.concat(minute.chained_entries(iter([ways])))
+    told = table.merge(entries, how="left")
+    cut = [told.iloc[k:k + 7].reset_index(drop=True) for k in range(0, len(told), 7)]
+    found = pd.concat(minute.slice_decisions(iter(cut)))
+    expected, last = [], -minute.MINUTE_MS
+    for time in times:
+        expected.append(int(time - last >= minute.MINUTE_MS))
+        last = time if expected[-1] else last
+    assert found["at"].tolist() == times and found["let_in"].tolist() == expected
+
+
+def test_tokens_over_midnight_against_the_loop(spark):
+    """One pair of limits a day, long requests: each day's close depends on the days before."""
+    for seed in range(3):
+        rng = random.Random(seed)
+        rows = []
+        for user in range(6):
+            at, limits = 0, (rng.choice([None, 15]), rng.choice([90, 200]), rng.choice([None, 1, 2]))
+            while at < 8 * DAY:
+                rows.append((len(rows), f"u{user}", MIDNIGHT + at, MIDNIGHT + at + rng.choice([0, 5, 3_000_000, 40_000_000, 200_000_000]),
+                             rng.choice([0, 5, 20]), *limits))
+                at += rng.choice([0, 1000, 59_000, 1_000_000, 5_000_000])
+        assert replay(spark, rows) == brute(rows)

@@ -166,3 +166,17 @@ def test_today_counters_feed_the_stream(ledger_files):
 
     _, ledger = ledger_files
     assert set(reports.today_counters(ledger, date(2024, 1, 1)).columns) == {"username", "requests", "tokens"}
+
+
+def test_a_batch_reads_its_own_days_only(spark, tmp_path):
+    """A day in each batch: what a batch meets of the past does not grow with their number."""
+    rows = [(d * 10 + k, "a", MIDNIGHT + d * DAY + k * 1000, MIDNIGHT + d * DAY + k * 1000 + (DAY if k == 9 else 0), 5, 8, None, None)
+            for d in range(6) for k in range(10)]
+    source, out, state = (str(tmp_path / name) for name in ("in", "out", "state"))
+    write_files(spark, source, [spark.createDataFrame(rows[d * 10:d * 10 + 10], SCHEMA) for d in range(6)])
+    assert decisions(spark, source, out, state) == brute(rows)
+    sizes = [admission.stored_days(spark, out, [f"2024-01-0{d + 1}"], 99).count() for d in range(6)]
+    assert sizes == [10] * 6
+    assert len(admission.stored_days(spark, out, ["2024-01-03"], 99).inputFiles()) == 1
+    assert admission.stored_days(spark, out, ["2024-01-03"], 2).count() == 0
+    assert admission.stored_days(spark, out, ["2030-01-01"], 99).count() == 0

@@ -1,37 +1,33 @@
 """Admission replay: which requests the daily and per-minute limits let in.
 
-A decision depends on the decisions before it, of the same user and day, and on
-requests of earlier days that finish in it. It is found by rounds.
-
-* A round takes the decisions of the last one (at first: all are let in) and
-  sums up admitted requests and finished tokens before every start. The sums
-  tell which starts a daily limit refuses.
-* The per-minute rule then decides the others. A minute without starts empties
-  its window, so a day falls into stretches that are decided apart, on one row
-  for each time at which something starts.
-* Whatever is right before a start gives the right decision there, so every
-  round is right further than the last one, up to the next closing of a daily
-  limit. When nothing changes, all decisions are right.
-
-Only days with a changed decision, and days in which a changed request
-finishes, take part in the next round, and a round writes nothing but them.
+A decision depends on the decisions before it, of the same user and day, and on requests of earlier days that finish in
+it. Where a user's keys have one pair of daily limits a day, and totals are not negative, no rounds are needed.
+
+* Until a daily limit is reached, only the per-minute rule refuses; from then on everything is refused. So the
+  per-minute rule is applied to the whole day (``per_minute``), admitted requests and finished tokens are summed up, and
+  the first start that finds a limit reached closes the day.
+* Requests that finish on a later day add their tokens there, if they were let in. Between such starts and finishes a
+  day needs its last sums only, so one short sequence per user tells what every span of a day has got from earlier
+  days (``midnight``).
+
+Users whose keys differ in their daily limits within a day are decided by rounds: a round takes the daily refusals
+of the last one as given, applies the per-minute rule to the others, and sums up again. Whatever is right before a start
+gives the right decision there, so every round is right further than the last one, up to the next reached limit.
 """
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from usagelens.functions.clock import local_day
-from usagelens.operators import minute
-from usagelens.operators.ordered import last_before, running_before
+from usagelens.operators import midnight
+from usagelens.operators.ordered import running_before
+from usagelens.operators.per_minute import GROUP, MINUTE_MS, contested_starts, decide_contested
 from usagelens.runtime import materialize
 
-# Tasks get the rule with the job, so executors need no installation.
-cloudpickle.register_pickle_by_value(minute)
+cloudpickle.register_pickle_by_value(midnight)
 
-MINUTE_MS = minute.MINUTE_MS
-GROUP = ("username", "day")
 DECISION = ("id", "username", "day", "decision")
-_TICKS = "username string, day string, at long, place long, let_in long"
+FLATTEN = 4  # rounds after which the table of current decisions is written anew
 
 
 def _prepared(requests: DataFrame, tz: str) -> DataFrame:
@@ -53,101 +49,148 @@ def _prepared(requests: DataFrame, tz: str) -> DataFrame:
         local_day("start_ms", tz).alias("day"), local_day(end, tz).alias("end_day"), settled.alias("settled"))
 
 
-def _with_sums(rows: DataFrame, carry: DataFrame) -> DataFrame:
-    """Add admitted requests and finished tokens before each start, as far as ``admitted`` is right."""
+def _users(rows: DataFrame) -> DataFrame:
+    """(username, plain, over): users with a limit, whether their days have one pair of daily limits, and whether tokens
+    of one day may count against a limit of another."""
+    open_ = F.col("settled").isNull()
+
+    def least(name):
+        return F.min(F.when(open_, F.col(name)))
+
+    def most(name):
+        return F.max(F.when(open_, F.col(name)))
+
+    days = rows.groupBy(*GROUP).agg(
+        (F.greatest(most("request_limit"), most("token_limit"), most("rpm_limit")) != 0).alias("bound"),
+        ((least("request_limit") == most("request_limit")) & (least("token_limit") == most("token_limit"))).alias("one"),
+        (most("token_limit") != 0).alias("tokens"), (F.min("total") >= 0).alias("rising"),
+        F.bool_or((F.col("end_day") != F.col("day")) & (F.col("total") != 0)).alias("crossing"))
+    no = F.lit(False)
+    return days.groupBy("username").agg(
+        F.bool_or(F.coalesce("bound", no)).alias("bound"), F.bool_and(F.coalesce("one", F.lit(True)) & F.col("rising")).alias("plain"),
+        (F.bool_or(F.coalesce("tokens", no)) & F.bool_or("crossing")).alias("over")).where("bound").drop("bound")
+
+
+def _in_minute(rows: DataFrame, contested: DataFrame | None) -> DataFrame:
+    """``rows`` with ``in_minute``, false where the per-minute rule refuses."""
+    if contested is None:
+        return rows.withColumn("in_minute", F.lit(True))
+    return rows.join(contested, ["id", *GROUP], "left").select(
+        *rows.columns, F.coalesce("in_minute", F.lit(True)).alias("in_minute"))
+
+
+def _events(rows: DataFrame, carried: DataFrame | None) -> DataFrame:
+    """Starts of ``rows`` and the finishes of admitted ones on the same day, in which ``carried`` finishes join.
+
+    ``fresh`` and ``held`` count starts that are let in now or were before, ``tok`` the tokens of finishes.
+    """
     zero = F.lit(0).cast("long")
     at_once = F.col("end_ms") == F.col("start_ms")
-    own = rows.select(*rows.columns, F.inline(F.array(
-        F.struct(F.col("start_ms").alias("at"), F.lit(1).alias("phase"), F.lit(0).alias("step"),
-                 F.when(F.col("admitted"), F.col("weight")).otherwise(0).cast("long").alias("n"), zero.alias("tok")),
-        # A completion comes before starts of the same time, but after its own start.
-        F.struct(F.col("end_ms").alias("at"), F.when(at_once, 1).otherwise(0).alias("phase"), F.lit(1).alias("step"),
-                 zero.alias("n"), F.col("total").alias("tok")))))
-    own = own.where((F.col("step") == 0) | (F.col("admitted") & (F.col("end_day") == F.col("day")) & (F.col("tok") != 0)))
-    carried = carry.where("admitted").select(
-        "id", "username", F.col("end_day").alias("day"), F.col("end_ms").alias("at"), F.lit(0).alias("phase"),
-        F.lit(1).alias("step"), zero.alias("n"), F.col("total").alias("tok"))
-    events = own.unionByName(carried, allowMissingColumns=True)
-    summed = running_before(events, GROUP, ["at", "phase", "id", "step"], {"n": "_requests", "tok": "_tokens"}, MINUTE_MS)
-    return summed.where("step = 0").select(*rows.columns, "_requests", "_tokens")
-
-
-def _by_minute(rows: DataFrame) -> DataFrame:
-    """(id, username, day, in_minute) of rows with a per-minute limit."""
-    fixed = F.col("settled").isNotNull()
-    # Starts of one time count together where the day has one limit and nothing is decided yet, else each for itself.
-    limits = rows.groupBy(*GROUP).agg(
-        ((F.min("rpm_limit") == F.max("rpm_limit")) & ~F.bool_or(fixed)).alias("_one"))
-    placed = rows.join(limits, list(GROUP)).select(
-        "id", *GROUP, F.col("start_ms").alias("at"), "rpm_limit", fixed.alias("fixed"),
-        F.when(F.col("_one"), F.lit(-1).cast("long")).otherwise(F.col("id")).alias("place"))
-    ticks = placed.groupBy(*GROUP, "at", "place", "rpm_limit", "fixed").agg(F.count(F.lit(1)).alias("starts"))
-    times = ticks.select(*GROUP, "at").distinct().withColumn("_at", F.col("at"))
-    near = last_before(times, GROUP, "at", "_at", "_before", MINUTE_MS)
-    opens = F.coalesce(F.col("at") - F.col("_before") >= MINUTE_MS, F.lit(True)).cast("long")
-    counted = running_before(near.select(*GROUP, "at", opens.alias("_opens")), GROUP, ["at"], {"_opens": "_earlier"}, MINUTE_MS)
-    stretches = counted.select(*GROUP, "at", (F.col("_earlier") + F.col("_opens")).alias("stretch"))
-    order = [*GROUP, "stretch", "at", "place"]
-    let_in = (
-        ticks.join(stretches, [*GROUP, "at"]).repartition(*GROUP, "stretch").sortWithinPartitions(*order)
-        .mapInPandas(minute.admitted_starts, _TICKS)
-    )
-    rank = F.row_number().over(Window.partitionBy(*GROUP, "at", "place").orderBy("id"))
-    return placed.withColumn("_rank", rank).join(let_in, [*GROUP, "at", "place"]).select(
-        "id", *GROUP, (F.col("_rank") <= F.col("let_in")).alias("in_minute"))
-
-
-def _decide(rows: DataFrame, carry: DataFrame) -> DataFrame:
-    """``rows`` with the decisions that follow from ``admitted``."""
-    limited = (F.col("request_limit") != 0) & (F.col("_requests") >= F.col("request_limit"))
-    empty = (F.col("token_limit") != 0) & (F.col("_tokens") >= F.col("token_limit"))
-    tested = materialize(_with_sums(rows, carry).select(*rows.columns, F.when(
-        F.col("settled").isNotNull(), F.col("settled")).when(limited, "request_limit").when(empty, "token_limit").alias(
-        "_daily")))
-    # Refused starts leave no trace in the minute, and starts without a limit neither.
-    open_ = tested.where((F.col("rpm_limit") != 0) & (F.col("_daily").isNull() | (F.col("settled") == "ok")))
-    return tested.join(_by_minute(open_), ["id", *GROUP], "left").select(
-        *rows.columns, F.coalesce("_daily", F.when(F.col("in_minute") == F.lit(False), "rpm"), F.lit("ok")).alias("decision"))
-
-
-def _rounds(rows: DataFrame) -> DataFrame:
-    """Decisions of users with limits."""
-    spark = rows.sparkSession
-    daily = materialize(rows.where("(request_limit != 0 OR token_limit != 0) AND settled IS NULL").select(*GROUP).distinct())
-
-    def crossing(decided):
-        return decided.where((F.col("end_day") != F.col("day")) & (F.col("total") != 0)).select(
-            "id", "username", "day", "end_day", "end_ms", "total", "admitted")
-
-    first = F.coalesce(F.col("settled") == "ok", F.lit(True))
-    now = rows.withColumn("admitted", first)
-    carry = materialize(crossing(now))
-    parts: list[DataFrame] = []  # what each round has decided
-    latest = None  # (username, day, round)
-    groups = None
+    let_in = F.when(F.col("admitted"), F.col("weight")).otherwise(zero)
+    held = F.col("settled").isNotNull()
+    # A completion comes before starts of the same time, but after its own start.
+    start = F.struct(F.col("start_ms").alias("at"), F.lit(1).alias("phase"), F.lit(0).alias("step"),
+                     F.when(~held, let_in).otherwise(zero).alias("fresh"), F.when(held, let_in).otherwise(zero).alias("held"),
+                     zero.alias("tok"))
+    finish = F.struct(F.col("end_ms").alias("at"), F.when(at_once, 1).otherwise(0).alias("phase"), F.lit(1).alias("step"),
+                      zero.alias("fresh"), zero.alias("held"), F.col("total").alias("tok"))
+    adds = F.col("admitted") & (F.col("end_day") == F.col("day")) & (F.col("total") != 0)
+    own = rows.select(*rows.columns, F.inline(F.when(adds, F.array(start, finish)).otherwise(F.array(start))))
+    return own if carried is None else own.unionByName(carried, allowMissingColumns=True)
+
+
+def _finishes(rows: DataFrame, tokens) -> DataFrame:
+    """Finishes of admitted rows on a later day, as events of that day."""
+    zero = F.lit(0).cast("long")
+    return rows.where("admitted AND end_day != day AND total != 0").select(
+        "id", "username", F.col("end_day").alias("day"), "settled", F.col("end_ms").alias("at"), F.lit(0).alias("phase"),
+        F.lit(1).alias("step"), zero.alias("fresh"), zero.alias("held"), tokens.alias("tok"), "total")
+
+
+def _plain(rows: DataFrame, contested: DataFrame | None, over: bool) -> DataFrame:
+    """Decisions of users whose days have one pair of daily limits."""
+    first = _in_minute(rows, contested).withColumn("admitted", F.coalesce(F.col("settled") == "ok", F.col("in_minute")))
+    order = ["at", "phase", "id", "step"]
+    sums = {"fresh": "_fresh", "held": "_held", "tok": "_tokens"}
+    if not over:
+        met = running_before(_events(first, None), GROUP, order, sums, MINUTE_MS).where("step = 0").withColumn("carry", F.lit(0).cast("long"))
+    else:
+        later = _finishes(first.where("over"), F.lit(0).cast("long")).withColumn("mark", F.lit(1).cast("long"))
+        crossing = F.col("over") & F.col("admitted") & F.col("settled").isNull() & (F.col("end_day") != F.col("day")) & (F.col("total") != 0)
+        starts = _events(first, None).withColumn("mark", ((F.col("step") == 0) & crossing).cast("long"))
+        events = starts.unionByName(later, allowMissingColumns=True)
+        base = materialize(running_before(events, GROUP, order, {**sums, "mark": "_mark"}, MINUTE_MS).where("step = 0 OR mark = 1"))
+        carries = materialize(_carries(base))
+        met = base.where("step = 0").join(carries, [*GROUP, "_mark"], "left").withColumn("carry", F.coalesce("carry", F.lit(0)))
+    place = F.struct("start_ms", "id")
+    reached = F.col("settled").isNull() & (
+        ((F.col("request_limit") != 0) & (F.col("_fresh") + F.col("_held") >= F.col("request_limit")))
+        | ((F.col("token_limit") != 0) & (F.col("_tokens") + F.col("carry") >= F.col("token_limit"))))
+    found = materialize(met.select(*rows.columns, "in_minute", "_fresh", "_held", reached.alias("_reached")))
+    closing = found.where("_reached").groupBy(*GROUP).agg(F.min(F.struct("start_ms", "id", "_fresh")).alias("_close"))
+    closed = F.col("_close").isNotNull() & (place >= F.struct("_close.start_ms", "_close.id"))
+    full = (F.col("request_limit") != 0) & (F.col("_close._fresh") + F.col("_held") >= F.col("request_limit"))
+    return found.join(closing, list(GROUP), "left").select("id", *GROUP, "settled", F.coalesce(
+        "settled", F.when(closed & full, "request_limit").when(closed, "token_limit").when(~F.col("in_minute"), "rpm"),
+        F.lit("ok")).alias("decision"))
+
+
+def _carries(base: DataFrame) -> DataFrame:
+    """(username, day, _mark, carry): tokens that the spans of a day have got from requests of earlier days."""
+    zero = F.lit(0).cast("long")
+    spans = base.where("step = 0 AND settled IS NULL AND over").groupBy(*GROUP, "_mark").agg(
+        F.max(F.col("_fresh") + F.col("_held")).alias("n"), F.max("_tokens").alias("tok"),
+        F.max("request_limit").alias("request_limit"), F.max("token_limit").alias("token_limit"))
+    marks = base.where("mark = 1").select(
+        *GROUP, F.col("_mark").alias("mark"), F.when(F.col("step") == 0, 1).otherwise(2).alias("kind"), "id", zero.alias("n"),
+        F.col("total").alias("tok"), zero.alias("request_limit"), zero.alias("token_limit"), F.col("settled").isNotNull().alias("held"))
+    records = spans.select(*GROUP, F.col("_mark").alias("mark"), F.lit(0).alias("kind"), zero.alias("id"), "n", "tok",
+                           "request_limit", "token_limit", F.lit(False).alias("held")).unionByName(marks)
+    return records.repartition("username").sortWithinPartitions("username", "day", "mark", "kind").mapInPandas(
+        midnight.carried_tokens, "username string, day string, mark long, carry long").withColumnRenamed("mark", "_mark")
+
+
+def _rounds(rows: DataFrame, starts: DataFrame | None, contested: DataFrame | None, over: bool) -> DataFrame:
+    """Decisions of users whose daily limits differ within a day.
+
+    Only days with a changed refusal, and those in which their requests finish, take part in the next round. A start
+    that is not contested stays so whatever else is refused, so the per-minute rule runs on ``starts`` alone.
+    """
+    now = rows.withColumn("daily", F.lit(None).cast("string"))
+    current = again = None
+    number = 0
     while True:
-        number = len(parts)
-        decided = materialize(_decide(now, carry).withColumns(
-            {"was": F.col("admitted"), "admitted": F.col("decision") == "ok", "round": F.lit(number)}))
-        parts.append(decided)
-        own = decided.select(*GROUP).distinct().withColumn("round", F.lit(number))
-        newest = own if latest is None else latest.unionByName(own).groupBy(*GROUP).agg(F.max("round").alias("round"))
-        latest = materialize(newest)
-        changed = decided.where("admitted != was")
-        days = changed.select(*GROUP).union(
-            changed.where("total != 0").select("username", F.col("end_day").alias("day"))).distinct()
-        groups = materialize(days.join(daily, list(GROUP), "left_semi"))
-        every = parts[0]
-        for part in parts[1:]:
-            every = every.unionByName(part)
-        current = every.join(latest, [*GROUP, "round"], "left_semi")
-        if groups.isEmpty():
-            return current
-        if not carry.isEmpty():
-            moved = crossing(changed).select("id", *GROUP, F.col("admitted").alias("_now"))
-            carry = materialize(carry.join(moved, ["id", *GROUP], "left").withColumn(
-                "admitted", F.coalesce("_now", "admitted")).drop("_now"))
-        now = current.join(groups, list(GROUP), "left_semi").select(*rows.columns, "admitted")
+        let_in = F.coalesce(F.col("settled") == "ok", F.col("daily").isNull() & F.col("in_minute"))
+        tried = _in_minute(now, contested).withColumn("admitted", let_in)
+        resting = None if current is None else current.join(again, list(GROUP), "left_anti")
+        carried = None
+        if over:
+            every = tried if resting is None else tried.unionByName(resting)
+            carried = _finishes(every, F.col("total")).drop("total")
+            carried = carried if again is None else carried.join(again, list(GROUP), "left_semi")
+        summed = running_before(_events(tried, carried), GROUP, ["at", "phase", "id", "step"], {
+            "fresh": "_fresh", "held": "_held", "tok": "_tokens"}, MINUTE_MS).where("step = 0")
+        limited = (F.col("request_limit") != 0) & (F.col("_fresh") + F.col("_held") >= F.col("request_limit"))
+        empty = (F.col("token_limit") != 0) & (F.col("_tokens") >= F.col("token_limit"))
+        daily = F.when(F.col("settled").isNull(), F.when(limited, "request_limit").when(empty, "token_limit"))
+        decided = materialize(summed.select(
+            *[c for c in tried.columns if c != "daily"], F.col("daily").alias("was"), daily.alias("daily")))
+        fresh = decided.select(*tried.columns)
+        current = fresh if resting is None else fresh.unionByName(resting)
+        number += 1
+        if number % FLATTEN == 0:
+            current = materialize(current)
+        changed = decided.where(~F.col("was").eqNullSafe(F.col("daily"))).select(*GROUP).distinct()
+        if over:
+            changed = changed.union(decided.where("end_day != day AND total != 0").join(
+                changed, list(GROUP), "left_semi").select("username", F.col("end_day").alias("day"))).distinct()
+        again = materialize(changed)
+        if again.isEmpty():
+            return current.select("id", *GROUP, "settled", F.coalesce(
+                "settled", "daily", F.when(~F.col("in_minute"), "rpm"), F.lit("ok")).alias("decision"))
+        now = current.join(again, list(GROUP), "left_semi").select(*rows.columns, "daily")
+        if starts is not None:  # refused ones leave no trace in the minute
+            contested = materialize(decide_contested(starts.join(now.where("daily IS NULL").select("id", *GROUP), ["id", *GROUP], "left_semi")))
 
 
 def admission_replay(requests: DataFrame, tz: str) -> DataFrame:
@@ -165,8 +208,22 @@ def admission_replay(requests: DataFrame, tz: str) -> DataFrame:
     folder.
     """
     rows = materialize(_prepared(requests, tz))
-    limits = F.greatest("request_limit", "token_limit", "rpm_limit") != 0
-    bound = materialize(rows.where(limits & F.col("settled").isNull()).select("username").distinct())
-    free = rows.join(bound, "username", "left_anti").where("settled IS NULL").withColumn("decision", F.lit("ok"))
-    limited = _rounds(rows.join(bound, "username", "left_semi")).where("settled IS NULL")
-    return free.select(*DECISION).unionByName(limited.select(*DECISION))
+    users = materialize(_users(rows))
+    free = rows.join(users, "username", "left_anti").where("settled IS NULL").select(*DECISION[:3], F.lit("ok").alias("decision"))
+    plain, mixed, over, mixed_over = users.agg(
+        F.bool_or("plain"), F.bool_or(~F.col("plain")), F.bool_or(F.col("plain") & F.col("over")),
+        F.bool_or(~F.col("plain") & F.col("over"))).first()
+    if not (plain or mixed):
+        return free
+    bound = rows.join(users, "username")
+    # Settled refusals leave no trace in the minute.
+    starts = contested_starts(bound.where("rpm_limit != 0 AND (settled IS NULL OR settled = 'ok')"))
+    contested = starts and materialize(decide_contested(starts))
+    found = free
+    if plain:
+        found = found.unionByName(_plain(bound.where("plain").drop("plain"), contested, over)
+                                  .where("settled IS NULL").select(*DECISION))
+    if mixed:
+        found = found.unionByName(_rounds(bound.where("NOT plain").drop("plain", "over"), starts, contested, mixed_over)
+                                  .where("settled IS NULL").select(*DECISION))
+    return found

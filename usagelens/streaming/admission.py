@@ -1,34 +1,51 @@
-"""Admission over a stream: each micro-batch is decided after what has been decided before."""
+"""Admission over a stream: each micro-batch is decided after what has been decided before.
+
+Decisions are stored by day, ``day_part=<day>/batch_id=<n>`` below the output, and the finishes of admitted requests on
+a later day once more by that day, in ``<output>-finishes``. So a batch reads the folders of its own days and no others,
+however long the stream has run.
+"""
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from usagelens.functions.clock import epoch_ms, local_day
 from usagelens.operators.admission import admission_replay
+from usagelens.runtime import materialize
 from usagelens.streaming.sinks import ONCE_THROUGH
 
 REQUEST = ("id", "username", "start_ms", "end_ms", "total_tokens", "daily_request_limit", "daily_token_limit", "rpm_limit")
 _HISTORY = ("id long, username string, start_ms long, end_ms long, total_tokens long, daily_request_limit long, "
-            "daily_token_limit long, rpm_limit long, day string, end_day string, decision string, batch_id long")
+            "daily_token_limit long, rpm_limit long, day string, end_day string, decision string")
+PART = "day_part"
+
+
+def _folder(day: str | None) -> str:
+    return f"{PART}={day or 'none'}"
+
+
+def stored_days(spark, path: str, days: list[str], batch_id: int) -> DataFrame:
+    """What earlier batches have stored of some days; a batch that is run again does not see itself."""
+    system = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    there = [folder for day in days
+             if system.exists(spark._jvm.org.apache.hadoop.fs.Path(folder := f"{path}/{_folder(day)}"))]
+    if not there:
+        return spark.createDataFrame([], _HISTORY)
+    rows = spark.read.schema(f"{_HISTORY}, {PART} string, batch_id long").option("basePath", path).parquet(*there)
+    return rows.where(F.col("batch_id") < batch_id).drop(PART, "batch_id")
 
 
-def _history(spark, path: str, batch_id: int) -> DataFrame:
-    """What earlier batches have decided; a batch that is run again does not see itself."""
-    try:
-        rows = spark.read.schema(_HISTORY).option("basePath", path).parquet(path)
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        rows = spark.createDataFrame([], _HISTORY)
-    return rows.where(F.col("batch_id") < batch_id)
+def _store(rows: DataFrame, path: str, day: str, batch_id: int) -> None:
+    """Write rows to the folders of their days; a batch that is run again puts the same folders in place."""
+    rows.withColumns({PART: F.coalesce(F.col(day), F.lit("none")), "batch_id": F.lit(batch_id)}).hint("rebalance", PART).write.mode(
+        "overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART, "batch_id").parquet(path)
 
 
 def admission_stream(requests: DataFrame, tz: str, path: str, checkpoint: str, opening: DataFrame | None = None,
                      **trigger) -> StreamingQuery:
     """Append the decisions of finished requests to ``path``, columns as for the batch replay.
 
-    The rows of a batch meet the settled requests of their own users and days, and those that finish in them. Decisions
+    The rows of a batch meet the settled requests of their own users and days, and those that finish in them. The driver
+    learns the days of a batch, which the source's options bound as they do its rows. Decisions
     stay as they are once written: a start that comes late is judged at its own time, with everything counted that has
     been let in by then. ``opening`` (username, day, requests, tokens) are counters from before the stream. The
     source's options bound the size of a batch.
@@ -37,19 +54,20 @@ def admission_stream(requests: DataFrame, tz: str, path: str, checkpoint: str, o
         spark = batch.sparkSession
         fresh = batch.select(*REQUEST).withColumns({
             "day": local_day("start_ms", tz), "end_day": local_day(F.coalesce("end_ms", "start_ms"), tz)})
-        days = fresh.select("username", "day").distinct()
-        past = _history(spark, path, batch_id).withColumnRenamed("decision", "settled")
-        same = past.join(days, ["username", "day"], "left_semi")
-        ending = past.where("day != end_day AND settled = 'ok'").join(
+        days = materialize(fresh.select("username", "day").distinct())
+        listed = [row.day for row in days.select("day").distinct().collect()]
+        same = stored_days(spark, path, listed, batch_id).join(days, ["username", "day"], "left_semi")
+        ending = stored_days(spark, f"{path}-finishes", listed, batch_id).join(
             days.withColumnRenamed("day", "end_day"), ["username", "end_day"], "left_semi").join(
             days, ["username", "day"], "left_anti")
-        known = same.unionByName(ending).select(*REQUEST, "settled")
+        known = same.unionByName(ending).withColumnRenamed("decision", "settled").select(*REQUEST, "settled")
         if opening is not None:
             known = known.unionByName(_opening_rows(opening, days, tz), allowMissingColumns=True)
         every = fresh.select(*REQUEST, F.lit(None).cast("string").alias("settled")).unionByName(known, allowMissingColumns=True)
         found = admission_replay(every, tz).select("id", "decision")
-        fresh.join(found, "id").select(*REQUEST, "day", "end_day", "decision").write.mode("overwrite").parquet(
-            f"{path}/batch_id={batch_id}")
+        decided = materialize(fresh.join(found, "id").select(*REQUEST, "day", "end_day", "decision"))
+        _store(decided.where("day != end_day AND decision = 'ok'"), f"{path}-finishes", "end_day", batch_id)
+        _store(decided, path, "day", batch_id)
 
     return (
         requests.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
