@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 import re
@@ -232,3 +233,33 @@ def test_unread_long_event_behind_the_last_usage(spark):
     early, unread = completed(input_tokens=1), 'data: {"usage":{"input_tokens":9},"pad":[' + "1," * 600_000 + "\n\n"
     assert sse_usage(spark, [[early, unread], [unread, early], [early], [early, unread, early], [unread]]) == [
         (0, 0, 0, 0, True), (1, 0, 0, 0, False), (1, 0, 0, 0, False), (1, 0, 0, 0, False), (0, 0, 0, 0, True)]
+
+
+def test_long_payloads_keep_ids_and_facts(spark):
+    """Ids that differ in their last character stay apart however long the payload is, and equal those of a short one."""
+    one, other = "i" * 1200 + "a", "i" * 1200 + "b"
+    items = [{"content": "\"id\":\"no\" \\ {[", "id": one}, {"id": other, "m": {"id": "q"}}, {"id": one, "encrypted_content": 1}]
+
+    def payload(pad):
+        return json.dumps({"pad": pad, "input": items, "model": "m" * 1500, "x": "y" * 2000})
+
+    escaped = payload("p" * 1_100_000).replace('"id": "iii', '"\\u0069d": "iii')
+    texts = [payload("p"), payload("p\\\"" * 700_000), escaped, payload("\\" * 3_000_000 + '"')]
+    found = payload_ids(spark, texts)
+    for row in range(4):
+        ids = [found[(row, pos)] for pos in range(3)]
+        assert ids == [found[(0, 0)], found[(0, 1)], found[(0, 0)]] and ids[0] != ids[1]
+        assert ids[0] == "rs_" + hashlib.sha256(one.encode()).hexdigest()[:61]
+    nested = json.dumps({"model": {"a": "z" * 1300}, "pad": "p" * 1_000_000})
+    told = json.dumps({"pad": '"model":{', "model": "n" * 1300, "more": "p" * 1_000_000})
+    rows = [(k, text, "", "", "") for k, text in enumerate([*texts, nested, told])]
+    frame = spark.createDataFrame(rows, "request_id long, payload string, user_agent string, x_api_key string, authorization string")
+    models = {r.request_id: r.model for r in extract.request_facts(frame).collect()}
+    assert [models[k] for k in range(4)] == ["m" * 1500] * 4
+    assert models[4] == json.dumps({"a": "z" * 1300}, separators=(",", ":")) and models[5] == "n" * 1300
+
+
+def test_long_bodies_keep_padded_counts(spark):
+    body = json.dumps({"pad": "p" * 1_000_001, "usage": {"input_tokens": "0" * 1500 + "7", "output_tokens": " " * 1500 + "3"}})
+    found = extract.extract_json_usage(spark.createDataFrame([(1, body)], "request_id long, body string")).first()
+    assert (found.input_tokens, found.output_tokens, found.parse_error) == (7, 3, False)

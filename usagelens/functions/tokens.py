@@ -10,31 +10,46 @@ from pyspark.sql import Column, DataFrame, functions as F
 # Line breaks of a text stream: CR, LF, VT, FF, FS, GS, RS, NEL, LS and PS.
 LINE_BREAK = r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
-# Text values are cut to this many characters before a long document is parsed; counts never stand in longer ones.
+# Past a million characters, text values that nobody asks for are cut to a thousand before parsing.
 KEPT_TEXT = 1000
 LONG_DOCUMENT = 1_000_000
-_TEXT_VALUE = (r'(?s)("(?:[^"\\]|\\u[0-9a-fA-F]{4}|\\.){0,%d}+)(?:[^"\\]|\\.)*+(")' % KEPT_TEXT)
+_TEXT = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_GAP = r"[ \t\r\n]*+"
+_CUT = r'("(?:[^"\\]|\\u[0-9a-fA-F]{4}|\\.){0,%d}+)(?:[^"\\]|\\.)*+(")' % KEPT_TEXT
+
+# Keys whose text may be a count.
+COUNT_KEYS = ("input_tokens", "prompt_tokens", "output_tokens", "completion_tokens", "cached_tokens")
 
 _FALSY = r'^(null|false|""|\[\]|\{\}|-?0(\.0+)?([eE][+-]?[0-9]+)?)$'
 _NUMBER = r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
 _TEXT_INTEGER = r'^"\s*[+-]?[0-9]+(_[0-9]+)*\s*"$'
 
 
-def shortened(text: Column) -> Column:
-    """JSON with its long text values cut: the parser refuses values of some 20 million characters."""
-    return F.when(F.length(text) > LONG_DOCUMENT, F.regexp_replace(text, _TEXT_VALUE, "$1$2")).otherwise(text)
+def shortened(text: Column, keys) -> Column:
+    """JSON with its long text values cut, except those of ``keys``: the parser refuses values of some 20 million characters.
+
+    Every text is matched whole, from quote to quote, so the search never loses its place. The value of a wanted key is
+    kept at any depth, as is that of a key that is written with escapes. A document in which a wanted key (or one with
+    escapes) holds an object or a list is left as it is.
+    """
+    wanted = rf'(?:"(?:{"|".join(keys)})"|"[^"\\]*+(?:\\.[^"\\]*+)++"){_GAP}:{_GAP}'
+    plain = F.regexp_replace(text, rf"(?s)({wanted}{_TEXT})|{_CUT}", "$1$2$3")
+    # Texts are stepped over one by one up to a wanted key, which must be a key and not a part of some text.
+    nested = rf'(?s)\A(?:[^"]++|(?!{wanted}[\[{{]){_TEXT})*+{wanted}[\[{{]'
+    return F.when(F.length(text) <= LONG_DOCUMENT, text).when(text.rlike(nested), text).otherwise(plain)
 
 
-def attach_document(rows: DataFrame, text: str, target: str = "doc") -> DataFrame:
+def attach_document(rows: DataFrame, text: str, target: str = "doc", keys=COUNT_KEYS) -> DataFrame:
     """Add ``target``: one whole JSON document as VARIANT, NULL if the text is anything else.
 
     The parser stops after the first document.  Parsing the text as the only
     element of an array also rejects whatever follows it.  The array is a column
     of its own, so the text is parsed once per row.  Of equal keys the last one
-    counts; in documents of over a million characters long text values are cut.
+    counts; in documents of over a million characters long text values are cut,
+    other than those of ``keys``.
     """
     rows.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    wrapped = F.try_parse_json(F.concat(F.lit("["), shortened(F.col(text)), F.lit("]")))
+    wrapped = F.try_parse_json(F.concat(F.lit("["), shortened(F.col(text), keys), F.lit("]")))
     alone = F.try_variant_get("_wrapped", "$[1]", "variant").isNull()
     return rows.withColumn("_wrapped", wrapped).withColumn(
         target, F.when(alone, F.try_variant_get("_wrapped", "$[0]", "variant"))).drop("_wrapped")

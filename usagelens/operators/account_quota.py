@@ -11,6 +11,8 @@ LABEL_DAYS, LABEL_HOURS = " 天窗口", " 小时窗口"
 RESET_AT, RESET_UNKNOWN = "重置于 ", "重置时间未知"
 NAME_SEPARATOR = " · "
 
+TEXT_KEYS = ("limit_name", "used_percent", "limit_window_seconds", "reset_at", "reset_after_seconds")
+
 _HOUR, _DAY = 3_600, 86_400
 # Lengths that count as five hours or a week, in seconds, and the used percent of each severity.
 FIVE_HOURS = (4 * _HOUR, 6 * _HOUR)
@@ -72,7 +74,7 @@ def quota_windows(snapshots: DataFrame, tz: str) -> DataFrame:
     Columns: snapshot_id, position (payload order), label, used_percent, remaining_percent,
     severity, reset.  Windows without a usable percentage are left out.
     """
-    parsed = attach_document(snapshots.select("snapshot_id", "fetched_at", "payload"), "payload")
+    parsed = attach_document(snapshots.select("snapshot_id", "fetched_at", "payload"), "payload", keys=TEXT_KEYS)
     doc = F.col("doc")
     extra = _either(doc, "additional_rate_limits", "additionalRateLimits").alias("extra")
     limits = parsed.select("snapshot_id", "fetched_at",

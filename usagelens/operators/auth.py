@@ -54,7 +54,7 @@ def request_outcome(requests: DataFrame, login_mode: bool = False,
     upstream call failed) and client_gone.  The checks apply in the order below.
     """
     endpoints = LOGIN_ENDPOINTS if login_mode else OPEN_ENDPOINTS
-    rows = attach_document(requests, "payload", "_doc")
+    rows = attach_document(requests, "payload", "_doc", keys=("stream",))
     has_body = (F.coalesce("content_length", F.lit(0)) > 0) & (F.col("method") == "POST")
     valid = F.col("_doc").isNotNull()
     object_body = F.coalesce(F.ltrim("payload", F.lit(" \t\r\n")).startswith("{"), F.lit(False))

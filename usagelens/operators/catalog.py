@@ -33,7 +33,7 @@ def _attach_ids(snapshots: DataFrame) -> DataFrame:
         fresh = F.filter(names, lambda name: ~F.array_contains(taken, name))
         return F.concat(taken, F.slice(fresh, 1, 1))
 
-    parsed = attach_document(snapshots.select("snapshot_id", "payload"), "payload")
+    parsed = attach_document(snapshots.select("snapshot_id", "payload"), "payload", keys=ID_KEYS)
     return parsed.select("snapshot_id", F.aggregate(candidates, F.array().cast(_NO_IDS), take).alias("ids"))
 
 

@@ -158,7 +158,7 @@ def request_facts(requests: DataFrame) -> DataFrame:
     Needs ``payload``, ``user_agent``, ``x_api_key`` and ``authorization``.  A
     payload that is not a JSON object has an empty model and no stream.
     """
-    parsed = attach_document(requests, "payload", "_doc")
+    parsed = attach_document(requests, "payload", "_doc", keys=("model",))
     doc = F.col("_doc")
     text = json_text(doc, "$.model")
     model = (

@@ -16,7 +16,7 @@ def request_items(requests: DataFrame) -> DataFrame:
     ``item_id`` is NULL unless the item is an object with a text id.
     """
     items = F.try_variant_get("doc", "$.input", "array<variant>")
-    parsed = attach_document(requests.select("request_id", "payload"), "payload")
+    parsed = attach_document(requests.select("request_id", "payload"), "payload", keys=("id",))
     rows = parsed.select("request_id", F.posexplode(items).alias("pos", "item"))
     item_id = member(F.col("item"), "$.id")
     return rows.select(

@@ -496,6 +496,12 @@ ORACLE = {
     "surrogate_ids": f"""WITH {ITEMS} SELECT i.*, CASE WHEN length(item_id) > 64 AND EXISTS (
         SELECT 1 FROM items o WHERE o.request_id = i.request_id AND o.item_id = i.item_id AND NOT o.encrypted)
       THEN 'rs_' || substr(sha256(item_id), 1, 61) ELSE item_id END AS new_id FROM items i""",
+    "request_items_long": """WITH items AS (
+        SELECT conv_id * 1000 + turn AS request_id, CAST(p AS INTEGER) AS pos, repeat(md5(text), 40) || CASE p WHEN 0 THEN 'a' ELSE 'b' END
+          AS item_id, p = 2 AS encrypted FROM conversations, range(3) g(p))
+      SELECT *, 'rs_' || substr(sha256(item_id), 1, 61) AS new_id FROM items""",
+    "request_facts_long": """SELECT conv_id * 1000 + turn AS request_id, repeat(md5(text), 40) AS model, CAST(1 AS INTEGER) AS stream
+      FROM conversations""",
     "request_items": """SELECT conv_id * 1000 + turn AS request_id, CAST(p AS INTEGER) AS pos,
       CASE p WHEN 0 THEN 'item_' || md5(text) WHEN 3 THEN 'enc_' || md5(text) END AS item_id, p = 3 AS encrypted
       FROM conversations, range(4) g(p) WHERE turn % 5 <> 4""",

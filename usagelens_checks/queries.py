@@ -245,6 +245,15 @@ def surrogate_ids(spark, sf_dir):
     return surrogate.surrogate_ids(t.items_of(t.table(spark, sf_dir, "conversations")))
 
 
+def request_items_long(spark, sf_dir):
+    return surrogate.surrogate_ids(surrogate.request_items(t.long_payloads_of(t.table(spark, sf_dir, "conversations"))))
+
+
+def request_facts_long(spark, sf_dir):
+    rows = extract.request_facts(t.long_payloads_of(t.table(spark, sf_dir, "conversations")))
+    return rows.select("request_id", "model", "stream")
+
+
 def request_items(spark, sf_dir):
     return surrogate.request_items(t.item_payloads_of(t.table(spark, sf_dir, "conversations")))
 
@@ -497,6 +506,8 @@ QUERIES = {
     "extract_sse_usage": extract_sse_usage,
     "extract_sse_usage_long": extract_sse_usage_long,
     "request_facts": request_facts,
+    "request_facts_long": request_facts_long,
+    "request_items_long": request_items_long,
     "usage_assemble": usage_assemble,
     "surrogate_ids": surrogate_ids,
     "request_items": request_items,

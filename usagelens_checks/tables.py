@@ -277,6 +277,20 @@ def item_payloads_of(conversations: DataFrame) -> DataFrame:
                                 F.when(F.col("turn") % 5 == 4, '{"input":"text"}').otherwise(payload).alias("payload"))
 
 
+def long_payloads_of(conversations: DataFrame) -> DataFrame:
+    """One request per turn with ids and a model of 1,280 characters; every twentieth conversation's are padded past a million."""
+    name = F.repeat(F.md5("text"), F.lit(40))
+    times = F.when(F.col("conv_id") % 20 == 0, F.expr("1000000 div greatest(length(text), 1) + 1")).otherwise(1)
+    payload = F.concat(
+        F.lit('{"pad":'), F.to_json(F.struct(F.repeat("text", times.cast("int")).alias("p"))), F.lit(',"input":[{"id":"'), name,
+        F.lit('a"},{"content":"\\"id\\":","id":"'), name, F.lit('b"},{"id":"'), name,
+        F.lit('b","encrypted_content":""}],"model":"'), name, F.lit('","stream":true}'))
+    nothing = F.lit("")
+    return conversations.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), payload.alias("payload"),
+        F.lit("curl/8").alias("user_agent"), nothing.alias("x_api_key"), nothing.alias("authorization"))
+
+
 def quota_snapshots_of(events: DataFrame) -> DataFrame:
     """Account-quota payloads: a main limit with two windows and one named limit."""
     n = F.col("event_id")
