@@ -45,6 +45,12 @@ def with_text(docs: DataFrame, rest: DataFrame, text_col: str):
     return rows, 0, range(1, len(names) + 1)
 
 
+def numbered(rows: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``rows`` under plain column names that no operator uses, and those names by the old ones."""
+    names = {name: f"input{k}" for k, name in enumerate(rows.columns)}
+    return rows.toDF(*names.values()), names
+
+
 def free_name(rows: DataFrame, name: str) -> str:
     """``name``, with underscores in front until no column is called so."""
     used = {column.lower() for column in rows.columns}

@@ -6,7 +6,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from usagelens.llm.common import carried, utf8, with_text
+from usagelens.llm.common import carried, numbered, utf8, with_text
 
 WINDOW = 10
 # One automaton holds the windows of at most this many bytes of benchmark text (about 200 bytes of memory for each).
@@ -160,6 +160,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark window occurs."""
-    found = find_contamination(docs, benchmark, **options)
-    return found.filter(F.size("hits") == 0).select(*[F.col(f"`{c}`") for c in carried(docs, OUTPUTS).columns])
+    """The rows of ``docs``, all columns as they are, in which no benchmark window occurs."""
+    inner, names = numbered(docs)
+    found = find_contamination(inner, benchmark, **options | {"text_col": names[options.get("text_col", "text")]})
+    return found.filter(F.size("hits") == 0).select(*[F.col(n).alias(c) for c, n in names.items()])

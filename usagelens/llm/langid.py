@@ -1,14 +1,13 @@
 """Language of words and texts: scripts narrow the candidates, Viterbi labels spans."""
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from usagelens.llm.common import carried, slices_by_bytes, with_text
+from usagelens.llm.common import carried, numbered, slices_by_bytes, with_text
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}+")
 BUCKETS = 1 << 15  # hashed letter groups of one to three letters
 GROUP = 3
 PENALTY = 6.0  # cost in log units of going over to another language between two words
@@ -265,7 +264,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep=None, s
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` in a language of the model; texts without a letter go."""
-    found = identify(docs, model, text_col, spans=False)
-    return found.filter("lang_pred != 'und'").select(
-        *[F.col(f"`{c}`") for c in carried(docs, OUTPUTS[:2]).columns])
+    """The rows of ``docs``, all columns as they are, in a language of the model; texts without a letter go."""
+    inner, names = numbered(docs)
+    found = identify(inner, model, names[text_col], spans=False)
+    return found.filter("lang_pred != 'und'").select(*[F.col(n).alias(c) for c, n in names.items()])
