@@ -81,3 +81,19 @@ def test_wrong_payload_is_found(spark, tmp_path):
 
 def test_no_pages(spark, tmp_path):
     assert warc.archived_pages(pages(spark, []), str(tmp_path / "w")).collect() == []
+
+
+def test_appends_add_up_and_overwriting_replaces(spark, tmp_path):
+    path = str(tmp_path / "w")
+    records = warc.page_records(pages(spark))
+    warc.write_archive(records.limit(5), path)
+    warc.write_archive(records.limit(3), path)
+    assert warc.read_archive(spark, path).count() == 8
+    full = [c.split()[0] for c in warc.SCHEMA.split(", ")]
+    records.limit(2).select(*full).write.format("warc").mode("overwrite").save(path)
+    assert warc.read_archive(spark, path).count() == 2
+
+
+def test_paths_are_those_of_spark(spark, tmp_path):
+    assert warc.qualified(spark, "/a/b") == "file:/a/b"
+    assert warc._file_system("file:/a/b")[1] == warc._file_system("/a/b")[1] == "/a/b"

@@ -20,7 +20,7 @@ from usagelens.runtime import work_folder
 
 SCHEMA = ("record_id string, record_type string, target_uri string, date string, payload_digest string, "
           "refers_to string, payload_bytes long, payload binary")
-MANIFEST = "_files.json"
+MANIFEST = re.compile(r"_files-[0-9a-f]{32}\.json")  # one for each write
 FILE_BYTES = 1 << 30  # a task goes on to a new file beyond this size
 PARTITION_BYTES = 32 << 20  # small files read together
 BATCH_BYTES = 8 << 20
@@ -37,7 +37,22 @@ BRACKETED = ("record_id", "refers_to")
 def _file_system(path: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path if ":" in path.split("/")[0] else f"file://{path}")
+    if ":" not in path.split("/")[0]:
+        path = f"file://{path}"
+    return fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", path))
+
+
+def qualified(spark, path: str) -> str:
+    """The path with the scheme that Spark gives it, so that tasks mean the same place as the driver."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
+def _manifests(system, root: str) -> list[str]:
+    from pyarrow import fs
+
+    listed = system.get_file_info(fs.FileSelector(root, allow_not_found=True))
+    return sorted(found.path for found in listed if MANIFEST.fullmatch(found.base_name))
 
 
 def _field(value: str) -> str:
@@ -220,16 +235,17 @@ class WarcReader(DataSourceReader):
                 yield given
 
     def partitions(self):
-        """Files of about PARTITION_BYTES together; names and sizes come from the folder's manifest or listing."""
+        """Files of about PARTITION_BYTES together; names and sizes come from the folder's manifests or listing."""
         from pyarrow import fs
 
         system, root = _file_system(self.options["path"])
-        info = system.get_file_info(f"{root}/{MANIFEST}")
-        if info.type == fs.FileType.File:
-            with system.open_input_stream(info.path) as listed:
-                files = [(f"{root}/{name}", size) for name, size in json.loads(listed.read())]
-        else:
-            found = system.get_file_info(root)
+        found = system.get_file_info(root)
+        manifests = _manifests(system, root) if found.type == fs.FileType.Directory else []
+        files = []
+        for path in manifests:
+            with system.open_input_stream(path) as listed:
+                files += [(f"{root}/{name}", size) for name, size in json.loads(listed.read())]
+        if not manifests:
             found = [found] if found.type == fs.FileType.File else system.get_file_info(fs.FileSelector(root))
             files = [(f.path, f.size) for f in found if f.path.endswith((".warc", ".warc.gz"))]
         parts, size = [], PARTITION_BYTES
@@ -279,8 +295,8 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options):
-        self.options = dict(options)
+    def __init__(self, options, overwrite=False):
+        self.options, self.overwrite = dict(options), overwrite
 
     def write(self, iterator):
         """Files of one task. Names carry a random part, so that a repeated task never meets its predecessor's files."""
@@ -308,11 +324,15 @@ class WarcWriter(DataSourceArrowWriter):
         return Written(files)
 
     def commit(self, messages):
-        """Readers see the files that the manifest names, so those of failed attempts do not count."""
+        """Readers see the files that manifests name, so those of failed attempts do not count. Each write adds a manifest;
+        one that overwrites removes those before it."""
         system, root = _file_system(self.options["path"])
         system.create_dir(root, recursive=True)
-        with system.open_output_stream(f"{root}/{MANIFEST}") as out:
+        before = _manifests(system, root) if self.overwrite else []
+        with system.open_output_stream(f"{root}/_files-{uuid.uuid4().hex}.json") as out:
             out.write(json.dumps([file for message in messages if message for file in message.files]).encode())
+        for path in before:
+            system.delete_file(path)
 
     def abort(self, messages):
         system, root = _file_system(self.options["path"])
@@ -335,7 +355,7 @@ class Warc(DataSource):
         return WarcReader(schema, self.options)
 
     def writer(self, schema, overwrite):
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark) -> None:
@@ -381,14 +401,16 @@ def write_archive(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -
     kinds = dict(column.split() for column in SCHEMA.split(", "))
     have = {name.lower() for name in records.columns}
     rows = records.select(*[(F.col(c) if c in have else F.lit(None)).cast(kinds[c]).alias(c) for c in full])
-    rows.write.format("warc").mode("append").option("file_bytes", file_bytes).save(path)
+    rows.write.format("warc").mode("append").option("file_bytes", file_bytes).save(
+        qualified(records.sparkSession, path))
 
 
 def read_archive(spark, path: str, columns=None, verify: bool = False) -> DataFrame:
     """Records below ``path`` with the given columns of SCHEMA, all by default."""
     register(spark)
     schema = ", ".join(c for c in SCHEMA.split(", ") if columns is None or c.split()[0] in columns)
-    return spark.read.format("warc").schema(schema).option("verify", str(verify)).load(path)
+    return spark.read.format("warc").schema(schema).option("verify", str(verify)).load(
+        qualified(spark, path))
 
 
 def archived_pages(pages: DataFrame, path: str | None = None, **options) -> DataFrame:
