@@ -1,5 +1,7 @@
-import numpy as np
+import math
 
+import numpy as np
+import pytest
 from usagelens.llm import vectors
 
 
@@ -86,3 +88,13 @@ def test_empty_table_and_no_sound_vector(spark):
     assert vectors.near_vectors(spark.createDataFrame([], schema)).collect() == []
     alone = vectors.near_vectors(spark.createDataFrame([(4, None, 1)], schema)).collect()
     assert [tuple(row) for row in alone] == [(4, 0, 4, True)]
+
+
+def test_tiny_and_huge_vectors_at_the_threshold(spark):
+    base = [(1, [1.0, 0.0]), (2, [0.93, math.sqrt(1 - 0.93 ** 2)]), (3, [0.92, math.sqrt(1 - 0.92 ** 2)])]
+    for scale in (1e-200, 1e-150, 1e200):
+        rows = [(k, "a", [x * scale for x in v]) for k, v in base] + [(4, "a", [5.0 * scale, 1e-9 * scale])]
+        table = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")
+        found = {r.vec_id: r.component_id for r in vectors.near_vectors(table, cosine=0.93).collect()}
+        assert found[4] == 1 and len(found) == 4
+        assert vectors._exact_cosine([x * scale for x in base[0][1]], [x * scale for x in base[2][1]]) == pytest.approx(0.92)

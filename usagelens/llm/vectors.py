@@ -88,8 +88,14 @@ def unit_rows(vectors) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+def _scaled(values) -> list[float]:
+    """Components times a power of two that brings the largest near one, so that squares neither vanish nor overflow."""
+    power = math.frexp(max(abs(float(x)) for x in values))[1]
+    return [math.ldexp(float(x), -power) for x in values]
+
+
 def _exact_cosine(a, b) -> float:
-    a, b = [float(x) for x in a], [float(x) for x in b]
+    a, b = _scaled(a), _scaled(b)
     product = math.fsum(x * y for x, y in zip(a, b))
     return product / (math.sqrt(math.fsum(x * x for x in a)) * math.sqrt(math.fsum(y * y for y in b)))
 
