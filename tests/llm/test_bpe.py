@@ -29,7 +29,8 @@ def peer(ranks):
 def test_words_of_any_bytes(ranks, peer, word):
     expected = peer._core_bpe.encode_single_piece(word)
     assert bpe.encode_word(word, ranks) == expected
-    assert bpe._encode_long(word, ranks) == [ranks[word[k:k + 1]] for k in range(1)] if len(word) == 1 else True
+    if len(word) > 1 and word not in ranks:
+        assert bpe._encode_long(word, ranks) == expected
 
 
 def test_short_and_long_forms_agree(ranks):

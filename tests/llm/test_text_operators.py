@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -226,3 +227,51 @@ def test_scripts_narrow_the_candidates(spark):
     rows = [("мама мыла раму и пошла домой " * 9, "ru"), ("the cat sat on the mat " * 9, "en"), ("η γάτα κάθισε " * 9, "el")]
     model = langid.train(spark.createDataFrame(rows, "text string, lang string"))
     assert [r[0] for r in langid.label_texts(["дом", "qqq", "κκκ"], model)] == ["ru", "en", "el"]
+
+
+def test_masking_many_spans_is_linear_and_right(spark):
+    text = "".join(f"é{k} a{k}@b.co, " for k in range(40_000))
+    table = spark.createDataFrame([(text, 1, "s")], "text string, __spans int, pii_spans string")
+    begin = time.time()
+    row = pii.mask_pii(table).first()
+    assert row["__spans"] == 1 and row["pii_spans"] == "s" and time.time() - begin < 60
+    assert row.text == "".join(f"é{k} <EMAIL>, " for k in range(40_000))
+
+
+def test_masks_equal_the_plain_loop(spark):
+    rng = random.Random(4)
+    rows = []
+    for _ in range(120):
+        text = "".join(rng.choice("aé😀 ") for _ in range(rng.choice([0, 3, 999, 1000, 1001, 2500])))
+        spans = []
+        for _ in range(rng.choice([0, 1, 3, 250])):
+            start = rng.randrange(len(text) + 1)
+            spans.append((start, min(len(text), start + rng.choice([1, 5, 1200])), rng.choice(["ip", "card"]), 1.0))
+        rows.append((text, [s for s in spans if s[1] > s[0]]))
+
+    def plain(text, spans):
+        out, at = "", 0
+        for start, end, kind, _ in sorted(spans, key=lambda s: (s[0], -s[1])):
+            if start >= at:
+                out += text[at:start] + f"<{kind.upper()}>"
+            at = max(at, end)
+        return out + text[at:]
+
+    table = spark.createDataFrame(rows, f"text string, spans array<{pii.SPAN}>")
+    for row in table.select("text", "spans", pii.masked(F.col("text"), F.col("spans")).alias("out")).collect():
+        starts = {(s[0], s[1]) for s in row.spans}
+        if len(starts) == len(row.spans):
+            assert row.out == plain(row.text, [tuple(s) for s in row.spans])
+
+
+def test_filters_leave_columns_alone(spark):
+    rows = [(k, text, 1.5, "l", 7, [1], "i") for k, text in enumerate(["the and of words here", "½ ² ①", "Ⅷ", None])]
+    table = spark.createDataFrame(rows, "doc_id long, text string, score double, lang_pred string, n_words int, hits array<int>, item_ids string")
+    learned = spark.createDataFrame([("the and of words here", "en"), ("le la les des mots", "fr")], "text string, lang string")
+    model = langid.train(learned)
+    kept = langid.keep_identified(table, model)
+    assert kept.columns == table.columns and [tuple(r) for r in kept.collect()] == rows[:1]
+    labels = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(table, model, keep=["doc_id"]).collect()}
+    assert labels[1] == labels[2] == labels[3] == ("und", 0.0)
+    clean = decontaminate.drop_contaminated(table, spark.createDataFrame([(1, "nothing alike")], "item_id long, text string"))
+    assert clean.columns == table.columns and sorted(map(str, clean.collect())) == sorted(map(str, table.collect()))

@@ -6,9 +6,12 @@ match can begin only where a longer one could not have begun before it.
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from usagelens.llm.common import carried
+from usagelens.llm.common import carried, free_name
 from usagelens.llm.matches import collect_matches
 
+BLOCK = 1000  # code points
+PIECES = 100  # spans masked together
+
 _LOCAL = "A-Za-z0-9._%+-"
 # A local part is tried at its first character, or where the match before it ended.
 EMAIL = rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -131,31 +134,56 @@ def find_pii(docs: DataFrame, text_col: str = "text", keep=None) -> DataFrame:
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its kind, as in <EMAIL>; of overlapping spans the first one stays."""
-    def step(state, span):
-        fresh = span["start"] >= state["at"]
-        plain = F.substring(text, state["at"] + 1, span["start"] - state["at"])
-        return F.struct(
-            F.greatest(state["at"], span["end"]).alias("at"),
-            F.when(fresh, F.concat(state["out"], plain, F.lit("<"), F.upper(span["kind"]), F.lit(">"))).otherwise(
-                state["out"]).alias("out"))
+    """The text with every span replaced by its kind, as in <EMAIL>; of overlapping spans the first one stays.
 
+    Finding a place in a text means reading up to it, so the text is cut into blocks first, and growing a text copies it,
+    so spans are taken in short parts: work grows with the text and its spans, not with their product.
+    """
     by_place = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(
         b["end"] - a["end"]))
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(by_place, begin, step, lambda state: F.concat(
-        state["out"], F.substring(text, state["at"] + 1, F.length(text)))))
+
+    def end_of(some):
+        return F.coalesce(F.array_max(F.transform(some, lambda span: span["end"])), F.lit(0))
+
+    def whole(given):
+        blocks, ordered = given["blocks"], given["ordered"]
+
+        def piece(first, behind):
+            block = F.floor(first / F.lit(BLOCK)).cast("int")
+            many = F.floor((behind + (BLOCK - 1)) / F.lit(BLOCK)).cast("int") - block
+            return F.when(behind > first, F.substring(
+                F.array_join(F.slice(blocks, block + 1, many), ""), first - block * BLOCK + 1, behind - first)).otherwise("")
+
+        def step(state, span):
+            fresh = span["start"] >= state["at"]
+            label = F.concat(F.lit("<"), F.upper(span["kind"]), F.lit(">"))
+            return F.struct(
+                F.greatest(state["at"], span["end"]).alias("at"),
+                F.when(fresh, F.concat(state["out"], piece(state["at"], span["start"]), label)).otherwise(state["out"]).alias("out"))
+
+        def part(first):
+            begin = F.struct(end_of(F.slice(ordered, F.lit(1), first)).alias("at"), F.lit("").alias("out"))
+            return F.aggregate(F.slice(ordered, first + 1, F.lit(PIECES)), begin, step, lambda state: state["out"])
+
+        parts = F.transform(F.sequence(F.lit(0), F.size(ordered) - 1, F.lit(PIECES)), part)
+        return F.concat(F.array_join(parts, ""), piece(end_of(ordered), given["length"]))
+
+    # Through a lambda's argument, so that blocks and order are made once.
+    given = F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)).alias("blocks"),
+                     by_place.alias("ordered"), F.length(text).alias("length"))
+    return F.when(F.size(spans) == 0, text).otherwise(F.get(F.transform(F.array(given), whole), F.lit(0)))
 
 
 def mask_pii(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
-    """``docs`` with the spans of its texts masked; ``length_col`` then gets the new number of characters.
+    """``docs``, all columns as they are, with the spans of its texts masked; ``length_col`` then gets the new number of
+    characters.
 
     Null texts stay null, texts without spans stay as they are.
     """
-    text = F.col(f"`{text_col}`")
-    marked = docs.withColumn("__spans", pii_spans(text))
-    clean = marked.withColumn(text_col, masked(text, F.col("__spans")))
+    text, spans = F.col(f"`{text_col}`"), free_name(docs, "pii_spans")
+    marked = docs.withColumn(spans, pii_spans(text))
+    clean = marked.withColumn(text_col, masked(text, F.col(spans)))
     if length_col:
-        clean = clean.withColumn(length_col, F.when(F.size("__spans") > 0, F.length(text).cast("long")).otherwise(
+        clean = clean.withColumn(length_col, F.when(F.size(spans) > 0, F.length(text).cast("long")).otherwise(
             F.col(f"`{length_col}`")))
     return clean.select(*[F.col(f"`{c}`") for c in docs.columns])
