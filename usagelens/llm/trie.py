@@ -311,6 +311,7 @@ def turn_rows(conversations: DataFrame) -> DataFrame:
     rows = conversations.where(F.col("conv_id").isNotNull()).select(
         F.col("conv_id").cast("long").alias("conv_id"), "turn", key.alias("key"),
         F.size(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))).cast("long").alias("words"))
+    rows, _ = stage(rows, "keys")  # texts are read once, ranges are taken from keys
     return ranked(rows, ["conv_id"], ["turn", "key"]).select("conv_id", "place", "key", "words")
 
 
