@@ -229,6 +229,34 @@ def test_model_catalog(spark):
         (0, 0, "a1"), (0, 1, "b1"), (0, 2, "c1"), (0, 3, "d1"), (0, 4, "own"), (3, 0, "b1"), (3, 1, "own")]
 
 
+def test_model_catalogs_against_a_plain_loop(spark):
+    chance = random.Random(4)
+    keys = catalog.ID_KEYS
+
+    def item():
+        one = {key: chance.choice(["a", "m1", "m2", "m3", "m4", "bad id", 7, None]) for key in chance.sample(keys, 3)}
+        return chance.choice([one, f"m{chance.randint(0, 9)}", one, 5, "!"])
+
+    lists = [[item() for _ in range(chance.randint(0, 8))] for _ in range(60)]
+    lists.append([{"id": f"m{k // 2}", "slug": f"s{k}"} for k in range(100_000)])  # half of them fall through
+    expected = []
+    for items in lists:
+        taken = []
+        seen = set()
+        for one in items:
+            names = [one] if not isinstance(one, dict) else [one.get(key) for key in keys]
+            fresh = [n for n in names if isinstance(n, str) and re.search(catalog.ID_PATTERN.replace("\\z", "\\Z"), n) and n not in seen]
+            taken += fresh[:1]
+            seen |= set(fresh[:1])
+        expected.append(taken)
+    frame = spark.createDataFrame([(i, json.dumps({"models": items})) for i, items in enumerate(lists)], "snapshot_id long, payload string")
+    got = [[] for _ in lists]
+    for row in sorted(catalog.model_catalog(frame).collect()):
+        assert row.position == len(got[row.snapshot_id])
+        got[row.snapshot_id].append(row.model_id)
+    assert got == expected
+
+
 def test_unread_long_event_behind_the_last_usage(spark):
     early, unread = completed(input_tokens=1), 'data: {"usage":{"input_tokens":9},"pad":[' + "1," * 600_000 + "\n\n"
     assert sse_usage(spark, [[early, unread], [unread, early], [early], [early, unread, early], [unread]]) == [

@@ -10,7 +10,9 @@ from usagelens.functions.pricing import default_prices
 from usagelens.operators import extract
 from usagelens.plans import reports
 from usagelens.schema import USAGE
-from usagelens.sources.ledger import read_usage
+from usagelens.runtime import remove_folder
+from usagelens.sources import request_ids
+from usagelens.sources.ledger import append_new, append_usage, conform, read_usage
 from usagelens.streaming import admission, counters, ingest, sinks
 
 RESPONSES = ("request_id long, ts_ms long, start_ms long, username string, api_key string, model string, stream int, "
@@ -59,6 +61,47 @@ def test_ingest_takes_repeats_once_and_late_rows_all(spark, tmp_path):
     assert read_usage(spark, out).count() == 5
 
 
+def test_ingest_takes_a_request_once_whatever_its_day(spark, tmp_path):
+    batches = [[response(1, MIDNIGHT, GOOD), response(2, MIDNIGHT + DAY, GOOD), response(2, MIDNIGHT + 3 * DAY, GOOD)],
+               [response(1, MIDNIGHT + 2 * DAY, GOOD), response(3, MIDNIGHT + DAY, GOOD), response(None, MIDNIGHT, GOOD)],
+               [response(2, MIDNIGHT - DAY, GOOD), response(3, MIDNIGHT, GOOD), response(4, MIDNIGHT, GOOD)]]
+    source, out, state = (str(tmp_path / name) for name in ("in", "out", "state"))
+    write_files(spark, source, [spark.createDataFrame(rows, RESPONSES) for rows in batches])
+    found = run_ingest(spark, source, out, state)
+    assert {i: row.ts_ms for i, row in found.items()} == {
+        1: MIDNIGHT, 2: MIDNIGHT + DAY, 3: MIDNIGHT + DAY, None: MIDNIGHT, 4: MIDNIGHT}
+    assert read_usage(spark, out).count() == 5
+    # Rows that were written, but whose ids were not: the batch runs again and completes the index.
+    names = sorted(os.listdir(f"{out}/_request_ids/recent"), key=lambda name: os.path.getmtime(f"{out}/_request_ids/recent/{name}"))
+    remove_folder(spark, f"{out}/_request_ids/recent/{names[-1]}")
+    append_new(spark.createDataFrame([found[4]], USAGE), out)
+    append_new(spark.createDataFrame([found[4]], USAGE).withColumns({"day": F.lit("2024-02-02")}), out)
+    assert read_usage(spark, out).count() == 5
+
+
+def test_a_batch_reads_the_folders_of_its_own_ids(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "ledger")
+    first = spark.range(3000).select(F.col("id"), F.lit("2024-01-01").alias("day"))
+    append_usage(first, path)  # a ledger without an index gets one
+    append_new(conform(spark.range(2990, 3010).withColumn("day", F.lit("2024-01-02"))), path)
+    assert read_usage(spark, path).count() == 3010
+    asked = spark.createDataFrame([(5,), (3005,), (9999,)], "id long")
+    buckets = {row[0] for row in asked.select(request_ids.bucket_of()).collect()}
+    files = request_ids.candidates(asked, path).inputFiles()
+    read = {int(file.split("bucket=")[1].split("/")[0]) for file in files if "bucket=" in file}
+    assert read <= buckets and sum("recent" in file for file in files) == 1
+    assert {row.id for row in request_ids.indexed(asked, path).collect()} == {5, 3005}
+    monkeypatch.setattr(request_ids, "RECENT", 2)
+    for k in range(4):
+        append_new(conform(spark.range(3000 + k, 3020 + k).withColumn("day", F.lit("2024-01-03"))), path)
+    assert len(os.listdir(f"{path}/_request_ids/recent")) <= 2
+    ids = [row.id for row in read_usage(spark, path).collect()]
+    assert sorted(ids) == list(range(3023))
+    request_ids.rebuild(spark, path)
+    append_new(conform(spark.range(3023).withColumn("day", F.lit("2024-01-09"))), path)
+    assert read_usage(spark, path).count() == 3023
+
+
 def test_ingest_reads_event_streams(spark, tmp_path):
     text = f'data: {{"type":"x"}}\n\ndata: {{"response":{GOOD}}}\n\ndata: [DONE]\n\n'
     rows = [response(1, MIDNIGHT, text, stream=1), response(2, MIDNIGHT, text), response(3, MIDNIGHT, GOOD, stream=1),

@@ -1,5 +1,6 @@
 """Model ids out of model-catalog snapshots."""
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from usagelens.functions.tokens import attach_document, member
@@ -17,24 +18,38 @@ def _valid_id(value: Column, path: str) -> Column:
     return F.when(text.rlike(ID_PATTERN), F.when(F.to_json(member(value, path)).startswith('"'), text))
 
 
+def _first_claims(catalogs: pd.Series) -> pd.Series:
+    """First name of each item that no earlier item has taken; one pass with the names taken so far in a hash table."""
+    def claimed(items):
+        taken: dict[str, None] = {}
+        for names in items:
+            for name in names:
+                if name not in taken:
+                    taken[name] = None
+                    break
+        return list(taken)
+
+    return catalogs.map(claimed, na_action="ignore")
+
+
 def _attach_ids(snapshots: DataFrame) -> DataFrame:
     """Add ``ids``: the accepted ids of each payload, in order, each once; NULL without a list.
 
-    An item gives its first valid id that no earlier item gave, so the fold over
-    the items carries the ids taken so far.
+    An item gives its first valid id that no earlier item gave. Where all items' first ids differ, those are the answer
+    and stay in the JVM; the other catalogs are settled item by item, in time linear in their length.
     """
     doc = F.col("doc")
     models = F.coalesce(F.try_variant_get(doc, "$.models", "array<variant>"),
                         F.try_variant_get(doc, "$.data", "array<variant>"))
-    candidates = F.transform(models, lambda item: F.array_compact(F.array(
+    names = F.transform(models, lambda item: F.array_compact(F.array(
         _valid_id(item, "$"), *[_valid_id(item, f"$.{key}") for key in ID_KEYS])))
-
-    def take(taken, names):
-        fresh = F.filter(names, lambda name: ~F.array_contains(taken, name))
-        return F.concat(taken, F.slice(fresh, 1, 1))
-
     parsed = attach_document(snapshots.select("snapshot_id", "payload"), "payload", keys=ID_KEYS)
-    return parsed.select("snapshot_id", F.aggregate(candidates, F.array().cast(_NO_IDS), take).alias("ids"))
+    listed = parsed.select("snapshot_id", F.filter(names, lambda of_item: F.size(of_item) > 0).alias("names"))
+    first = F.transform("names", lambda of_item: of_item[0])
+    claims = listed.select("snapshot_id", "names", first.alias("first")).select(
+        "snapshot_id", "first", F.when(F.size(F.array_distinct("first")) < F.size("first"), F.col("names")).alias("contested"))
+    settled = F.pandas_udf(_first_claims, _NO_IDS)("contested")
+    return claims.select("snapshot_id", F.coalesce(settled, F.col("first")).alias("ids"))
 
 
 def model_catalog(snapshots: DataFrame) -> DataFrame:

@@ -38,6 +38,15 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none if there is no such folder."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(target):
+        return []
+    return sorted(one.getPath().getName() for one in files.listStatus(target) if one.isDirectory())
+
+
 def remove_staged(spark: SparkSession) -> None:
     """Remove everything that this application has staged; DataFrames that read it are void from then on."""
     remove_folder(spark, _session_folder(spark))

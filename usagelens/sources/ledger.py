@@ -5,7 +5,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from usagelens.functions.labels import masked_key
 from usagelens.functions.pricing import micros_of_dollars
+from usagelens.runtime import materialize
 from usagelens.schema import USAGE, USERS
+from usagelens.sources import request_ids
 
 
 def conform(rows: DataFrame, schema=USAGE) -> DataFrame:
@@ -45,20 +47,32 @@ def overwrite_days(rows: DataFrame, path: str) -> None:
 
 
 def append_new(rows: DataFrame, path: str) -> None:
-    """Append the rows whose id the ledger does not have on their day yet; only those days are read."""
+    """Append the rows whose id the ledger does not have yet, on whatever day; rows without an id are all appended.
+
+    ``rows`` must have each id once. Ids are looked up in the ledger's index of ids; a ledger without one gets it first.
+    Rows are written before their ids are, so ids that a failed batch has left out of the index are looked for on their
+    days too; of the ledger, only those days are read.
+    """
+    spark = rows.sparkSession
+    request_ids.ensure(spark, path)
+    asked = materialize(rows.where(F.col("id").isNotNull()).select("id", "day"))
+    known = request_ids.indexed(asked, path)
+    fresh = asked.join(known, "id", "left_anti")
+    present = known
     try:
-        known = read_usage(rows.sparkSession, path).select("id", "day")
+        ledger = read_usage(spark, path).select("id", "day")
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
     else:
-        days = rows.select("day").distinct()
-        rows = rows.join(known.join(days, "day", "left_semi"), ["id", "day"], "left_anti")
-    append_usage(rows, path)
+        on_day = ledger.join(fresh.select("day").distinct(), "day", "left_semi")
+        present = known.unionByName(materialize(fresh.join(on_day, ["id", "day"], "left_semi").select("id")))
+    append_usage(rows.join(present, "id", "left_anti"), path)
+    request_ids.add(fresh, path)
 
 
 def append_usage(rows: DataFrame, path: str) -> None:
-    """Append to the ledger."""
+    """Append to the ledger as it is; after that ``request_ids.rebuild`` makes later calls of ``append_new`` see the ids."""
     _by_day(rows).mode("append").parquet(path)
 
 

@@ -558,6 +558,7 @@ ORACLE = {
         SELECT username, {day_of('e')}, 0, total FROM reqs WHERE total <> 0) GROUP BY username, day""", SLOW),
     "stream_ingest": sql(INGESTED),
     "stream_ingest_late": sql(INGESTED),
+    "stream_ingest_moved": sql(INGESTED),
     "stream_day_counters_late": sql(f"""SELECT day, username, count(*) AS requests, CAST(coalesce(sum(input_tokens + output_tokens
       + cache_creation_tokens + cache_read_tokens), 0) AS BIGINT) AS tokens FROM ({INGESTED}) GROUP BY day, username"""),
     "stream_day_counters": sql("""SELECT day, username, count(*) AS requests, CAST(coalesce(sum(input_tokens + output_tokens

@@ -398,6 +398,12 @@ def stream_ingest_late(spark, sf_dir):
     return _ingested(spark, t.stream_of_parts(rows, work_folder(spark, "responses")))
 
 
+def stream_ingest_moved(spark, sf_dir):
+    """Requests that are delivered again under a later day."""
+    rows = t.finished_responses_of(t.ledger(spark, sf_dir))
+    return _ingested(spark, t.moved_deliveries(rows, work_folder(spark, "responses")))
+
+
 def _live(spark, rows, aggregate, keys, compact=False):
     path = work_folder(spark, "stream-counters")
     sinks.write_partials(rows, aggregate, f"{path}/rows", f"{path}/state").awaitTermination()
@@ -532,6 +538,7 @@ QUERIES = {
     "counter_events": counter_events,
     "stream_ingest": stream_ingest,
     "stream_ingest_late": stream_ingest_late,
+    "stream_ingest_moved": stream_ingest_moved,
     "stream_day_counters": stream_day_counters,
     "stream_day_counters_late": stream_day_counters_late,
     "stream_hour_totals": stream_hour_totals,

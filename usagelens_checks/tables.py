@@ -226,6 +226,15 @@ def stream_of_parts(rows: DataFrame, path: str, parts: int = 3) -> DataFrame:
     return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def moved_deliveries(rows: DataFrame, path: str) -> DataFrame:
+    """The rows as a stream of several batches, then some of them again, dated one to three days later."""
+    rows.repartition(2, "ts_ms").write.parquet(path)
+    later = F.col("ts_ms") + 86_400_000 * (1 + F.pmod(F.hash("ts_ms"), F.lit(3)))
+    again = rows.where(F.pmod(F.xxhash64("ts_ms"), F.lit(4)) == 0).withColumn("ts_ms", later)
+    again.repartition(2, "ts_ms").write.mode("append").parquet(path)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def request_log_of(usage: DataFrame) -> DataFrame:
     """Request headers and payloads for the facts job."""
     n = F.col("id")
