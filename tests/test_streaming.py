@@ -74,6 +74,7 @@ def test_ingest_takes_a_request_once_whatever_its_day(spark, tmp_path):
     # Rows that were written, but whose ids were not: the batch runs again and completes the index.
     names = sorted(os.listdir(f"{out}/_request_ids/recent"), key=lambda name: os.path.getmtime(f"{out}/_request_ids/recent/{name}"))
     remove_folder(spark, f"{out}/_request_ids/recent/{names[-1]}")
+    request_ids.begin(spark, out)
     append_new(spark.createDataFrame([found[4]], USAGE), out)
     append_new(spark.createDataFrame([found[4]], USAGE).withColumns({"day": F.lit("2024-02-02")}), out)
     assert read_usage(spark, out).count() == 5

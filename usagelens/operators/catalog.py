@@ -1,9 +1,12 @@
 """Model ids out of model-catalog snapshots."""
 
-import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from usagelens.functions.tokens import attach_document, member
+from usagelens.operators import claims
+
+cloudpickle.register_pickle_by_value(claims)
 
 # Keys that may hold an id, in order, and the accepted form.
 ID_KEYS = ("id", "slug", "model", "model_id", "model_slug")
@@ -18,20 +21,6 @@ def _valid_id(value: Column, path: str) -> Column:
     return F.when(text.rlike(ID_PATTERN), F.when(F.to_json(member(value, path)).startswith('"'), text))
 
 
-def _first_claims(catalogs: pd.Series) -> pd.Series:
-    """First name of each item that no earlier item has taken; one pass with the names taken so far in a hash table."""
-    def claimed(items):
-        taken: dict[str, None] = {}
-        for names in items:
-            for name in names:
-                if name not in taken:
-                    taken[name] = None
-                    break
-        return list(taken)
-
-    return catalogs.map(claimed, na_action="ignore")
-
-
 def _attach_ids(snapshots: DataFrame) -> DataFrame:
     """Add ``ids``: the accepted ids of each payload, in order, each once; NULL without a list.
 
@@ -46,10 +35,10 @@ def _attach_ids(snapshots: DataFrame) -> DataFrame:
     parsed = attach_document(snapshots.select("snapshot_id", "payload"), "payload", keys=ID_KEYS)
     listed = parsed.select("snapshot_id", F.filter(names, lambda of_item: F.size(of_item) > 0).alias("names"))
     first = F.transform("names", lambda of_item: of_item[0])
-    claims = listed.select("snapshot_id", "names", first.alias("first")).select(
+    split = listed.select("snapshot_id", "names", first.alias("first")).select(
         "snapshot_id", "first", F.when(F.size(F.array_distinct("first")) < F.size("first"), F.col("names")).alias("contested"))
-    settled = F.pandas_udf(_first_claims, _NO_IDS)("contested")
-    return claims.select("snapshot_id", F.coalesce(settled, F.col("first")).alias("ids"))
+    settled = F.pandas_udf(claims.first_claims, _NO_IDS)("contested")
+    return split.select("snapshot_id", F.coalesce(settled, F.col("first")).alias("ids"))
 
 
 def model_catalog(snapshots: DataFrame) -> DataFrame:

@@ -38,13 +38,17 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def folder_names(spark: SparkSession, path: str) -> list[str]:
-    """Names of the folders in a folder; none if there is no such folder."""
+def folder_entries(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if there is no such folder."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(target):
-        return []
-    return sorted(one.getPath().getName() for one in files.listStatus(target) if one.isDirectory())
+    return sorted(one.getPath().getName() for one in files.listStatus(target)) if files.exists(target) else []
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file, as a mark."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True).close()
 
 
 def remove_staged(spark: SparkSession) -> None:

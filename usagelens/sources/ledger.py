@@ -49,26 +49,34 @@ def overwrite_days(rows: DataFrame, path: str) -> None:
 def append_new(rows: DataFrame, path: str) -> None:
     """Append the rows whose id the ledger does not have yet, on whatever day; rows without an id are all appended.
 
-    ``rows`` must have each id once. Ids are looked up in the ledger's index of ids; a ledger without one gets it first.
-    Rows are written before their ids are, so ids that a failed batch has left out of the index are looked for on their
-    days too; of the ledger, only those days are read.
+    ``rows`` must have each id once. Ids are looked up in the ledger's index of ids; a ledger without one gets it first,
+    otherwise the ledger itself is not read. Rows are written before their ids are: after a batch that failed in
+    between, which its mark tells, ids that the index lacks are looked for in the ledger, on the days of ``rows``. A
+    failed batch must be run again before another one, as streams do.
     """
     spark = rows.sparkSession
     request_ids.ensure(spark, path)
     asked = materialize(rows.where(F.col("id").isNotNull()).select("id", "day"))
     known = request_ids.indexed(asked, path)
     fresh = asked.join(known, "id", "left_anti")
-    present = known
+    if request_ids.failed(spark, path):
+        known = known.unionByName(materialize(_on_day(fresh, path)))
+    request_ids.begin(spark, path)
+    append_usage(rows.join(known, "id", "left_anti"), path)
+    request_ids.add(fresh, path)
+    request_ids.done(spark, path)
+
+
+def _on_day(asked: DataFrame, path: str) -> DataFrame:
+    """(id): those of (id, day) that the ledger has on that day; only those days are read."""
     try:
-        ledger = read_usage(spark, path).select("id", "day")
+        ledger = read_usage(asked.sparkSession, path).select("id", "day")
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-    else:
-        on_day = ledger.join(fresh.select("day").distinct(), "day", "left_semi")
-        present = known.unionByName(materialize(fresh.join(on_day, ["id", "day"], "left_semi").select("id")))
-    append_usage(rows.join(present, "id", "left_anti"), path)
-    request_ids.add(fresh, path)
+        return asked.select("id").limit(0)
+    days = asked.select("day").distinct()
+    return asked.join(ledger.join(days, "day", "left_semi"), ["id", "day"], "left_semi").select("id")
 
 
 def append_usage(rows: DataFrame, path: str) -> None:

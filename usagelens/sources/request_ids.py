@@ -2,6 +2,7 @@
 
 Ids lie in folders by their hash, so a batch reads only those its own ids fall in. Ids of the latest batches, a bounded
 number of them, lie in small folders of their own, which all batches read. An id may stand there twice; that does no harm.
+While a batch is written a mark stands in the index; one that is found there tells of a batch that failed.
 """
 
 import uuid
@@ -9,7 +10,7 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from usagelens.runtime import folder_names, materialize, remove_folder
+from usagelens.runtime import folder_entries, materialize, remove_folder, touch
 from usagelens.schema import USAGE
 
 FOLDER = "_request_ids"  # Spark's readers pass over names that start so
@@ -34,16 +35,28 @@ def rebuild(spark: SparkSession, path: str) -> None:
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        ids = spark.createDataFrame([], "id long")
-    _store(ids, path, "overwrite")
-    spark.range(1).write.mode("overwrite").parquet(f"{path}/{FOLDER}/ready")  # last: without it, the index is built again
+    else:
+        _store(ids, path, "overwrite")
+    touch(spark, f"{path}/{FOLDER}/ready")  # last: without it, the index is built again
 
 
 def ensure(spark: SparkSession, path: str) -> None:
-    if "ready" not in folder_names(spark, f"{path}/{FOLDER}"):
+    if "ready" not in folder_entries(spark, f"{path}/{FOLDER}"):
         rebuild(spark, path)
 
 
+def failed(spark: SparkSession, path: str) -> bool:
+    return "open" in folder_entries(spark, f"{path}/{FOLDER}")
+
+
+def begin(spark: SparkSession, path: str) -> None:
+    touch(spark, f"{path}/{FOLDER}/open")
+
+
+def done(spark: SparkSession, path: str) -> None:
+    remove_folder(spark, f"{path}/{FOLDER}/open")
+
+
 def _read(spark: SparkSession, folders: list[str]) -> DataFrame:
     return spark.read.schema("id long").parquet(*folders) if folders else spark.createDataFrame([], "id long")
 
@@ -58,9 +71,11 @@ def candidates(asked: DataFrame, path: str) -> DataFrame:
     Only the folders of these are listed and read.
     """
     spark, home = asked.sparkSession, f"{path}/{FOLDER}/by_bucket"
-    wanted = {f"bucket={row.bucket}" for row in asked.select(bucket_of().alias("bucket")).distinct().collect()}  # BUCKETS at most
-    stored = [f"{home}/{name}" for name in folder_names(spark, home) if name in wanted]
-    return _read(spark, stored + _recent(path, folder_names(spark, f"{path}/{FOLDER}/recent")))
+    stored = [name for name in folder_entries(spark, home) if name.startswith("bucket=")]
+    if stored:
+        wanted = {f"bucket={row.bucket}" for row in asked.select(bucket_of().alias("bucket")).distinct().collect()}  # BUCKETS at most
+        stored = [f"{home}/{name}" for name in stored if name in wanted]
+    return _read(spark, stored + _recent(path, folder_entries(spark, f"{path}/{FOLDER}/recent")))
 
 
 def indexed(asked: DataFrame, path: str) -> DataFrame:
@@ -75,7 +90,7 @@ def add(ids: DataFrame, path: str) -> None:
     """
     spark = ids.sparkSession
     ids.select("id").hint("rebalance").write.parquet(f"{path}/{FOLDER}/recent/{uuid.uuid4().hex}")
-    names = folder_names(spark, f"{path}/{FOLDER}/recent")
+    names = folder_entries(spark, f"{path}/{FOLDER}/recent")
     if len(names) > RECENT:
         waiting = _recent(path, names)
         _store(_read(spark, waiting), path, "append")
