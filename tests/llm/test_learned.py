@@ -60,15 +60,21 @@ def test_quality_marks_behind_the_first_bytes_are_learned(spark):
     assert [r.score > 0.5 for r in held] == [r.quality == 1 for r in held]
 
 
-def test_texts_are_whole_or_drawn_from_all_over(spark):
-    assert quality.even_share([5, 9000, 70], 10_000) == 9000
-    assert quality.even_share([9000, 100, 9000], 10_100) == 5000
-    assert quality.even_share([], 10) == quality.even_share([4000] * 10, 100) == 2 * quality.CHUNK
-    text = b"".join(k.to_bytes(4, "big") for k in range(50_000))
-    frame = spark.createDataFrame([(bytearray(text),)], "text binary")
-    assert [bytes(p) for p in frame.select(quality.drawn(frame.text, len(text))).first()[0]] == [text]
-    parts = [bytes(p) for p in frame.select(quality.drawn(frame.text, 5200)).first()[0]]
-    assert parts == [text[s:s + 512] for s in [int((len(text) - 512) * k / 9) for k in range(10)]]
+def test_training_texts_are_whole_and_bounded_in_all(spark, monkeypatch):
+    assert quality.fitting([(1, 0, 5), (2, 1, 9), (3, 0, 7), (4, 0, 2)], 20) == [(1, 0, 5), (4, 0, 2), (2, 1, 9)]
+    assert quality.fitting([(1, 0, 50), (2, 0, 40), (3, 1, 0)], 20) == [(2, 0, 40), (3, 1, 0)]
+    assert quality.fitting([], 10) == []
+    texts = {k: f"{k} " * 10 ** (k % 5) for k in range(40)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda given, labels, seed: seen.extend(zip(given, labels)))
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    for bound, number in ((1 << 30, 40), (20_000, None)):
+        seen.clear()
+        quality.train(docs, labels, train_bytes=bound)
+        assert all(texts[int(text.split()[0])].encode() == text and int(text.split()[0]) % 2 == label for text, label in seen)
+        assert sum(len(text) for text, _ in seen) <= bound and {label for _, label in seen} == {0, 1}
+        assert number is None or len(seen) == number
 
 
 def test_quality_of_odd_tables(spark):

@@ -2,7 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from usagelens.llm.common import carried, utf8, with_text
 
@@ -13,7 +13,7 @@ HIDDEN = 16
 CHUNK = 512  # first bytes of the windows of a chunk; its windows reach WIDTH - 1 bytes into the next one
 SLICE = 1 << 17  # bytes convolved at a time
 TRAIN_ROWS = 800  # labelled rows of each class that a network is fitted on
-TRAIN_BYTES = 64 << 20  # bytes of all of them together; past that, the longest give chunks from all over the text
+TRAIN_BYTES = 64 << 20  # bytes of all of them together; past that, fewer rows, each still whole
 STEPS = 400  # batches that a network is fitted with
 OUTPUTS = ("score",)
 
@@ -131,24 +131,22 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 5, steps: int = STEPS
     return network
 
 
-def even_share(sizes: list[int], total: int) -> int:
-    """The most bytes of each text with which all texts have at most ``total`` bytes, but two chunks at least."""
-    left = total
-    for rank, size in enumerate(sorted(sizes)):
-        share = left // (len(sizes) - rank)
-        if size > share:
-            return max(2 * CHUNK, share)
-        left -= size
-    return max(2 * CHUNK, *sizes) if sizes else 2 * CHUNK
+def fitting(sample: list[tuple], total: int) -> list[tuple]:
+    """Those of (id, label, size), in their order, that fit into ``total`` bytes, half of them for each label.
 
-
-def drawn(text: Column, most: int) -> Column:
-    """A text as an array with itself or, if it has more than ``most`` bytes, with chunks from its first to its last."""
-    chunks = most // CHUNK
-    last = F.octet_length(text).cast("long") - CHUNK
-    some = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long")), lambda k: F.substring(
-        text, (F.floor(last * k / (chunks - 1)) + 1).cast("int"), F.lit(CHUNK)))
-    return F.when(F.octet_length(text) <= most, F.array(text)).otherwise(some)
+    A row that does not fit any more is left out and later, smaller ones still count; where none of a label fits, its
+    smallest one is taken, so that no label goes.
+    """
+    taken = []
+    for label in (0, 1):
+        rows, left, before = [row for row in sample if row[1] == label], total // 2, len(taken)
+        for row in rows:
+            if row[2] <= left:
+                taken.append(row)
+                left -= row[2]
+        if rows and len(taken) == before:
+            taken.append(min(rows, key=lambda row: row[2]))
+    return taken
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -156,9 +154,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on at most ``rows`` labelled documents of each class, the first in the order of a hash of their ids.
 
     Only ids, lengths and labels are joined and ordered; the texts of the chosen ids are fetched after that and fitted on
-    the driver. They are whole as long as all of them have at most ``train_bytes`` bytes; past that, those longer than an
-    even share give as many chunks as fit in it, drawn evenly from the first to the last. Labels other than 0 and 1 and
-    null ids are left out; of several labels of an id the largest counts, of several texts the smallest.
+    the driver, each of them whole. If together they had more than ``train_bytes`` bytes, fewer are chosen. Labels other
+    than 0 and 1 and null ids are left out; of several labels of an id the largest counts, of several texts the smallest.
     """
     marks = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label")).filter(
         "label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
@@ -169,13 +166,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for label in (0, 1):
         part = known.filter(F.col("label") == label).orderBy("place", "id").limit(rows)
         chosen = part if chosen is None else chosen.union(part)
-    sample = chosen.collect()
-    picked = docs.sparkSession.createDataFrame([(row.id, row.label) for row in sample], "id long, label int")
+    sample = fitting([(row.id, row.label, row["size"]) for row in chosen.orderBy("place", "id").collect()], train_bytes)
+    picked = docs.sparkSession.createDataFrame([row[:2] for row in sample], "id long, label int")
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), whole.alias("text")).join(
         F.broadcast(picked), "id").groupBy("id", "label").agg(F.min("text").alias("text"))  # 2 * rows ids at most
-    parts = drawn(F.col("text"), even_share([row["size"] for row in sample], train_bytes))
-    found = sorted(texts.select("id", "label", parts.alias("parts")).collect(), key=lambda row: row.id)
-    return fit([b"".join(bytes(part) for part in row.parts) for row in found], [row.label for row in found], seed)
+    found = sorted(texts.collect(), key=lambda row: row.id)
+    return fit([bytes(row.text) for row in found], [row.label for row in found], seed)
 
 
 def _score_batches(shared, text_index, keep):
