@@ -148,6 +148,23 @@ def test_day_counters_equal_the_batch(spark, ledger_files, tmp_path):
         tuple(row) for row in expected.collect())
 
 
+def test_folders_of_a_long_stream_stay_few(spark, tmp_path):
+    source, path = str(tmp_path / "in"), str(tmp_path / "out")
+    frames = [spark.range(k, k + 3).selectExpr("id % 4 as k", "id as n").coalesce(1) for k in range(9)]
+    counted = lambda batch: batch.groupBy("k").agg(F.sum("n").alias("n"))
+    most = []
+    for upto in (4, 9):  # stops once and goes on
+        write_files(spark, source, frames[:upto])
+        rows = read_files(spark, source, "k long, n long")
+        sinks.write_partials(rows, counted, path, str(tmp_path / "state"), keys=["k"], kept_batches=2).awaitTermination()
+        most.append([len(os.listdir(f"{path}/{kind}")) for kind in ("partial", "base")])
+        expected = {}
+        for one in (number for k in range(upto) for number in range(k, k + 3)):
+            expected[one % 4] = expected.get(one % 4, 0) + one
+        assert {row.k: row.n for row in sinks.read_partials(spark, path, ["k"]).collect()} == expected
+    assert all(partial <= 3 and base <= 2 for partial, base in most)
+
+
 def test_minute_and_hour_totals(spark, ledger_files, tmp_path):
     folder, ledger = ledger_files
     for width, size in (("1 hour", 3_600_000), ("1 minute", 60_000)):

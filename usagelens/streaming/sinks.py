@@ -6,21 +6,26 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from usagelens.runtime import remove_folder
+from usagelens.runtime import folder_entries, remove_folder
 
 ONCE_THROUGH = {"availableNow": True}
+KEPT_BATCHES = 64
 
 
 def write_partials(rows: DataFrame, aggregate: Callable[[DataFrame], DataFrame], path: str, checkpoint: str,
-                   **trigger) -> StreamingQuery:
+                   keys=None, kept_batches: int = KEPT_BATCHES, **trigger) -> StreamingQuery:
     """Write the ``aggregate`` of each micro-batch to a folder of that batch.
 
     Counts and sums of batches add up, so no state is kept and a row counts however late it comes. A batch that is run
-    again after a failure overwrites its own folder. The default trigger takes what is there and stops; the source's
-    options bound the size of a batch.
+    again after a failure overwrites its own folder. With the ``keys`` of the aggregate, the stream merges its batches
+    whenever more than ``kept_batches`` folders lie there, so their number stays bounded however long it runs.
+    ``checkpoint`` and ``path`` belong together: both are kept or both are new. The default trigger takes what is there
+    and stops; the source's options bound the size of a batch.
     """
     def save(batch: DataFrame, batch_id: int) -> None:
         aggregate(batch).write.mode("overwrite").parquet(f"{path}/partial/batch_id={batch_id}")
+        if keys is not None and len(_numbers(batch.sparkSession, f"{path}/partial")) > kept_batches:
+            compact_partials(batch.sparkSession, path, keys)
 
     return (
         rows.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
@@ -28,6 +33,11 @@ def write_partials(rows: DataFrame, aggregate: Callable[[DataFrame], DataFrame],
     )
 
 
+def _numbers(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the batches that have a folder there."""
+    return sorted(int(name.split("=")[1]) for name in folder_entries(spark, folder) if "=" in name)
+
+
 def _stored(spark: SparkSession, path: str, kind: str) -> DataFrame | None:
     try:
         return spark.read.option("basePath", f"{path}/{kind}").parquet(f"{path}/{kind}")
@@ -61,12 +71,15 @@ def read_partials(spark: SparkSession, path: str, keys) -> DataFrame:
 def compact_partials(spark: SparkSession, path: str, keys) -> None:
     """Merge all batches so far into one folder, so that reading does not grow with their number.
 
-    Readers take a compaction only when it is whole. Folders it replaces are removed after that.
+    Readers take a compaction only when it is whole. What an earlier compaction has merged or replaced is removed then;
+    what this one merges stays until the next, for those who are reading it.
     """
-    last = _stored(spark, path, "partial").agg(F.max("batch_id")).first()[0]
+    last = _numbers(spark, f"{path}/partial")[-1:]
     rows, upto = _parts(spark, path)
-    if last is None or last <= upto:
+    if not last or last[0] <= upto:
         return
-    _merged(rows, keys).write.mode("overwrite").parquet(f"{path}/base/upto={last}")
-    if upto >= 0:
-        remove_folder(spark, f"{path}/base/upto={upto}")
+    _merged(rows, keys).write.mode("overwrite").parquet(f"{path}/base/upto={last[0]}")
+    for kind, name, kept in (("partial", "batch_id", upto + 1), ("base", "upto", upto)):
+        for number in _numbers(spark, f"{path}/{kind}"):
+            if number < kept:
+                remove_folder(spark, f"{path}/{kind}/{name}={number}")

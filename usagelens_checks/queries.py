@@ -406,7 +406,7 @@ def stream_ingest_moved(spark, sf_dir):
 
 def _live(spark, rows, aggregate, keys, compact=False):
     path = work_folder(spark, "stream-counters")
-    sinks.write_partials(rows, aggregate, f"{path}/rows", f"{path}/state").awaitTermination()
+    sinks.write_partials(rows, aggregate, f"{path}/rows", f"{path}/state", keys=keys).awaitTermination()
     if compact:
         sinks.compact_partials(spark, f"{path}/rows", keys)
     return sinks.read_partials(spark, f"{path}/rows", keys)
