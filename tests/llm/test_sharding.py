@@ -86,3 +86,20 @@ def test_query_moves_whole_documents(spark, monkeypatch):
 def test_no_python_in_the_plan(spark):
     plan = sharding.shuffle_to_shards(spark.range(10), 2)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_values_come_back_as_they_were(spark):
+    kinds = "a double, b float, c array<double>, d struct<x: double, `y z`: map<string, double>>, e map<string, int>, `f.g` string"
+    data = [(-0.0, -0.0, [-0.0, None, 0.0], (-0.0, {"k": -0.0, "j": 1.0}), {"b": 1, "a": None}, "x"),
+            (0.0, 0.0, [0.0, None, -0.0], (0.0, {"j": 1.0, "k": 0.0}), {"a": None, "b": 1}, "x"),
+            (None, None, None, None, None, None), (-1.5, float("-inf"), [], (None, None), {}, ""),
+            (float("nan"), float("nan"), [None], (None, {}), {"": 0}, "y")] * 3
+    table = spark.createDataFrame(data, kinds)
+    got = sharding.shuffle_to_shards(table, 4, bucket_rows=2)
+    assert got.dtypes[:-2] == table.dtypes
+
+    def seen(rows):
+        return Counter(repr(tuple(r.asDict(True)[c] for c in table.columns)) for r in rows.collect())
+
+    assert seen(got) == seen(table)
+    assert max(seen(table).values()) == 3 and len(seen(table)) == 5

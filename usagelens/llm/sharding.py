@@ -9,13 +9,52 @@ BUCKET_BYTES = 32 << 20
 GROUP = 1_000  # buckets whose sizes are summed up in one window
 
 
+def _blurred(kind: T.DataType) -> bool:
+    """Whether grouping changes values of this type (zeros lose their sign) or refuses them (maps)."""
+    if isinstance(kind, T.ArrayType):
+        return _blurred(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_blurred(field.dataType) for field in kind)
+    return isinstance(kind, (T.FloatType, T.DoubleType, T.MapType))
+
+
+def _exact(value: Column, kind: T.DataType) -> Column:
+    """``value`` in a form that can be grouped and sorted and that ``_restored`` takes back as it was."""
+    if not _blurred(kind):
+        return value
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda one: _exact(one, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform(F.map_entries(value), lambda entry: F.struct(
+            _exact(entry["key"], kind.keyType).alias("key"), _exact(entry["value"], kind.valueType).alias("value")))
+    if isinstance(kind, T.StructType):
+        fields = [_exact(value[field.name], field.dataType).alias(f"f{k}") for k, field in enumerate(kind)]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    return F.when(value.isNotNull(), F.struct(value.alias("number"), value.cast("string").startswith("-").alias("minus")))
+
+
+def _restored(value: Column, kind: T.DataType) -> Column:
+    if not _blurred(kind):
+        return value
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda one: _restored(one, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.map_from_entries(F.transform(value, lambda entry: F.struct(
+            _restored(entry["key"], kind.keyType), _restored(entry["value"], kind.valueType))))
+    if isinstance(kind, T.StructType):
+        fields = [_restored(value[f"f{k}"], field.dataType).alias(field.name) for k, field in enumerate(kind)]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    negative_zero = (value["number"] == 0) & value["minus"]
+    return F.when(negative_zero, F.lit(-0.0).cast(kind)).otherwise(value["number"])
+
+
 def _row_bytes(rows: DataFrame, columns: list[str]) -> Column:
     """Bytes of a row's strings and nested values, eight for each other one."""
     def own(field):
         column = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.StringType, T.BinaryType)):
             return F.octet_length(column)
-        if isinstance(field.dataType, (T.ArrayType, T.StructType)):
+        if isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
             return F.octet_length(column.cast("string"))
         return F.lit(8)
 
@@ -45,8 +84,9 @@ def shuffle_to_shards(rows: DataFrame, shards: int = 16, seed: int = 7, bytes_co
     it; order is fixed from then on. Bucket sizes give each bucket its start, and the row at place p goes to shard p mod
     ``shards``, slot p div ``shards``. The same rows, seed and shuffle partitions give the same order.
 
-    Nulls are values like others, ties do not occur, an empty table gives none. Columns must be of types that can be
-    sorted; input columns called shard or slot give way.
+    Nulls are values like others, ties do not occur, an empty table gives none. All values come back as they were, the
+    sign of a zero and the order of a map's entries included; columns of variants or intervals are refused. Input columns
+    called shard or slot give way.
     """
     columns = [c for c in rows.columns if c.lower() not in ("shard", "slot")]
     spark = rows.sparkSession
@@ -54,7 +94,7 @@ def shuffle_to_shards(rows: DataFrame, shards: int = 16, seed: int = 7, bytes_co
     total, weight = rows.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0)).cast("long")).first()
     buckets = max(1, -(-total // bucket_rows), -(-weight // bucket_bytes))
     partitions = max(1, min(buckets, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    quoted = [F.col(f"`{c}`") for c in columns]
+    quoted = [_exact(F.col(f"`{c}`"), rows.schema[c].dataType).alias(c) for c in columns]
     counted = rows.select(F.struct(*quoted).alias("row")).groupBy("row").agg(F.count("*").alias("copies"))
     single = counted.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
     scattered = single.select("row", F.pmod(F.xxhash64("row", "copy", F.lit(seed)), F.lit(buckets)).alias("bucket"))
@@ -64,7 +104,8 @@ def shuffle_to_shards(rows: DataFrame, shards: int = 16, seed: int = 7, bytes_co
     written, _ = stage(filled, "shuffled", compression="zstd")
     placed = written.join(_starts(written), "bucket").select("start", F.posexplode("rows").alias("at", "row"))
     place = F.col("start") + F.col("at")
-    return placed.select("row.*", (place % shards).cast("int").alias("shard"),
+    own = [_restored(F.col("row")[c], rows.schema[c].dataType).alias(c) for c in columns]
+    return placed.select(*own, (place % shards).cast("int").alias("shard"),
                          F.expr(f"(start + at) div {shards}").alias("slot"))
 
 
