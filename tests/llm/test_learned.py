@@ -1,11 +1,15 @@
 """Quality and secrets: held-out accuracy, gradients, features."""
 
+import random
+import string
+import uuid
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
-from usagelens.llm import quality, secrets
+from usagelens.llm import common, quality, secrets
 from usagelens.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -168,6 +172,62 @@ def test_secrets_without_rows_or_labels(spark):
     assert secrets.scan(docs.limit(0)).collect() == []
 
 
+def test_staged_findings_are_not_in_clear(spark, tmp_path, monkeypatch):
+    texts = [f"password={key}{k}x" for k in range(3) for key in KEYS] + ["see thewordisverylong", "a correcthorsebattery b", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(common, "work_folder", lambda spark, purpose: f"{tmp_path}/{purpose}-{uuid.uuid4().hex}")
+    got = secrets.scan(docs).collect()
+    values = {r.value for r in got}
+    assert {KEYS[0] + "0x", "correcthorsebattery"} <= values
+    tables = list(tmp_path.rglob("*.parquet"))
+    assert tables and {path.parent.name.split("-")[0] for path in tables} == {"candidates", "shapes"}
+    for path in tables:
+        for row in pq.read_table(path).to_pylist():
+            assert not any(isinstance(x, str) for x in row.values())
+            shown = b" ".join(x for x in row.values() if isinstance(x, bytes))
+            assert not any(value.encode() in shown for value in values) and b"password" not in shown
+
+
+def test_pair_chance_of_every_kind_of_character(spark):
+    found = spark.createDataFrame([("zAbz0-/_", ""), ("aa", "")], "value string, before string")
+    words = spark.createDataFrame([], "word string, n long")
+    got = {r.value: r.pair_chance for r in secrets.features(found, words, {"za": -1.0, "bz": -3.0, "aa": -0.5}).collect()}
+    assert got["aa"] == -0.5 and abs(got["zAbz0-/_"] - (-1 - 3 + 5 * secrets.UNSEEN) / 7) < 1e-9
+    bare = secrets.features(found, words, {}).collect()
+    assert all(abs(r.pair_chance - secrets.UNSEEN) < 1e-9 for r in bare)
+
+
+def test_held_out_findings_that_no_rule_labels(spark):
+    """Labelled findings teach the forest; it judges others of the same makes, of other values and without the evidence
+    that labels go by."""
+    draw = random.Random(5)
+    letters = string.ascii_letters + string.digits
+
+    def key():
+        return "".join(draw.choice(letters) for _ in range(draw.randint(20, 40)))
+
+    def name():
+        words = ["update", "table", "customer", "order", "value", "report", "index", "v2", "2024"]
+        return "_".join(draw.choice(words) for _ in range(draw.randint(4, 6))).ljust(16, "x")
+
+    def texts(first, forms, make):
+        return [(first + k, draw.choice(forms) % make()) for k in range(150)]
+
+    labelled = texts(10**9, ["db_password=%s", "token: %s"], key) + texts(2 * 10**9, ["version %s", "example %s"], name)
+    held_out = texts(3 * 10**9, ["use %s now", "the new one is %s", "export GITLAB=%s", "login with %s,"], key) + texts(
+        4 * 10**9, ["call %s first", "the function %s", "see (%s)", "set x=%s"], name)
+    held = spark.createDataFrame(held_out, "doc_id long, text string")
+    shapes = secrets.features(secrets.candidates(held), spark.createDataFrame([], "word string, n long"), {})
+    assert secrets.labelled_findings(shapes).count() == 0
+    corpus = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(held).union(
+        spark.createDataFrame(labelled, "doc_id long, text string"))
+    got = secrets.scan(corpus).filter("doc_id >= 3000000000").collect()
+    true = sum(r.secret for r in got if r.doc_id < 4 * 10**9)
+    false = sum(r.secret for r in got if r.doc_id >= 4 * 10**9)
+    print("held out secrets found", true, "of 150, others taken for secrets", false, "of", len(got) - 150)
+    assert len(got) == 300 and true >= 140 and false <= 15
+
+
 def test_no_python_in_the_secret_scan(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = secrets.scan(docs)._jdf.queryExecution().executedPlan().toString()

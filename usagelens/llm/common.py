@@ -1,7 +1,9 @@
 """Helpers that the operators share: staged tables, carried columns, Arrow batches."""
 
+import os
+
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from usagelens.runtime import work_folder
 
@@ -14,6 +16,21 @@ def stage(rows: DataFrame, purpose: str, *partition_by: str, compression: str |
     return spark.read.schema(rows.schema).parquet(path).select(*rows.columns), path
 
 
+def stage_sealed(rows: DataFrame, purpose: str) -> tuple[DataFrame, str]:
+    """``stage`` for texts that must not lie in the shared folder in clear: string columns are written encrypted.
+
+    The key is made for this one table and lives in the plans of this session only, so nobody reads the table after it.
+    Nulls stay nulls. Event logs, if they are kept, hold plans and with them the key.
+    """
+    key = F.lit(os.urandom(16))
+    texts = {field.name for field in rows.schema if isinstance(field.dataType, T.StringType)}
+    sealed = rows.select(*[F.aes_encrypt(F.col(f"`{name}`").cast("binary"), key).alias(name) if name in texts
+                           else F.col(f"`{name}`") for name in rows.columns])
+    written, path = stage(sealed, purpose)
+    return written.select(*[F.aes_decrypt(F.col(f"`{name}`"), key).cast("string").alias(name) if name in texts
+                            else F.col(f"`{name}`") for name in rows.columns]), path
+
+
 def drop_stage(spark, path: str) -> None:
     """Remove a staged table that no later plan reads."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -3,12 +3,14 @@
 Column expressions, joins and the DataFrame-based forest of Spark ML only.
 """
 
+from string import ascii_lowercase
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from usagelens.llm.common import stage
+from usagelens.llm.common import drop_stage, stage, stage_sealed
 from usagelens.llm.matches import collect_matches
 
 FOUND = "struct<start:int,end:int,value:string,before:string>"
@@ -34,6 +36,7 @@ TRAIN_ROWS = 20_000  # labelled findings that a forest is fitted on
 UNSEEN = -9.0  # log chance of a pair of characters that the corpus lacks
 FEATURES = ("length", "transitions", "pair_chance", "coverage", "digits", "capitals", "variety", "hex", "slashes",
             "path_before", "assigned", "secret_word", "plain_word")
+EVIDENCE = ("assigned", "secret_word")  # features that secrets are labelled by
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -48,7 +51,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n): letter runs of all texts in small letters; partial counts go before the shuffle."""
     words = F.split(F.lower(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))), r"[^\p{L}]+")
-    return docs.select(F.explode(words).alias("word")).filter("length(word) between 2 and 64").groupBy("word").agg(
+    return docs.select(F.explode(words).alias("word")).filter("length(word) >= 2").groupBy("word").agg(
         F.count("*").alias("n"))
 
 
@@ -68,14 +71,16 @@ def _first_letter():
 
 
 def _pair_chance(value: Column, chances: dict[str, float]) -> Column:
-    """Mean log chance of the candidate's neighbouring characters."""
+    """Mean log chance of the candidate's neighbouring characters, looked up by the places of both in the alphabet."""
     small = F.lower(value)
-    known = F.create_map(*[F.lit(x) for pair in sorted(chances.items()) for x in pair]) if chances else None
+    table = F.lit([chances.get(one + two, UNSEEN) for one in ascii_lowercase for two in ascii_lowercase])
+
+    def letter(k):
+        place = F.ascii(F.substring(small, k, F.lit(1))) - ord("a")
+        return F.when(place.between(0, len(ascii_lowercase) - 1), place)
 
     def step(total, k):
-        if known is None:
-            return total + UNSEEN
-        return total + F.coalesce(F.try_element_at(known, F.substring(small, k, F.lit(2))), F.lit(UNSEEN))
+        return total + F.coalesce(F.get(table, letter(k) * len(ascii_lowercase) + letter(k + 1)), F.lit(UNSEEN))
 
     return F.aggregate(F.sequence(F.lit(1), F.length(value) - 1), F.lit(0.0), step) / (F.length(value) - 1)
 
@@ -123,17 +128,25 @@ def labelled_findings(measured: DataFrame) -> DataFrame:
 
 
 def train(findings: DataFrame, rows: int = TRAIN_ROWS, trees: int = 20, depth: int = 6, seed: int = 3):
-    """Forest on at most ``rows`` distinct labelled findings of each class, the first by a hash; None without both."""
+    """Forest on at most ``rows`` distinct labelled findings of each class, the first by a hash; None without both.
+
+    Secrets are mostly labelled by the name that they are assigned to, which is a feature too. So that the forest does
+    not learn that rule alone, each secret is learned a second time without those features (EVIDENCE).
+    """
     distinct = findings.dropDuplicates(["value", "before"]).withColumn("place", F.xxhash64("value", "before"))
     sample = None
     for label in (0, 1):
         part = distinct.filter(F.col("label") == label).orderBy("place").limit(rows)
         sample = part if sample is None else sample.union(part)
-    sample, _ = stage(sample.select(*FEATURES, "label"), "findings")
-    if sample.select("label").distinct().count() < 2:
-        return None
-    assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample)
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, labelCol="label").fit(assembled)
+    sample = sample.select(*FEATURES, "label")
+    bare = sample.filter("label = 1").withColumns({name: F.lit(0.0) for name in EVIDENCE}).select(*sample.columns)
+    sample, path = stage(sample.unionByName(bare), "findings")
+    forest = None
+    if sample.select("label").distinct().count() == 2:
+        assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample)
+        forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, labelCol="label").fit(assembled)
+    drop_stage(findings.sparkSession, path)
+    return forest
 
 
 def score(measured: DataFrame, forest) -> DataFrame:
@@ -152,10 +165,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", findin
     ``findings`` is a function from measured candidates to labelled ones, those of ``labelled_findings`` by default.
     Word and pair counts cover all texts. Null and empty texts have no candidate; repeated rows and null ids give
     findings like any others; an empty table gives none; further columns are not read. Runs jobs before it returns.
+    Values and what stands around them are staged encrypted; the result reads two of the staged tables.
     """
-    found, _ = stage(candidates(docs, id_col, text_col), "candidates")
-    words, _ = stage(word_counts(docs, text_col), "words")
-    shapes, _ = stage(features(found.select("value", "before").distinct(), words, pair_chances(words)), "shapes")
+    found, _ = stage_sealed(candidates(docs, id_col, text_col), "candidates")
+    words, dictionary = stage_sealed(word_counts(docs, text_col), "words")
+    shapes, _ = stage_sealed(features(found.select("value", "before").distinct(), words, pair_chances(words)), "shapes")
+    drop_stage(docs.sparkSession, dictionary)
     forest = train((findings or labelled_findings)(shapes))
     scored = score(shapes, forest).select(
         F.col("value").alias("v"), F.col("before").alias("b"), F.round("score", 6).alias("score"))
