@@ -174,6 +174,25 @@ def test_rank_over_many_magnitudes(spark):
     assert all(rank == 1 + sum(other > value for other in values) for value, rank in found) and len(found) == len(values)
 
 
+def test_rank_when_half_of_the_rows_share_a_value(spark):
+    values = [7] * 3000 + [0] * 1000 + [k % 700 * 3 for k in range(2000)] + [None] * 50
+    frame = spark.createDataFrame(list(enumerate(values)), "i int, v long")
+    held = {name: spark.conf.get(name) for name in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for name, value in zip(held, ("false", "-1")):
+            spark.conf.set(name, value)
+        ranked = ranking.global_rank(frame, "v").withColumn("part", F.spark_partition_id())
+        found = rows(ranked, "i", "v", "rank", "part")
+    finally:
+        for name, value in held.items():
+            spark.conf.set(name, value)
+    plain = sorted((v or 0 for v in values), reverse=True)
+    first = {v: plain.index(v) + 1 for v in set(plain)}
+    assert sorted(((i, v, rank) for i, v, rank, _ in found), key=lambda row: row[0]) == [(i, v, first[v or 0]) for i, v in enumerate(values)]
+    parts = [part for _, v, _, part in found if v == 7]
+    assert len(set(parts)) == 8 and max(map(parts.count, set(parts))) < 600
+
+
 def test_trailing_minute(spark):
     at = [0, 0, 1, 59_999, 60_000, 60_001, 120_000, 299_999, 300_000, 359_998, 359_999, 86_399_999, 86_400_000]
     frame = spark.createDataFrame([(i, "u", MIDNIGHT + value) for i, value in enumerate(at)], "id long, username string, start_ms long")

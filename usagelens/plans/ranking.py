@@ -7,6 +7,7 @@ from usagelens.functions.pricing import round_micros
 
 
 MINUTE_MS = 60_000
+HOT_SHARE = 1000  # a value is hot if it has more than one in so many rows
 
 
 def chart_totals(rows: DataFrame, key: str) -> DataFrame:
@@ -39,7 +40,10 @@ def global_rank(rows: DataFrame, value: str, target: str = "rank") -> DataFrame:
     """SQL ``rank()`` of a non-negative integer value, largest first, without one big sort task.
 
     Values fall into at most 16129 fixed bands by magnitude.  A rank is one, plus
-    the rows in higher bands, plus the rows above it inside the band.
+    the rows in higher bands, plus the rows above it inside the band.  A value
+    with more than a thousandth of all rows is hot: there are fewer than 1000, so
+    their ranks are broadcast, and their rows are spread by their content in the
+    join on the other values.
     """
     amount = F.coalesce(F.col(value), F.lit(0)).cast("long")
     banded = rows.withColumn("_v", amount).withColumn(
@@ -54,9 +58,17 @@ def global_rank(rows: DataFrame, value: str, target: str = "rank") -> DataFrame:
     ranks = (
         values.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
         .join(F.broadcast(bands), "_band")
-        .select("_v", (F.col("_above") + F.col("_before") + 1).alias(target))
+        .select("_v", "_n", (F.col("_above") + F.col("_before") + 1).alias("_rank"))
     )
-    return banded.join(ranks, "_v").drop("_v", "_band")
+    hot = F.col("_n") * HOT_SHARE > values.agg(F.sum("_n")).scalar()
+    hot_ranks = ranks.where(hot).select("_v", F.col("_rank").alias("_hot_rank"))  # fewer than HOT_SHARE rows
+    cold_ranks = ranks.where(~hot).select(F.col("_v").alias("_key"), F.col("_rank").alias("_cold_rank"))
+    # The key of a hot value's row may be that of a cold value by chance; its own rank comes first.
+    content = F.xxhash64(*[F.col(f"`{name}`") for name in rows.columns])
+    keyed = banded.join(F.broadcast(hot_ranks), "_v", "left").withColumn(
+        "_key", F.when(F.col("_hot_rank").isNull(), F.col("_v")).otherwise(content))
+    return keyed.join(cold_ranks, "_key", "left").select(
+        *[F.col(f"`{name}`") for name in rows.columns], F.coalesce("_hot_rank", "_cold_rank").alias(target))
 
 
 def rank_users(rows: DataFrame, metric: str = "cost_micros") -> DataFrame:
