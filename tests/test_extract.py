@@ -5,6 +5,7 @@ import re
 
 from usagelens.functions.pricing import default_prices
 from usagelens.operators import account_quota, catalog, extract, surrogate
+from usagelens_checks import tables
 
 NAMES = ("input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens", "parse_error")
 
@@ -166,6 +167,39 @@ def test_chunk_numbers_from_any_start(spark):
         assert (found.input_tokens, found.output_tokens, found.parse_error) == (7, 3, False)
 
 
+def test_long_documents_are_cut_in_one_pass(spark):
+    texts = ["", "x", "\U0001f600 a\r\n\u2028" * 40, 'He said "\\u0041" \t' * 30]
+    documents = spark.createDataFrame([(i, text) for i, text in enumerate([*texts, None])], "doc_id long, text string")
+    chunks = tables.long_chunks_of(documents)
+    assert [kind for _, kind in chunks.dtypes] == ["bigint", "bigint", "string"]
+    # A substring for each place starts from the beginning each time: quadratic in the document.
+    assert "substring(" not in chunks._jdf.queryExecution().optimizedPlan().toString()
+    found = {}
+    for row in chunks.collect():
+        found.setdefault(row.request_id, {})[row.seq] = row.chunk
+    assert sorted(found) == [0, 1, 2, 3]
+    for i, text in enumerate(texts):
+        pieces = [found[i][seq] for seq in sorted(found[i])]
+        assert sorted(found[i]) == list(range(-5, len(pieces) - 5))
+        assert {len(piece) for piece in pieces[:-1]} == {8} and 1 <= len(pieces[-1]) <= 8
+        event = "".join(pieces).split("\n\n")[1].removeprefix("data: ")
+        assert json.loads(event)["response"] == {
+            "output": {"text": text}, "usage": {"input_tokens": len(text), "output_tokens": i}}
+
+
+def test_only_long_chunks_are_squeezed_alone(spark):
+    noise = "data: {}\x0b\u2028event: x\r\n"
+    text = noise * 9 + completed(input_tokens=1) + noise * 90 + completed(input_tokens=2, pad="p" * 400) + noise * 40
+    streams = [[text], [text[i:i + 300] for i in range(0, len(text), 300)], [text[i:i + 7] for i in range(0, len(text), 7)],
+               [text[:40], text[40:900], text[900:950], text[950:]]]
+    for size in (1, 3, 2048):
+        assert sse_usage(spark, streams, chunks_per_slice=size) == [(2, 0, 0, 0, False)] * 4
+    short = spark.createDataFrame([(1, 0, "a\nb\nc"), (1, 1, "d\n" + "e\n" * 300 + "f")], "request_id long, seq long, chunk string")
+    plan = extract.squeezed_slices(short)._jdf.queryExecution().optimizedPlan().toString()
+    assert "octet_length" in plan
+    assert extract.squeezed_slices(short).first().pieces == ["a", "f"]
+
+
 def payload_ids(spark, payloads):
     frame = spark.createDataFrame(list(enumerate(payloads)), "request_id long, payload string")
     found = surrogate.surrogate_ids(surrogate.request_items(frame)).collect()

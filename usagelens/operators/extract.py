@@ -23,6 +23,7 @@ RELEVANT = (rf"(?s)^[{_BLANKS}]*data:[{_BLANKS}]*(?:(?!\[DONE\])[^{{{_BLANKS}]"
 # Chunks that are joined in one group, and slices in one window.
 CHUNKS_PER_SLICE = 2048
 SLICES_PER_RUN = 1024
+SHORT_CHUNK = 256  # bytes up to which a chunk is left to the squeezing of its slice
 _TAIL = 2**31 - 1
 _BEFORE_ALL = -(2**62)  # slice of a line that no earlier slice has opened
 VOID_STREAM = (502, "no usage can be read from the event stream")
@@ -64,18 +65,19 @@ def _attach_pieces(rows: DataFrame, line_break: str) -> DataFrame:
 def squeezed_slices(chunks: DataFrame, chunks_per_slice: int = CHUNKS_PER_SLICE) -> DataFrame:
     """(request_id, slice, pieces): what matters of each run of ``chunks_per_slice`` chunks.
 
-    Chunks are squeezed before the shuffle, slices after it.  A group is one
+    Long chunks are squeezed before the shuffle, slices after it.  A group is one
     slice, so its size is bounded however long the request is.
     """
-    seq = F.col("seq").cast("long")
+    seq, chunk = F.col("seq").cast("long"), F.coalesce("chunk", F.lit(""))
     rows = chunks.select(
         "request_id", seq.alias("seq"), F.floor(seq / F.lit(chunks_per_slice)).cast("long").alias("slice"),
-        F.coalesce("chunk", F.lit("")).alias("text"))
-    squeezed = _attach_pieces(rows, LINE_BREAK).withColumn("text", F.array_join("pieces", "\n"))
+        F.when(F.octet_length(chunk) <= SHORT_CHUNK, chunk).alias("short"),
+        F.when(F.octet_length(chunk) > SHORT_CHUNK, chunk).alias("text"))
+    squeezed = _attach_pieces(rows, LINE_BREAK).withColumn("text", F.coalesce("short", F.array_join("pieces", "\n")))
     ordered = F.array_sort(F.collect_list(F.struct("seq", "text")))
     slices = squeezed.groupBy("request_id", "slice").agg(
         F.array_join(F.transform(ordered, lambda part: part["text"]), "").alias("text"))
-    return _attach_pieces(slices, "\n")
+    return _attach_pieces(slices, LINE_BREAK)
 
 
 def _lines(slices: DataFrame) -> DataFrame:

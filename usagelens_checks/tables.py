@@ -201,10 +201,11 @@ def long_chunks_of(documents: DataFrame) -> DataFrame:
         F.lit('data: {"type":"response.delta"}\n\ndata: {"response":{"output":'), F.to_json(F.struct("text")),
         F.lit(',"usage":{"input_tokens":'), F.length("text").cast("string"), F.lit(',"output_tokens":'),
         (F.col("doc_id") % 97).cast("string"), F.lit("}}}\n\ndata: [DONE]\n\n"))
-    rows = documents.where("text IS NOT NULL").select(F.col("doc_id").alias("request_id"), answer.alias("_text"))
-    place = F.explode(F.sequence(F.lit(0), (F.length("_text") - 1).cast("int"), F.lit(8)))
-    return rows.select("request_id", "_text", place.alias("_at")).select(
-        "request_id", F.expr("_at div 8 - 5").alias("seq"), F.expr("substring(_text, _at + 1, 8)").alias("chunk"))
+    # One pass cuts a document: substrings by place would each start from its beginning.
+    pieces = F.regexp_extract_all(answer, F.lit("(?s).{1,8}"), F.lit(0))
+    rows = documents.where("text IS NOT NULL").select(
+        F.col("doc_id").alias("request_id"), F.posexplode(pieces).alias("_at", "chunk"))
+    return rows.select("request_id", (F.col("_at").cast("long") - 5).alias("seq"), "chunk")
 
 
 def finished_responses_of(usage: DataFrame) -> DataFrame:
