@@ -321,6 +321,20 @@ def test_long_payloads_keep_ids_and_facts(spark):
     assert models[4] == json.dumps({"a": "z" * 1300}, separators=(",", ":")) and models[5] == "n" * 1300
 
 
+def test_payloads_are_parsed_once_for_surrogate_ids(spark):
+    """Also where a long payload has keys with escapes that hold objects, and keys longer than what is kept of a text."""
+    pad = '"pad":"' + "p\\\"" * 400_000 + '"'
+    items = '[{"id":"%s"},{"id":{"x":"%s"}},{"id":"%s","encrypted_content":0}]' % (("i" * 1200,) * 3)
+    texts = ['{"input":%s,%s}' % (items, pad), '{%s,"\\u0069d":{"y":"%s"},"input":%s}' % (pad, "z" * 2000, items),
+             '{%s,"%s\\n":{"id":"a"},"input":%s}' % (pad, "k" * 1500, items)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "request_id long, payload string")
+    found = surrogate.surrogate_ids(surrogate.request_items(rows))
+    assert "parse_json" not in found._jdf.queryExecution().optimizedPlan().toString()
+    short = "rs_" + hashlib.sha256(b"i" * 1200).hexdigest()[:61]
+    assert {(r.request_id, r.pos): r.new_id for r in found.collect()} == {
+        (k, pos): new for k in range(3) for pos, new in enumerate([short, None, short])}
+
+
 def test_long_bodies_keep_padded_counts(spark):
     body = json.dumps({"pad": "p" * 1_000_001, "usage": {"input_tokens": "0" * 1500 + "7", "output_tokens": " " * 1500 + "3"}})
     found = extract.extract_json_usage(spark.createDataFrame([(1, body)], "request_id long, body string")).first()

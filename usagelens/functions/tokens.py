@@ -15,7 +15,7 @@ KEPT_TEXT = 1000
 LONG_DOCUMENT = 1_000_000
 _TEXT = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 _GAP = r"[ \t\r\n]*+"
-_CUT = r'("(?:[^"\\]|\\u[0-9a-fA-F]{4}|\\.){0,%d}+)(?:[^"\\]|\\.)*+(")' % KEPT_TEXT
+_CUT = r'("(?:[^"\\]|\\u[0-9a-fA-F]{4}|\\.){0,%d}+)[^"\\]*+(?:\\.[^"\\]*+)*+(")' % KEPT_TEXT
 
 # Keys whose text may be a count.
 COUNT_KEYS = ("input_tokens", "prompt_tokens", "output_tokens", "completion_tokens", "cached_tokens")
@@ -25,18 +25,26 @@ _NUMBER = r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
 _TEXT_INTEGER = r'^"\s*[+-]?[0-9]+(_[0-9]+)*\s*"$'
 
 
+def _wanted(keys) -> str:
+    """Pattern of a wanted key, or of one that is written with escapes, and its colon."""
+    return rf'(?:"(?:{"|".join(keys)})"|"[^"\\]*+(?:\\.[^"\\]*+)++"){_GAP}:{_GAP}'
+
+
 def shortened(text: Column, keys) -> Column:
     """JSON with its long text values cut, except those of ``keys``: the parser refuses values of some 20 million characters.
 
-    Every text is matched whole, from quote to quote, so the search never loses its place. The value of a wanted key is
-    kept at any depth, as is that of a key that is written with escapes. A document in which a wanted key (or one with
-    escapes) holds an object or a list is left as it is.
+    NULL unless the document is long. Every text is matched whole, from quote to quote, so the search never loses its
+    place. The value of a wanted key is kept at any depth, as is that of a key that is written with escapes.
     """
-    wanted = rf'(?:"(?:{"|".join(keys)})"|"[^"\\]*+(?:\\.[^"\\]*+)++"){_GAP}:{_GAP}'
-    plain = F.regexp_replace(text, rf"(?s)({wanted}{_TEXT})|{_CUT}", "$1$2$3")
+    plain = F.regexp_replace(text, rf"(?s)({_wanted(keys)}{_TEXT})|{_CUT}", "$1$2$3")
+    return F.when(F.length(text) > LONG_DOCUMENT, plain)
+
+
+def holds_nested(text: Column, keys) -> Column:
+    """Whether a wanted key, or one with escapes, holds an object or a list."""
+    wanted = _wanted(keys)
     # Texts are stepped over one by one up to a wanted key, which must be a key and not a part of some text.
-    nested = rf'(?s)\A(?:[^"]++|(?!{wanted}[\[{{]){_TEXT})*+{wanted}[\[{{]'
-    return F.when(F.length(text) <= LONG_DOCUMENT, text).when(text.rlike(nested), text).otherwise(plain)
+    return text.rlike(rf'(?s)\A(?:[^"]++|(?!{wanted}[\[{{]){_TEXT})*+{wanted}[\[{{]')
 
 
 def attach_document(rows: DataFrame, text: str, target: str = "doc", keys=COUNT_KEYS) -> DataFrame:
@@ -46,13 +54,17 @@ def attach_document(rows: DataFrame, text: str, target: str = "doc", keys=COUNT_
     element of an array also rejects whatever follows it.  The array is a column
     of its own, so the text is parsed once per row.  Of equal keys the last one
     counts; in documents of over a million characters long text values are cut,
-    other than those of ``keys``.
+    other than those of ``keys``.  One in which such a key holds an object or a
+    list is left as it is; the cut document tells that as well as the whole one,
+    in a fraction of the time, and is a column of its own too.
     """
     rows.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    wrapped = F.try_parse_json(F.concat(F.lit("["), shortened(F.col(text), keys), F.lit("]")))
+    cut = F.col("_cut")
+    document = F.when(cut.isNull() | holds_nested(cut, keys), F.col(text)).otherwise(cut)
+    wrapped = F.try_parse_json(F.concat(F.lit("["), document, F.lit("]")))
     alone = F.try_variant_get("_wrapped", "$[1]", "variant").isNull()
-    return rows.withColumn("_wrapped", wrapped).withColumn(
-        target, F.when(alone, F.try_variant_get("_wrapped", "$[0]", "variant"))).drop("_wrapped")
+    return rows.withColumn("_cut", shortened(F.col(text), keys)).withColumn("_wrapped", wrapped).withColumn(
+        target, F.when(alone, F.try_variant_get("_wrapped", "$[0]", "variant"))).drop("_cut", "_wrapped")
 
 
 def member(value: Column, path: str) -> Column:

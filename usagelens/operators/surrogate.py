@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from usagelens.functions.tokens import attach_document, member
+from usagelens.runtime import materialize
 
 # Fixed values of the short form.
 ID_PREFIX = "rs_"
@@ -35,8 +36,10 @@ def surrogate_ids(items: DataFrame) -> DataFrame:
 
     A plain item with a long id decides for itself and is not shuffled.  Only an
     encrypted item with a long id has to look for a plain twin; ids that occur
-    both ways come from one aggregate, each of them once.
+    both ways come from one aggregate, each of them once.  Items are staged in
+    the shared folder, so that what they are made of is read and parsed once.
     """
+    items = materialize(items)
     long_id = F.length("item_id") > MAX_ID_CHARS
     plain = ~F.coalesce(F.col("encrypted"), F.lit(False))
     twins = (

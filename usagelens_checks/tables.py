@@ -291,8 +291,9 @@ def long_payloads_of(conversations: DataFrame) -> DataFrame:
     """One request per turn with ids and a model of 1,280 characters; every twentieth conversation's are padded past a million."""
     name = F.repeat(F.md5("text"), F.lit(40))
     times = F.when(F.col("conv_id") % 20 == 0, F.expr("1000000 div greatest(length(text), 1) + 1")).otherwise(1)
+    escaped = F.expr("""substring(to_json(struct(text)), 10, length(to_json(struct(text))) - 11)""")  # of {"text":"..."}
     payload = F.concat(
-        F.lit('{"pad":'), F.to_json(F.struct(F.repeat("text", times.cast("int")).alias("p"))), F.lit(',"input":[{"id":"'), name,
+        F.lit('{"pad":{"p":"'), F.repeat(escaped, times.cast("int")), F.lit('"},"input":[{"id":"'), name,
         F.lit('a"},{"content":"\\"id\\":","id":"'), name, F.lit('b"},{"id":"'), name,
         F.lit('b","encrypted_content":""}],"model":"'), name, F.lit('","stream":true}'))
     nothing = F.lit("")
