@@ -1,3 +1,4 @@
+import glob
 import os
 import random
 
@@ -14,6 +15,7 @@ from usagelens.runtime import remove_folder
 from usagelens.sources import request_ids
 from usagelens.sources.ledger import append_new, append_usage, conform, read_usage
 from usagelens.streaming import admission, counters, ingest, sinks
+from usagelens_checks import tables
 
 RESPONSES = ("request_id long, ts_ms long, start_ms long, username string, api_key string, model string, stream int, "
              "client string, status int, path string, error string, body string")
@@ -103,6 +105,28 @@ def test_a_batch_reads_the_folders_of_its_own_ids(spark, tmp_path, monkeypatch):
     assert read_usage(spark, path).count() == 3023
 
 
+def test_batches_of_many_rows_lie_in_files_of_a_bounded_size(spark, tmp_path, monkeypatch):
+    """Batches stay what they are, but no task has to write or read one of them alone."""
+    monkeypatch.setattr(tables, "ROWS_PER_FILE", 100)
+    rows = spark.createDataFrame([response(i, MIDNIGHT + i * 7919, GOOD) for i in range(1200)], RESPONSES)
+    makers = {"late": (tables.stream_of_parts, 3), "moved": (tables.moved_deliveries, 4)}
+    for name, (make, batches) in makers.items():
+        folder, seen = str(tmp_path / name), []
+        stream = make(rows, folder)
+        sizes = [pq.ParquetFile(file).metadata.num_rows for file in glob.glob(f"{folder}/**/*.parquet", recursive=True)]
+        assert max(sizes) < 200 and len(sizes) >= batches * 4
+        stream.writeStream.foreachBatch(lambda batch, _: seen.append(sorted(batch.collect()))).option(
+            "checkpointLocation", f"{folder}-state").trigger(availableNow=True).start().awaitTermination()
+        assert len(seen) == batches
+        first = {}
+        for number, batch in enumerate(seen):
+            for row in batch:
+                first.setdefault(row.request_id, (number, row.ts_ms))
+        assert {i: at for i, (_, at) in first.items()} == {i: MIDNIGHT + i * 7919 for i in range(1200)}
+        assert {number for number, _ in first.values()} == set(range(3 if name == "late" else 2))
+        assert sum(map(len, seen)) > 1300
+
+
 def test_ingest_reads_event_streams(spark, tmp_path):
     text = f'data: {{"type":"x"}}\n\ndata: {{"response":{GOOD}}}\n\ndata: [DONE]\n\n'
     rows = [response(1, MIDNIGHT, text, stream=1), response(2, MIDNIGHT, text), response(3, MIDNIGHT, GOOD, stream=1),

@@ -18,6 +18,7 @@ TZ = "+08:00"
 AS_OF = date(2024, 1, 31)
 NOW_MS = 1_706_673_600_000
 DENSE_BASE = 1_704_038_400_000
+ROWS_PER_FILE = 100_000  # of the files that a stream is made of
 
 MODELS = ("gpt-6-astra", "gpt-6.1-sol", "gpt-6-sol", "gpt-6-luna", "gpt-5.6-sol-2026-08-01", "gpt-5.6-terra",
           "gpt-5.5", "gpt-5.3-codex-spark", "gpt-4o-mini", "mystery-model", "", None)
@@ -218,22 +219,39 @@ def finished_responses_of(usage: DataFrame) -> DataFrame:
         "body")
 
 
+def files_of_batch(rows: DataFrame, batches: int) -> int:
+    """Files for each of several batches, so that no task writes or reads many more than ROWS_PER_FILE rows at once."""
+    return max(1, -(-rows.count() // (batches * ROWS_PER_FILE)))
+
+
+def add_files(rows: DataFrame, path: str, files: int, key: str = "request_id") -> None:
+    rows.repartition(files, key).write.mode("append").parquet(path)
+
+
+def stream_of_files(rows: DataFrame, path: str, files: int) -> DataFrame:
+    """The files at ``path`` as a stream of rows like ``rows``, that many files a batch, oldest first."""
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 def stream_of_parts(rows: DataFrame, path: str, parts: int = 3) -> DataFrame:
     """The rows as a stream of several batches that ignore time; each batch repeats some rows of the one before."""
     number = F.pmod(F.hash("ts_ms"), F.lit(parts))
     again = rows.where(F.pmod(F.xxhash64("ts_ms"), F.lit(5)) == 0).withColumn("part", F.least(number + 1, F.lit(parts - 1)))
     both = rows.withColumn("part", number).unionByName(again)
-    both.repartition("part").write.partitionBy("part").parquet(path)
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    files = files_of_batch(rows, parts)
+    for part in range(parts):
+        add_files(both.where(F.col("part") == part).drop("part"), path, files)
+    return stream_of_files(rows, path, files)
 
 
 def moved_deliveries(rows: DataFrame, path: str) -> DataFrame:
     """The rows as a stream of several batches, then some of them again, dated one to three days later."""
-    rows.repartition(2, "ts_ms").write.parquet(path)
+    files = files_of_batch(rows, 2)
+    add_files(rows, path, 2 * files)
     later = F.col("ts_ms") + 86_400_000 * (1 + F.pmod(F.hash("ts_ms"), F.lit(3)))
     again = rows.where(F.pmod(F.xxhash64("ts_ms"), F.lit(4)) == 0).withColumn("ts_ms", later)
-    again.repartition(2, "ts_ms").write.mode("append").parquet(path)
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    add_files(again, path, 2 * files)
+    return stream_of_files(rows, path, files)
 
 
 def request_log_of(usage: DataFrame) -> DataFrame:
