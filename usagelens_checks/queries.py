@@ -11,7 +11,6 @@ from usagelens.plans import filters, ranking, reports, reshape
 from usagelens.plans.dashboard import command_report, dashboard
 from usagelens.plans.cube import stored_cube, usage_cube
 from usagelens.runtime import work_folder
-from usagelens.schema import USAGE
 from usagelens.sources.ledger import append_usage, conform, list_users, read_usage
 from usagelens.streaming import admission as stream_admission
 from usagelens.streaming import counters as stream_counters
@@ -421,8 +420,9 @@ def stream_day_counters_late(spark, sf_dir):
     """Counters over batches that each go over all days; repeated deliveries are removed by the ledger before."""
     ledger = stream_ingest_late(spark, sf_dir)
     path = work_folder(spark, "ledger-parts")
-    ledger.repartition(3, "ts_ms").write.parquet(path)
-    rows = spark.readStream.schema(USAGE).option("maxFilesPerTrigger", 1).parquet(path)
+    files = t.files_of_batch(ledger, 3)
+    t.add_files(ledger, path, 3 * files, "id")
+    rows = t.stream_of_files(ledger, path, files)
     return _live(spark, rows, lambda batch: stream_counters.day_counters(batch, TZ), ["day", "username"], compact=True)
 
 
