@@ -87,11 +87,11 @@ def contested_starts(rows: DataFrame) -> DataFrame | None:
 
 
 def decide_contested(starts: DataFrame) -> DataFrame:
-    """(id, username, day, in_minute) of ``contested_starts``, or of those of them that still ask to be let in."""
+    """``contested_starts``, or those of them that still ask to be let in, with ``in_minute``."""
     looped = starts.where("NOT sliced").groupBy(*STRETCH, "at", "place", "rpm_limit", "fixed").agg(
         F.count(F.lit(1)).alias("starts")).repartition(*STRETCH).sortWithinPartitions(*STRETCH, "at", "place").mapInPandas(
         minute.admitted_starts, _TICKS)
     let_in = looped.unionByName(_by_slices(starts.where("sliced").select(*STRETCH, "at").distinct()))
     rank = F.row_number().over(Window.partitionBy(*GROUP, "at", "place").orderBy("id"))
     return starts.withColumn("_rank", rank).join(let_in, [*GROUP, "at", "place"]).select(
-        "id", *GROUP, (F.col("_rank") <= F.col("let_in")).alias("in_minute"))
+        *starts.columns, (F.col("_rank") <= F.col("let_in")).alias("in_minute"))
