@@ -339,3 +339,34 @@ def test_long_bodies_keep_padded_counts(spark):
     body = json.dumps({"pad": "p" * 1_000_001, "usage": {"input_tokens": "0" * 1500 + "7", "output_tokens": " " * 1500 + "3"}})
     found = extract.extract_json_usage(spark.createDataFrame([(1, body)], "request_id long, body string")).first()
     assert (found.input_tokens, found.output_tokens, found.parse_error) == (7, 3, False)
+
+
+def test_short_streams_are_summed_unsorted_and_members_cast(spark):
+    """No line is sorted, and no path is looked up that may be absent: each costs an exception."""
+    raw = spark.createDataFrame([(1, 0, 'data: {"usage":{"input_tokens":1}}\n')], "request_id long, seq long, chunk string")
+    plan = extract.extract_sse_usage(raw)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    assert "$.usage" not in plan and "$[1]" not in plan and "$.input_tokens" not in plan
+
+
+def test_blanks_and_beginnings_of_payloads(spark):
+    """Payloads are stripped of all blanks; what does not begin like JSON is none."""
+    blanks = ["", " ", "\t", "\x1f", "\u00a0", " \u2003 ", "\u3000\t"]
+    usage = 'data: {"usage":{"input_tokens":4}}\n'
+    payloads = {"true": True, "null": True, "-1": True, "[1]": True, '"x"': True, "7e1": True, "nul": False, "nullx": False,
+                "truth": False, "-": False, "+1": False, "NaN": False, "'x'": False, "\ufeff1": False, "x": False, "{": False}
+    streams = [(usage, f"{one}data:{two}{text}{one}\n") for one in blanks for two in blanks for text in payloads]
+    streams += [(f'{one}data:{two}{{"usage":{{"input_tokens":4}}}}{one}{two}\n',) for one in blanks for two in blanks]
+    expected = [(0 if bad else 4, bad) for _ in blanks for _ in blanks for bad in payloads.values()] + [(4, False)] * len(blanks) ** 2
+    assert [(row[0], row[4]) for row in sse_usage(spark, streams)] == expected
+
+
+def test_usages_of_every_shape(spark):
+    bodies = ['{"usage":{"x":1}}', '{"usage":{"cached_tokens":3}}', '{"usage":{"output_tokens":"5","completion_tokens":6}}',
+              '{"usage":{"input_tokens_details":{"x":1},"input_tokens":2}}', '{"usage":{"input_tokens_details":"x"}}',
+              '{"usage":{"prompt_tokens_details":[0],"prompt_tokens":2}}', '{"usage":{"input_tokens":{}}}',
+              '{"usage":{"input_tokens":{"a":1}}}', '{"usage":"x"}', '{"usage":{"cached_tokens":null,"output_tokens":true}}']
+    expected = [(0, 0, 0, 0, False), (0, 0, 0, 3, False), (0, 5, 0, 0, False), (2, 0, 0, 0, False), (0, 0, 0, 0, True),
+                (0, 0, 0, 0, True), (0, 0, 0, 0, False), (0, 0, 0, 0, True), (0, 0, 0, 0, True), (0, 1, 0, 0, False)]
+    assert json_usage(spark, bodies) == expected
+    assert sse_usage(spark, [(f'data: {{"response":{body}}}\n',) for body in bodies]) == expected

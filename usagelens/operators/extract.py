@@ -6,7 +6,7 @@ from usagelens.functions.clock import local_day
 from usagelens.functions.labels import caller_key, client_class
 from usagelens.functions.pricing import PriceBook, attach_cost
 from usagelens.functions.tokens import (
-    LINE_BREAK, LONG_DOCUMENT, attach_document, attach_usage_counts, is_falsy, json_text, member)
+    LINE_BREAK, LONG_DOCUMENT, attach_document, attach_documents, attach_usage_counts, is_falsy, is_whole, member, members_type)
 from usagelens.operators.ordered import last_before
 from usagelens.runtime import materialize
 from usagelens.schema import TOKEN_COLUMNS, USAGE
@@ -15,10 +15,13 @@ from usagelens.sources.ledger import conform
 # Characters stripped around a stream payload besides the line breaks.
 _BLANKS = " \t\x1f\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
+_BLANK = r" \t\x1f\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"  # the same in a pattern
+_PLAIN_ENDS = r"(?s)\A[!-~](?:.*[!-~])?\z"
+
 # Data lines that can hold a usage or an error: an object that names a usage,
 # maybe with escapes, or anything that is no object, but not the end mark.
-RELEVANT = (rf"(?s)^[{_BLANKS}]*data:[{_BLANKS}]*(?:(?!\[DONE\])[^{{{_BLANKS}]"
-            rf"|\{{.*(?:usage|\\u))")
+RELEVANT = (rf"(?s)^[{_BLANK}]*+data:[{_BLANK}]*+(?:(?!\[DONE\])[^{{{_BLANK}]"
+            rf"|\{{.*?(?:usage|\\u))")
 
 # Chunks that are joined in one group, and slices in one window.
 CHUNKS_PER_SLICE = 2048
@@ -45,9 +48,17 @@ def extract_json_usage(raw: DataFrame) -> DataFrame:
                           (F.col("_broken") | ~object_body | F.col("bad_usage")).alias("parse_error"))
 
 
+def _is_relevant(line):
+    """Whether a line matches RELEVANT; most others are told without the pattern."""
+    return line.contains("data:") & line.rlike(RELEVANT)
+
+
 def _payload(line):
-    """Payload of a data line."""
-    return F.btrim(F.substring(F.btrim(line, F.lit(_BLANKS)), 6, _TAIL), F.lit(_BLANKS))
+    """Payload of a data line; if its ends are plain without spaces, there is nothing else to strip."""
+    inner = F.trim(line)
+    plain = F.trim(F.substring(inner, 6, _TAIL))
+    return F.when(inner.startswith("data:") & plain.rlike(_PLAIN_ENDS), plain).otherwise(
+        F.btrim(F.substring(F.btrim(line, F.lit(_BLANKS)), 6, _TAIL), F.lit(_BLANKS)))
 
 
 def _attach_pieces(rows: DataFrame, line_break: str) -> DataFrame:
@@ -57,7 +68,7 @@ def _attach_pieces(rows: DataFrame, line_break: str) -> DataFrame:
     """
     split = rows.withColumn("_all", F.split("text", line_break, -1)).drop("text")
     inner = F.slice("_all", 2, F.greatest(F.size("_all") - 2, F.lit(0)))
-    kept = F.filter(inner, lambda line: line.rlike(RELEVANT))
+    kept = F.filter(inner, _is_relevant)
     last = F.slice("_all", -1, F.when(F.size("_all") > 1, 1).otherwise(0))
     return split.withColumn("pieces", F.concat(F.slice("_all", 1, 1), kept, last)).drop("_all")
 
@@ -81,12 +92,17 @@ def squeezed_slices(chunks: DataFrame, chunks_per_slice: int = CHUNKS_PER_SLICE)
 
 
 def _lines(slices: DataFrame) -> DataFrame:
-    """Lines of requests that fit in one slice: all its pieces are lines."""
-    return slices.select("request_id", "slice", F.posexplode("pieces").alias("idx", "line"))
+    """Payloads of the lines of requests that fit in one slice: all its pieces are lines, the inner ones relevant.
+
+    They are taken out inside the array, apart from the code that parses them: together it is too long to be compiled.
+    """
+    payloads = F.transform("pieces", lambda line, at: F.when(
+        ((at > 0) & (at < F.size("pieces") - 1)) | _is_relevant(line), _payload(line)))
+    return slices.select("request_id", "slice", F.posexplode(payloads).alias("idx", "payload"))
 
 
 def _lines_over_slices(slices: DataFrame) -> DataFrame:
-    """Lines of longer requests: the outer pieces of the slices are stitched.
+    """Payloads of the lines of longer requests: the outer pieces of the slices are stitched.
 
     A piece belongs to the line that opened in the nearest earlier slice with a
     line break.  One group is one line, which a JSON parser needs whole.
@@ -107,7 +123,9 @@ def _lines_over_slices(slices: DataFrame) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("at", "text")))
     stitched = parts.groupBy("request_id", F.col("line_slice").alias("slice")).agg(
         F.array_join(F.transform(ordered, lambda part: part["text"]), "").alias("line"))
-    return inner.unionByName(stitched.withColumn("idx", F.lit(_TAIL)))
+    line = F.col("line")
+    return inner.unionByName(stitched.withColumn("idx", F.lit(_TAIL))).select(
+        "request_id", "slice", "idx", F.when(_is_relevant(line), _payload(line)).alias("payload"))
 
 
 def extract_sse_usage(chunks: DataFrame, chunks_per_slice: int = CHUNKS_PER_SLICE) -> DataFrame:
@@ -119,58 +137,66 @@ def extract_sse_usage(chunks: DataFrame, chunks_per_slice: int = CHUNKS_PER_SLIC
     and is staged in the shared folder.
     """
     slices = materialize(squeezed_slices(chunks, chunks_per_slice))
-    long_requests = slices.groupBy("request_id").agg(F.count("*").alias("n")).where("n > 1").select("request_id")
-    if long_requests.isEmpty():
-        lines = _lines(slices)
+    # A request of several slices has one that is not slice 0; mostly the files' statistics tell that there is none.
+    if slices.where(F.col("slice") != 0).isEmpty():
+        result = _last_usage(_lines(slices), F.col("idx").cast("long"))
     else:
-        lines = _lines(slices.join(long_requests, "request_id", "left_anti")).unionByName(
-            _lines_over_slices(slices.join(long_requests, "request_id", "left_semi")))
-    payload = F.col("payload")
-    shown = lines.select("request_id", "slice", "idx",
-                         F.when(F.col("line").rlike(RELEVANT), _payload(F.col("line"))).alias("payload"))
-    # The first piece stays in any case: a request without usage has a row too.
-    shown = shown.where(payload.isNotNull() | F.col("idx").isin(0, _TAIL))
-    events = attach_document(shown, "payload", "event").withColumn("_object", payload.startswith("{"))
-    own = member(F.col("event"), "$.usage")
-    nested = member(F.col("event"), "$.response.usage")
-    usages = events.select(
-        "request_id", "slice", "idx",
-        (F.col("event").isNotNull() & ~F.col("_object")).alias("_not_object"),
-        (F.col("event").isNull() & (F.length("payload") > LONG_DOCUMENT)).alias("_unread"),
-        F.when(own.isNull() | F.is_variant_null(own), nested).otherwise(own).alias("usage"))
-    texts = usages.withColumn("_truthy", ~is_falsy(F.to_json("usage")))
-    counted = attach_usage_counts(texts)
-    at = F.when(F.col("_truthy"), F.struct("slice", "idx"))
-    result = counted.groupBy("request_id").agg(
-        F.max_by(F.struct(*TOKEN_COLUMNS), at).alias("last"),
-        F.max(F.coalesce(F.col("_not_object"), F.lit(False)) | F.col("bad_usage")).alias("parse_error"),
-        F.max(at).alias("_last_at"), F.max(F.when(F.col("_unread"), F.struct("slice", "idx"))).alias("_unread_at"))
-    unread = F.col("_unread_at").isNotNull() & (F.col("_last_at").isNull() | (F.col("_unread_at") > F.col("_last_at")))
-    result = result.withColumn("parse_error", F.col("parse_error") | F.coalesce(unread, F.lit(False)))
+        long_requests = slices.groupBy("request_id").agg(F.count("*").alias("n")).where("n > 1").select("request_id")
+        result = _last_usage(_lines(slices.join(long_requests, "request_id", "left_anti")), F.col("idx").cast("long"))
+        over_slices = _lines_over_slices(slices.join(long_requests, "request_id", "left_semi"))
+        result = result.unionByName(_last_usage(over_slices, F.struct("slice", "idx")))
     zero = F.lit(0).cast("long")
     return result.select("request_id", *[
-        F.when(F.col("parse_error"), zero).otherwise(F.coalesce(F.col(f"last.{name}"), zero)).alias(name)
+        F.when(F.col("parse_error"), zero).otherwise(F.coalesce(F.col(name), zero)).alias(name)
         for name in TOKEN_COLUMNS
     ], "parse_error")
 
 
+def _last_usage(lines: DataFrame, place) -> DataFrame:
+    """Counts of the last usage of each request, and whether its stream is void; ``place`` orders its payloads.
+
+    Those of one slice are ordered by a number, so that the sums are kept in place and no line is sorted.
+    """
+    payload = F.col("payload")
+    # The first piece stays in any case: a request without usage has a row too.
+    shown = lines.where(payload.isNotNull() | F.col("idx").isin(0, _TAIL)).select("request_id", place.alias("_place"), "payload")
+    # Two levels at once, so that a whole response is not copied to take its usage out.
+    kind = f"struct<usage:variant,response:{members_type('usage')}>"
+    parsed = attach_documents(shown, "payload", "_events", kind=kind).withColumns({
+        "_whole": is_whole("_events"), "_event": F.get("_events", F.lit(0))})
+    own, whole = F.col("_event")["usage"], F.col("_whole")
+    usages = parsed.select(
+        "request_id", "_place",
+        F.coalesce(whole & ~payload.startswith("{"), F.lit(False)).alias("_not_object"),
+        F.coalesce(~whole & (F.length(payload) > LONG_DOCUMENT), F.lit(False)).alias("_unread"),
+        F.when(whole, F.when(own.isNull() | F.is_variant_null(own), F.col("_event")["response"]["usage"]).otherwise(own))
+        .alias("usage"))
+    at = F.when(F.col("has_usage"), F.col("_place"))
+    result = attach_usage_counts(usages).groupBy("request_id").agg(
+        *[F.max_by(name, at).alias(name) for name in TOKEN_COLUMNS],
+        F.max(F.col("_not_object") | F.col("bad_usage")).alias("parse_error"),
+        F.max(at).alias("_last_at"), F.max(F.when(F.col("_unread"), F.col("_place"))).alias("_unread_at"))
+    unread = F.col("_unread_at").isNotNull() & (F.col("_last_at").isNull() | (F.col("_unread_at") > F.col("_last_at")))
+    return result.select("request_id", *TOKEN_COLUMNS, (F.col("parse_error") | F.coalesce(unread, F.lit(False))).alias("parse_error"))
+
+
 def request_facts(requests: DataFrame) -> DataFrame:
     """Add model, stream flag, client class and caller key of each request.
 
     Needs ``payload``, ``user_agent``, ``x_api_key`` and ``authorization``.  A
     payload that is not a JSON object has an empty model and no stream.
     """
-    parsed = attach_document(requests, "payload", "_doc", keys=("model",))
-    doc = F.col("_doc")
-    text = json_text(doc, "$.model")
+    parsed = attach_document(requests, "payload", "_doc", keys=("model",), kind=members_type("model", "stream"))
+    found = F.col("_doc")["model"]
+    text = F.to_json(found)
     model = (
         F.when(text.isNull(), "")
         .when(text == "null", "None").when(text == "true", "True").when(text == "false", "False")
-        .otherwise(F.coalesce(F.try_variant_get(doc, "$.model", "string"), text))
+        .otherwise(F.coalesce(F.try_variant_get(found, "$", "string"), text))
     )
     return parsed.withColumns({
         "model": model,
-        "stream": (~is_falsy(json_text(doc, "$.stream"))).cast("int"),
+        "stream": (~is_falsy(F.to_json(F.col("_doc")["stream"]))).cast("int"),
         "client": client_class("user_agent"),
         "api_key": caller_key("x_api_key", "authorization"),
     }).drop("_doc")
